@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
-import os
 import re
 
 import numpy as np
@@ -31,8 +31,10 @@ PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: A space between white space on both sides (or the end): only there can a split at spaces differ.
 LOOSE_SPACE = re.compile(r"\s (?:\s|$)")
 NONE = np.int32(2**31 - 1)
-#: Distinct chunks that a worker keeps between blocks; beyond it the cache starts anew.
-CACHE_CHUNKS = 600_000
+#: Chunks, and their characters, that a worker keeps between blocks.
+CACHE_CHUNKS, CACHE_BYTES = 600_000, 48 << 20
+#: Bytes of text whose new chunks are merged together, and of packed ids decoded together.
+MERGE_BYTES, BLOCK_IDS = 10 << 20, 8 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -70,7 +72,6 @@ class PairIndexBPE:
         self.twins = left == right
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = special
-        self.special_pat = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         named = vocab | special
         pieces = [b""] * (max(named.values()) + 1)
         for token, i in named.items():
@@ -170,81 +171,111 @@ def load_bpe(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-class BlockEncoder:
-    """Encodes blocks of texts, each distinct chunk (a stretch between single spaces) once."""
+class ChunkEncoder:
+    """Encodes texts, each distinct chunk (a stretch between single spaces) once: in byte-level vocabularies
+    a space that does not lie between white space begins a pre-token, so chunks do not touch each other.
 
-    def __init__(self, bpe: PairIndexBPE):
-        self.bpe = bpe
+    A worker keeps the chunks between blocks and tasks. Beyond CACHE_CHUNKS or CACHE_BYTES it keeps the more
+    frequent half; that changes no result."""
+
+    def __init__(self, special: list[str]):
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.clear()
 
     def clear(self) -> None:
-        self.spaced, self.plain = Interner(), Interner()
-        self.flat, self.off = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+        self.chunks, self.used = Interner(), np.zeros(0, np.int64)
+        self.flat, self.off, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each chunk, as a ragged array."""
+        raise NotImplementedError
+
+    def whole(self, text: str) -> list[str]:
+        """Parts of a text that cannot be split at its spaces."""
+        raise NotImplementedError
+
+    def evict(self) -> None:
+        keys = list(self.chunks)
+        short = np.fromiter(((len(k) if isinstance(k, str) else len(k[0])) < 200 for k in keys), bool, len(keys))
+        order = np.argsort(-self.used, kind="stable")
+        kept = np.sort(order[(self.used[order] > 1) & short[order]][: CACHE_CHUNKS // 2])
+        flat, off = ragged_take(self.flat, self.off, kept)
+        used = self.used[kept] // 2
+        self.clear()
+        for k in kept.tolist():
+            self.chunks[keys[k]]
+        self.flat, self.off, self.used = flat, off, used
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their offsets."""
-        if len(self.spaced) + len(self.plain) > CACHE_CHUNKS:
-            self.clear()
-        spaced, plain, special = self.spaced.__getitem__, self.plain.__getitem__, self.bpe.special_pat
-        rows: list[np.ndarray] = []  # 2 * chunk, odd for those after a space
+        if len(self.chunks) > CACHE_CHUNKS or self.held > CACHE_BYTES:
+            self.evict()
+        number, rows = self.chunks.__getitem__, []
         for text in texts:
-            if special is not None and special.search(text):
-                parts = []
-                for k, part in enumerate(special.split(text)):
-                    parts += [part] if k % 2 else self.bpe.pattern.findall(part)
-                rows.append(np.fromiter(map(plain, parts), np.int64, len(parts)) * 2)
-            elif LOOSE_SPACE.search(text):
-                parts = self.bpe.pattern.findall(text)
-                rows.append(np.fromiter(map(plain, parts), np.int64, len(parts)) * 2)
+            if LOOSE_SPACE.search(text) or self.special is not None and self.special.search(text):
+                parts = [(p,) for p in self.whole(text)]  # a tuple: no space before it
+                rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
             else:
                 parts = text.split(" ")
-                row = np.empty(len(parts), np.int64)
-                row[0] = 2 * plain(parts[0])
-                row[1:] = np.fromiter(map(spaced, parts[1:]), np.int64, len(parts) - 1) * 2 + 1
-                rows.append(row)
-        for k, (seen, lead) in enumerate(((self.plain, ""), (self.spaced, " "))):
-            self.learn(k, seen, lead)
-        chunk = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+                parts[0] = (parts[0],)
+                rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        known = len(self.off) - 1
+        if known < len(self.chunks):
+            fresh = [" " + k if isinstance(k, str) else k[0] for k in itertools.islice(self.chunks, known, None)]
+            flat, off = self.learn(fresh)
+            self.flat, self.off = np.concatenate((self.flat, flat)), np.concatenate((self.off, self.off[-1] + off[1:]))
+            self.held += sum(map(len, fresh))
         ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-        base = len(self.off[0]) - 1  # chunks after a space are numbered behind the others
-        flat = np.concatenate(self.flat)
-        off = np.concatenate((self.off[0], self.off[1][1:] + self.off[0][-1]))
-        ids, starts = ragged_take(flat, off, (chunk >> 1) + (chunk & 1) * base)
+        chunk = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.used = np.bincount(chunk, minlength=len(self.chunks)) + np.pad(self.used, (0, len(self.chunks) - len(self.used)))
+        ids, starts = ragged_take(self.flat, self.off, chunk)
         return ids, starts[np.concatenate(([0], ends)).astype(np.int64)]
 
-    def learn(self, k: int, seen: Interner, lead: str) -> None:
-        """Encode the chunks that appeared since the last call."""
-        known = len(self.off[k]) - 1
-        fresh = list(seen)[known:] if known < len(seen) else []
-        if not fresh:
-            return
+
+class BlockEncoder(ChunkEncoder):
+    """Merges the new chunks of a block together by the pair occurrence index."""
+
+    def __init__(self, bpe: PairIndexBPE):
+        self.bpe = bpe
+        super().__init__(list(bpe.special))
+
+    def whole(self, text: str) -> list[str]:
+        if self.special is None:
+            return self.bpe.pattern.findall(text)
+        parts = []
+        for k, part in enumerate(self.special.split(text)):
+            parts += [part] if k % 2 else self.bpe.pattern.findall(part)
+        return parts
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         find, special = self.bpe.pattern.findall, self.bpe.special
         pre = Interner()
-        number = pre.__getitem__
         members: list[int] = []
-        counts = np.empty(len(fresh), np.int64)
-        for i, chunk in enumerate(fresh):
-            parts = [chunk] if not lead and chunk in special else find(lead + chunk)
-            members += map(number, parts)
+        counts = np.empty(len(chunks), np.int64)
+        for i, chunk in enumerate(chunks):
+            parts = [chunk] if chunk in special else find(chunk)
+            members += map(pre.__getitem__, parts)
             counts[i] = len(parts)
-        words = [b"" if w in special else w.encode() for w in pre]
-        flat, off = self.bpe.merge(words)
+        flat, off = self.bpe.merge([b"" if w in special else w.encode() for w in pre])
         if named := [(i, special[w]) for w, i in pre.items() if w in special]:
             lens = np.diff(off)
             lens[[i for i, _ in named]] = 1
             flat = np.insert(flat, off[[i for i, _ in named]], [v for _, v in named])
             off = np.concatenate(([0], np.cumsum(lens)))
         ids, starts = ragged_take(flat, off, np.array(members, np.int64))
-        ends = starts[np.cumsum(counts)]
-        self.off[k] = np.concatenate((self.off[k], ends + self.off[k][-1]))
-        self.flat[k] = np.concatenate((self.flat[k], ids))
+        return ids, np.concatenate(([0], starts[np.cumsum(counts)]))
+
+
+@functools.lru_cache(maxsize=2)
+def block_encoder(path: str) -> BlockEncoder:
+    return BlockEncoder(load_bpe(path))
 
 
 def _pass(path: str, decoded: bool):
     def run(batches):
         bpe = load_bpe(path)
-        encoder = BlockEncoder(bpe)
-        for table in blocks(batches):
+        encoder = block_encoder(path)
+        for table in blocks(batches, MERGE_BYTES):
             ids, off = encoder.encode([b.decode("utf-8", "replace") for b in table.column("text").to_pylist()])
             ids = ids.astype("<u4")
             columns = [table.column("id").combine_chunks(), pa.array(np.diff(off)), binary_array(ids, off * 4)]
@@ -280,7 +311,3 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
             yield from pa.table([table.column("id").combine_chunks(), pa.array(bpe.decode(ids, off), pa.string())], ["id", "text"]).to_batches(max_chunksize=2000)
 
     return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("text")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
-
-
-BLOCK_IDS = 8 << 20
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

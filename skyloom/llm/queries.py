@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokenstore
+from . import bpe, langid, minhash, ngram_join, tokenstore, toxicity
 from ._common import new_folder
+from .langid import fold
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +19,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = langid.fit(docs.filter(fold("doc_id", 5) != 0))
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _docs(spark, sf_dir), new_folder(spark, "tokens")
     manifest = tokenstore.write_store(docs, folder)
-    out = tokenstore.crc32_of(tokenstore.read_shards(spark, folder, manifest, docs.schema["doc_id"].dataType.simpleString()))
+    out = tokenstore.read_shards(spark, folder, manifest, docs.schema["doc_id"].dataType.simpleString(), digest=True)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_token_store": op5_token_store}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id", 5) != 0))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.edit_probe(_docs(spark, sf_dir))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_docs(spark, sf_dir), n=4, percent=85)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op5_token_store": op5_token_store,
+    "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
+    "op10_ngram_join": op10_ngram_join,
+}
 ORACLE_SQL: dict[str, str] = {}

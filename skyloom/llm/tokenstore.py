@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -29,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Interner, blocks, id_and_text, ragged_take
-from .bpe import CACHE_CHUNKS, LOOSE_SPACE, tokenizer_path
+from ._common import blocks, id_and_text, ragged_take
+from .bpe import ChunkEncoder, load_bpe, tokenizer_path
 
 MAGIC = b"SKYMPH01"
 #: Documents a shard holds (a parameter of write_store), and the most shards a store has.
@@ -129,49 +130,43 @@ class HashIndex:
         return cls(*parts)
 
 
-class LibraryEncoder:
-    """The tokenizers library, called once per distinct chunk between single spaces."""
+class LibraryEncoder(ChunkEncoder):
+    """The tokenizers library, called once per distinct chunk: new chunks go to it in long strings, and the
+    lengths of the tokens in bytes tell which ids are whose."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks = Interner()
-        self.flat, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.clear()
-        number, rows = self.chunks.__getitem__, []
-        for text in texts:
-            if LOOSE_SPACE.search(text) or any(w in text for w in self.whole):
-                parts = [("", text)]
-            else:
-                # a chunk after a space is keyed by its text alone, the first one by a pair
-                head, *parts = text.split(" ")
-                parts.append(("", head))
-            rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
-        known = len(self.off) - 1
-        fresh = [k[1] if isinstance(k, tuple) else " " + k for k in list(self.chunks)[known:]]
-        if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for ids in got for i in ids), np.int32, int(lens.sum()))))
-            self.off = np.concatenate((self.off, self.off[-1] + np.cumsum(lens)))
-        for k, row in enumerate(rows):
-            rows[k] = np.roll(row, 1)  # the first chunk was numbered last
-        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-        ids, starts = ragged_take(self.flat, self.off, np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        return ids, starts[np.concatenate(([0], ends)).astype(np.int64)]
+        self.piece_len = np.diff(load_bpe(path).piece_off)
+        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+
+    def whole(self, text: str) -> list[str]:
+        return [text]
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, lens = [], np.zeros(len(chunks), np.int64)
+        # joined chunks stay apart only if each is a space and then something else than white space
+        spaced = [k for k, c in enumerate(chunks) if c.rfind(" ", 0, 1) == 0 and c[1:2].strip()]
+        for a in range(0, len(spaced), 1000):
+            part = [chunks[k] for k in spaced[a : a + 1000]]
+            joined = "".join(part)
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int32)
+            sizes = map(len, part) if joined.isascii() else (len(c.encode()) for c in part)
+            ends = np.searchsorted(np.cumsum(self.piece_len[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(part)))) + 1
+            lens[spaced[a : a + 1000]] = np.diff(ends, prepend=0)
+            out.append(ids)
+        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        alone = np.setdiff1d(np.arange(len(chunks)), spaced).tolist()
+        if not alone:
+            return flat, np.concatenate(([0], np.cumsum(lens)))
+        got = [np.array(self.tokenizer.encode(chunks[k], add_special_tokens=False).ids, np.int32) for k in alone]
+        order = np.argsort(np.concatenate((spaced, alone)).astype(np.int64))
+        off = np.concatenate(([0], np.cumsum(np.concatenate((lens[spaced], [len(g) for g in got])).astype(np.int64))))
+        return ragged_take(np.concatenate((flat, *got)), off, order)
 
 
 @functools.lru_cache(maxsize=2)
@@ -199,7 +194,7 @@ def _write_shards(folder: str, path: str, end_id: int | None):
         own = f"{name}.ids.{uuid.uuid4().hex}"
         ids_column, keys, lens = [], [], []
         with fs.open_output_stream(own) as out:
-            for table in blocks(batches):
+            for table in blocks(batches, 4 << 20):
                 ids, off = encoder.encode([b.decode("utf-8", "replace") for b in table.column("text").to_pylist()])
                 if end_id is not None:
                     ids, off = np.insert(ids, off[1:], end_id), off + np.arange(len(off))
@@ -254,9 +249,11 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return manifest
 
 
-def read_shards(spark: SparkSession, folder: str, manifest: list[dict], id_type: str = "bigint") -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, manifest: list[dict], id_type: str = "bigint", digest: bool = False) -> DataFrame:
     """(id, start long: ids of all documents before it, n_tokens long, ids binary) of every document, each
-    found through its shard's index; a shard is read by one task."""
+    found through its shard's index; a shard is read by one task. With ``digest``, ids_crc32 long, the
+    unsigned CRC-32 of the document's packed ids, stands instead of the ids."""
+    name_, type_ = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def run(batches):
         fs, root = filesystem(folder)
@@ -287,10 +284,10 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[dict], id_type:
                         f.seek(base * 4)
                         raw = f.read((int(hi.max()) - base) * 4)
                         parts = [raw[(s - base) * 4 : (e - base) * 4] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
-                        yield from pa.table([table.column("id").slice(a, 1000), pa.array(lo + m["start"]), pa.array(hi - lo), pa.array(parts, pa.binary())], ["id", "start", "n_tokens", "ids"]).combine_chunks().to_batches()
+                        yield from pa.table([table.column("id").slice(a, 1000), pa.array(lo + m["start"]), pa.array(hi - lo), pa.array(list(map(zlib.crc32, parts)), pa.int64()) if digest else pa.array(parts, pa.binary())], ["id", "start", "n_tokens", name_]).combine_chunks().to_batches()
 
     n = max(1, len(manifest))
-    return spark.range(0, len(manifest), 1, n).mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids binary")
+    return spark.range(0, len(manifest), 1, n).mapInArrow(run, f"id {id_type}, start long, n_tokens long, {name_} {type_}")
 
 
 class TokenStore:
@@ -323,12 +320,3 @@ class TokenStore:
                 if self.ordered:
                     return []
         return []
-
-
-def crc32_of(tokens: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Adds ids_crc32: the unsigned CRC-32 of the packed ids."""
-    return tokens.withColumn("ids_crc32", F.crc32(F.col(ids_col)))
-
-
-def crc32_bytes(raw: bytes) -> int:
-    return zlib.crc32(raw) & 0xFFFFFFFF
