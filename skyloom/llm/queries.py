@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, ngram_join, tokenstore, toxicity
+from . import bpe, ctw, langid, minhash, ngram_join, tokenstore, toxicity
 from ._common import new_folder
 from .langid import fold
 
@@ -25,10 +25,15 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ctw.score_documents(_docs(spark, sf_dir), ctw.train_fold())
+    return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _docs(spark, sf_dir), new_folder(spark, "tokens")
-    manifest = tokenstore.write_store(docs, folder)
-    out = tokenstore.read_shards(spark, folder, manifest, docs.schema["doc_id"].dataType.simpleString(), digest=True)
+    tokenstore.write_store(docs, folder)
+    out = tokenstore.read_shards(spark, folder, docs.schema["doc_id"].dataType.simpleString(), digest=True)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
@@ -52,6 +57,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
+    "op3_ctw": op3_ctw,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
