@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, langid, minhash, ngram_join, tokenstore, toxicity
+from . import bpe, ctw, langid, minhash, ngram_join, pii, tokenstore, toxicity
 from ._common import new_folder
 from .langid import fold
 
@@ -50,6 +50,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_docs(spark, sf_dir), n=4, percent=85)
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op8_pii": op8_pii,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
