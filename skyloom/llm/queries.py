@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, langid, minhash, ngram_join, pii, tokenstore, toxicity
+from . import bpe, ctw, langid, minhash, mixing, ngram_join, outliers, pii, tokenstore, toxicity
 from ._common import new_folder
 from .langid import fold
 
@@ -30,6 +30,11 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources to equal weight, as many documents as there are."""
+    return mixing.mix(_docs(spark, sf_dir))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _docs(spark, sf_dir), new_folder(spark, "tokens")
     tokenstore.write_store(docs, folder)
@@ -55,6 +60,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = outliers.judge(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_docs(spark, sf_dir), n=4, percent=85)
 
@@ -63,10 +73,35 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op3_ctw": op3_ctw,
+    "op4_mixing": op4_mixing,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
+    "op9_outliers": op9_outliers,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": """
+        WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        sums AS (SELECT count(*) AS w, sum(n) AS n FROM sizes),
+        rates AS (
+            SELECT s.source, CAST(1.0 AS DOUBLE) / CAST(t.w AS DOUBLE) * CAST(t.n AS DOUBLE) / s.n AS rate FROM sizes s, sums t),
+        parted AS (SELECT source, rate, greatest(1, CAST(ceil(rate / 32.0) AS INTEGER)) AS parts FROM rates),
+        cdf AS (
+            SELECT source, 0 AS k, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS s, rate / parts AS l FROM parted
+            UNION ALL
+            SELECT source, k + 1, p * l / (k + 1), s + p * l / (k + 1), l FROM cdf WHERE k < 120),
+        drawn AS (
+            SELECT d.*, r.rate, j.j,
+                CAST(('0x' || substr(md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j.j), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+            FROM documents d JOIN parted r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.parts + 1)) AS j) j),
+        counted AS (
+            SELECT w.doc_id, w.text, w.lang, w.source, w.n_chars, w.rate, w.j, count(c.k) AS c
+            FROM drawn w LEFT JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.s <= w.u GROUP BY ALL),
+        copies AS (SELECT doc_id, text, lang, source, n_chars, rate, CAST(sum(c) AS BIGINT) AS copies FROM counted GROUP BY ALL)
+        SELECT doc_id, text, lang, source, n_chars, rate, CAST(copy AS INTEGER) AS copy,
+            md5('1 order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key
+        FROM copies, LATERAL (SELECT unnest(range(0, copies)) AS copy)
+    """,
+}
