@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from ._common import Interner, binary_array, blocks, id_and_text, ragged_take
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between white space on both sides (or the end): only there can a split at spaces differ.
-LOOSE_SPACE = re.compile(r"\s (?:\s|$)")
+LOOSE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 NONE = np.int32(2**31 - 1)
 #: Chunks, and their characters, that a worker keeps between blocks.
 CACHE_CHUNKS, CACHE_BYTES = 600_000, 48 << 20
@@ -179,7 +180,7 @@ class ChunkEncoder:
     frequent half; that changes no result."""
 
     def __init__(self, special: list[str]):
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special = sorted(special, key=len, reverse=True)
         self.clear()
 
     def clear(self) -> None:
@@ -206,30 +207,39 @@ class ChunkEncoder:
             self.chunks[keys[k]]
         self.flat, self.off, self.used = flat, off, used
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and their offsets."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a string array without nulls) end to end, and their offsets."""
         if len(self.chunks) > CACHE_CHUNKS or self.held > CACHE_BYTES:
             self.evict()
-        number, rows = self.chunks.__getitem__, []
-        for text in texts:
-            if LOOSE_SPACE.search(text) or self.special is not None and self.special.search(text):
-                parts = [(p,) for p in self.whole(text)]  # a tuple: no space before it
-                rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
-            else:
-                parts = text.split(" ")
-                parts[0] = (parts[0],)
-                rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        number = self.chunks.__getitem__
+        whole = np.asarray(pc.match_substring_regex(texts, LOOSE_SPACE)).astype(bool)
+        for name in self.special:
+            whole |= np.asarray(pc.match_substring(texts, name)).astype(bool)
+        parts = pc.split_pattern(texts.filter(pa.array(~whole)) if whole.any() else texts, " ")
+        off = np.asarray(parts.offsets).astype(np.int64)
+        coded = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+        off -= off[0]
+        names = coded.dictionary.to_pylist()
+        at = np.asarray(coded.indices)
+        chunk = np.fromiter(map(number, names), np.int64, len(names))[at] if len(at) else np.zeros(0, np.int64)
+        # a tuple as key: no space before the chunk
+        chunk[off[:-1]] = np.fromiter((number((names[k],)) for k in at[off[:-1]].tolist()), np.int64, len(off) - 1)
+        if whole.any():
+            rows = [[number((p,)) for p in self.whole(t)] for t in texts.filter(pa.array(whole)).to_pylist()]
+            chunk = np.concatenate((chunk, np.array([c for r in rows for c in r], np.int64)))
+            off = np.concatenate((off, off[-1] + np.cumsum([len(r) for r in rows], dtype=np.int64)))
+            place = np.empty(len(texts), np.int64)
+            place[np.concatenate((np.flatnonzero(~whole), np.flatnonzero(whole)))] = np.arange(len(texts))
+            chunk, off = ragged_take(chunk, off, place)
         known = len(self.off) - 1
         if known < len(self.chunks):
             fresh = [" " + k if isinstance(k, str) else k[0] for k in itertools.islice(self.chunks, known, None)]
-            flat, off = self.learn(fresh)
-            self.flat, self.off = np.concatenate((self.flat, flat)), np.concatenate((self.off, self.off[-1] + off[1:]))
+            flat, ends = self.learn(fresh)
+            self.flat, self.off = np.concatenate((self.flat, flat)), np.concatenate((self.off, self.off[-1] + ends[1:]))
             self.held += sum(map(len, fresh))
-        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-        chunk = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.used = np.bincount(chunk, minlength=len(self.chunks)) + np.pad(self.used, (0, len(self.chunks) - len(self.used)))
         ids, starts = ragged_take(self.flat, self.off, chunk)
-        return ids, starts[np.concatenate(([0], ends)).astype(np.int64)]
+        return ids, starts[off]
 
 
 class BlockEncoder(ChunkEncoder):
@@ -240,10 +250,10 @@ class BlockEncoder(ChunkEncoder):
         super().__init__(list(bpe.special))
 
     def whole(self, text: str) -> list[str]:
-        if self.special is None:
+        if not self.special:
             return self.bpe.pattern.findall(text)
         parts = []
-        for k, part in enumerate(self.special.split(text)):
+        for k, part in enumerate(re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)):
             parts += [part] if k % 2 else self.bpe.pattern.findall(part)
         return parts
 
@@ -271,12 +281,16 @@ def block_encoder(path: str) -> BlockEncoder:
     return BlockEncoder(load_bpe(path))
 
 
+def text_array(table: pa.Table) -> pa.Array:
+    return table.column("text").combine_chunks().cast(pa.string())
+
+
 def _pass(path: str, decoded: bool):
     def run(batches):
         bpe = load_bpe(path)
         encoder = block_encoder(path)
         for table in blocks(batches, MERGE_BYTES):
-            ids, off = encoder.encode([b.decode("utf-8", "replace") for b in table.column("text").to_pylist()])
+            ids, off = encoder.encode(text_array(table))
             ids = ids.astype("<u4")
             columns = [table.column("id").combine_chunks(), pa.array(np.diff(off)), binary_array(ids, off * 4)]
             names = ["id", "n_tokens", "ids"]

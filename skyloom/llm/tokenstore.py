@@ -2,10 +2,10 @@
 
 Layout of a store, all in one folder:
 
-* ``shard-NNNNN.ids``: the ids of the shard's documents end to end, little-endian unsigned 32-bit, nothing
-  else. Shards follow each other in ascending document key, and so do the documents in a shard.
+* ``shard-NNNNN.ids``: the ids of the shard's documents end to end, little-endian and unsigned, of 16 bits
+  where the vocabulary allows it and else of 32 (``dtype`` in the manifest), nothing else. Shards follow each other in ascending document key, and so do the documents in a shard.
 * ``shard-NNNNN.mph``: the index, see ``HashIndex``: key -> slot in constant time, and per slot a 32-bit
-  fingerprint of the key and the number of its first record, with the byte offset of every record.
+  fingerprint of the key and the number of its first record, with the offset of every record in ids.
 * ``shard-NNNNN.keys``: the document keys in order, as an Arrow file, to list a shard.
 * ``manifest.json``: per shard its documents, ids and first key.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import blocks, id_and_text, ragged_take
-from .bpe import ChunkEncoder, load_bpe, tokenizer_path
+from .bpe import ChunkEncoder, load_bpe, text_array, tokenizer_path
 
 MAGIC = b"SKYMPH01"
 #: Documents a shard holds (a parameter of write_store), and the most shards a store has.
@@ -186,7 +186,7 @@ def put(fs, path: str, write) -> None:
         fs.move(own, path)
 
 
-def _write_shards(folder: str, path: str, end_id: int | None):
+def _write_shards(folder: str, path: str, end_id: int | None, dtype: str):
     def run(batches):
         fs, root = filesystem(folder)
         encoder = load_library(path)
@@ -195,10 +195,10 @@ def _write_shards(folder: str, path: str, end_id: int | None):
         ids_column, keys, lens = [], [], []
         with fs.open_output_stream(own) as out:
             for table in blocks(batches, 4 << 20):
-                ids, off = encoder.encode([b.decode("utf-8", "replace") for b in table.column("text").to_pylist()])
+                ids, off = encoder.encode(text_array(table))
                 if end_id is not None:
                     ids, off = np.insert(ids, off[1:], end_id), off + np.arange(len(off))
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(dtype).tobytes())
                 lens.append(np.diff(off))
                 keys.append(table.column("key").combine_chunks())
                 ids_column.append(table.column("id").combine_chunks())
@@ -234,25 +234,31 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     keys index themselves, others by their 64-bit hash, in the order of the key itself."""
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
+    path = path or tokenizer_path()
+    dtype = "<u2" if max(len(load_bpe(path).piece_off) - 2, end_id or 0) < 1 << 16 else "<u4"
     whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
     key = F.col("id").cast("long") if whole else F.when(F.col("id").isNotNull(), F.xxhash64("id"))
     n = docs.select(id_col).count()
     shards = max(1, min(MAX_SHARDS, -(-n // rows_per_shard)))
     dealt = id_and_text(docs, id_col, text_col).withColumn("key", key).repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    rows = dealt.mapInArrow(_write_shards(folder, path or tokenizer_path(), end_id), "shard long, docs long, ids long, first long, last long").collect()  # a row for each shard, MAX_SHARDS at most
+    rows = dealt.mapInArrow(_write_shards(folder, path, end_id, dtype), "shard long, docs long, ids long, first long, last long").collect()  # a row for each shard, MAX_SHARDS at most
     manifest = [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]
     start = 0
     for m in manifest:
         m["start"] = start
         start += m["ids"]
-    put(fs, f"{root}/manifest.json", lambda f: f.write(json.dumps({"ordered": whole, "shards": manifest}).encode()))
+    put(fs, f"{root}/manifest.json", lambda f: f.write(json.dumps({"ordered": whole, "dtype": dtype, "shards": manifest}).encode()))
     return manifest
 
 
-def read_shards(spark: SparkSession, folder: str, manifest: list[dict], id_type: str = "bigint", digest: bool = False) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, id_type: str = "bigint", digest: bool = False) -> DataFrame:
     """(id, start long: ids of all documents before it, n_tokens long, ids binary) of every document, each
     found through its shard's index; a shard is read by one task. With ``digest``, ids_crc32 long, the
     unsigned CRC-32 of the document's packed ids, stands instead of the ids."""
+    fs, root = filesystem(folder)
+    with fs.open_input_stream(f"{root}/manifest.json") as f:
+        spec = json.loads(f.read())
+    manifest, dtype = spec["shards"], np.dtype(spec["dtype"])
     name_, type_ = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def run(batches):
@@ -281,8 +287,8 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[dict], id_type:
                         rows = row[a : a + 1000]
                         lo, hi = index.offsets[rows], index.offsets[rows + 1]
                         base = int(lo.min())
-                        f.seek(base * 4)
-                        raw = f.read((int(hi.max()) - base) * 4)
+                        f.seek(base * dtype.itemsize)
+                        raw = np.frombuffer(f.read((int(hi.max()) - base) * dtype.itemsize), dtype).astype("<u4").tobytes()
                         parts = [raw[(s - base) * 4 : (e - base) * 4] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
                         yield from pa.table([table.column("id").slice(a, 1000), pa.array(lo + m["start"]), pa.array(hi - lo), pa.array(list(map(zlib.crc32, parts)), pa.int64()) if digest else pa.array(parts, pa.binary())], ["id", "start", "n_tokens", name_]).combine_chunks().to_batches()
 
@@ -297,7 +303,7 @@ class TokenStore:
         self.fs, self.root = filesystem(folder)
         with self.fs.open_input_stream(f"{self.root}/manifest.json") as f:
             spec = json.loads(f.read())
-        self.ordered, self.manifest = spec["ordered"], [m for m in spec["shards"] if m["first"] is not None]
+        self.ordered, self.dtype, self.manifest = spec["ordered"], np.dtype(spec["dtype"]), [m for m in spec["shards"] if m["first"] is not None]
         self.index = functools.lru_cache(maxsize=64)(self._index)
 
     def _index(self, shard: int) -> HashIndex:
@@ -314,8 +320,8 @@ class TokenStore:
                 if count:
                     lo, hi = index.offsets[row], index.offsets[row + count]
                     with self.fs.open_input_file(f"{self.root}/shard-{m['shard']:05d}.ids") as f:
-                        f.seek(int(lo) * 4)
-                        ids = np.frombuffer(f.read(int(hi - lo) * 4), "<u4")
+                        f.seek(int(lo) * self.dtype.itemsize)
+                        ids = np.frombuffer(f.read(int(hi - lo) * self.dtype.itemsize), self.dtype)
                     return np.split(ids, (index.offsets[row + 1 : row + count] - lo).tolist())
                 if self.ordered:
                     return []
