@@ -66,7 +66,7 @@ class LangModel:
             self.tables[n] = (np.array([h for h, _ in rows], np.uint64), self.scores([c for _, c in rows]))
 
     def scores(self, counts: list[list[int]]) -> np.ndarray:
-        c = np.array(counts, np.float64).reshape(-1, len(self.langs)) + SMOOTH
+        c = np.array(counts, np.float64).reshape(len(counts), len(self.langs)) + SMOOTH
         logs = np.log(c / c.sum(0)) if len(c) else c
         return (logs - logs.mean(1, keepdims=True)).astype(np.float32)  # what all languages share tells nothing
 

@@ -7,7 +7,8 @@ PART_RATE is the sum of several smaller ones, each with a value of its own, so t
 probabilities stays short. Copies are exploded and dealt to partitions by a second hash, in whose order each
 partition is sorted: a global shuffle.
 
-Defined results: a null source is a source of its own; without weights all sources weigh alike; a source with
+Defined results: a null source is a source of its own; without weights all sources weigh alike; weights are
+shares among the sources that occur; a source with
 no weight, or a weight of 0, gets no copies; rows that share an id get the same number of copies; a null id
 counts as an empty text; columns of the input called ``copy``, ``rate`` or ``shuffle_key`` are replaced.
 """

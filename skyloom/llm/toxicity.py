@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
 
     sample = cut(texts.join(F.broadcast(picked), "id").select("y", "text").mapInArrow(bags, "y int, words array<string>"))  # MAX_ROWS rows
-    n, n1 = sample.agg(F.count("*"), F.sum("y")).first()
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     n0 = n - n1
     if not n0 or not n1:
         return ToxicityModel({}, float(np.log(max(n1, 0.5) / max(n0, 0.5))))
