@@ -17,6 +17,7 @@ from ..operators import combine as co
 from ..operators import frames as fr
 from ..operators import grids as gr
 from ..operators import matching as ma
+from ..operators import reports as re_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -490,3 +491,47 @@ def lanczos_weights(spark, sf):
 @query("durations", "SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s // 60 % 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS text FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 10) AS BIGINT) AS s FROM orders)")
 def durations(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fc.duration_text(F.col("o_totalprice") / 10).alias("text"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query("sharpest", f"WITH {FR} SELECT frame, fwhm FROM f ORDER BY fwhm, noise DESC, frame LIMIT 25")
+def sharpest(spark, sf):
+    return re_.sharpest(frames(spark, sf).withColumn("weight", F.col("noise")), 25).select("frame", "fwhm")
+
+
+@query("choose_reference", f"""WITH {FR}, g AS (SELECT exposure, count(*) AS n FROM f GROUP BY exposure), m AS (SELECT exposure AS main FROM g ORDER BY coalesce(exposure, 0) * n DESC, exposure NULLS LAST LIMIT 1),
+    u AS (SELECT f.* FROM f, m WHERE exposure = main), s AS (SELECT median(stars) AS ms, median(noise) AS mn FROM u), p AS (SELECT u.*, mn, stars / exposure AS light FROM u, s WHERE stars >= 0.8 * ms),
+    t AS (SELECT quantile_cont(light, 0.9) AS top FROM p)
+    SELECT frame, round(fwhm * (1 + 0.1 * noise / mn), 6) AS score FROM p, t WHERE light >= 0.9 * top ORDER BY fwhm * (1 + 0.1 * noise / mn), frame LIMIT 1""")
+def choose_reference(spark, sf):
+    f = frames(spark, sf).withColumn("light", F.col("stars").cast("double")).withColumn("scale", F.lit(1.0))
+    return re_.choose_reference(f).select("frame", r6("score").alias("score"))
+
+
+@query("flip_summary", f"WITH {FR} SELECT abs(frame % 360 - 180) > 90 AS flipped, count(*) AS frames, median(fwhm) AS fwhm, median(transparency) AS transparency FROM f GROUP BY 1")
+def flip_summary(spark, sf):
+    return re_.flip_summary(frames(spark, sf).withColumn("rotation", F.col("frame") % 360 - 180))
+
+
+@query("regional_medians", """SELECT CAST(least(floor((l_orderkey % 100) * 4 / 100), 3) AS BIGINT) AS row, CAST(least(floor((l_partkey % 100) * 4 / 100), 3) AS BIGINT) AS col, count(*) AS n, median(l_quantity) AS median FROM lineitem GROUP BY 1, 2""")
+def regional_medians(spark, sf):
+    return re_.regional_medians(table(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("y"), (F.col("l_partkey") % 100).alias("x"), F.col("l_quantity").alias("v")), 100, 100)
+
+
+@query("field_factors", f"""WITH {PX}, v AS (SELECT frame, y AS row, x AS col, CASE WHEN v > 0 THEN v END AS fwhm, (y * 8 + x) AS stars FROM p), a AS (SELECT *, fwhm / median(fwhm) OVER (PARTITION BY frame) AS r FROM v),
+    b AS (SELECT *, r / median(r) OVER (PARTITION BY row, col) AS q FROM a)
+    SELECT frame, row, col, round(exp(ln(coalesce(CASE WHEN q IS NULL THEN 1.0 ELSE least(greatest(1 / (q * q), 0.5), 2.0) END, 1.0)) * stars / (stars + 16.0)), 6) AS factor FROM b""")
+def field_factors(spark, sf):
+    c = patches(spark, sf).select("frame", F.col("y").alias("row"), F.col("x").alias("col"), F.col("v").alias("fwhm"), (F.col("y") * 8 + F.col("x")).alias("stars"))
+    return re_.field_factors(c).select("frame", "row", "col", r6("factor").alias("factor"))
+
+
+@query("overlap_residuals", f"""WITH {PX}, b AS (SELECT frame // 2 AS i, frame // 2 + 1 AS j, y AS "by", x AS bx, max(CASE WHEN frame % 2 = 0 THEN v END) AS a, max(CASE WHEN frame % 2 = 1 THEN v END) AS b FROM p GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, a - b AS residual FROM b), m AS (SELECT *, abs(residual - median(residual) OVER (PARTITION BY i, j)) AS d FROM r), z AS (SELECT *, d / (1.4826 * median(d) OVER (PARTITION BY i, j) + 1e-9) AS z FROM m)
+    SELECT i, j, "by", bx, residual, round(z, 6) AS z FROM z WHERE z >= 2.5 QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY z DESC, "by", bx) <= 8""")
+def overlap_residuals(spark, sf):
+    p = patches(spark, sf)
+    b = p.groupBy(F.floor(F.col("frame") / 2).alias("i"), (F.floor(F.col("frame") / 2) + 1).alias("j"), F.col("y").alias("by"), F.col("x").alias("bx")).agg(F.max(F.when(F.col("frame") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("frame") % 2 == 1, F.col("v"))).alias("b"))
+    return re_.overlap_residuals(b, 2.5).select("i", "j", "by", "bx", "residual", r6("z").alias("z"))

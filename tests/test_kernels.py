@@ -236,3 +236,42 @@ def test_register_end_to_end(spark):
     out = oi.stack_bands(oi.register(bands, al, 160, 200, 40), "median").orderBy("row_start").collect()
     master = np.concatenate([np.frombuffer(r["data"], "<f4").reshape(-1, 200) for r in out])
     assert np.corrcoef(master[20:140, 20:180].ravel(), scene(f)[20:140, 20:180].ravel())[0, 1] > 0.97
+
+
+def test_stack_end_to_end(spark, tmp_path):
+    from skyloom.plans import stack as st
+
+    f = field()
+    for k, (dx, dy) in enumerate([(0, 0), (3.2, -1.7), (-2.4, 2.9), (1.3, 4.0), (-3.0, -2.0)]):
+        image = scene(f + np.array([dx, dy, 0]), seed=30 + k)
+        if k == 2:
+            image[100:104] += 900
+        fs.write_fits(str(tmp_path / "in" / f"f{k}.fits") if (tmp_path / "in").mkdir(exist_ok=True) is None else "", image)
+    settings = st.StackSettings(low=2.0, high=1.5, band_rows=64, filters=False, weighting="noise")
+    out = st.stack(spark, str(tmp_path / "in"), str(tmp_path / "work"), settings)
+    image = st.master_image(out)[0]
+    assert image.shape == (160, 200)
+    assert np.corrcoef(image[20:140, 20:180].ravel(), scene(f)[20:140, 20:180].ravel())[0, 1] > 0.95
+    again = st.stack(spark, str(tmp_path / "in"), str(tmp_path / "work"), settings)
+    assert np.array_equal(st.master_image(again)[0], image)
+
+
+def test_mosaic_photometry_and_canvas():
+    import pandas as pd
+
+    from skyloom.operators import mosaic as mo
+
+    r = np.random.default_rng(7)
+    sky = r.uniform(100, 900, 200)
+    rows = [(0, 1, s, (s - 40) / 1.25) for s in sky[:100]] + [(1, 2, (s - 40) / 1.25, s * 0.5) for s in sky[100:]]
+    rows[5] = (0, 1, 9000.0, 3.0)
+    got = mo.match_photometry(pd.DataFrame(rows, columns=["i", "j", "a", "b"]), [0, 1, 2])
+    assert got[0] == pytest.approx((1, 0), abs=1e-3) and got[1] == pytest.approx((1.25, 40), rel=2e-2) and got[2][0] == pytest.approx(2.0, rel=2e-2)
+    tile = lambda ra: {"height": 60, "width": 80, "crpix": (40.0, 30.0), "crval": (ra, 20.0), "cd": ((-5e-4, 0), (0, 5e-4))}
+    canvas = mo.plan_canvas([tile(150.0), tile(150.03)])
+    assert canvas["width"] > 120 and 60 <= canvas["height"] <= 64
+    image = np.full((60, 80), 7.0)
+    out = mo.reproject(image, tile(150.0), canvas, (0, canvas["height"], 0, canvas["width"]))
+    assert np.nanmax(np.abs(out - 7)) < 1e-6 and np.isnan(out).any()
+    w = mo.feather(np.isfinite(out), 8)
+    assert w.max() == 1.0 and w[~np.isfinite(out)].max() == 0
