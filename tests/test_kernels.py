@@ -176,7 +176,7 @@ def test_fits_and_xisf(spark, tmp_path):
     fs.write_fits(str(tmp_path / "one.fits"), a, {"EXPTIME": 60.0, "FILTER": "L", "NAXIS1": 7})
     got, header = fs.parse(str(tmp_path / "one.fits"), (tmp_path / "one.fits").read_bytes())
     assert np.array_equal(got, a) and header["EXPTIME"] == "60.0" and header["FILTER"] == "L"
-    xml = b'<?xml version="1.0"?><xisf xmlns="http://www.pixinsight.com/xisf"><Image geometry="30:20:3" sampleFormat="Float32" location="attachment:4096:7200"><FITSKeyword name="GAIN" value="1.5" comment=""/></Image></xisf>'
+    xml = b'<?xml version="1.0"?><xisf xmlns="urn:xisf"><Image geometry="30:20:3" sampleFormat="Float32" location="attachment:4096:7200"><FITSKeyword name="GAIN" value="1.5" comment=""/></Image></xisf>'
     raw = (b"XISF0100" + len(xml).to_bytes(4, "little") + b"\0" * 4 + xml).ljust(4096, b"\0") + a.astype("<f4").tobytes()
     (tmp_path / "two.xisf").write_bytes(raw)
     heads = {r["path"].rsplit("/", 1)[1]: r for r in fs.read_headers(spark, str(tmp_path)).collect()}
