@@ -22,7 +22,6 @@ def filter_frames(frames: DataFrame, stars_min: float = 0.5, sky_max: float = 2.
     """``frames`` (frame, stars, sky, fwhm, exposure, and optional reason) with ``reason``: why a frame is
     dropped, or NULL. Stars and sky are held against the median of the same exposure where there are several
     exposures and three frames of it, else against the session's; nothing is dropped below three frames."""
-    whole = Window.partitionBy(F.lit(0))
     usable = F.col("reason").isNull() if "reason" in frames.columns else F.lit(True)
     f = frames.withColumn("__key", exposure_key("exposure")).withColumn("__ok", usable)
     # medians of the session and of the exposures are small tables
@@ -40,7 +39,6 @@ def filter_frames(frames: DataFrame, stars_min: float = 0.5, sky_max: float = 2.
         F.when(F.lit(fwhm_max > 0) & (finite("fwhm") > fwhm_max * F.col("__fwhm")), "fwhm"),
     ]
     said = F.nullif(F.concat_ws("; ", *checks), F.lit(""))
-    del whole
     old = F.col("reason") if "reason" in frames.columns else F.lit(None).cast("string")
     reason = F.when(F.col("__ok") & (F.col("__n") >= 3), F.concat(F.lit("filter: "), said)).otherwise(old)
     return j.withColumn("reason", F.coalesce(reason, old)).drop(*[c for c in j.columns if c.startswith("__")])
@@ -54,8 +52,8 @@ def filter_preset(name: str) -> dict[str, float]:
 def filter_transparency(frames: DataFrame, least: float = 0.7) -> DataFrame:
     """Renormalises transparency by the session's median, then by the camera's (three frames at least), and
     drops frames below ``least``."""
-    t = F.col("transparency") / F.coalesce(cohort_median(F.col("transparency"), [F.lit(0)]), F.lit(1.0))
-    out = frames.withColumn("transparency", t)
+    session = frames.agg(F.when(F.count(finite("transparency")) >= 3, F.median(finite("transparency"))).alias("__t"))  # one row
+    out = frames.join(F.broadcast(session)).withColumn("transparency", F.col("transparency") / F.coalesce("__t", F.lit(1.0))).drop("__t")
     out = out.withColumn("transparency", F.col("transparency") / F.coalesce(cohort_median(F.col("transparency"), ["camera"]), F.lit(1.0)))
     return out.filter(F.col("transparency").isNull() | (F.col("transparency") >= least))
 
