@@ -535,3 +535,15 @@ def overlap_residuals(spark, sf):
     p = patches(spark, sf)
     b = p.groupBy(F.floor(F.col("frame") / 2).alias("i"), (F.floor(F.col("frame") / 2) + 1).alias("j"), F.col("y").alias("by"), F.col("x").alias("bx")).agg(F.max(F.when(F.col("frame") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("frame") % 2 == 1, F.col("v"))).alias("b"))
     return re_.overlap_residuals(b, 2.5).select("i", "j", "by", "bx", "residual", r6("z").alias("z"))
+
+
+@query("compare_catalogues", f"""WITH {PT}, n AS (SELECT l_id, r_id, nation FROM (SELECT c.nation, s.id AS l_id, c.id AS r_id, power(c.x - s.x, 2) + power(c.y - s.y, 2) AS d2 FROM c JOIN s ON c.nation = s.nation AND power(c.x - s.x, 2) + power(c.y - s.y, 2) < 225)
+        QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY d2, r_id) = 1)
+    SELECT nation, count(*) AS matched, round(median(CAST(r_id % 7 + 1 AS DOUBLE) / (l_id % 5 + 1)), 6) AS fwhm_ratio, CASE WHEN median(CAST(r_id % 7 + 1 AS DOUBLE) / (l_id % 5 + 1)) < 0.98 THEN 'sharper' WHEN median(CAST(r_id % 7 + 1 AS DOUBLE) / (l_id % 5 + 1)) > 1.02 THEN 'softer' ELSE 'alike' END AS verdict FROM n GROUP BY nation""")
+def compare_catalogues(spark, sf):
+    from ..operators import compare as cm
+
+    c, s = points(spark, sf)
+    star = lambda d, m: d.select("id", "nation", "x", "y", (F.col("id") % m + 1).cast("double").alias("fwhm"), F.lit(1.0).alias("flux"), F.lit(1.0).alias("elongation"))
+    out = cm.compare(star(c, 7), star(s, 5), 15.0, "nation").withColumn("verdict", cm.verdict())
+    return out.select(F.col("g").alias("nation"), "matched", r6("fwhm_ratio").alias("fwhm_ratio"), "verdict")
