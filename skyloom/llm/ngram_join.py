@@ -8,12 +8,14 @@ components, not pairs:
 2. Shingles are put into one global order, rare ones first (frequencies are estimated on SAMPLE_DOCS
    documents; any order is exact, a good one is fast). A set of n shingles shows the first
    n - ceil(n * percent / 100) + 1 of them: two sets that link share one of these.
-3. Representatives that show the same shingle, and have sizes that can link, fall into one block. A block of
-   more than BLOCK_DOCS is dealt as pairs of chunks, so that no task holds more than two chunks.
+3. Sets that show the same shingle and have sizes that can link are candidates. A list of up to SHORT_LIST sets
+   gives its pairs, gathered in blocks by their smaller id; longer lists (the groups of many near copies)
+   give star edges, whose components are blocks. A block of more than BLOCK_DOCS is dealt as pairs of chunks,
+   so that no task holds more than two chunks.
 4. Within a block each set is a query against the inverted lists of the sets before it. The required number T
    of common shingles decides which lists are long: candidates come from merging the short ones, and the long
    ones are probed by binary search. A candidate that is already connected is not probed again.
-5. Links of split blocks are closed transitively; the others are closed within their block.
+5. The links that blocks report, a spanning forest of each, are closed transitively.
 
 Hashes have 64 bits. Defined results: null, empty and blank texts have no shingle and are linked with nothing
 (component: their own id); a null id is reported with a null component; rows that share an id are one document
@@ -33,7 +35,7 @@ from ._common import blocks, cut, id_and_text
 from .graph import components
 from .wordhash import HASH_BYTES, mix, shingles, words
 
-SAMPLE_DOCS, HOT_SAMPLES, BLOCK_DOCS, BROADCAST_ROWS = 4000, 4, 1500, 1_000_000
+SAMPLE_DOCS, HOT_SAMPLES, SHORT_LIST, BLOCK_DOCS, BROADCAST_ROWS = 4000, 4, 64, 1500, 1_000_000
 
 
 class Order:
@@ -206,94 +208,102 @@ def _signatures(n: int, percent: int, order):
     return run
 
 
-def _stars(percent: int):
-    """Rows sorted by token, n, id: local forests over the runs of one token and of sizes that can link."""
+def _candidates(percent: int):
+    """Rows sorted by token, n, node, cut into runs of one token and of sizes that can link. Short runs give
+    their pairs, longer ones an edge from their first node to each other."""
 
     def run(batches):
-        pivot_token, pivot_n, pivot = None, 0, 0
-        held: list[np.ndarray] = []
-        for batch in batches:
-            token, n, node = (np.asarray(batch.column(k)) for k in range(3))
+        token, n, node = (np.zeros(0, np.int64) for _ in range(3))
+        pivot = None  # the first node of the run that is open, once it is long
+        for batch in _and_end(batches):
+            last = batch is None
+            if not last:
+                more = [np.asarray(batch.column(k)) for k in range(3)]
+                token, n, node = (np.concatenate(x) for x in zip((token, n, node), more, strict=True))
             if not len(token):
                 continue
-            prev_t = np.concatenate(([token[0] if pivot_token is None else pivot_token], token[:-1]))
-            prev_n = np.concatenate(([n[0] if pivot_token is None else pivot_n], n[:-1]))
-            cut_here = (token != prev_t) | (100 * prev_n < percent * n)
-            if pivot_token is None:
-                cut_here[0] = True
-            idx = np.maximum.accumulate(np.where(cut_here, np.arange(len(token)), -1))
-            first = np.where(idx >= 0, node[np.maximum(idx, 0)], pivot)
-            both = np.stack((first, node), 1)
-            both = both[first != node]
-            if len(both):
-                held.append(np.unique(both, axis=0))
-            pivot_token, pivot_n, pivot = token[-1], n[-1], first[-1]
-            if sum(map(len, held)) > 500_000:
-                held = [_forest(np.concatenate(held))]
-        if held:
-            edges = _forest(np.concatenate(held))
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
+            start = np.flatnonzero(new)
+            length = np.diff(np.append(start, len(token)))
+            run_of = np.cumsum(new) - 1
+            open_run = len(start) - 1 if not last else -1
+            long = length > SHORT_LIST
+            if pivot is not None:
+                long[0] = True
+            first = node[start]
+            if pivot is not None:
+                first[0] = pivot
+            out = []
+            star = np.flatnonzero(long[run_of] & (first[run_of] != node))
+            if len(star):
+                out.append(np.stack((first[run_of[star]], node[star], np.ones(len(star), np.int64)), 1))
+            ready = ~long
+            if open_run >= 0:
+                ready[open_run] = False
+            at = np.flatnonzero(ready[run_of] & (length[run_of] > 1))
+            for k in range(1, SHORT_LIST):
+                at = at[at + k < len(token)]
+                at = at[(run_of[at + k] == run_of[at]) & (100 * n[at] >= percent * n[np.minimum(at + k, len(n) - 1)])]
+                if not len(at):
+                    break
+                pair = np.stack((np.minimum(node[at], node[at + k]), np.maximum(node[at], node[at + k]), np.zeros(len(at), np.int64)), 1)
+                out.append(pair[pair[:, 0] != pair[:, 1]])
+            if out and len(rows := np.unique(np.concatenate(out), axis=0)):
+                for a in range(0, len(rows), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 100_000, k]) for k in range(3)], ["a", "b", "star"])
+            if open_run >= 0 and not long[open_run]:
+                keep, pivot = start[open_run], None
+            else:
+                keep, pivot = len(token) - 1, first[-1] if open_run >= 0 else None
+            token, n, node = token[keep:], n[keep:], node[keep:]
 
     return run
 
 
-def _forest(edges: np.ndarray) -> np.ndarray:
-    """The (root, node) pairs of the components of ``edges``."""
-    nodes, code = np.unique(edges, return_inverse=True)
-    forest = Forest(len(nodes))
-    for a, b in code.reshape(edges.shape).tolist():
-        forest.join(a, b)
-    root = np.array([forest.root(x) for x in range(len(nodes))], np.int64)
-    kept = root != np.arange(len(nodes))
-    return np.stack((nodes[root[kept]], nodes[kept]), 1)
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
-def _block_sets(n: int):
-    def run(batches):
-        for table in blocks(batches, HASH_BYTES):
-            h, off = sets_of(table.column("text").to_pylist(), n, None)
-            d1, d2 = digests(h, off)
-            same = (d1 == np.asarray(table.column("d1"))) & (d2 == np.asarray(table.column("d2")))
-            raw, cuts = h.view(np.uint8).tobytes(), (off * 8).tolist()
-            table = table.drop_columns(["text", "d1", "d2"]).append_column("shingles", pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-            yield from table.filter(pa.array(same)).combine_chunks().to_batches(max_chunksize=1000)
-
-    return run
-
-
-def _join_blocks(percent: int):
-    """Rows sorted by block, i, j: one (block, i, j) is linked at a time."""
+def _join_blocks(n: int, percent: int):
+    """Rows sorted by block, star, i, j: one (block, star, i, j) is linked at a time."""
 
     def links(rows: list[tuple]) -> np.ndarray:
-        rows.sort(key=lambda r: (len(r[4]), r[3]))
-        ids = np.array([r[3] for r in rows], np.int64)
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        chunk = np.array([r[5] for r in rows]) if rows[0][1] != rows[0][2] else None
-        forest = Forest(len(rows))
+        h, off = sets_of([r[5] for r in rows], n, None)
+        d1, d2 = digests(h, off)
+        size = np.diff(off)
+        ids = np.array([r[4] for r in rows], np.int64)
+        kept = [k for k in np.lexsort((ids, size)).tolist() if d1[k] == rows[k][6] and d2[k] == rows[k][7]]
+        ids = ids[kept]
+        sets = [h[off[k] : off[k + 1]] for k in kept]
+        chunk = np.array([rows[k][8] for k in kept]) if rows[0][2] != rows[0][3] else None
+        forest = Forest(len(kept))
         first: dict[int, int] = {}
         for k, i in enumerate(ids.tolist()):
             forest.join(first.setdefault(i, k), k)
-        link_block(sets, chunk, percent, forest)
-        root = np.array([forest.root(x) for x in range(len(rows))], np.int64)
-        least = np.full(len(rows), np.iinfo(np.int64).max)
+        if len(sets) > 1:
+            link_block(sets, chunk, percent, forest)
+        root = np.array([forest.root(x) for x in range(len(kept))], np.int64)
+        least = np.full(len(kept), np.iinfo(np.int64).max)
         np.minimum.at(least, root, ids)
         edges = np.stack((least[root], ids), 1)
         return edges[edges[:, 0] != edges[:, 1]]
 
+    names = ("block", "star", "i", "j", "id", "text", "d1", "d2", "chunk")
+
     def run(batches):
         rows, key = [], None
-        for batch in batches:
+        for batch in _and_end(batches):
             out = []
-            for r in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j", "id", "shingles", "chunk")), strict=True):
-                if r[:3] != key:
+            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if batch is not None else [(None,) * 4]:
+                if r[:4] != key:
                     if len(rows) > 1:
                         out.append(links(rows))
-                    rows, key = [], r[:3]
+                    rows, key = [], r[:4]
                 rows.append(r)
             if out and len(edges := np.concatenate(out)):
                 yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-        if len(rows) > 1 and len(edges := links(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return run
 
@@ -307,23 +317,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = cut(classes)
     listed = classes.select(F.explode("tokens").alias("token"), "n", F.col("rep").alias("node")).repartition("token").sortWithinPartitions("token", "n", "node")
-    blocked = cut(components(listed.mapInArrow(_stars(percent), "a long, b long")).withColumnRenamed("root", "block"))
-    sizes = blocked.groupBy("block").agg(F.count("*").alias("size"))
+    found = cut(listed.mapInArrow(_candidates(percent), "a long, b long, star long").distinct())
+    blocked = cut(components(found.filter("star = 1").select("a", "b")).withColumnRenamed("root", "block"))
+    other = lambda c: blocked.select(F.col("node").alias(c), F.col("block").alias(f"{c}_block"))
+    pairs = found.filter("star = 0").join(other("a"), "a", "left").join(other("b"), "b", "left").filter("a_block is null or b_block is null or a_block <> b_block")
+    pairs = pairs.select(F.col("a").alias("block"), F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("star", F.lit(0))
+    member = cut(blocked.select("block", "node", F.lit(1).alias("star")).unionByName(pairs))
+    sizes = member.groupBy("block", "star").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / BLOCK_DOCS).cast("int")
-    member = blocked.join(sizes, "block").join(classes.select(F.col("rep").alias("node"), "d1", "d2"), "node")
-    member = member.select(F.col("node").alias("id"), "block", "d1", "d2", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("chunk"))
+    member = member.join(sizes, ["block", "star"]).join(classes.select(F.col("rep").alias("node"), "d1", "d2"), "node")
+    member = member.select(F.col("node").alias("id"), "block", "star", "d1", "d2", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("chunk"))
     member = cut(member)
     small = member.count() <= BROADCAST_ROWS  # else the texts are dealt by id
-    texts = rows.join(F.broadcast(member) if small else member, "id").select("id", "block", "parts", "chunk", "d1", "d2", "text")
-    sets = texts.mapInArrow(_block_sets(n), "id long, block long, parts int, chunk int, shingles binary").dropDuplicates(["id", "block", "shingles"])
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = sets.select("id", "block", "shingles", "chunk", "parts", other).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "shingles", "chunk", "parts")
-    dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    edges = cut(dealt.mapInArrow(_join_blocks(percent), "a long, b long"))
-    split = member.filter("parts > 1").limit(1).count() > 0
-    # without split blocks every edge already leads from a component's smallest id
-    labels = components(edges) if split else edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    labels = labels.select(F.col("node").alias("rep"), "root").distinct()
+    texts = rows.join(F.broadcast(member) if small else member, "id")
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("block", "star", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "text", "d1", "d2", "chunk")
+    dealt = dealt.repartition("block", "star", "i", "j").sortWithinPartitions("block", "star", "i", "j")
+    edges = dealt.mapInArrow(_join_blocks(n, percent), "a long, b long")
+    labels = components(edges).select(F.col("node").alias("rep"), "root")
     roots = classes.select("d1", "d2", "rep").join(labels, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("tokens").join(roots, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
