@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, cut, id_and_text
+from ._common import binary_array, blocks, cut, id_and_text
 from .graph import components
 from .wordhash import HASH_BYTES, mix, shingles, words
 
-SAMPLE_DOCS, HOT_SAMPLES, SHORT_LIST, BLOCK_DOCS, BROADCAST_ROWS = 4000, 4, 64, 1500, 1_000_000
+SAMPLE_DOCS, HOT_SAMPLES, SHORT_LIST, BUCKETS, BLOCK_DOCS, BROADCAST_ROWS = 4000, 4, 64, 256, 1500, 1_000_000
 
 
 class Order:
@@ -203,7 +203,10 @@ def _signatures(n: int, percent: int, order):
             out = np.concatenate(([0], np.cumsum(lens)))
             where = np.repeat(off[:-1] - out[:-1], lens) + np.arange(out[-1])
             tokens = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(h[where].view(np.int64)))
-            yield from pa.table([table.column("id").combine_chunks(), pa.array(size), pa.array(d1), pa.array(d2), tokens], ["id", "n", "d1", "d2", "tokens"]).to_batches(max_chunksize=4000)
+            cell = np.repeat(np.arange(len(size)), size) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
+            counts = np.minimum(np.bincount(cell, minlength=len(size) * BUCKETS), 255).astype(np.uint8)
+            sketch = binary_array(counts, np.arange(len(size) + 1) * BUCKETS)
+            yield from pa.table([table.column("id").combine_chunks(), pa.array(size), pa.array(d1), pa.array(d2), tokens, sketch], ["id", "n", "d1", "d2", "tokens", "sketch"]).to_batches(max_chunksize=4000)
 
     return run
 
@@ -261,6 +264,23 @@ def _candidates(percent: int):
     return run
 
 
+def _bounded(percent: int):
+    """Pairs (a, b, na, nb, sa, sb) whose sketches allow the required overlap; a full counter allows any."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("sa", "sb"))
+            least = np.minimum(sa, sb)
+            fine = (100 + percent) * least.sum(1, dtype=np.int64) >= percent * (na + nb)
+            fine |= (least == 255).any(1)
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
+
+    return run
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -313,14 +333,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     order = spark.sparkContext.broadcast(estimate_order(rows, n))  # two tables of fixed size
-    signed = cut(rows.mapInArrow(_signatures(n, percent, order), "id long, n long, d1 long, d2 long, tokens array<long>"))
-    classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    signed = cut(rows.mapInArrow(_signatures(n, percent, order), "id long, n long, d1 long, d2 long, tokens array<long>, sketch binary"))
+    classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     listed = classes.select(F.explode("tokens").alias("token"), "n", F.col("rep").alias("node")).repartition("token").sortWithinPartitions("token", "n", "node")
     found = cut(listed.mapInArrow(_candidates(percent), "a long, b long, star long").distinct())
     blocked = cut(components(found.filter("star = 1").select("a", "b")).withColumnRenamed("root", "block"))
     other = lambda c: blocked.select(F.col("node").alias(c), F.col("block").alias(f"{c}_block"))
     pairs = found.filter("star = 0").join(other("a"), "a", "left").join(other("b"), "b", "left").filter("a_block is null or b_block is null or a_block <> b_block")
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded(percent), "a long, b long")
     pairs = pairs.select(F.col("a").alias("block"), F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("star", F.lit(0))
     member = cut(blocked.select("block", "node", F.lit(1).alias("star")).unionByName(pairs))
     sizes = member.groupBy("block", "star").agg(F.count("*").alias("size"))
@@ -336,5 +358,5 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = dealt.mapInArrow(_join_blocks(n, percent), "a long, b long")
     labels = components(edges).select(F.col("node").alias("rep"), "root")
     roots = classes.select("d1", "d2", "rep").join(labels, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = signed.drop("tokens").join(roots, ["d1", "d2"], "left")
+    out = signed.drop("tokens", "sketch").join(roots, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
