@@ -24,6 +24,7 @@ with several texts; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -290,9 +291,18 @@ def _join_blocks(n: int, percent: int):
     """Rows sorted by block, star, i, j: one (block, star, i, j) is linked at a time."""
 
     def links(rows: list[tuple]) -> np.ndarray:
-        h, off = sets_of([r[5] for r in rows], n, None)
+        parts, piece, held = [], [], 0
+        for r in rows:  # hashed in pieces of bounded size, whatever the block holds
+            piece.append(r[5])
+            held += len(r[5])
+            if held > HASH_BYTES:
+                parts.append(sets_of(piece, n, None))
+                piece, held = [], 0
+        parts.append(sets_of(piece, n, None))
+        h = np.concatenate([p for p, _ in parts])
+        size = np.concatenate([np.diff(o) for _, o in parts])
+        off = np.concatenate(([0], np.cumsum(size)))
         d1, d2 = digests(h, off)
-        size = np.diff(off)
         ids = np.array([r[4] for r in rows], np.int64)
         kept = [k for k in np.lexsort((ids, size)).tolist() if d1[k] == rows[k][6] and d2[k] == rows[k][7]]
         ids = ids[kept]
@@ -316,7 +326,8 @@ def _join_blocks(n: int, percent: int):
         rows, key = [], None
         for batch in _and_end(batches):
             out = []
-            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if batch is not None else [(None,) * 4]:
+            slices = [batch.slice(a, 500) for a in range(0, batch.num_rows, 500)] if batch is not None else []
+            for r in itertools.chain((r for part in slices for r in zip(*(part.column(c).to_pylist() for c in names), strict=True)), [(None,) * 4] * (batch is None)):
                 if r[:4] != key:
                     if len(rows) > 1:
                         out.append(links(rows))
