@@ -36,7 +36,7 @@ from ._common import binary_array, blocks, cut, id_and_text
 from .graph import components
 from .wordhash import HASH_BYTES, mix, shingles, words
 
-SAMPLE_DOCS, HOT_SAMPLES, SHORT_LIST, BUCKETS, BLOCK_DOCS, BROADCAST_ROWS = 4000, 4, 64, 256, 1500, 1_000_000
+SAMPLE_DOCS, HOT_SAMPLES, SHORT_LIST, LIST_DOCS, BUCKETS, BLOCK_DOCS, BROADCAST_ROWS = 4000, 4, 64, 4096, 256, 1500, 1_000_000
 
 
 class Order:
@@ -214,11 +214,11 @@ def _signatures(n: int, percent: int, order):
 
 def _candidates(percent: int):
     """Rows sorted by token, n, node, cut into runs of one token and of sizes that can link. Short runs give
-    their pairs, longer ones an edge from their first node to each other."""
+    their pairs (star 0), of longer ones the rows (token, node, star 1) are kept."""
 
     def run(batches):
         token, n, node = (np.zeros(0, np.int64) for _ in range(3))
-        pivot = None  # the first node of the run that is open, once it is long
+        pivot = False  # whether the run that is open is long already
         for batch in _and_end(batches):
             last = batch is None
             if not last:
@@ -233,15 +233,12 @@ def _candidates(percent: int):
             run_of = np.cumsum(new) - 1
             open_run = len(start) - 1 if not last else -1
             long = length > SHORT_LIST
-            if pivot is not None:
+            if pivot:
                 long[0] = True
-            first = node[start]
-            if pivot is not None:
-                first[0] = pivot
             out = []
-            star = np.flatnonzero(long[run_of] & (first[run_of] != node))
+            star = np.flatnonzero(long[run_of])
             if len(star):
-                out.append(np.stack((first[run_of[star]], node[star], np.ones(len(star), np.int64)), 1))
+                out.append(np.stack((token[star], node[star], np.ones(len(star), np.int64)), 1))
             ready = ~long
             if open_run >= 0:
                 ready[open_run] = False
@@ -257,9 +254,9 @@ def _candidates(percent: int):
                 for a in range(0, len(rows), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 100_000, k]) for k in range(3)], ["a", "b", "star"])
             if open_run >= 0 and not long[open_run]:
-                keep, pivot = start[open_run], None
+                keep, pivot = start[open_run], False
             else:
-                keep, pivot = len(token) - 1, first[-1] if open_run >= 0 else None
+                keep, pivot = len(token) - 1, open_run >= 0
             token, n, node = token[keep:], n[keep:], node[keep:]
 
     return run
@@ -282,6 +279,44 @@ def _bounded(percent: int):
     return run
 
 
+def _list_forests(percent: int):
+    """Rows sorted by token, i, j, n, node with their sketches: per list (or pair of its chunks) a spanning forest
+    of the pairs that pass the bound."""
+
+    def forest_of(node: np.ndarray, n: np.ndarray, sketch: np.ndarray, chunk: np.ndarray | None) -> np.ndarray:
+        forest = Forest(len(node))
+        lowest = np.searchsorted(n, -(-percent * n // 100))
+        for q in range(1, len(node)):
+            w = slice(int(lowest[q]), q)
+            least = np.minimum(sketch[w], sketch[q])
+            fine = ((100 + percent) * least.sum(1, dtype=np.int64) >= percent * (n[w] + n[q])) | (least == 255).any(1)
+            if chunk is not None:
+                fine &= chunk[w] != chunk[q]
+            for c in (np.flatnonzero(fine) + w.start).tolist():
+                forest.join(c, q)
+        root = np.array([forest.root(x) for x in range(len(node))], np.int64)
+        edges = np.stack((node[root], node), 1)
+        return edges[edges[:, 0] != edges[:, 1]]
+
+    names = ("token", "i", "j", "node", "n", "sketch", "chunk")
+
+    def run(batches):
+        rows, key = [], None
+        for batch in _and_end(batches):
+            out = []
+            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True) if batch is not None else [(None,) * 3]:
+                if r[:3] != key:
+                    if len(rows) > 1:
+                        _, i, j, node, n, sketch, chunk = zip(*rows, strict=True)
+                        out.append(forest_of(np.array(node), np.array(n), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BUCKETS), np.array(chunk) if i[0] != j[0] else None))
+                    rows, key = [], r[:3]
+                rows.append(r)
+            if out and len(edges := np.unique(np.concatenate(out), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -349,7 +384,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(classes)
     listed = classes.select(F.explode("tokens").alias("token"), "n", F.col("rep").alias("node")).repartition("token").sortWithinPartitions("token", "n", "node")
     found = cut(listed.mapInArrow(_candidates(percent), "a long, b long, star long").distinct())
-    blocked = cut(components(found.filter("star = 1").select("a", "b")).withColumnRenamed("root", "block"))
+    lists = found.filter("star = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
+    lists = lists.join(lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_DOCS).cast("int").alias("parts")), "token")
+    lists = lists.join(classes.select(F.col("rep").alias("node"), "n", "sketch"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "n", "node", "sketch", "chunk")
+    lists = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
+    blocked = cut(components(lists.mapInArrow(_list_forests(percent), "a long, b long")).withColumnRenamed("root", "block"))
     other = lambda c: blocked.select(F.col("node").alias(c), F.col("block").alias(f"{c}_block"))
     pairs = found.filter("star = 0").join(other("a"), "a", "left").join(other("b"), "b", "left").filter("a_block is null or b_block is null or a_block <> b_block")
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))

@@ -340,6 +340,7 @@ def plain_components(texts, n, percent):
 def test_ngram_join_brute(spark, monkeypatch, limits, rule):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", limits[0])
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", limits[1])
+    monkeypatch.setattr(ngram_join, "LIST_DOCS", 2 * limits[1])
     r, texts = random.Random(9), {}
     base = [[f"w{r.randrange(300)}" for _ in range(r.randint(3, 90))] for _ in range(14)]
     for k in range(90):
