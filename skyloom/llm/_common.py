@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 #: Text bytes that one step of a Python pass holds at a time; bounds worker memory.
 BLOCK_BYTES = 24 << 20
 
@@ -42,13 +47,47 @@ def cut(df: DataFrame) -> DataFrame:
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``id`` and ``text`` (UTF-8 bytes, null as empty); other columns are left behind,
     so their names cannot clash with an operator's outputs."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: at most BATCH_ROWS of them in an Arrow batch, unless the session already asks for less."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def trim() -> None:
+    """Give memory that a finished pass has freed back to the system: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """A pass that trims when it ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def blocks(batches, limit: int = BLOCK_BYTES):
     """Regroup Arrow batches into tables of at most about ``limit`` text bytes each (one row at least)."""
     held: list[pa.RecordBatch] = []
     size = 0
+    try:
+        yield from _regrouped(batches, limit, held, size)
+    finally:
+        trim()
+
+
+def _regrouped(batches, limit: int, held: list, size: int):
     for batch in batches:
         lens = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
         ends = np.cumsum(lens)

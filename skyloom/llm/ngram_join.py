@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_array, blocks, cut, id_and_text
+from ._common import binary_array, blocks, cut, id_and_text, trimmed
 from .graph import components
 from .wordhash import HASH_BYTES, mix, shingles, words
 
@@ -383,17 +383,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     listed = classes.select(F.explode("tokens").alias("token"), "n", F.col("rep").alias("node")).repartition("token").sortWithinPartitions("token", "n", "node")
-    found = cut(listed.mapInArrow(_candidates(percent), "a long, b long, star long").distinct())
+    found = cut(listed.mapInArrow(trimmed(_candidates(percent)), "a long, b long, star long").distinct())
     lists = found.filter("star = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
     lists = lists.join(lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_DOCS).cast("int").alias("parts")), "token")
     lists = lists.join(classes.select(F.col("rep").alias("node"), "n", "sketch"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "n", "node", "sketch", "chunk")
     lists = lists.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
-    blocked = cut(components(lists.mapInArrow(_list_forests(percent), "a long, b long")).withColumnRenamed("root", "block"))
+    blocked = cut(components(lists.mapInArrow(trimmed(_list_forests(percent)), "a long, b long")).withColumnRenamed("root", "block"))
     other = lambda c: blocked.select(F.col("node").alias(c), F.col("block").alias(f"{c}_block"))
     pairs = found.filter("star = 0").join(other("a"), "a", "left").join(other("b"), "b", "left").filter("a_block is null or b_block is null or a_block <> b_block")
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded(percent), "a long, b long")
+    pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_bounded(percent)), "a long, b long")
     pairs = pairs.select(F.col("a").alias("block"), F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("star", F.lit(0))
     member = cut(blocked.select("block", "node", F.lit(1).alias("star")).unionByName(pairs))
     sizes = member.groupBy("block", "star").agg(F.count("*").alias("size"))
@@ -406,7 +406,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("block", "star", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "text", "d1", "d2", "chunk")
     dealt = dealt.repartition("block", "star", "i", "j").sortWithinPartitions("block", "star", "i", "j")
-    edges = dealt.mapInArrow(_join_blocks(n, percent), "a long, b long")
+    edges = dealt.mapInArrow(trimmed(_join_blocks(n, percent)), "a long, b long")
     labels = components(edges).select(F.col("node").alias("rep"), "root")
     roots = classes.select("d1", "d2", "rep").join(labels, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("tokens", "sketch").join(roots, ["d1", "d2"], "left")

@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, blocks, id_and_text
+from ._common import Interner, blocks, bounded_batches, id_and_text, trimmed
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 FEATURES, SENTENCES, EPOCHS, RIDGE = 2048, 600, 70, 1e-3
-CACHE_WORDS, BATCH = 300_000, 256
+CACHE_WORDS, BATCH = 200_000, 256
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -408,7 +408,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf:
 
     def run(batches):
         finder = Finder(shared.value)
-        for table in blocks(batches, 6 << 20):
+        for table in blocks(batches, 4 << 20):
             texts = table.column("text").combine_chunks().cast(pa.string())
             base = [base_spans(t) for t in texts.to_pylist()]
             every = [merge_spans(b, m) for b, m in zip(base, finder.find(texts), strict=True)]
@@ -443,7 +443,8 @@ def redact(docs: DataFrame, text_col: str = "text", crf: Crf | None = None) -> D
                 new = [t if t is None else clean(t, merge_spans(base_spans(t), m)) for t, m in zip(texts, finder.find(some), strict=True)]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def sha256_of(column: str) -> F.Column:

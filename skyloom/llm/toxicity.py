@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, cut
+from ._common import blocks, bounded_batches, cut, trimmed
 
 MAX_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 16_000, 1000, 4, 4.0
 PENALTY, RIDGE, ROUNDS = 1.0, 1e-3, 400
@@ -127,6 +127,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights and the identity terms
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         for table in blocks(batches, 8 << 20):
             got = shared.value.score([b.decode("utf-8", "replace") for b in table.column("text").to_pylist()])
@@ -149,4 +151,5 @@ def accept(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
                 got = shared.value.score([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(got < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -9,7 +9,7 @@ import numpy as np
 MULT = 0x9E3779B97F4A7C15 | 1
 MASK = 2**64 - 1
 #: Bytes of text hashed at a time.
-HASH_BYTES = 2 << 20
+HASH_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
