@@ -11,8 +11,9 @@ a group of any size is no task's burden. Variances have floors (FLOORS), so that
 most of a group does not reject every other value.
 
 Defined results: null, empty and blank texts have no words and fail the base rule; null languages and sources
-are groups of their own; groups of fewer than MIN_ROWS rows that pass the base rule reject nothing more;
-repeated rows count each; extra columns are not read.
+are groups of their own; repeated rows count each; extra columns are not read. A group of fewer than POOL_ROWS
+rows that pass the base rule is judged by the estimate of all rows of its language, a language of fewer by that of
+the whole corpus, which is used however small it is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import cut
 
-STEPS, BIN, MIN_ROWS, CUTOFF, BROADCAST_GROUPS = 4, 0.02, 50, 60.0, 100_000
+STEPS, BIN, POOL_ROWS, CUTOFF, BROADCAST_GROUPS = 4, 0.02, 50, 60.0, 100_000
 #: Standard deviations at least, of each statistic.
 FLOORS = (0.9, 0.12, 0.25, 0.5)
 #: The median of a chi-square variable with four degrees of freedom.
@@ -107,15 +108,19 @@ def squared(v: list[Column], m: list[Column], c: list[list[Column]]) -> Column:
     return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
+def small(table: DataFrame) -> DataFrame:
+    """``table`` for a join: broadcast up to BROADCAST_GROUPS rows, else a plain join, whose skewed partitions
+    adaptive execution splits."""
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+
+
 def distances(rows: DataFrame, estimate: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with d2 under the estimate of their group."""
-    if estimate.count() <= BROADCAST_GROUPS:
-        estimate = F.broadcast(estimate)  # else a plain join, whose skewed partitions adaptive execution splits
     v = [F.col(f"v{k}") for k in range(DIM)]
     m = [F.col(f"m{k}") for k in range(DIM)]
     c = [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(DIM)] for i in range(DIM)]
     names = [x for x in estimate.columns if x not in keys]
-    return rows.join(estimate, keys, how).withColumn("d2", squared(v, m, c)).drop(*names)
+    return rows.join(small(estimate), keys, how).withColumn("d2", squared(v, m, c)).drop(*names)
 
 
 def covariance(rows: DataFrame, keys: list[str], scale: Column | float) -> DataFrame:
@@ -131,6 +136,20 @@ def covariance(rows: DataFrame, keys: list[str], scale: Column | float) -> DataF
     return out
 
 
+def pools(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, pool): the pool that judges the rows of each group, and (keys, pool): all pools that are used and
+    that the rows of a group belong to. A pool is a group, or all groups that have the first keys in common."""
+    sizes = cut(rows.groupBy(*keys).agg(F.sum((~F.col("base_failed")).cast("long")).alias("rows")))
+    name = lambda k: F.to_json(F.array(F.lit(str(k)), *keys[:k]))
+    known, pool = sizes, name(0)
+    for k in range(1, len(keys) + 1):
+        known = known.join(small(sizes.groupBy(*keys[:k]).agg(F.sum("rows").alias(f"rows{k}"))), keys[:k])
+        pool = F.when(F.col(f"rows{k}") >= POOL_ROWS, name(k)).otherwise(pool)
+    groups = cut(known.select(*keys, pool.alias("pool")))
+    every = sizes.select(*keys, F.explode(F.array(*[name(k) for k in range(len(keys) + 1)])).alias("pool"))
+    return groups, cut(every.join(small(groups.select("pool").distinct()), "pool", "left_semi"))
+
+
 def verdicts(stats: DataFrame) -> DataFrame:
     """``stats`` (see ``statistics``) with d2 double and kept boolean."""
     groups = sorted(c for c in stats.columns if c[0] == "g" and c[1:].isdigit())
@@ -142,10 +161,12 @@ def verdicts(stats: DataFrame) -> DataFrame:
     for k, v in enumerate(vector()):
         rows = rows.withColumn(f"v{k}", v)
     rows = cut(rows)
-    good = rows.filter(~F.col("base_failed")).select(*keys, *[f"v{k}" for k in range(DIM)])
+    groups, members = pools(rows, keys)
+    good = rows.filter(~F.col("base_failed")).join(small(members), keys).select("pool", *[f"v{k}" for k in range(DIM)])
+    rows, keys = rows.join(small(groups), keys).drop(*keys), ["pool"]
     long = good.select(*keys, F.posexplode(F.array(*[f"v{k}" for k in range(DIM)])).alias("d", "v"))
     middle = cut(wide(half_point(long, [*keys, "d"], F.floor(F.col("v") / BIN)), keys, "m", 1.0))
-    near = good.join(F.broadcast(middle) if middle.count() <= BROADCAST_GROUPS else middle, keys)
+    near = good.join(small(middle), keys)
     off = near.select(*keys, F.posexplode(F.array(*[F.abs(F.col(f"v{k}") - F.col(f"m{k}")) for k in range(DIM)])).alias("d", "v"))
     spread = wide(half_point(off, [*keys, "d"], F.floor(F.col("v") / BIN)), keys, "s", 1.4826)
     estimate = middle.join(spread, keys)
@@ -157,19 +178,17 @@ def verdicts(stats: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         measured = distances(good, estimate, keys)
         limit = cut(half_point(measured, keys, level()))
-        inner = measured.join(F.broadcast(limit) if limit.count() <= BROADCAST_GROUPS else limit, keys).filter(level() <= F.col("bin"))
+        inner = measured.join(small(limit), keys).filter(level() <= F.col("bin"))
         # the nearer half of a normal sample has less spread than the whole: its largest distance tells how much
         estimate = cut(covariance(inner, keys, 1.0).drop("n"))
     measured = distances(good, estimate, keys)
     limit = half_point(measured, keys, level())
     ratio = F.greatest(F.lit(1.0), F.expm1((F.col("bin") + 1) * BIN) / CHI_HALF)
-    counts = good.groupBy(*keys).agg(F.count("*").alias("group_rows"))
-    scaled = cut(estimate.join(limit, keys).join(counts, keys).withColumn("ratio", ratio).drop("bin"))
     # a floor is no spread that was measured, so it is not scaled: d2 is divided as a whole
-    factor = scaled.select(*keys, "ratio", "group_rows")
-    out = distances(rows, estimate, keys, "left").join(F.broadcast(factor) if factor.count() <= BROADCAST_GROUPS else factor, keys, "left").withColumn("d2", F.col("d2") / F.col("ratio"))
-    reject = F.coalesce((F.col("group_rows") >= MIN_ROWS) & (F.col("d2") > CUTOFF), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~reject).drop("ratio", "group_rows", *keys, *[f"v{k}" for k in range(DIM)])
+    factor = cut(limit.select(*keys, ratio.alias("ratio")))
+    out = distances(rows, estimate, keys, "left").join(small(factor), keys, "left").withColumn("d2", F.col("d2") / F.col("ratio"))
+    reject = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~reject).drop("ratio", *keys, *[f"v{k}" for k in range(DIM)])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:

@@ -314,6 +314,19 @@ def test_outliers_found(spark):
     assert not any(got[1000 + k] for k in range(30)) and all(got[k] for k in range(400))
 
 
+def test_outliers_of_small_groups(spark):
+    """Groups and a language of fewer rows than POOL_ROWS, beside a large group and alone."""
+    r = random.Random(2)
+    plain = lambda: " ".join("".join(r.choice("abcde") for _ in range(r.randint(2, 8))) for _ in range(r.randint(40, 400)))
+    odd = lambda k: " ".join(f"{'#' * 9}{k}x{j}" for j in range(100))
+    rows = [(k, plain(), "en", "hot") for k in range(200)]
+    rows += [(300 + k, plain(), *(("en", f"s{k % 4}") if k < 80 else (None, "hot"))) for k in range(100)]
+    rows += [(1000 + k, odd(k), *(("en", f"s{k}") if k < 4 else (None, "hot"))) for k in range(6)]
+    for some in (rows, [x for x in rows if x[2:] == (None, "hot")]):
+        got = {x["doc_id"]: x["kept"] for x in outliers.judge(spark.createDataFrame(some, "doc_id long, text string, lang string, source string")).collect()}
+        assert got == {x[0]: x[0] < 1000 for x in some}
+
+
 def plain_components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
