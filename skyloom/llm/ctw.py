@@ -8,12 +8,11 @@ context-tree weighting, P_w = (P_e + product of the children's P_w) / 2. In trai
 all training tokens; in scoring they stay as they are, and a path ends at the deepest context that the tree
 holds. Contexts reach back to the start of a word only, so a word has one probability wherever it stands.
 
-There is a tree for each class of training documents (their language where one is given; the MAX_CLASSES most
-frequent, the others together), and a text's probability is the mean of the trees' probabilities of the whole
+There is a tree for each class of training documents (their language where one is given), and a text's probability is the mean of the trees' probabilities of the whole
 text, weighted by the classes' shares of the training documents. A text's own class is not used.
 
-The statistics cover all training tokens. A tree keeps MAX_ROWS (context, symbol) counts of each depth, the
-most frequent ones, whole contexts only; what it leaves out of a depth counts as one more child.
+The statistics cover all training tokens, and a tree keeps every (context, symbol) count. The trees go to every
+task whole, so memory must hold the distinct pairs of a context and a symbol of all classes.
 
 Defined results: null and empty texts are the end token alone; with nothing to train on every bit has
 probability 1/2 and the base is log10(0.1 / 0.1); repeated rows count each; extra columns are not read.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import Interner, blocks, cut
 from .langid import fold
 
-DEPTH, MAX_CLASSES, MAX_ROWS, HEAD_WORDS, CACHE_WORDS = 4, 6, 100_000, 200_000, 300_000
+DEPTH, HEAD_WORDS, CACHE_WORDS = 4, 200_000, 300_000
 HALF = float(np.log(0.5))
 
 
@@ -215,11 +214,11 @@ def _count_words(batches):
 
 
 def _count_contexts(batches):
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # keys with the class above them
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # of each class
 
-    def merged():
-        key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return key, np.bincount(inverse, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
+    def merged(parts):
+        key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
 
     for batch in batches:
         for a in range(0, batch.num_rows, 50_000):
@@ -228,33 +227,20 @@ def _count_contexts(batches):
             sym, word, context = symbols(part.column("word").to_pylist())
             for k in np.unique(kind).tolist():
                 mine = kind[word] == k
-                key, count = expand(sym[mine], context[mine], n[word[mine]])
-                held.append((key | k << 56, count))
-            if len(held) > 20:
-                held = [merged()]
-    if held:
-        key, count = merged()
+                held.setdefault(k, []).append(expand(sym[mine], context[mine], n[word[mine]]))
+                if len(held[k]) > 20:
+                    held[k] = [merged(held[k])]
+    for kind, parts in held.items():
+        key, count = merged(parts)
         for a in range(0, len(key), 50_000):
             k = key[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array((k >> 56).astype(np.int32)), pa.array(k >> 8 & (1 << 48) - 1), pa.array(k & 255), pa.array(count[a : a + 50_000])], ["class", "context", "symbol", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k >> 8), pa.array(k & 255), pa.array(count[a : a + 50_000])], ["class", "context", "symbol", "n"])
 
 
 def fit_trees(words: DataFrame, classes: int) -> list[ContextTree]:
     """``words``: (class int, word binary, n long) of all training tokens."""
-    rows = cut(words.mapInArrow(_count_contexts, "class int, context long, symbol long, n long").groupBy("class", "context", "symbol").agg(F.sum("n").alias("n")))
-    depth = sum((F.when(F.col("context") >= F.lit(1 << 8 * k), 1).otherwise(0) for k in range(1, DEPTH + 1)), F.lit(0))
-    whole = rows.groupBy("class", "context").agg(F.sum("n").alias("total"), F.count("*").alias("symbols")).withColumn("depth", depth).withColumn("level", F.floor(F.log2("total") * 4))
-    steps = whole.groupBy("class", "depth", "level").agg(F.sum("symbols").alias("n")).collect()  # MAX_CLASSES * DEPTH * 256 rows at most
-    least, used = {}, {}
-    for r in sorted(steps, key=lambda r: -r["level"]):
-        key = (r["class"], r["depth"])
-        used[key] = used.get(key, 0) + r["n"]
-        if used[key] <= MAX_ROWS:
-            least[key] = r["level"]  # contexts by frequency, as many as the depth has room for
-    keep = F.lit(False)
-    for (k, d), level in least.items():
-        keep = keep | ((F.col("class") == k) & (F.col("depth") == d) & (F.col("level") >= level))
-    got = rows.join(whole.filter(keep).select("class", "context"), ["class", "context"], "left_semi").toArrow()  # MAX_ROWS a class and depth at most
+    rows = words.mapInArrow(_count_contexts, "class int, context long, symbol long, n long").groupBy("class", "context", "symbol").agg(F.sum("n").alias("n"))
+    got = rows.toArrow()  # every count: the distinct pairs of a class, not its tokens
     kind, context, symbol, n = (got.column(c).to_numpy() for c in ("class", "context", "symbol", "n"))
     at = depth_of(context)
     trees = []
@@ -332,21 +318,18 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     named = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), train.alias("train"), named.alias("name"))
     sizes = rows.filter("train").groupBy("name").agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "name").limit(MAX_CLASSES).collect()
-    documents = sizes.agg(F.sum("n")).first()[0] or 0
-    rest = documents - sum(r["n"] for r in top)
-    classes = max(1, len(top) + (rest > 0))
-    shares = [n / documents for n in [*(r["n"] for r in top), *([rest] if rest else [])]] or [1.0]
-    number = F.lit(len(top))
-    for k, r in enumerate(top):
-        number = F.when(F.col("name") == r["name"], k).otherwise(number)
-    words = cut(rows.filter("train").select(number.cast("int").alias("class"), "text").mapInArrow(_count_words, "class int, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n")))
+    kinds = sizes.orderBy(F.desc("n"), "name").collect()  # a row a class
+    documents = sum(r["n"] for r in kinds)
+    classes = max(1, len(kinds))
+    shares = [r["n"] / documents for r in kinds] or [1.0]
+    numbers = spark.createDataFrame([(r["name"], k) for k, r in enumerate(kinds)], "name string, class int")
+    words = cut(rows.filter("train").join(F.broadcast(numbers), "name").select("class", "text").mapInArrow(_count_words, "class int, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n")))
     trees = fit_trees(words, classes)
     words = words.groupBy("word").agg(F.sum("n").alias("n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     listed = words.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
     head = dict(zip(listed.column("word").to_pylist(), listed.column("n").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((trees, shares, head))  # HEAD_WORDS words, MAX_ROWS counts a class and depth
+    shared = spark.sparkContext.broadcast((trees, shares, head))  # HEAD_WORDS words, all counts of the trees
     scored = rows.select("id", "text").mapInArrow(_score(shared), f"id {kind}, n_tokens long, head_known long, head_log double, score double, tail array<struct<word binary, k long>>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.k").alias("k"))

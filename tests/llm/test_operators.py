@@ -189,6 +189,22 @@ def test_ctw_weights_brute():
     assert tree.own[0][at] == pytest.approx(node(1)[2], rel=1e-5)
 
 
+def test_ctw_keeps_every_context(spark, monkeypatch):
+    """More than 100,000 pairs of a depth, more than six classes."""
+    r = random.Random(4)
+    words = sorted({bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(45_000)})
+    rows = spark.createDataFrame([(0, bytearray(w), 1) for w in words], "class int, word binary, n long")
+    sym, _, context = ctw.symbols(words)
+    want = np.unique(context << 8 | sym)
+    assert (want >> 8 >= 1 << 32).sum() > 100_000
+    assert ctw.fit_trees(rows, 1)[0].known.tolist() == want.tolist()
+    fit, classes = ctw.fit_trees, []
+    monkeypatch.setattr(ctw, "fit_trees", lambda w, k: classes.append(k) or fit(w, k))
+    docs = spark.createDataFrame([(k, f"word{k % 9} text", f"l{k % 9}") for k in range(27)], "doc_id long, text string, lang string")
+    got = ctw.score_documents(docs, F.lit(True)).collect()
+    assert classes == [9] and len(got) == 27 and all(x["score"] < 0 for x in got)
+
+
 def test_ctw_query(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     tokens = {k: [*t.encode().lower().split(), b""] for k, t in docs.items()}
