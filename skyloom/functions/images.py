@@ -83,9 +83,12 @@ def components(mask: np.ndarray) -> np.ndarray:
 
 
 def background(image: np.ndarray, box: int = 64) -> tuple[np.ndarray, float]:
-    """A level and a noise for the whole image from a strided sample: the plain fallback of a mesh."""
-    m, s = robust(image)
-    return np.full(image.shape, m), s
+    """A level and a noise for the whole image, median and MAD of all finite pixels: the plain fallback of a mesh,
+    which needs no ``box``."""
+    v = image[np.isfinite(image)]
+    m = float(np.median(v)) if v.size else 0.0
+    s = 1.4826 * float(np.median(np.abs(v - m))) if v.size else 0.0
+    return np.full(image.shape, m), max(s, 1e-6)
 
 
 def detect(image: np.ndarray, sigma: float = 5.0, least: int = 5, most: int = 2000) -> dict[str, np.ndarray]:

@@ -275,3 +275,12 @@ def test_mosaic_photometry_and_canvas():
     assert np.nanmax(np.abs(out - 7)) < 1e-6 and np.isnan(out).any()
     w = mo.feather(np.isfinite(out), 8)
     assert w.max() == 1.0 and w[~np.isfinite(out)].max() == 0
+
+
+def test_background_of_all_pixels():
+    image = np.random.default_rng(6).normal(100, 5, (64, 64))
+    image[::8, ::8] = 500
+    sky, noise = im.background(image)
+    level = np.median(image)
+    assert sky.shape == image.shape and (sky == level).all()
+    assert abs(noise - 1.4826 * np.median(np.abs(image - level))) < 1e-9
