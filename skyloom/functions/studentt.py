@@ -54,7 +54,3 @@ def critical(m: int, alpha: float) -> float:
         return math.inf
     t = t_quantile(alpha / (2 * (m + 1)), m - 1.0)
     return m * t / math.sqrt((m - 1 + t * t) * (m + 1))
-
-
-def critical_values(n: int, k: int, alpha: float) -> list[float]:
-    return [critical(n - i, alpha) for i in range(1, k + 1)]

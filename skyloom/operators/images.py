@@ -78,8 +78,7 @@ def sides(x: np.ndarray, method: str, low: float, high: float, rounds: int) -> n
     if method in ("none", "median"):
         return side
     if method == "gesd":
-        flat = x.reshape(len(x), -1)
-        return np.stack([gesd_sides(flat[:, k]) for k in range(flat.shape[1])], 1).reshape(x.shape)
+        return gesd_sides(x.reshape(len(x), -1)).reshape(x.shape)
     if method == "percentile":
         c = low_median(x)
         rel = (x - c) / np.maximum(np.abs(c), 1e-6)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions.studentt import critical
 from ..operators import combine as co
 from ..operators import frames as fr
 from ..operators import grids as gr
@@ -115,11 +116,41 @@ def combine_percentile(spark, sf):
     return combined(co.combine(samples(spark, sf), "percentile", low=0.5, high=0.5))
 
 
-@query("combine_gesd")
+def gesd_sql(v: str, fraction: float = 0.3, alpha: float = 0.05, relax: float = 1.5, most: int = 400) -> str:
+    """The test as a recursion over sorted samples, with the critical values of up to ``most`` samples left."""
+    limits = ", ".join(f"({m}, CAST({critical(m, alpha)!r} AS DOUBLE))" for m in range(2, most))
+    return f"""WITH RECURSIVE s0 AS MATERIALIZED (SELECT l_partkey AS cell, l_orderkey * 10 + l_linenumber AS frame, CAST({v} AS DOUBLE) AS v FROM lineitem),
+    limits(m, bound) AS (VALUES {limits}),
+    cells AS (SELECT cell, list_sort(list(v)) AS x, len(list(v)) AS n, greatest(1, least(count(*) - 3, CAST(floor(count(*) * {fraction}) AS BIGINT))) AS most FROM s0 GROUP BY cell),
+    walk AS (
+        SELECT cell, x, n, CASE WHEN n < 4 THEN 0 ELSE least(most, n - 2) END AS rounds, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS cut_low FROM cells
+        UNION ALL
+        SELECT cell, x, n, rounds, i + 1, now_low, CASE WHEN far > bound THEN i + 1 ELSE cut END, CASE WHEN far > bound THEN now_low ELSE cut_low END
+        FROM (
+            SELECT *, CASE WHEN over >= under THEN low ELSE low + 1 END AS now_low, greatest(over, under) AS far
+            FROM (
+                SELECT *, (x[n - i + low] - list_avg(x[low + 1:n - i + low])) / greatest(list_stddev_samp(x[low + 1:n - i + low]), 1e-12) AS over,
+                    (list_avg(x[low + 1:n - i + low]) - x[low + 1]) / greatest(list_stddev_samp(x[low + 1:n - i + low]), 1e-12) / {relax} AS under
+                FROM walk WHERE i < rounds) a) b
+        JOIN limits ON m = n - i - 1),
+    ends AS (SELECT cell, any_value(x)[(any_value(n) + 1) // 2] AS middle, any_value(n) AS n, arg_max(cut, i) AS cut, arg_max(cut_low, i) AS cut_low FROM walk GROUP BY cell),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY v, frame) AS place FROM s0),
+    r AS (SELECT cell, v, CASE WHEN place <= cut_low OR place > n - (cut - cut_low) THEN CASE WHEN v < middle THEN -1 ELSE 1 END ELSE 0 END AS side FROM ranked JOIN ends USING (cell))
+    SELECT cell, round({MEAN}, 6) AS value, {COUNTS} FROM r GROUP BY cell"""
+
+
+@query("combine_gesd", gesd_sql("l_quantity"))
 def combine_gesd(spark, sf):
     return combined(co.combine(samples(spark, sf), "gesd"))
 
 
+@query("combine_gesd_tails", gesd_sql("CASE WHEN l_linenumber = 6 THEN l_quantity * 9 WHEN l_linenumber = 5 AND l_quantity > 30 THEN -6 * l_quantity ELSE l_quantity END"))
+def combine_gesd_tails(spark, sf):
+    """Samples with wild values on both sides."""
+    line, v = F.col("frame") % 10, F.col("v")
+    return combined(co.combine(samples(spark, sf).withColumn("v", F.when(line == 6, v * 9).when((line == 5) & (v > 30), -6 * v).otherwise(v)), "gesd"))
+
+
 @query("coverage_map", sigma_sql(2, 1.5) + " SELECT cell, count(v) AS coverage, round(count(CASE WHEN side <> 0 THEN 1 END) / count(v), 6) AS rejection FROM r2 GROUP BY cell")
 def coverage_map(spark, sf):
     c = co.coverage(co.combine(samples(spark, sf), "sigma", low=1.5, high=1.5, rounds=2))

@@ -1,5 +1,6 @@
 """Kernels against plain re-implementations and planted cases."""
 
+import collections
 import math
 
 import numpy as np
@@ -53,6 +54,23 @@ def test_gesd_brute():
         assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == slow_gesd(v)
 
 
+def test_gesd_of_many_cells():
+    """A matrix gives what its columns give one by one; gaps, ties, equal samples and wild values."""
+    r = np.random.default_rng(22)
+    v = r.normal(100, 3, (24, 300)).round(1)
+    v[r.random(v.shape) < 0.1] = np.nan
+    v[r.integers(0, 24, 300), np.arange(300)] += r.choice([0, 60, -60, 4e4], 300)
+    v[:, 5], v[:, 6], v[:21, 7] = 7.0, np.nan, np.nan
+    got = co.gesd_sides(v)
+    for k in range(300):
+        assert np.array_equal(got[:, k], co.gesd_sides(v[:, k]))
+        if np.count_nonzero(~np.isnan(v[:, k])) > 2:
+            want = slow_gesd(v[:, k])
+            assert collections.Counter(got[got[:, k] != 0, k].tolist()) == collections.Counter(want.values())
+            assert sorted(v[got[:, k] != 0, k]) == sorted(v[j, k] for j in want)
+    assert (got != 0).any(0).sum() > 100
+
+
 @pytest.mark.parametrize("method", ["sigma", "winsorized", "percentile", "gesd", "median", "none"])
 def test_both_forms_agree(spark, method):
     r = np.random.default_rng(5)
