@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import use_checkpoints
+
 
 def within(left: DataFrame, right: DataFrame, radius: float, group: str | None = None) -> DataFrame:
     """(group, l_id, r_id, d2) of all pairs nearer than ``radius``."""
@@ -37,19 +39,22 @@ def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, group: str
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, radius: float, group: str | None = None) -> DataFrame:
-    """One-to-one pairs taken by distance (then ids), group by group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        for k, (l, r) in enumerate(pdf.sort_values(["d2", "l_id", "r_id"])[["l_id", "r_id"]].itertuples(index=False)):
-            if l not in used_l and r not in used_r:
-                used_l.add(l)
-                used_r.add(r)
-                keep.append(k)
-        return pdf.sort_values(["d2", "l_id", "r_id"]).iloc[keep]
-
-    pairs = within(left, right, radius, group)
-    return pairs.groupBy("g").applyInPandas(run, pairs.schema)
+    """One-to-one pairs taken by distance (then ids), group by group.
+
+    A pair that is the first of both its ends is taken whatever else happens, and ends the others of its points;
+    rounds of such pairs until none is left give what taking them one by one would, without an order of all."""
+    use_checkpoints(left.sparkSession)
+    rank = F.struct("d2", "l_id", "r_id")
+    by_l, by_r = Window.partitionBy("g", "l_id"), Window.partitionBy("g", "r_id")
+    open_, taken = within(left, right, radius, group).checkpoint(eager=True), None
+    while True:
+        best = open_.withColumn("a", F.min(rank).over(by_l)).withColumn("b", F.min(rank).over(by_r)).withColumn("take", (rank == F.col("a")) & (rank == F.col("b")))
+        ended = best.withColumn("gone", F.max("take").over(by_l) | F.max("take").over(by_r)).select("g", "l_id", "r_id", "d2", "take", "gone").checkpoint(eager=True)
+        now = ended.filter("take").select("g", "l_id", "r_id", "d2")
+        taken = now if taken is None else taken.unionByName(now)
+        open_ = ended.filter("not gone").select("g", "l_id", "r_id", "d2")
+        if not open_.limit(1).count():
+            return taken
 
 
 def unmatched(left: DataFrame, right: DataFrame, radius: float, group: str | None = None) -> DataFrame:
@@ -113,19 +118,19 @@ def overlaps(boxes: DataFrame, least: int = 8) -> DataFrame:
     return out.filter((F.col("x1") - F.col("x0") > least) & (F.col("y1") - F.col("y0") > least)).distinct()
 
 
-def reachable(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root): the smallest node of each node's component, by label spreading with a checkpoint a round.
-    For the overlap graphs of mosaics, whose nodes are tiles."""
-    both = edges.select("i", "j").union(edges.select("j", "i")).distinct()
+def reachable(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each node's component, by label spreading until no label moves, with a
+    checkpoint a round. For the overlap graphs of mosaics, whose nodes are tiles."""
+    use_checkpoints(edges.sparkSession)
+    both = edges.select("i", "j").union(edges.select("j", "i")).distinct().checkpoint(eager=True)
     state = both.select(F.col("i").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(state.withColumnRenamed("node", "j"), "j").groupBy("i").agg(F.min("root").alias("m"))
         after = state.join(near.withColumnRenamed("i", "node"), "node").select("node", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved"))
         after = after.checkpoint(eager=True)
         state = after.select("node", "root")
         if not after.filter("moved").limit(1).count():
             return state
-    return state
 
 
 def tile_shifts(pairs: pd.DataFrame, tiles: list[int]) -> dict[int, tuple[float, float]]:

@@ -347,9 +347,15 @@ def points_mutual(spark, sf):
     return ma.mutual_nearest(*points(spark, sf), 15.0, "nation").withColumnRenamed("g", "nation")
 
 
-@query("points_greedy")
+@query("points_greedy", f"""WITH RECURSIVE {PT}, o AS (SELECT nation, l_id, r_id, d2, row_number() OVER (PARTITION BY nation ORDER BY d2, l_id, r_id) AS k FROM p),
+    walk AS (
+        SELECT nation, k, l_id, r_id, d2, true AS take, [l_id] AS used_l, [r_id] AS used_r FROM o WHERE k = 1
+        UNION ALL
+        SELECT o.nation, o.k, o.l_id, o.r_id, o.d2, free, CASE WHEN free THEN list_append(used_l, o.l_id) ELSE used_l END, CASE WHEN free THEN list_append(used_r, o.r_id) ELSE used_r END
+        FROM walk w JOIN o ON o.nation = w.nation AND o.k = w.k + 1, LATERAL (SELECT NOT list_contains(w.used_l, o.l_id) AND NOT list_contains(w.used_r, o.r_id) AS free) f)
+    SELECT nation, l_id, r_id, round(d2, 6) AS d2 FROM walk WHERE take""")
 def points_greedy(spark, sf):
-    return ma.greedy_pairs(*points(spark, sf), 15.0, "nation").withColumnRenamed("g", "nation")
+    return ma.greedy_pairs(*points(spark, sf), 15.0, "nation").select(F.col("g").alias("nation"), "l_id", "r_id", r6("d2").alias("d2"))
 
 
 @query("points_unmatched", f"WITH {PT} SELECT id, nation FROM c WHERE id NOT IN (SELECT l_id FROM p)")
