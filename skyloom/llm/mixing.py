@@ -9,8 +9,9 @@ partition is sorted: a global shuffle.
 
 Defined results: a null source is a source of its own; without weights all sources weigh alike; weights are
 shares among the sources that occur; a source with
-no weight, or a weight of 0, gets no copies; rows that share an id get the same number of copies; a null id
-counts as an empty text; columns of the input called ``copy``, ``rate`` or ``shuffle_key`` are replaced.
+no weight, or a weight of 0, gets no copies; a null id or text counts as an empty one; rows that share an id but
+not the text are drawn apart, rows that share both get the same number of copies; columns of the input called
+``copy``, ``rate`` or ``shuffle_key`` are replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ def uniform(*parts: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: float | None, source_col: str) -> DataFrame:
     """(source key, rate of a part, parts, cumulative probabilities): a row a source."""
-    sizes = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"), F.col(source_col).isNull().alias("source_null")).agg(F.count("*").alias("n"))
+    found = F.col(f"`{source_col}`")
+    sizes = docs.select(F.coalesce(found.cast("string"), F.lit("")).alias("source_key"), found.isNull().alias("source_null")).groupBy("source_key", "source_null").agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -56,18 +58,26 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: float
     return out.withColumn("cdf", table).drop("part_rate")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with each row repeated by its count, in shuffled order, and the columns rate double, copy int
-    (from 0) and shuffle_key string. ``total``: documents aimed at, by default as many as there are."""
+    (from 0) and shuffle_key string. ``total``: documents aimed at, by default as many as there are.
+
+    Partitions are dealt by shuffle_key and the partition that a row comes from, so equal rows in great number
+    do not meet in one."""
     table = cut(rates(docs, weights, total, source_col))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)  # else a plain join, whose skewed partitions adaptive execution splits
     docs = docs.drop("rate", "copy", "shuffle_key")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    named = docs.withColumn("source_key", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("source_null", F.col(source_col).isNull())
-    joined = named.join(table, ["source_key", "source_null"])
-    values = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
+    names = docs.columns
+    whole = lambda c: F.coalesce(F.col(f"d.`{c}`").cast("string"), F.lit(""))
+    # the input's columns stay together in the struct d, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"))
+    rows = rows.withColumn("source_key", whole(source_col)).withColumn("source_null", F.col(f"d.`{source_col}`").isNull())
+    rows = rows.withColumn("id_key", whole(id_col)).withColumn("text_key", F.md5(whole(text_col)) if text_col in names else F.lit(""))
+    joined = rows.join(table, ["source_key", "source_null"])
+    values = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.lit(str(seed)), F.col("id_key"), j.cast("string"), F.col("text_key")))
     copies = F.aggregate(values, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     out = joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), key, F.col("copy").cast("string"))))
-    return out.select(*docs.columns, "rate", "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), "id_key", F.col("copy").cast("string"), "text_key")))
+    out = out.select("d", "rate", "copy", "shuffle_key", F.spark_partition_id().alias("origin")).repartition("shuffle_key", "origin").sortWithinPartitions("shuffle_key")
+    return out.select(*[F.col(f"d.`{c}`").alias(c) for c in names], "rate", "copy", "shuffle_key")
