@@ -176,11 +176,14 @@ def matrices(ids: list[np.ndarray], swapped: list[np.ndarray]) -> tuple[np.ndarr
     """Features in MIN_DOCS rows (all of swapped rows besides), the rows' matrix, and that of what a swap changes."""
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    kinds, col, n = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.full(len(kinds), -1)
-    place[n >= MIN_DOCS] = np.arange(int((n >= MIN_DOCS).sum()))
-    kept, col = kinds[n >= MIN_DOCS], place[col]
-    x = Ragged(np.repeat(np.arange(len(ids)), lens)[col >= 0], col[col >= 0], len(ids), len(kept))
+    kinds, n = np.unique(flat, return_counts=True)
+    kept = kinds[n >= MIN_DOCS]
+    col = np.full(len(flat), -1, np.int32)
+    for k in range(0, len(flat) if len(kept) else 0, 1 << 20):
+        part = flat[k : k + (1 << 20)]
+        at = np.minimum(np.searchsorted(kept, part), len(kept) - 1)
+        col[k : k + (1 << 20)] = np.where(kept[at] == part, at, -1)
+    x = Ragged(np.repeat(np.arange(len(ids), dtype=np.int32), lens)[col >= 0], col[col >= 0], len(ids), len(kept))
     row, where, value, rows = [], [], [], 0
     for a, b in zip(ids, swapped, strict=True):
         if len(b):
@@ -195,6 +198,11 @@ def matrices(ids: list[np.ndarray], swapped: list[np.ndarray]) -> tuple[np.ndarr
     return kept, x, Ragged(join(row, np.int64), join(where, np.int64), rows, len(kept), join(value, np.float64))
 
 
+def ragged_rows(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, off = np.asarray(lists.values).view(np.uint32), np.asarray(lists.offsets)
+    return [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """``labels``: the rows that may be learned from."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
@@ -224,26 +232,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for batch in batches:
             ids, swapped = [], []
+            packed = lambda found: np.array(found, np.uint32).view(np.int32)
             for text in batch.column("text").to_pylist():
                 words = words_of(text.decode("utf-8", "replace"))
-                ids.append(features(words))
-                swapped.append(features({terms.get(w, w) for w in words}) if words & terms.keys() else [])
+                ids.append(packed(features(words)))
+                swapped.append(packed(features({terms.get(w, w) for w in words}) if words & terms.keys() else []))
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(ids, kind), pa.array(swapped, kind)], ["y", "ids", "swapped"])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("place"), pa.array(ids, kind), pa.array(swapped, kind)], ["y", "place", "ids", "swapped"])
 
     # the labels drawn are MAX_ROWS rows: small enough to broadcast, and to fit on one machine
-    sample = texts.join(F.broadcast(picked), "id").select("y", "text").mapInArrow(bags, "y int, ids array<long>, swapped array<long>")
+    sample = texts.join(F.broadcast(picked), "id").select("y", F.xxhash64("id", "text").alias("place"), "text").mapInArrow(bags, "y int, place long, ids array<int>, swapped array<int>")
     got = cut(sample).toArrow()
     y = np.asarray(got.column("y").combine_chunks()).astype(np.float64)
     n1, n = y.sum(), len(y)
     if not n1 or n1 == n:
         return ToxicityModel({}, float(np.log(max(n1, 0.5) / max(n - n1, 0.5))))
-    rows_of = lambda name: [np.asarray(x.values).astype(np.uint32) if x.is_valid else np.zeros(0, np.uint32) for x in got.column(name)]
-    ids, swapped = rows_of("ids"), rows_of("swapped")
-    order = sorted(range(n), key=lambda k: (y[k], ids[k].tobytes()))  # the same sums on every run
+    order = np.argsort(np.asarray(got.column("place").combine_chunks()), kind="stable")  # the same sums on every run
+    ids, swapped = (ragged_rows(got.column(c).combine_chunks()) for c in ("ids", "swapped"))
+    del got
     kept, x, moved = matrices([ids[k] for k in order], [swapped[k] for k in order])
+    del ids, swapped
     w, b = train_matrix(x, moved, y[order])
     if not w.any():  # nothing tells the classes apart
         b = np.log(toxic / (total - toxic))
