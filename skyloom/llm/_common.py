@@ -21,13 +21,15 @@ BLOCK_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names
-    one; a temporary folder only where nothing is set (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one; a
+    temporary folder only where nothing is set and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='skyloom-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -52,7 +54,8 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: at most BATCH_ROWS of them in an Arrow batch, unless the session already asks for less."""
+    """Texts are long: at most BATCH_ROWS of them in an Arrow batch, unless the session already asks for less.
+    The setting is the session's and stays, as plans are run after the call that makes them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
@@ -117,8 +120,19 @@ def ragged_take(flat: np.ndarray, off: np.ndarray, idx: np.ndarray) -> tuple[np.
     return flat[where], out
 
 
+def readable(texts: pa.Array) -> pa.Array:
+    """Texts, or their UTF-8 bytes, as strings; bytes that are no UTF-8 become U+FFFD."""
+    raw = texts.cast(pa.binary())
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t if t is None else t.decode("utf-8", "replace") for t in raw.to_pylist()], pa.string())
+
+
 def binary_array(data: np.ndarray, off: np.ndarray) -> pa.Array:
     """An Arrow binary column of the byte ranges ``off`` of ``data`` without a copy per row."""
+    if len(off) and off[-1] >= 1 << 31:
+        raise ValueError("a row of 2 GB or more does not fit a binary column")
     data = np.ascontiguousarray(data).view(np.uint8)
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
 

@@ -6,7 +6,7 @@ applied in ascending order: all positions of the lowest rank merge at once, neig
 only their lists change. Pre-tokens do not touch each other, so the lowest rank of the whole block is also
 the lowest of each pre-token in which it occurs; the result equals merging pre-token by pre-token.
 
-Defined results: null and empty texts give no ids and an empty decoded text; a special token's string in a
+Defined results: null and empty texts give no ids and an empty decoded text; bytes that are no UTF-8 count as U+FFFD; a special token's string in a
 text becomes its id; repeated rows are encoded row by row; extra columns are not read.
 """
 
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, binary_array, blocks, id_and_text, ragged_take
+from ._common import Interner, binary_array, blocks, id_and_text, ragged_take, readable
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -282,7 +282,7 @@ def block_encoder(path: str) -> BlockEncoder:
 
 
 def text_array(table: pa.Table) -> pa.Array:
-    return table.column("text").combine_chunks().cast(pa.string())
+    return readable(table.column("text").combine_chunks())
 
 
 def _pass(path: str, decoded: bool):

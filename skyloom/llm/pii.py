@@ -8,7 +8,7 @@ labelled table (``labelled_table``; another can be given) and decoded by Viterbi
 Only stretches of words that can hold a label other than O are decoded: a bound on the gain of every
 stretch over all-O shows for all others that Viterbi would give O, so this changes no result.
 
-Defined results: null and empty texts have no span; spans are in code points, end exclusive; repeated rows are
+Defined results: null and empty texts have no span; bytes that are no UTF-8 count as U+FFFD; spans are in code points, end exclusive; repeated rows are
 treated row by row; extra columns are not read.
 """
 
@@ -18,6 +18,7 @@ import functools
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, blocks, bounded_batches, id_and_text, trimmed
+from ._common import Interner, blocks, bounded_batches, id_and_text, readable, trimmed
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -80,7 +81,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", word[:80])))[:24]
+    """Letters as a, digits as 9, runs of one character as one; of long shapes a part and a hash of the whole."""
+    out = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", word)), flags=re.DOTALL)
+    return out if len(out) <= 24 else f"{out[:24]} {zlib.crc32(out.encode('utf-8', 'replace'))}"
 
 
 def bucket(n: int) -> int:
@@ -409,7 +412,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf:
     def run(batches):
         finder = Finder(shared.value)
         for table in blocks(batches, 4 << 20):
-            texts = table.column("text").combine_chunks().cast(pa.string())
+            texts = readable(table.column("text").combine_chunks())
             base = [base_spans(t) for t in texts.to_pylist()]
             every = [merge_spans(b, m) for b, m in zip(base, finder.find(texts), strict=True)]
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(4)]
@@ -438,7 +441,7 @@ def redact(docs: DataFrame, text_col: str = "text", crf: Crf | None = None) -> D
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                texts = part.column(at).to_pylist()
+                texts = readable(part.column(at)).to_pylist()
                 some = pa.array([t or "" for t in texts], pa.string())
                 new = [t if t is None else clean(t, merge_spans(base_spans(t), m)) for t, m in zip(texts, finder.find(some), strict=True)]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
