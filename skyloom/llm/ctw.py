@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, blocks, cut
+from ._common import Interner, blocks, bounded_batches, cut
 from .langid import fold
 
 DEPTH, HEAD_WORDS, CACHE_WORDS = 4, 200_000, 300_000
@@ -307,6 +307,19 @@ def _score(shared):
     return run
 
 
+def head_count(words: DataFrame) -> float:
+    """The least count that HEAD_WORDS words at most reach, to a sixteenth of a power of two; from a histogram."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    bars = sorted((r["level"], r["k"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect())  # 1,024 rows at most
+    held, least = 0, float("inf")
+    for at, k in reversed(bars):
+        held += k
+        if held > HEAD_WORDS:
+            break
+        least = 2 ** (at / 16) * (1 - 1e-12)
+    return least
+
+
 def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
     """(row id, n_tokens, n_known, train_tokens long, base_score, score double) of every whole text; ``train``
     is the condition on rows to learn from, ``class_col`` names their classes.
@@ -316,6 +329,7 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     named = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), train.alias("train"), named.alias("name"))
     sizes = rows.filter("train").groupBy("name").agg(F.count("*").alias("n"))
     kinds = sizes.orderBy(F.desc("n"), "name").collect()  # a row a class
@@ -327,7 +341,7 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     trees = fit_trees(words, classes)
     words = words.groupBy("word").agg(F.sum("n").alias("n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = words.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
+    listed = words.filter(F.col("n") >= head_count(words)).toArrow()  # HEAD_WORDS at most
     head = dict(zip(listed.column("word").to_pylist(), listed.column("n").to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast((trees, shares, head))  # HEAD_WORDS words, all counts of the trees
     scored = rows.select("id", "text").mapInArrow(_score(shared), f"id {kind}, n_tokens long, head_known long, head_log double, score double, tail array<struct<word binary, k long>>")
