@@ -2,13 +2,15 @@
 
 Rules count words, symbols, repeated lines and repeated five-word windows of each whole text. Then, per
 language and source, the minimum covariance determinant of the transformed statistics (log words, log word
-length, log share of symbols, log share of repeated lines) is approached by concentration steps: mean and
-covariance of the half of the rows that lie nearest under the last estimate, from medians and absolute
-deviations on. A row is rejected beyond CUTOFF of squared Mahalanobis distance.
+length, log share of symbols, log share of repeated lines) is sought by concentration steps: mean and covariance
+of the half of the rows that lie nearest under the last estimate. They start from three robust scatters (absolute
+deviations from medians; hyperbolic tangents and spatial signs of the standardised statistics), and of the three
+ends the one of least determinant is taken. Distances are scaled so that half of a group lies within the median
+of a chi-square variable; a row is rejected beyond CUTOFF, its 0.999 quantile.
 
 All steps are aggregations with partial sums. Halves are found by histograms (BIN wide), not by sorting, so that
-a group of any size is no task's burden. Variances have floors (FLOORS), so that a statistic that is constant in
-most of a group does not reject every other value.
+a group of any size is no task's burden. Standard deviations are FLOORS at least, so that a statistic that is
+constant in most of a group does not reject every other value.
 
 Defined results: null, empty and blank texts have no words and fail the base rule; null languages and sources
 are groups of their own; repeated rows count each; extra columns are not read. A group of fewer than POOL_ROWS
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 
 from ._common import cut
 
-STEPS, BIN, POOL_ROWS, CUTOFF, BROADCAST_GROUPS = 4, 0.02, 50, 60.0, 100_000
+STEPS, BIN, POOL_ROWS, BROADCAST_GROUPS = 4, 0.02, 50, 100_000
 #: Standard deviations at least, of each statistic.
 FLOORS = (0.9, 0.12, 0.25, 0.5)
-#: The median of a chi-square variable with four degrees of freedom.
-CHI_HALF = 3.3567
+#: The median and the 0.999 quantile of a chi-square variable with four degrees of freedom.
+CHI_HALF, CUTOFF = 3.3567, 18.467
 DIM = len(FLOORS)
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r"
@@ -90,8 +92,7 @@ def wide(points: DataFrame, keys: list[str], name: str, scale: float) -> DataFra
     return points.groupBy(*keys).agg(*cols)
 
 
-def squared(v: list[Column], m: list[Column], c: list[list[Column]]) -> Column:
-    """Squared Mahalanobis distance, by forward substitution in the Cholesky factor of c."""
+def cholesky(c: list[list[Column]]) -> list[list[Column]]:
     low: list[list[Column]] = [[None] * DIM for _ in range(DIM)]
     for i in range(DIM):
         for j in range(i + 1):
@@ -99,6 +100,15 @@ def squared(v: list[Column], m: list[Column], c: list[list[Column]]) -> Column:
             for k in range(j):
                 rest = rest - low[i][k] * low[j][k]
             low[i][j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / low[j][j]
+    return low
+
+
+def matrix() -> list[list[Column]]:
+    return [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(DIM)] for i in range(DIM)]
+
+
+def squared(v: list[Column], m: list[Column], low: list[list[Column]]) -> Column:
+    """Squared Mahalanobis distance, by forward substitution in the Cholesky factor."""
     y: list[Column] = []
     for i in range(DIM):
         rest = v[i] - m[i]
@@ -114,26 +124,49 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
+def factored(estimate: DataFrame) -> DataFrame:
+    """``estimate`` with the Cholesky factor l00.. in the place of the covariance: worked out once a group."""
+    low = cholesky(matrix())
+    keep = [c for c in estimate.columns if not (c[0] == "c" and c[1:].isdigit())]
+    return estimate.select(*keep, *[low[i][j].alias(f"l{i}{j}") for i in range(DIM) for j in range(i + 1)])
+
+
 def distances(rows: DataFrame, estimate: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` with d2 under the estimate of their group."""
+    """``rows`` with d2 under the factored estimate of their group."""
     v = [F.col(f"v{k}") for k in range(DIM)]
     m = [F.col(f"m{k}") for k in range(DIM)]
-    c = [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(DIM)] for i in range(DIM)]
-    names = [x for x in estimate.columns if x not in keys]
-    return rows.join(small(estimate), keys, how).withColumn("d2", squared(v, m, c)).drop(*names)
+    low = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(DIM)]
+    names = [x for x in estimate.columns if x not in (*keys, "start")]
+    return rows.join(small(estimate), keys, how).withColumn("d2", squared(v, m, low)).drop(*names)
 
 
-def covariance(rows: DataFrame, keys: list[str], scale: Column | float) -> DataFrame:
-    """(keys, n, m0.., c00..): mean and covariance, times ``scale``, with the floors added."""
+def covariance(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m0.., c00..): mean and covariance; variances are those of FLOORS at least."""
     v = [F.col(f"v{k}") for k in range(DIM)]
-    sums = [F.count("*").alias("n"), *[F.avg(v[k]).alias(f"m{k}") for k in range(DIM)]]
+    sums = [F.avg(v[k]).alias(f"m{k}") for k in range(DIM)]
     sums += [F.covar_pop(v[i], v[j]).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(*sums)
-    for i in range(DIM):
-        for j in range(i + 1):
-            value = F.col(f"c{i}{j}") * scale
-            out = out.withColumn(f"c{i}{j}", F.greatest(value, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else value)
-    return out
+    return floored(rows.groupBy(*keys).agg(*sums))
+
+
+def floored(estimate: DataFrame) -> DataFrame:
+    return estimate.withColumns({f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOORS[i] ** 2)) for i in range(DIM)})
+
+
+def starts(good: DataFrame, middle: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, m0.., c00..): three scatters about the medians (columns m and s of ``middle``)."""
+    z = [(F.col(f"v{k}") - F.col(f"m{k}")) / F.greatest(F.col(f"s{k}"), F.lit(FLOORS[k])) for k in range(DIM)]
+    norm = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    sides = {1: [F.tanh(x) for x in z], 2: [x / norm for x in z]}
+    joined = good.join(small(middle), keys)
+    sums = [F.avg(t[i] * t[j]).alias(f"a{s}{i}{j}") for s, t in sides.items() for i in range(DIM) for j in range(i + 1)]
+    moments = joined.groupBy(*keys).agg(*sums).join(small(middle), keys)
+    spread = [F.greatest(F.col(f"s{k}"), F.lit(FLOORS[k])) for k in range(DIM)]
+    each = []
+    for s in range(3):
+        c = [((F.lit(float(i == j)) if s == 0 else F.col(f"a{s}{i}{j}")) * spread[i] * spread[j]).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)]
+        each.append(F.struct(F.lit(s).alias("start"), *c))
+    wide = moments.select(*keys, *[f"m{k}" for k in range(DIM)], F.explode(F.array(*each)).alias("e"))
+    return wide.select(*keys, "e.start", *[f"m{k}" for k in range(DIM)], *[f"e.c{i}{j}" for i in range(DIM) for j in range(i + 1)])
 
 
 def pools(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -169,20 +202,17 @@ def verdicts(stats: DataFrame) -> DataFrame:
     near = good.join(small(middle), keys)
     off = near.select(*keys, F.posexplode(F.array(*[F.abs(F.col(f"v{k}") - F.col(f"m{k}")) for k in range(DIM)])).alias("d", "v"))
     spread = wide(half_point(off, [*keys, "d"], F.floor(F.col("v") / BIN)), keys, "s", 1.4826)
-    estimate = middle.join(spread, keys)
-    for i in range(DIM):
-        for j in range(i + 1):
-            estimate = estimate.withColumn(f"c{i}{j}", F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0))
-    estimate = cut(estimate.drop(*[f"s{k}" for k in range(DIM)]))
+    middle = cut(middle.join(spread, keys))
     level = lambda: F.floor(F.log1p("d2") / BIN)
+    estimate, ways = cut(factored(starts(good, middle, keys))), [*keys, "start"]
     for _ in range(STEPS):
-        measured = distances(good, estimate, keys)
-        limit = cut(half_point(measured, keys, level()))
-        inner = measured.join(small(limit), keys).filter(level() <= F.col("bin"))
-        # the nearer half of a normal sample has less spread than the whole: its largest distance tells how much
-        estimate = cut(covariance(inner, keys, 1.0).drop("n"))
-    measured = distances(good, estimate, keys)
-    limit = half_point(measured, keys, level())
+        measured = distances(good, estimate, keys)  # a row for each start
+        limit = cut(half_point(measured, ways, level()))
+        estimate = cut(factored(covariance(measured.join(small(limit), ways).filter(level() <= F.col("bin")), ways)))
+    size = F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")
+    least = Window.partitionBy(*keys).orderBy(size, "start")
+    estimate = cut(estimate.withColumn("place", F.row_number().over(least)).filter("place = 1").drop("place", "start"))
+    limit = half_point(distances(good, estimate, keys), keys, level())
     ratio = F.greatest(F.lit(1.0), F.expm1((F.col("bin") + 1) * BIN) / CHI_HALF)
     # a floor is no spread that was measured, so it is not scaled: d2 is divided as a whole
     factor = cut(limit.select(*keys, ratio.alias("ratio")))
