@@ -5,26 +5,27 @@ A known word scores by its log frequency in each language. An unseen word backs
 single letters. A text's score is the sum over its words.
 
 The model is fitted on a bounded sample: DOCS_PER_LANG documents of each language in expectation, chosen by
-a hash of the id, and keeps the MAX_WORDS most frequent words and MAX_GRAMS n-grams of each order.
+a hash of the id, and keeps every word and n-gram of them, by 64-bit hashes.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from
-every text is ``und``; ties go to the language first in alphabetical order; extra columns are not read.
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; bytes that
+are no UTF-8 count as U+FFFD; with nothing to learn from every text is ``und``; ties go to the language first in
+alphabetical order; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, blocks
+from ._common import Interner, blocks, bounded_batches
 
-DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, ORDERS = 3000, 60_000, 20_000, (5, 4, 3, 2, 1)
+DOCS_PER_LANG, ORDERS = 3000, (5, 4, 3, 2, 1)
 SMOOTH = 0.5
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 CACHE_TOKENS = 400_000
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -55,19 +56,22 @@ def gram_hashes(codes: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
     return h[inside], word[: len(h)][inside]
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+
+
 class LangModel:
-    def __init__(self, langs: list[str], words: list[tuple[str, list[int]]], grams: dict[int, list[tuple[int, list[int]]]]):
+    """``tables``: of words (0) and of n-grams of each order n, ascending hashes and their counts a language."""
+
+    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        self.words = {w: i for i, (w, _) in enumerate(words)}
-        self.word_scores = self.scores([c for _, c in words])
-        self.tables = {}
-        for n, rows in grams.items():
-            rows = sorted(rows)
-            self.tables[n] = (np.array([h for h, _ in rows], np.uint64), self.scores([c for _, c in rows]))
-
-    def scores(self, counts: list[list[int]]) -> np.ndarray:
-        c = np.array(counts, np.float64).reshape(len(counts), len(self.langs)) + SMOOTH
-        logs = np.log(c / c.sum(0)) if len(c) else c
+        self.tables = {n: (keys, self.scores(counts)) for n, (keys, counts) in tables.items()}
+
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        if not len(counts):
+            return np.zeros((0, len(self.langs)), np.float32)
+        c = counts + SMOOTH
+        logs = np.log(c / c.sum(0))
         return (logs - logs.mean(1, keepdims=True)).astype(np.float32)  # what all languages share tells nothing
 
     def backoff(self, words: list[str]) -> np.ndarray:
@@ -89,11 +93,15 @@ class LangModel:
         return out
 
     def score_words(self, words: list[str]) -> np.ndarray:
-        where = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        known = where >= 0
-        out[known] = self.word_scores[where[known]]
-        unseen = np.flatnonzero(~known)
+        unseen = np.arange(len(words))
+        keys, table = self.tables.get(0, (np.zeros(0, np.uint64), out))
+        if len(keys):
+            h = word_hashes(words)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = keys[at] == h
+            out[known] = table[at[known]]
+            unseen = np.flatnonzero(~known)
         if len(unseen):
             out[unseen] = self.backoff([words[i] for i in unseen.tolist()])
         return out
@@ -123,7 +131,7 @@ class Predictor:
             words = Interner()
             owner, member = [], []
             for i, token in enumerate(fresh):
-                for w in (token,) if token.isalpha() else LETTERS.findall(token):
+                for w in LETTERS.findall(token):
                     owner.append(i)
                     member.append(words[w])
             scores = self.model.score_words(list(words))
@@ -152,60 +160,64 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
-        return LangModel([], [], {})
+        return LangModel([], {})
+    bounded_batches(train.sparkSession)
     share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(1.0, DOCS_PER_LANG / sizes[l])))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.filter((draw < share[F.col("lang")]) & F.col("text").isNotNull())
 
     def features(batches):
-        counts: dict[tuple[int, str], np.ndarray] = {}
-        grams: dict[tuple[int, int], np.ndarray] = {}
+        place = {lang: k for k, lang in enumerate(langs)}
+        words = Interner()
+        number = words.__getitem__
+        seen: list[tuple[np.ndarray, np.ndarray]] = []  # words' numbers * languages + language, and counts
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                k = langs.index(lang)
-                seen: dict[str, int] = {}
-                for w in LETTERS.findall(text.lower()):
-                    seen[w] = seen.get(w, 0) + 1
-                for w, c in seen.items():
-                    if (row := counts.get(w)) is None:
-                        row = counts[w] = np.zeros(len(langs), np.int64)
-                    row[k] += c
-        words = list(counts)
-        table = np.array([counts[w] for w in words], np.int64).reshape(-1, len(langs))
+                found = LETTERS.findall(text.decode("utf-8", "replace").lower())
+                ids, n = np.unique(np.fromiter(map(number, found), np.int64, len(found)), return_counts=True)
+                seen.append((ids * len(langs) + place[lang], n))
+            seen = [tally(seen)]
         if not words:
             return
-        out = [(0, w, 0, c.tolist()) for w, c in zip(words, table, strict=True)]
-        codes, off = gram_codes(words)
-        for n in ORDERS:
-            h, word = gram_hashes(codes, off, n)
+        at, n = tally(seen)
+        table = np.zeros((len(words), len(langs)), np.int64)
+        table.reshape(-1)[at] = n
+        names = list(words)
+        codes, off = gram_codes(names)
+        for kind in (0, *ORDERS):
+            h, word = (word_hashes(names), np.arange(len(names))) if kind == 0 else gram_hashes(codes, off, kind)
             keys, inverse = np.unique(h, return_inverse=True)
             sums = np.stack([np.bincount(inverse, table[word, k], len(keys)) for k in range(len(langs))], 1).astype(np.int64)
-            out += [(n, "", int(x), c.tolist()) for x, c in zip(keys.view(np.int64), sums, strict=True)]
-        for a in range(0, len(out), 20000):
-            part = out[a : a + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], ["kind", "word", "hash", "counts"])
+            for a in range(0, len(keys), 20_000):
+                part, some = keys[a : a + 20_000].view(np.int64), sums[a : a + 20_000]
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(langs), pa.int32()), pa.array(some.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part), counts], ["kind", "hash", "counts"])
 
-    got = sample.select("lang", "text").mapInArrow(features, "kind long, word string, hash long, counts array<long>")
+    got = sample.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(features, "kind long, hash long, counts array<long>")
     sums = [F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(len(langs))]
-    table = got.groupBy("kind", "word", "hash").agg(*sums).withColumn("n", sum((F.col(f"c{k}") for k in range(len(langs))), F.lit(0)))
-    best = None
-    for kind, most in ((0, MAX_WORDS), *((n, MAX_GRAMS) for n in ORDERS)):
-        top = table.filter((F.col("kind") == kind) & (F.col("n") >= 2)).orderBy(F.desc("n"), "word", "hash").limit(most)
-        best = top if best is None else best.unionByName(top)
-    words, grams = [], {n: [] for n in ORDERS}
-    for r in best.toLocalIterator():
-        c = [r[f"c{k}"] for k in range(len(langs))]
-        if r["kind"] == 0:
-            words.append((r["word"], c))
-        else:
-            grams[r["kind"]].append((r["hash"] % 2**64, c))
-    return LangModel(langs, words, grams)
+    table = got.groupBy("kind", "hash").agg(*sums).toArrow()  # the words and n-grams of the sample
+    kind, keys = np.asarray(table.column("kind")), np.asarray(table.column("hash")).view(np.uint64)
+    counts = np.stack([np.asarray(table.column(f"c{k}")) for k in range(len(langs))], 1).astype(np.float64)
+    tables = {}
+    for n in (0, *ORDERS):
+        mine = np.flatnonzero(kind == n)
+        mine = mine[np.argsort(keys[mine])]
+        tables[n] = keys[mine], counts[mine]
+    return LangModel(langs, tables)
+
+
+def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and their counts, summed."""
+    at, inverse = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+    return at, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(at)).astype(np.int64)
 
 
 def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text; one narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS + 5 * MAX_GRAMS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of the sample
+
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         predictor = Predictor(shared.value)
