@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import blocks, id_and_text, new_folder
@@ -103,11 +103,12 @@ def _edge(ids: pa.Array, part: int, edge: int, text: str) -> pa.RecordBatch:
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text (see ``edited``; the following document is the
-    next in descending id, after the last the first; ties in the order of their texts, null ids last) with
+    next in descending id, after the last the first; ties in the order of a hash of the text, null ids last) with
     the likeness of the text's fingerprint to the edited one and to the following document's.
 
     One shuffle, by ranges of the id. A partition does all its documents but the last, whose successor is in
-    another partition; these edges (two rows a partition) are joined in a small second step."""
+    another partition; these edges (two rows a partition) are joined in a small second step. The rows stand in a
+    folder beside the checkpoints, which is left to whoever clears these."""
     from pyspark import TaskContext
 
     spark = docs.sparkSession
@@ -131,18 +132,22 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _edge(held_id, part, 1, held)
 
     def close(frames):
-        rows = [(b.column("id").slice(i, 1), r) for b in frames for i, r in enumerate(b.to_pylist())]
-        rows.sort(key=lambda x: (x[1]["part"], x[1]["edge"]))
-        firsts, lasts = [x for x in rows if x[1]["edge"] == 0], [x for x in rows if x[1]["edge"] == 1]
-        for k, (ids, last) in enumerate(lasts):
-            yield _rows(ids, [last["text"]], firsts[(k + 1) % len(firsts)][1]["text"])
-
-    order = F.col("id").desc_nulls_last()
-    dealt = id_and_text(docs, id_col, text_col)
-    dealt = dealt.repartitionByRange(partitions, order) if partitions else dealt.repartitionByRange(order)
+        for batch in frames:
+            for k, (text, following) in enumerate(zip(batch.column("text").to_pylist(), batch.column("following").to_pylist(), strict=True)):
+                yield _rows(batch.column("id").slice(k, 1), [text], following)
+
+    # rows that share an id, null ids above all, may be many: ranges divide them by text hash and origin
+    order = [F.col("id").desc_nulls_last(), F.col("hash"), F.col("origin")]
+    dealt = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")).withColumn("origin", F.spark_partition_id())
+    dealt = dealt.repartitionByRange(partitions, *order) if partitions else dealt.repartitionByRange(*order)
     folder = new_folder(spark, "edits")
-    dealt.sortWithinPartitions(order, "text").mapInArrow(run, schema).write.parquet(folder)
+    dealt.sortWithinPartitions(*order[:2], "text").select("id", "text").mapInArrow(run, schema).write.parquet(folder)
     done = spark.read.parquet(folder)
-    edges = done.filter(F.col("edge").isNotNull()).coalesce(1).mapInArrow(close, schema)  # two rows a partition
-    out = done.filter(F.col("edge").isNull()).unionByName(edges)
+    edges = done.filter(F.col("edge").isNotNull()).select("id", "part", "edge", "text")  # two rows a partition
+    firsts, lasts = edges.filter("edge = 0"), edges.filter("edge = 1")
+    numbers = Window.orderBy("part")  # of partitions that are not empty: numbers alone
+    ring = firsts.select("part", F.coalesce(F.lead("part").over(numbers), F.min("part").over(numbers)).alias("next"))
+    pairs = lasts.join(ring, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
+    closed = pairs.select("id", "text", "following").mapInArrow(close, schema)
+    out = done.filter(F.col("edge").isNull()).unionByName(closed)
     return out.drop("part", "edge", "text").withColumnRenamed("id", id_col)
