@@ -7,16 +7,19 @@ Layout of a store, all in one folder:
 * ``shard-NNNNN.mph``: the index, see ``HashIndex``: key -> slot in constant time, and per slot a 32-bit
   fingerprint of the key and the number of its first record, with the offset of every record in ids.
 * ``shard-NNNNN.keys``: the document keys in order, as an Arrow file, to list a shard.
-* ``manifest.json``: per shard its documents, ids and first key.
+* ``manifest.json``: per shard its documents, ids, first and last key, in order: a lookup finds its shard by
+  bisection.
 
 A task writes under a name of its own and renames when whole, so a task that runs twice leaves one file.
 
 Defined results: null and empty texts hold only the end id; rows with a null key come first and can be
-listed but not looked up; rows that share a key lie side by side and a lookup returns all of them.
+listed but not looked up; rows that share a key follow each other in the order of a hash of their texts, over
+several shards where they are many, and a lookup returns all of them; bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import os
@@ -26,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,7 +228,7 @@ def _write_shards(folder: str, path: str, end_id: int | None, dtype: str):
                 w.write_table(batch)
 
         put(fs, f"{name}.keys", arrow)
-        yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "docs": [len(lens)], "ids": [int(offsets[-1])], "first": [int(uniq[0]) if len(uniq) else None], "last": [int(uniq[-1]) if len(uniq) else None]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "docs": [len(lens)], "ids": [int(offsets[-1])], "first": [str(column[int(held[0])]) if len(held) else None], "last": [str(column[-1]) if len(held) else None]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.string()), ("last", pa.string())]))
 
     return run
 
@@ -240,8 +244,11 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     key = F.col("id").cast("long") if whole else F.when(F.col("id").isNotNull(), F.xxhash64("id"))
     n = docs.select(id_col).count()
     shards = max(1, min(MAX_SHARDS, -(-n // rows_per_shard)))
-    dealt = id_and_text(docs, id_col, text_col).withColumn("key", key).repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    rows = dealt.mapInArrow(_write_shards(folder, path, end_id, dtype), "shard long, docs long, ids long, first long, last long").collect()  # a row for each shard, MAX_SHARDS at most
+    # rows that share an id, null ids above all, may be many: ranges divide them by text hash and origin
+    order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("origin")]
+    dealt = id_and_text(docs, id_col, text_col).withColumn("key", key).withColumn("hash", F.xxhash64("text")).withColumn("origin", F.spark_partition_id())
+    dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order[:2], "text").select("id", "text", "key")
+    rows = dealt.mapInArrow(_write_shards(folder, path, end_id, dtype), "shard long, docs long, ids long, first string, last string").collect()  # a row for each shard, MAX_SHARDS at most
     manifest = [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]
     start = 0
     for m in manifest:
@@ -297,32 +304,39 @@ def read_shards(spark: SparkSession, folder: str, id_type: str = "bigint", diges
 
 
 class TokenStore:
-    """Keyed access to a written store: ``get(key)`` opens one shard, hashes once and reads one range."""
+    """Keyed access to a written store: ``get(key)`` finds a shard by bisection, hashes once and reads one range.
+    Keys are integers, or strings in the order of their UTF-8 bytes."""
 
     def __init__(self, folder: str):
         self.fs, self.root = filesystem(folder)
         with self.fs.open_input_stream(f"{self.root}/manifest.json") as f:
             spec = json.loads(f.read())
         self.ordered, self.dtype, self.manifest = spec["ordered"], np.dtype(spec["dtype"]), [m for m in spec["shards"] if m["first"] is not None]
+        self.firsts, self.lasts = ([self.place(m[end]) for m in self.manifest] for end in ("first", "last"))
         self.index = functools.lru_cache(maxsize=64)(self._index)
 
+    def place(self, key: int | str) -> int | bytes:
+        """What the order of the shards goes by."""
+        return int(key) if self.ordered else str(key).encode("utf-8", "replace")
+
     def _index(self, shard: int) -> HashIndex:
         with self.fs.open_input_stream(f"{self.root}/shard-{shard:05d}.mph") as f:
             return HashIndex.load(f.read())
 
-    def get(self, key: int) -> list[np.ndarray]:
+    def get(self, key: int | str) -> list[np.ndarray]:
         """The ids of every document with this key: none for a foreign key, but with probability 2**-32 a
         hash index takes a foreign key for one of its own."""
-        for m in self.manifest:
-            if m["first"] <= key <= m["last"]:
-                index = self.index(m["shard"])
-                row, count = index.find(np.array([key]))[0]
-                if count:
-                    lo, hi = index.offsets[row], index.offsets[row + count]
-                    with self.fs.open_input_file(f"{self.root}/shard-{m['shard']:05d}.ids") as f:
-                        f.seek(int(lo) * self.dtype.itemsize)
-                        ids = np.frombuffer(f.read(int(hi - lo) * self.dtype.itemsize), self.dtype)
-                    return np.split(ids, (index.offsets[row + 1 : row + count] - lo).tolist())
-                if self.ordered:
-                    return []
-        return []
+        place, out = self.place(key), []
+        held = place if self.ordered else xxhash.xxh64_intdigest(place, seed=42)  # as Spark's xxhash64
+        held = held - (1 << 64) if held >= 1 << 63 else held
+        for k in range(bisect.bisect_left(self.lasts, place), bisect.bisect_right(self.firsts, place)):
+            shard = self.manifest[k]["shard"]
+            index = self.index(shard)
+            row, count = index.find(np.array([held]))[0]
+            if count:
+                lo, hi = index.offsets[row], index.offsets[row + count]
+                with self.fs.open_input_file(f"{self.root}/shard-{shard:05d}.ids") as f:
+                    f.seek(int(lo) * self.dtype.itemsize)
+                    ids = np.frombuffer(f.read(int(hi - lo) * self.dtype.itemsize), self.dtype)
+                out += np.split(ids, (index.offsets[row + 1 : row + count] - lo).tolist())
+        return out
