@@ -94,14 +94,30 @@ ORACLE_SQL: dict[str, str] = {
             SELECT source, k + 1, p * l / (k + 1), s + p * l / (k + 1), l FROM cdf WHERE k < 120),
         drawn AS (
             SELECT d.*, r.rate, j.j,
-                CAST(('0x' || substr(md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j.j), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+                CAST(('0x' || substr(md5('1:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j.j || ':' || md5(coalesce(d.text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
             FROM documents d JOIN parted r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.parts + 1)) AS j) j),
         counted AS (
             SELECT w.doc_id, w.text, w.lang, w.source, w.n_chars, w.rate, w.j, count(c.k) AS c
             FROM drawn w LEFT JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.s <= w.u GROUP BY ALL),
         copies AS (SELECT doc_id, text, lang, source, n_chars, rate, CAST(sum(c) AS BIGINT) AS copies FROM counted GROUP BY ALL)
         SELECT doc_id, text, lang, source, n_chars, rate, CAST(copy AS INTEGER) AS copy,
-            md5('1 order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key
+            md5('1 order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy || ':' || md5(coalesce(text, ''))) AS shuffle_key
         FROM copies, LATERAL (SELECT unnest(range(0, copies)) AS copy)
     """,
+    "op10_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS words FROM documents),
+        sh AS MATERIALIZED (
+            SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 3], ' ')) AS s
+            FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i) WHERE len(words) > 0),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (
+            SELECT i, j FROM met JOIN sizes x ON x.doc_id = i JOIN sizes y ON y.doc_id = j WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        both_ways AS MATERIALIZED (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+        reach AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON b.i = r.j),
+        least AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least ON least.i = d.doc_id
+    """,
 }

@@ -11,13 +11,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from skyloom.llm import bpe, ctw, langid, minhash, mixing, ngram_join, outliers, pii, queries, tokenstore, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Columns of the input that bear the names of outputs and inner columns.
-CLASH = ("id", "n", "n_tokens", "ids", "score", "rate", "copy", "shuffle_key", "kept", "d2", "fingerprint", "component_id", "rep", "block", "words", "class", "train", "row", "y", "base", "spans", "key", "g0", "v0")
+CLASH = ("id", "n", "parts", "cdf", "copies", "source_key", "source_null", "id_key", "text_key", "origin", "d", "hash", "label", "swapped", "part", "edge", "next", "following", "n_tokens", "ids", "score", "rate", "copy", "shuffle_key", "kept", "d2", "fingerprint", "component_id", "rep", "block", "words", "class", "train", "row", "y", "base", "spans", "key", "g0", "v0")
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,13 @@ def odd(spark):
     return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASH)])
 
 
+@pytest.fixture
+def whole_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="module")
 def labels(spark):
     return spark.createDataFrame([(40 + k, 1, k % 2) for k in range(30)] + [(41, 1, 1), (None, 1, 1), (42, 0, None)], "doc_id long, quality int, toxic int")
@@ -88,6 +96,33 @@ def test_store_odd_inputs(spark, odd, tmp_path):
     assert tokenstore.read_shards(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_store_string_keys(spark, tmp_path):
+    """String keys, a key repeated over several shards, and keys that are not there."""
+    rows = [(f"key é {k}", f"text number {k}") for k in range(60)] + [("hot", f"copy {k}") for k in range(40)] + [(None, "none")] * 5
+    folder = f"file://{tmp_path}/strings"
+    manifest = tokenstore.write_store(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), folder, rows_per_shard=9)
+    store, path = tokenstore.TokenStore(folder), bpe.tokenizer_path()
+    want = lambda t: [*tokenstore.LibraryEncoder(path).tokenizer.encode(t, add_special_tokens=False).ids, 0]
+    assert len(manifest) > 5
+    for k, t in rows[:60]:
+        assert [x.tolist() for x in store.get(k)] == [want(t)]
+    assert sorted(x.tolist() for x in store.get("hot")) == sorted(want(f"copy {k}") for k in range(40))
+    assert store.get("key") == [] and store.get("zzz") == [] and store.get("") == []
+
+
+def test_bytes_that_are_no_text(spark):
+    """Every operator takes them for U+FFFD; none fails."""
+    df = spark.createDataFrame([(1, "plain words"), (2, "mail a@b.org x")], "doc_id long, text string").selectExpr("doc_id", "concat(text, cast(x'ff20c3' as string)) as text", "'en' as lang", "'s' as source")
+    lab = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    want = {1: "plain words\ufffd \ufffd", 2: "mail a@b.org x\ufffd \ufffd"}
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(df)).collect()} == want
+    assert {r["doc_id"]: r["n_email"] for r in pii.detect(df).collect()} == {1: 0, 2: 1}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: want[1], 2: "mail [email] x\ufffd \ufffd"}
+    assert toxicity.accept(df, toxicity.fit(df, lab)).count() == 2  # nothing tells the two apart
+    for out in (langid.predict(df, langid.fit(df)), ctw.score_documents(df, F.lit(True)), minhash.edit_probe(df, partitions=2), outliers.judge(df), mixing.mix(df)):
+        assert len(out.select("doc_id").collect()) >= 0
+
+
 def test_bpe_equals_library():
     from tokenizers import Tokenizer
 
@@ -151,7 +186,44 @@ def test_langid(spark):
     model = langid.fit(docs)
     w = "zzqxjv"
     assert np.array_equal(model.score_words([w])[0], model.backoff([w])[0])
-    assert langid.Predictor(model).predict(["", "12 !?", None or ""])[0] == ["und"] * 3
+    assert langid.Predictor(model).predict(["", "12 !?", "½ ² Ⅷ"])[0] == ["und"] * 3
+
+
+def test_langid_brute(spark):
+    """The whole method in plain Python: word counts, and n-grams of distinct words weighted by their counts."""
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    split = lambda t: regex.findall(r"\p{L}+", t.lower())
+    langs = sorted({r["lang"] for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"]})
+    tables = {n: collections.defaultdict(lambda: [0] * len(langs)) for n in range(6)}
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] and r["text"]:
+            for w in split(r["text"]):
+                tables[0][w][langs.index(r["lang"])] += 1
+                for n in range(1, 6):
+                    for k in range(len(w) + 3 - n):
+                        tables[n][f"^{w}$"[k : k + n]][langs.index(r["lang"])] += 1
+    totals = {n: [sum(c[k] for c in t.values()) + langid.SMOOTH * len(t) for k in range(len(langs))] for n, t in tables.items()}
+
+    def logs(n, key):
+        raw = [math.log((c + langid.SMOOTH) / m) for c, m in zip(tables[n][key], totals[n], strict=True)]
+        return np.array(raw) - np.mean(raw)
+
+    def word(w):
+        if w in tables[0]:
+            return logs(0, w)
+        for n in (5, 4, 3, 2, 1):
+            hits = [g for k in range(len(w) + 3 - n) if (g := f"^{w}$"[k : k + n]) in tables[n]]
+            if hits:
+                return sum(logs(n, g) for g in hits) / n
+        return np.zeros(len(langs))
+
+    got = {r["doc_id"]: r for r in queries.op2_langid(spark, SF).collect()}
+    for r in docs:
+        words = split(r["text"] or "")
+        sums = sum((word(w) for w in words), np.zeros(len(langs)))
+        want = langs[int(sums.argmax())] if words else "und"
+        assert got[r["doc_id"]]["lang_pred"] == want
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp(sums - sums.max()).sum() if words else 0.0, abs=1e-3)
 
 
 def test_ctw_is_a_distribution(spark):
@@ -234,6 +306,70 @@ def test_mixing_rates(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7), {"a": 1.0, "b": 3.0, "none": 2.0}).collect()))
 
 
+def test_mixing_odd_rows(spark, odd, whole_partitions):
+    """Columns keep their values whatever their names; null and repeated ids are drawn by their texts."""
+    out = mixing.mix(odd)
+    plain = [c for c in odd.columns if c not in ("rate", "copy", "shuffle_key")]
+    before = {tuple(r) for r in odd.select(*plain).collect()}
+    assert {tuple(r) for r in out.select(*plain).collect()} <= before and out.columns == [*plain, "rate", "copy", "shuffle_key"]
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        docs = spark.range(2000).select(ids.alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+        got = mixing.mix(docs).repartition(3)
+        assert 1850 < got.count() < 2150
+    same = spark.range(0, 4000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("a").alias("source"))
+    sizes = [r["n"] for r in mixing.mix(same, seed=2).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 0 or len(sizes) > 1
+
+
+def test_toxicity_penalty_makes_the_gap_small(spark, monkeypatch):
+    """With the penalty a group's name moves a neutral text's score less than without it."""
+    r = random.Random(8)
+    words = [f"w{''.join(r.choice('abcdef') for _ in range(4))}" for _ in range(300)]
+    rows, labels = [], []
+    for k in range(900):
+        bad = k % 3 == 0
+        text = r.choices(words, k=15) + (["idiot"] if bad and r.random() < 0.6 else []) + (["women"] if r.random() < (0.8 if bad else 0.05) else [])
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def gap():
+        a, b = toxicity.fit(docs, lab).score(["the women here", "the men here"])
+        return a - b
+
+    fair = gap()
+    monkeypatch.setattr(toxicity, "PENALTY", 0.0)
+    assert gap() > 0.3 > fair
+
+
+def test_toxicity_fit_brute():
+    """The working sets end where no step from zero weights on all features would move any of them."""
+    r = np.random.default_rng(4)
+    n, cols = 300, 80
+    dense = (r.random((n, cols)) < 0.1).astype(float)
+    y = ((dense[:, 0] + dense[:, 1] > 0) ^ (r.random(n) < 0.05)).astype(float)
+    swapped = dense.copy()
+    swapped[:, 1], swapped[:, 2] = dense[:, 2], dense[:, 1]
+    rows = [np.flatnonzero(x).astype(np.uint32) for x in dense]
+    kept, x, moved = toxicity.matrices(rows, [np.flatnonzero(b).astype(np.uint32) if (a != b).any() else np.zeros(0, np.uint32) for a, b in zip(dense, swapped, strict=True)])
+    assert kept.tolist() == list(range(cols))
+    w, b = toxicity.train_matrix(x, moved, y)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    change = (dense - swapped)[(dense != swapped).any(1)]
+    g = dense.T @ (share * (1 / (1 + np.exp(-dense @ w - b)) - y)) + 2 * toxicity.PENALTY / n * change.T @ (change @ w)
+    assert np.abs(g[w == 0]).max(initial=0) < 1.1 * toxicity.SPARSITY
+    assert np.abs(g[w != 0] + toxicity.SPARSITY * np.sign(w[w != 0])).max() < 1e-3
+
+
+def test_toxicity_held_out(spark):
+    """0.5 is the working point on held-out labels of the larger table."""
+    big = SF.replace("sf0.001", "sf0.1")
+    got = {r["doc_id"]: r["predicted"] for r in queries.op6_toxicity(spark, big).filter("held_out").collect()}
+    labels = [(r["toxic"], got[r["doc_id"]]) for r in spark.read.parquet(f"{big}/labels.parquet").collect() if r["doc_id"] in got]
+    bad, good = [p for t, p in labels if t == 1], [p for t, p in labels if t == 0]
+    assert sum(bad) >= 0.88 * len(bad) and sum(good) <= 0.01 * len(good)
+
+
 def test_toxicity_learns_and_spares_groups(spark):
     r = random.Random(3)
     filler = [f"w{''.join(r.choice('abcdef') for _ in range(4))}" for _ in range(300)]
@@ -330,6 +466,43 @@ def test_outliers_found(spark):
     assert not any(got[1000 + k] for k in range(30)) and all(got[k] for k in range(400))
 
 
+def plain_outliers(v):
+    """Rejected rows of one group of vectors: the method in numpy, halves by the same histograms."""
+    def half(x):
+        bins, n = np.unique(np.floor(x / outliers.BIN), return_counts=True)
+        return bins[np.argmax(2 * np.cumsum(n) >= len(x))]
+
+    floor = np.array(outliers.FLOORS)
+    m = np.array([(half(x) + 0.5) * outliers.BIN for x in v.T])
+    s = np.maximum([(half(x) + 0.5) * outliers.BIN * 1.4826 for x in np.abs(v - m).T], floor)
+    z = (v - m) / s
+    sign = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    found = []
+    for start in (np.eye(4), np.tanh(z).T @ np.tanh(z) / len(z), sign.T @ sign / len(z)):
+        at, c = m, start * np.outer(s, s)
+        for _ in range(outliers.STEPS):
+            d2 = np.einsum("ni,ij,nj->n", v - at, np.linalg.inv(c), v - at)
+            inner = v[np.floor(np.log1p(d2) / outliers.BIN) <= half(np.log1p(d2))]
+            at, c = inner.mean(0), np.cov(inner.T, bias=True)
+            c[range(4), range(4)] = np.maximum(c.diagonal(), floor**2)
+        found.append((np.linalg.det(c), at, c))
+    _, at, c = min(found, key=lambda x: x[0])
+    d2 = np.einsum("ni,ij,nj->n", v - at, np.linalg.inv(c), v - at)
+    return d2 / max(1.0, np.expm1((half(np.log1p(d2)) + 1) * outliers.BIN) / outliers.CHI_HALF)
+
+
+def test_outliers_brute(spark):
+    """Verdicts of one group against numpy; the group is all documents of sf0.001."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit("x")).withColumn("source", F.lit("y"))
+    rows = outliers.judge(docs).collect()
+    good = [r for r in rows if not r["base_failed"]]
+    v = np.array([[math.log(r["n_words"]), math.log(r["word_chars"] / r["n_words"]), math.log1p(100 * r["n_symbols"] / r["word_chars"]), math.log1p(100 * r["n_dup_lines"] / r["n_words"])] for r in good])
+    want = plain_outliers(v)
+    assert np.allclose([r["d2"] for r in good], want, rtol=1e-6)
+    assert [r["kept"] for r in good] == (want <= outliers.CUTOFF).tolist()
+    assert 0 < (want > outliers.CUTOFF).sum() < len(good) / 2
+
+
 def test_outliers_of_small_groups(spark):
     """Groups and a language of fewer rows than POOL_ROWS, beside a large group and alone."""
     r = random.Random(2)
