@@ -78,15 +78,19 @@ def estimate_psf(image: np.ndarray, stars: dict[str, np.ndarray], header_fwhm: f
 
 
 def sky_and_noise(image: np.ndarray, box: int = 32) -> tuple[np.ndarray, float]:
-    """A sky from the lower quartile of blocks, spread bilinearly, and the noise about it."""
-    h, w = (max(1, n // box) for n in image.shape)
-    grid = np.array([[np.quantile(image[y * box : (y + 1) * box, x * box : (x + 1) * box], 0.25, method="lower") for x in range(w)] for y in range(h)])
+    """A sky from the lower quartile of blocks (edge blocks filled by reflection), spread bilinearly and moved by
+    the median of what lies about it, and the noise."""
+    whole = np.pad(image, [(0, -n % box) for n in image.shape], mode="reflect")
+    h, w = (n // box for n in whole.shape)
+    cells = np.sort(whole.reshape(h, box, w, box).swapaxes(1, 2).reshape(h, w, -1), 2)
+    grid = cells[:, :, max(1, box * box // 4) - 1]
     gy = np.clip((np.arange(image.shape[0]) + 0.5) / box - 0.5, 0, h - 1)
     gx = np.clip((np.arange(image.shape[1]) + 0.5) / box - 0.5, 0, w - 1)
     y0, x0 = np.floor(gy).astype(int), np.floor(gx).astype(int)
     y1, x1, ty, tx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (gy - y0)[:, None], (gx - x0)[None]
     sky = (1 - ty) * ((1 - tx) * grid[y0][:, x0] + tx * grid[y0][:, x1]) + ty * ((1 - tx) * grid[y1][:, x0] + tx * grid[y1][:, x1])
-    return sky, 1.4826 * float(np.median(np.abs(image - sky)))
+    centre = im.lower_median(image - sky)
+    return sky + centre, max(1.4826 * im.lower_median(np.abs(image - sky - centre)), 1e-12)
 
 
 def star_seeds(image: np.ndarray, sky: np.ndarray, noise: float) -> np.ndarray:
@@ -98,17 +102,18 @@ def star_seeds(image: np.ndarray, sky: np.ndarray, noise: float) -> np.ndarray:
 
 
 def lift_rings(image: np.ndarray, sky: np.ndarray, noise: float, seeds: np.ndarray, inner: int = 2, outer: int = 8, sigma: float = 2.0) -> np.ndarray:
-    """Rings around seeds whose mean lies ``sigma`` noises below the sky are raised to it."""
-    out = image.copy()
-    yy, xx = np.mgrid[: image.shape[0], : image.shape[1]]
-    for y, x in np.argwhere(seeds):
-        a, b, c, d = max(0, y - outer), y + outer + 1, max(0, x - outer), x + outer + 1
-        r = np.rint(np.hypot(yy[a:b, c:d] - y, xx[a:b, c:d] - x))
-        for k in range(inner, outer + 1):
-            ring = r == k
-            if ring.any() and (image[a:b, c:d][ring] - sky[a:b, c:d][ring]).mean() < -sigma * noise / math.sqrt(ring.sum()):
-                out[a:b, c:d] = np.where(ring, np.maximum(out[a:b, c:d], sky[a:b, c:d]), out[a:b, c:d])
-    return out
+    """Rings around seeds whose mean lies more than ``sigma`` standard errors below the sky get what is lacking
+    beyond that, the same at every pixel, so that their texture stays."""
+    wide = np.pad(image - sky, outer, mode="edge")
+    gain = np.zeros(wide.shape)
+    dy, dx = np.mgrid[-outer : outer + 1, -outer : outer + 1]
+    at_y, at_x = np.nonzero(seeds)
+    for k in range(inner, outer + 1):
+        ring = np.floor(np.hypot(dy, dx) + 0.5) == k
+        ys, xs = at_y[:, None] + outer + dy[ring], at_x[:, None] + outer + dx[ring]
+        lack = np.maximum(-wide[ys, xs].mean(1) - sigma * noise / math.sqrt(ring.sum()), 0)
+        np.add.at(gain, (ys, xs), lack[:, None])
+    return image + gain[outer:-outer, outer:-outer]
 
 
 def apply_luminance(colour: np.ndarray, new: np.ndarray, least_snr: float = 3.0) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 
@@ -25,10 +26,14 @@ def union_grid(frames: list[tuple[np.ndarray, tuple[int, int]]]) -> tuple[tuple[
 
 
 def windows(height: int, width: int, radius: float, most: int = 13) -> list[tuple[float, float]]:
-    """Centres of search windows, from the middle outwards."""
-    step = max(radius, 1.0)
-    grid = [(y, x) for y in np.arange(height / 2 % step, height, step) for x in np.arange(width / 2 % step, width, step)]
-    return sorted(grid, key=lambda c: ((c[0] - height / 2) ** 2 + (c[1] - width / 2) ** 2, c))[:most]
+    """(y, x) of search windows, from the middle of the image outwards: three quarters of a radius apart, those
+    beyond an edge moved onto it."""
+    middle, step = np.array([(height - 1) / 2, (width - 1) / 2]), max(0.75 * radius, 1.0)
+    reach = np.ceil(middle / step).astype(int)
+    offsets = np.stack(np.meshgrid(*(np.arange(-n, n + 1) for n in reach[::-1]), indexing="ij"), -1).reshape(-1, 2)[:, ::-1]
+    places = np.clip(middle + offsets * step, 0, [height - 1, width - 1])
+    order = np.argsort(((places - middle) ** 2).sum(1), kind="stable")
+    return [(float(y), float(x)) for y, x in places[order[:most]]]
 
 
 def drizzle_shape(height: int, width: int, scale: float) -> tuple[int, int]:
@@ -42,7 +47,7 @@ def drop_points(pixfrac: float = 0.8, scale: float = 2.0, kernel: str = "square"
         return [(0.0, 0.0, 1.0)]
     k = max(2, math.ceil(pixfrac * scale) + 1)
     t = [((i + 0.5) / k - 0.5) * pixfrac for i in range(k)]
-    w = [[math.exp(-2 * (a * a + b * b) / max(pixfrac, 1e-6) ** 2) if kernel == "gaussian" else 1.0 for b in t] for a in t]
+    w = [[math.exp(-0.5 * (a * a + b * b) / max(pixfrac / 4, 1e-6) ** 2) if kernel == "gaussian" else 1.0 for b in t] for a in t]
     total = sum(map(sum, w))
     return [(a, b, w[i][j] / total) for i, a in enumerate(t) for j, b in enumerate(t)]
 
@@ -93,10 +98,25 @@ def solve_hints(header: dict[str, str]) -> dict[str, float]:
                 return v
         return None
 
-    out = {k: v for k, v in (("ra", number("RA", "CRVAL1")), ("dec", number("DEC", "CRVAL2"))) if v is not None}
+    out: dict[str, float] = {}
+    place = [number(key) if number(key) is not None else angle(header.get(text), text == "OBJCTRA") for key, text in (("RA", "OBJCTRA"), ("DEC", "OBJCTDEC"))]
+    if None not in place and abs(place[1]) <= 90:
+        out |= {"ra": place[0] % 360, "dec": place[1]}
     pixel, focal, height = number("XPIXSZ"), number("FOCALLEN"), number("NAXIS2")
-    if pixel and focal and pixel > 0 and focal > 0:
+    if pixel and focal and height:
         out["scale"] = 206.265 * pixel / focal / (number("DRIZSCL") or 1.0)
-        if height:
-            out["fov"] = out["scale"] * height / 3600
+        out["fov"] = out["scale"] * height / 3600
     return out
+
+
+def angle(text: str | None, hours: bool) -> float | None:
+    """Degrees of a sexagesimal text; of hours where it has minutes."""
+    parts = re.sub("[:hmsd]", " ", str(text or "")).split()[:3]
+    try:
+        values = [abs(float(p)) for p in parts]
+    except ValueError:
+        return None
+    if not values:
+        return None
+    size = sum(v / 60**k for k, v in enumerate(values)) * (15 if hours and len(values) > 1 else 1)
+    return -size if parts[0].startswith("-") else size

@@ -264,26 +264,21 @@ def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int] | None:
 
 
 def depth_box(coverage: np.ndarray, least: int, coarse: int = 4) -> tuple[int, int, int, int] | None:
-    """The largest rectangle on a coarse grid of cells covered throughout, grown edge by edge while it stays
-    covered."""
+    """The largest rectangle on a coarse grid of cells covered throughout, its edges moved out one after the
+    other (top, bottom, left, right) over the lines that are covered in full."""
     ok = coverage >= least
-    h, w = (n // coarse * coarse for n in ok.shape)
-    small = ok[:h, :w].reshape(h // coarse, coarse, w // coarse, coarse).all((1, 3)) if h and w else ok
-    box = largest_rectangle(small)
-    if box is None:
+    rows, cols = (n // coarse for n in ok.shape)
+    if min(rows, cols) < 2:
         return largest_rectangle(ok)
-    y0, y1, x0, x1 = (v * coarse for v in box) if h and w else box
-    grown = True
-    while grown:
-        grown = False
-        if y0 > 0 and ok[y0 - 1, x0:x1].all():
-            y0, grown = y0 - 1, True
-        if y1 < ok.shape[0] and ok[y1, x0:x1].all():
-            y1, grown = y1 + 1, True
-        if x0 > 0 and ok[y0:y1, x0 - 1].all():
-            x0, grown = x0 - 1, True
-        if x1 < ok.shape[1] and ok[y0:y1, x1].all():
-            x1, grown = x1 + 1, True
+    box = largest_rectangle(ok[: rows * coarse, : cols * coarse].reshape(rows, coarse, cols, coarse).all((1, 3)))
+    if box is None:
+        return None
+    run = lambda full: int(np.argmin(np.append(full, False)))  # noqa: E731  how many lines are full from the first on
+    y0, y1, x0, x1 = (v * coarse for v in box)
+    y0 -= run(ok[:y0, x0:x1].all(1)[::-1])
+    y1 += run(ok[y1:, x0:x1].all(1))
+    x0 -= run(ok[y0:y1, :x0].all(0)[::-1])
+    x1 += run(ok[y0:y1, x1:].all(0))
     return y0, y1, x0, x1
 
 

@@ -18,11 +18,17 @@ def array_of(row) -> np.ndarray:
 
 
 def with_halo(bands: DataFrame, halo: int, last_band: int) -> DataFrame:
-    """Bands with ``for_band``: each goes to itself and to the bands above and below, whose stencils need its
-    edge rows (bands must be at least ``halo`` rows high)."""
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1)) if halo else F.array(F.lit(0))
-    out = bands.withColumn("for_band", F.explode(F.transform(steps, lambda d: F.col("band") + d)))
-    return out.filter((F.col("for_band") >= 0) & (F.col("for_band") <= last_band))
+    """Bands with ``for_band``: each goes whole to itself, and its last or first ``halo`` rows to the band below or
+    above, whose stencils need them (bands must be at least ``halo`` rows high)."""
+    own = bands.withColumn("for_band", F.col("band"))
+    if not halo:
+        return own
+    line = 4 * F.col("width")
+    piece = lambda first, n: F.substring("data", (first * line + 1).cast("int"), (n * line).cast("int"))
+    n = F.least(F.lit(halo), F.col("n_rows"))
+    down = bands.withColumn("for_band", F.col("band") + 1).withColumn("data", piece(F.col("n_rows") - n, n)).withColumn("row_start", (F.col("row_start") + F.col("n_rows") - n).cast("int")).withColumn("n_rows", n)
+    up = bands.withColumn("for_band", F.col("band") - 1).withColumn("data", piece(F.lit(0), n)).withColumn("n_rows", n)
+    return own.unionByName(down.filter(F.col("for_band") <= last_band)).unionByName(up.filter(F.col("for_band") >= 0))
 
 
 def stencil(bands: DataFrame, kernel, halo: int, last_band: int) -> DataFrame:
@@ -120,6 +126,136 @@ def luma_of(image: np.ndarray) -> np.ndarray:
     return image[0] if len(image) == 1 else np.tensordot([0.2126, 0.7152, 0.0722], image[:3], 1)
 
 
+#: Counts that stand for 1 in frames scaled to unit range, and the pedestal that keeps calibrated skies above 0.
+FULL_SCALE, PEDESTAL = 65535.0, 200.0
+
+
+def unit_range(bands: DataFrame) -> DataFrame:
+    """(frame, unit): whether no sample of a frame exceeds 1."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"frame": pdf["frame"], "most": [float(np.frombuffer(d, "<f4").max(initial=-np.inf)) for d in pdf["data"]]})
+
+    return bands.select("frame", "data").mapInPandas(run, "frame long, most double").groupBy("frame").agg((F.max("most") <= 1 + 1e-6).alias("unit"))
+
+
+def like(master: np.ndarray, unit: bool, wanted: bool, channels: int) -> np.ndarray:
+    """A master in the range and the channels of the frame that it is used on."""
+    out = master if unit == wanted else master * FULL_SCALE if unit else master / FULL_SCALE
+    if len(out) == channels:
+        return out
+    if channels == 1:
+        return out.mean(0, keepdims=True)
+    if len(out) == 1:
+        return np.repeat(out, channels, 0)
+    raise ValueError(f"a master of {len(out)} channels does not fit frames of {channels}")
+
+
+def master_planes(bands: DataFrame) -> tuple[np.ndarray, bool]:
+    """The one frame of a master as planes, and whether it is of unit range."""
+    rows = bands.orderBy("c", "row_start").collect()  # one frame
+    planes = np.stack([np.concatenate([array_of(r) for r in rows if r.c == c]) for c in sorted({r.c for r in rows})])
+    return planes, bool(planes.max() <= 1 + 1e-6)
+
+
+def flat_gain(flat: np.ndarray, bias: tuple[np.ndarray, bool] | None = None) -> np.ndarray:
+    """A flat less its bias, each channel over its lower median."""
+    if bias is not None:
+        flat = flat - like(*bias, bool(flat.max() <= 1 + 1e-6), len(flat))
+    flat = np.maximum(flat, 1e-6)
+    return flat / np.array([im.lower_median(p) for p in flat])[:, None, None]
+
+
+def calibrate_bands(lights: DataFrame, dark: DataFrame | None = None, bias: DataFrame | None = None, flat: DataFrame | None = None, pedestal: float = 0.0) -> DataFrame:
+    """Lights less the dark (without one, the bias), over the flat, plus a pedestal, 0 at least. Masters are brought
+    to the range of each light; without a stated pedestal a dark or bias brings PEDESTAL counts.
+
+    Masters are one frame each and go to every task; lights stay where they are but for a flag a frame."""
+    spark = lights.sparkSession
+    held = {k: master_planes(m) if m is not None else None for k, m in (("dark", dark), ("bias", bias), ("flat", flat))}
+    gain = flat_gain(held["flat"][0], held["bias"]) if held["flat"] else None
+    channels = lights.agg(F.max("c")).first()[0]
+    shared = spark.sparkContext.broadcast((held["dark"] or held["bias"], gain, (channels if channels is not None else 0) + 1))
+
+    def run(frames):
+        below, gain, channels = shared.value
+        fitted = {u: like(*below, u, channels) for u in (False, True)} if below else None
+        over = like(gain, False, False, channels) if gain is not None else None
+        for pdf in frames:
+            data = []
+            for r in pdf.itertuples(index=False):
+                rows, v = slice(r.row_start, r.row_start + r.n_rows), array_of(r)
+                v = v - fitted[r.unit][r.c][rows] if fitted else v
+                v = v / over[r.c][rows] if over is not None else v
+                up = pedestal or (PEDESTAL / (FULL_SCALE if r.unit else 1) if fitted else 0.0)
+                data.append(np.maximum(v + up, 0).astype("<f4").tobytes())
+            yield pdf.drop(columns="unit").assign(data=data)
+
+    return lights.join(unit_range(lights), "frame").mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lights.schema))
+
+
+def cosmetic(image: np.ndarray, hot_sigma: float = 5.0, cold_sigma: float = 5.0, protect: float = 0.3, mosaic: bool = False) -> tuple[np.ndarray, int, int]:
+    """A plane with hot and cold pixels replaced by the lower median of their eight neighbours (of their own
+    colour in a mosaic), and how many of either. A hot pixel among risen neighbours is a star and stays."""
+    step = 2 if mosaic else 1
+
+    def around(a: np.ndarray, by: int) -> np.ndarray:
+        wide, (h, w) = np.pad(a, by, mode="reflect"), a.shape
+        return np.stack([wide[by + i : by + i + h, by + j : by + j + w] for i in (-by, 0, by) for j in (-by, 0, by) if i or j])
+
+    middle = np.sort(around(image, step), 0)[3]
+    rise = image - middle
+    sample = np.abs(rise[::8, ::8])
+    sigma = max(1.4826 * im.lower_median(sample[np.isfinite(sample)]), 1e-6)
+    hot = (rise > hot_sigma * sigma) & (around(rise, 1).max(0) < protect * rise + sigma) if hot_sigma else np.zeros(image.shape, bool)
+    cold = rise < -cold_sigma * sigma if cold_sigma else np.zeros(image.shape, bool)
+    return np.where(hot | cold, middle, image), int(hot.sum()), int(cold.sum())
+
+
+def prepare_frames(bands: DataFrame, band_rows: int, hot_sigma: float = 0.0, cold_sigma: float = 0.0, pattern: str | None = None) -> DataFrame:
+    """Frames with bad pixels mended and, given a colour filter ``pattern``, three channels by variable gradients.
+    A task holds one frame."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame, out = int(pdf["frame"].iloc[0]), []
+        planes = [np.concatenate([array_of(r) for r in p.sort_values("row_start").itertuples(index=False)]) for _, p in pdf.groupby("c", sort=True)]
+        if hot_sigma or cold_sigma:
+            planes = [cosmetic(p, hot_sigma, cold_sigma, mosaic=pattern is not None)[0] for p in planes]
+        if pattern and len(planes) == 1:
+            planes = list(im.vng(planes[0], pattern))
+        for c, plane in enumerate(planes):
+            h, w = plane.shape
+            out += [(frame, c, y // band_rows, y, min(band_rows, h - y), w, plane[y : y + band_rows].astype("<f4").tobytes()) for y in range(0, h, band_rows)]
+        return pd.DataFrame(out, columns=["frame", "c", "band", "row_start", "n_rows", "width", "data"])
+
+    return bands.groupBy("frame").applyInPandas(run, BANDS)
+
+
+def normalise_bands(bands: DataFrame, reference: int) -> DataFrame:
+    """Frames brought to the location and scale of the reference, channel by channel: (v - m) s_ref / s + m_ref with
+    lower medians and scaled MADs of all samples there are."""
+
+    def levels(frame: int, image: np.ndarray) -> pd.DataFrame:
+        rows = []
+        for c, plane in enumerate(image):
+            v = plane[np.isfinite(plane)]
+            m = im.lower_median(v) if len(v) else 0.0
+            rows.append((frame, c, m, max(1.4826 * im.lower_median(np.abs(v - m)), 1e-9) if len(v) else 1.0))
+        return pd.DataFrame(rows, columns=["frame", "c", "m", "s"])
+
+    table = per_frame(bands, levels, "frame long, c int, m double, s double").checkpoint(eager=True)
+    goal = table.filter(F.col("frame") == reference).select("c", F.col("m").alias("m0"), F.col("s").alias("s0"))
+    scaled = bands.join(table.join(goal, "c"), ["frame", "c"])
+
+    def run(frames):
+        for pdf in frames:
+            data = [((array_of(r) - r.m) * (r.s0 / r.s) + r.m0).astype("<f4").tobytes() for r in pdf.itertuples(index=False)]
+            yield pdf[["frame", "c", "band", "row_start", "n_rows", "width"]].assign(data=data)
+
+    return scaled.mapInPandas(run, BANDS)
+
+
 def detect_stars(bands: DataFrame, sigma: float = 5.0) -> DataFrame:
     """Star catalogues of all frames, a star's id by brightness."""
 

@@ -7,13 +7,14 @@ import dataclasses
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as fc
 from ..operators import frames as fr
 from ..operators import images as oi
 from ..sources import frames as sf
-from ..sources.stages import Stages, fingerprint
+from ..sources.stages import Stages, fingerprint, use_checkpoints
 
 
 @dataclasses.dataclass(frozen=True)
@@ -28,20 +29,45 @@ class StackSettings:
     preset: str = "Balanced"
     filters: bool = True
     detect_sigma: float = 5.0
-    band_rows: int = 256
+    band_rows: int = 0  # 0: by the number of frames and their width
+    dark: str = ""
+    bias: str = ""
+    flat: str = ""
+    pedestal: float = 0.0
+    hot_sigma: float = 0.0
+    cold_sigma: float = 0.0
+    pattern: str = ""  # of the colour filters: RGGB, BGGR, GRBG or GBRG
+    normalise: bool = True
+
+
+#: Samples that a task of the combination holds, as eight-byte numbers with a few copies.
+TASK_SAMPLES = 16_000_000
+
+
+def band_height(frames: int, width: int) -> int:
+    """Rows of a band, so that those of all frames fit in a task."""
+    return int(min(256, max(1, TASK_SAMPLES // max(1, frames * width))))
 
 
 def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | None = None) -> DataFrame:
     """(c, band, row_start, n_rows, width, data, coverage, n_low, n_high) of the frames under ``path``."""
     settings = settings or StackSettings()
     stages = Stages(spark, work, dataclasses.asdict(settings), fingerprint(spark, [path]))
-    raw = sf.read_frames(spark, path, band_rows=settings.band_rows)
-    names = raw.select("path").distinct().orderBy("path").collect()  # a row a frame
-    number = spark.createDataFrame([(r["path"], k) for k, r in enumerate(names)], "path string, frame long")
-    bands = stages.run("bands", lambda: raw.join(F.broadcast(number), "path").select("frame", "c", "band", "row_start", "n_rows", "width", "data"))
+    use_checkpoints(spark)
+    lights = stages.run("lights", lambda: _numbered(sf.light_frames(spark, path)))  # a row a frame
+    rows = settings.band_rows or band_height(lights.count(), lights.agg(F.max("width")).first()[0] or 1)
+    raw = sf.read_frames(spark, path, band_rows=rows).join(lights.select("path", "frame"), "path").select("frame", "c", "band", "row_start", "n_rows", "width", "data")
+    masters = {k: _master(spark, getattr(settings, k)) for k in ("dark", "bias", "flat") if getattr(settings, k)}
+
+    def prepared() -> DataFrame:
+        out = oi.calibrate_bands(raw, **masters, pedestal=settings.pedestal) if masters or settings.pedestal else raw
+        mend = settings.hot_sigma or settings.cold_sigma or settings.pattern
+        return oi.prepare_frames(out, rows, settings.hot_sigma, settings.cold_sigma, settings.pattern or None) if mend else out
+
+    bands = stages.run("bands", prepared)
     stars = stages.run("stars", lambda: oi.detect_stars(bands, settings.detect_sigma))
     table = stars.groupBy("frame").agg(F.count("*").alias("stars"), F.median("fwhm").alias("fwhm"), F.sum(F.when(F.col("id") < 30, F.col("flux"))).alias("light"))
-    table = table.join(oi.per_frame(bands, _sky, "frame long, sky double, noise double"), "frame").withColumn("exposure", F.lit(None).cast("double"))
+    table = table.join(oi.per_frame(bands, _sky, "frame long, sky double, noise double"), "frame").join(lights.select("frame", fc.header_number("header", "EXPTIME", "EXPOSURE").alias("exposure")), "frame")
     judged = stages.run("frames", lambda: fr.frame_weights(fr.filter_frames(table, **fr.filter_preset(settings.preset)) if settings.filters else table.withColumn("reason", F.lit(None).cast("string")), settings.weighting if settings.weighting in ("none", "noise", "fwhm", "both") else "noise"))
     kept = judged.filter("reason is null")
     best = kept.orderBy("fwhm", "frame").first()
@@ -49,10 +75,22 @@ def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | N
         raise ValueError("no frame is left")
     aligned = stages.run("aligned", lambda: oi.align_frames(stars.join(kept.select("frame"), "frame", "left_semi"), best["frame"]))
     size = bands.filter(F.col("frame") == best["frame"]).agg(F.max(F.col("row_start") + F.col("n_rows")), F.max("width")).first()
-    good = bands.join(F.broadcast(kept.select("frame")), "frame", "left_semi")
-    registered = stages.run("registered", lambda: oi.register(good, aligned, size[0], size[1], settings.band_rows))
+    good = bands.join(kept.select("frame"), "frame", "left_semi")
+    placed = stages.run("registered", lambda: oi.register(good, aligned, size[0], size[1], rows))
+    if settings.normalise:
+        placed = stages.run("normalised", lambda source=placed: oi.normalise_bands(source, best["frame"]))
     weights = {r["frame"]: r["weight"] for r in kept.select("frame", "weight").collect()}
-    return stages.run("master", lambda: oi.stack_bands(registered, settings.method, settings.low, settings.high, settings.rounds, weights if settings.weighting != "none" else None))
+    return stages.run("master", lambda: oi.stack_bands(placed, settings.method, settings.low, settings.high, settings.rounds, weights if settings.weighting != "none" else None))
+
+
+def _numbered(headers: DataFrame) -> DataFrame:
+    """Headers with ``frame``: the place of a file in the order of names. A row a file."""
+    return headers.withColumn("frame", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+
+
+def _master(spark: SparkSession, path: str) -> DataFrame:
+    """The bands of a calibration master."""
+    return sf.read_frames(spark, path).withColumn("frame", F.lit(0).cast("long")).drop("path")
 
 
 def _sky(frame: int, image: np.ndarray):

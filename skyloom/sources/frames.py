@@ -122,8 +122,46 @@ def read_headers(spark: SparkSession, path: str, recursive: bool = False) -> Dat
 
 
 def _summary(path: str, raw: bytes) -> tuple:
-    data, header = parse(path, raw)
-    return (header, *(data.shape if data is not None else (0, 0, 0)))
+    header, shape = (xisf_header if path.lower().endswith(".xisf") else fits_header)(raw)
+    return (header, *laid_out(shape))
+
+
+def fits_header(raw: bytes) -> tuple[dict[str, str], tuple[int, ...]]:
+    """Header and axes of the first array, from the cards alone."""
+    at, first = 0, {}
+    while at < len(raw):
+        header, size = parse_cards(raw[at:])
+        first = first or header
+        axes = [int(header.get(f"NAXIS{k + 1}", 0)) for k in range(int(header.get("NAXIS", 0)))]
+        if len(axes) >= 2 and math.prod(axes):
+            return first | header, tuple(axes[::-1])
+        at += size + -(-(math.prod(axes) if axes else 0) * abs(int(header.get("BITPIX", 8))) // 8 // BLOCK) * BLOCK
+    return first, ()
+
+
+def xisf_header(raw: bytes) -> tuple[dict[str, str], tuple[int, ...]]:
+    if raw[:8] != b"XISF0100":
+        return {}, ()
+    root = ET.fromstring(raw[16 : 16 + int.from_bytes(raw[8:12], "little")].rstrip(b"\0"))
+    image = next((e for e in root.iter() if e.tag.endswith("Image")), None)
+    if image is None:
+        return {}, ()
+    header: dict[str, str] = {}
+    for e in image.iter():
+        if e.tag.endswith("FITSKeyword"):
+            header.setdefault(e.get("name", ""), e.get("value", "").strip().strip("'").strip())
+    width, height, channels = (*map(int, image.get("geometry", "0:0:1").split(":")), 1)[:3]
+    return header, (channels, height, width)
+
+
+def laid_out(shape: tuple[int, ...]) -> tuple[int, int, int]:
+    """Channels, height and width that ``layout`` gives an array of this shape."""
+    if len(shape) < 2:
+        return 0, 0, 0
+    c, h, w = shape[-3:] if len(shape) > 2 else (1, *shape)
+    if c not in (1, 3) and w in (1, 3, 4):
+        c, h, w = w, c, h
+    return c if c in (1, 3) else 3 if c > 3 else 1, h, w
 
 
 def read_frames(spark: SparkSession, path: str, recursive: bool = False, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -154,8 +192,14 @@ def pixels(bands: DataFrame) -> DataFrame:
 
 
 def own_output(header: str = "header", software: str = "skyloom") -> F.Column:
-    """Whether a header says that this engine wrote the file."""
-    return F.coalesce(F.lower(F.try_element_at(header, F.lit("SOFTWARE"))).startswith(software), F.lit(False))
+    """Whether a header says that this engine wrote the file, or that it holds a map."""
+    by_us = F.coalesce(F.lower(F.try_element_at(header, F.lit("SOFTWARE"))).startswith(software), F.lit(False))
+    return by_us | F.map_contains_key(header, "MAPTYPE")
+
+
+def light_frames(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Headers (see ``read_headers``) of the frames under ``path`` that are no results of ours."""
+    return read_headers(spark, path, recursive).filter(~own_output())
 
 
 def card(key: str, value, comment: str = "") -> bytes:
@@ -168,22 +212,22 @@ def card(key: str, value, comment: str = "") -> bytes:
     return f"{key[:8]:<8}= {text}{f' / {comment}' if comment else ''}"[:CARD].ljust(CARD).encode("latin-1", "replace")
 
 
-def fits_bytes(data: np.ndarray, header: dict | None = None) -> bytes:
-    """A FITS file of float32, without the structural cards of ``header``."""
+def fits_bytes(data: np.ndarray, header: dict | None = None, mark: bool = True) -> bytes:
+    """A FITS file of float32, without the structural cards of ``header``; with ``mark`` a result of ours."""
     data = np.asarray(data, np.float32)
     data = data[0] if data.ndim == 3 and data.shape[0] == 1 else data
     cards = [card("SIMPLE", True), card("BITPIX", -32), card("NAXIS", data.ndim)]
     cards += [card(f"NAXIS{k + 1}", n) for k, n in enumerate(data.shape[::-1])]
-    cards += [card(k, v) for k, v in (header or {}).items() if k not in STRUCTURAL] + [card("SOFTWARE", "skyloom")] + [b"END".ljust(CARD)]
+    cards += [card(k, v) for k, v in (header or {}).items() if k not in STRUCTURAL] + [card("SOFTWARE", "skyloom")] * mark + [b"END".ljust(CARD)]
     head, body = b"".join(cards), data.astype(">f4").tobytes()
     return head.ljust(-(-len(head) // BLOCK) * BLOCK, b" ") + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 
 
-def write_fits(path: str, data: np.ndarray, header: dict | None = None) -> str:
+def write_fits(path: str, data: np.ndarray, header: dict | None = None, mark: bool = True) -> str:
     """Written under another name, flushed and renamed."""
     own = f"{path}.part"
     with open(own, "wb") as f:
-        f.write(fits_bytes(data, header))
+        f.write(fits_bytes(data, header, mark))
         f.flush()
         os.fsync(f.fileno())
     os.replace(own, path)

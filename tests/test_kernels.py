@@ -260,16 +260,21 @@ def test_stack_end_to_end(spark, tmp_path):
     from skyloom.plans import stack as st
 
     f = field()
-    for k, (dx, dy) in enumerate([(0, 0), (3.2, -1.7), (-2.4, 2.9), (1.3, 4.0), (-3.0, -2.0)]):
+    shifts = [(0, 0), (3.2, -1.7), (-2.4, 2.9), (1.3, 4.0), (-3.0, -2.0)]
+    for k, (dx, dy) in enumerate(shifts):
         image = scene(f + np.array([dx, dy, 0]), seed=30 + k)
         if k == 2:
             image[100:104] += 900
-        fs.write_fits(str(tmp_path / "in" / f"f{k}.fits") if (tmp_path / "in").mkdir(exist_ok=True) is None else "", image)
+        fs.write_fits(str(tmp_path / "in" / f"f{k}.fits") if (tmp_path / "in").mkdir(exist_ok=True) is None else "", image, mark=False)
+    fs.write_fits(str(tmp_path / "in" / "old.fits"), np.zeros((160, 200)))  # a result of ours is no light
     settings = st.StackSettings(low=2.0, high=1.5, band_rows=64, filters=False, weighting="noise")
     out = st.stack(spark, str(tmp_path / "in"), str(tmp_path / "work"), settings)
     image = st.master_image(out)[0]
     assert image.shape == (160, 200)
-    assert np.corrcoef(image[20:140, 20:180].ravel(), scene(f)[20:140, 20:180].ravel())[0, 1] > 0.95
+    aligned = {r["frame"]: r["matrix"] for r in spark.read.parquet(str(tmp_path / "work" / "aligned")).collect()}
+    first = next(k for k, m in aligned.items() if np.allclose(np.reshape(m, (3, 3)), np.eye(3), atol=1e-9))  # the frame whose grid it is
+    truth = scene(f + np.array([*shifts[first], 0]))
+    assert np.corrcoef(image[20:140, 20:180].ravel(), truth[20:140, 20:180].ravel())[0, 1] > 0.95
     again = st.stack(spark, str(tmp_path / "in"), str(tmp_path / "work"), settings)
     assert np.array_equal(st.master_image(again)[0], image)
 
@@ -302,3 +307,72 @@ def test_background_of_all_pixels():
     level = np.median(image)
     assert sky.shape == image.shape and (sky == level).all()
     assert abs(noise - 1.4826 * np.median(np.abs(image - level))) < 1e-9
+
+
+def bands_of(spark, planes, rows=7):
+    """Frames (frame, c, y, x) as bands."""
+    out = [(f, c, y // rows, y, len(p[y : y + rows]), p.shape[1], bytes(p[y : y + rows].astype("<f4").tobytes())) for f, frame in enumerate(planes) for c, p in enumerate(frame) for y in range(0, p.shape[0], rows)]
+    return spark.createDataFrame(out, oi.BANDS)
+
+
+def planes_of(bands):
+    found = {}
+    for r in sorted(bands.collect(), key=lambda r: r["row_start"]):
+        found.setdefault((r["frame"], r["c"]), []).append(np.frombuffer(r["data"], "<f4").reshape(r["n_rows"], r["width"]))
+    return {k: np.concatenate(v) for k, v in found.items()}
+
+
+def test_calibrate_bands(spark):
+    """Counts and unit-range masters give the same; the bias stands in for a dark; a flat of one channel serves three."""
+    r = np.random.default_rng(0)
+    light = r.normal(3000, 5, (2, 3, 20, 12))
+    dark, bias, flat = np.full((1, 1, 20, 12), 2800.0), np.full((1, 1, 20, 12), 100.0), r.uniform(20_000, 40_000, (1, 1, 20, 12))
+    lights, one = bands_of(spark, light), lambda x, rows=20: bands_of(spark, x, rows)
+    gain = (flat[0, 0] - 100) / np.sort((flat[0, 0] - 100).ravel())[(flat[0, 0].size - 1) // 2]
+    got = planes_of(oi.calibrate_bands(lights, one(dark), one(bias), one(flat)))
+    scaled = planes_of(oi.calibrate_bands(lights, one(dark / 65535), one(bias / 65535, 9), one(flat)))
+    for k, p in got.items():
+        want = np.maximum((light[k[0], k[1]] - 2800) / gain + 200, 0)
+        assert np.allclose(p, want, rtol=1e-4, atol=0.05) and np.allclose(scaled[k], want, rtol=1e-4, atol=0.05)
+    assert np.allclose(planes_of(oi.calibrate_bands(lights, bias=one(bias), pedestal=7.0))[0, 0], light[0, 0] - 93, atol=0.01)
+    unit = bands_of(spark, light / 65535)
+    assert np.allclose(planes_of(oi.calibrate_bands(unit, one(dark)))[1, 2], (light[1, 2] - 2600) / 65535, atol=1e-5)
+    assert oi.calibrate_bands(lights.limit(0), one(dark)).collect() == []
+    with pytest.raises(ValueError, match="channels"):
+        oi.like(np.zeros((2, 3, 3)), False, False, 3)
+
+
+def test_cosmetic_and_prepare(spark):
+    image = np.random.default_rng(1).normal(500, 10, (40, 44))
+    image[9, 9], image[20, 30] = 9000, 0
+    image[30:33, 10:13] += 4000  # a star stays
+    got, hot, cold = oi.cosmetic(image)
+    assert abs(got[9, 9] - 500) < 60 and abs(got[20, 30] - 500) < 60 and hot >= 1 and cold >= 1 and got[31, 11] > 4000
+    mosaic = np.tile([[100.0, 200.0], [200.0, 400.0]], (16, 16))
+    mosaic[10, 10] = 60_000
+    out = planes_of(oi.prepare_frames(bands_of(spark, [[mosaic]]), 9, hot_sigma=5.0, pattern="RGGB"))
+    assert {k[1] for k in out} == {0, 1, 2} and np.allclose(out[0, 0], 100, atol=1) and np.allclose(out[0, 2], 400, atol=1)
+
+
+def test_normalise_bands(spark):
+    from skyloom.sources.stages import use_checkpoints
+
+    use_checkpoints(spark)
+    base = np.random.default_rng(2).normal(100, 5, (30, 20))
+    other = base * 3 + 40
+    other[0, 0] = np.nan
+    out = planes_of(oi.normalise_bands(bands_of(spark, [[base], [other]]), 0))
+    assert np.allclose(out[0, 0], base, atol=1e-3) and np.isnan(out[1, 0][0, 0]) and np.allclose(out[1, 0].ravel()[1:], base.ravel()[1:], atol=0.1)
+
+
+def test_halo_rows_alone(spark):
+    """Neighbours ship the rows that are asked for; results do not depend on the height of bands."""
+    image = np.random.default_rng(3).normal(size=(31, 9))
+    kernel = lambda a: im.gaussian(a, 0.8)
+    whole = planes_of(oi.stencil(bands_of(spark, [[image]], 31), kernel, 4, 0))[0, 0]
+    parts = bands_of(spark, [[image]], 8)
+    assert np.allclose(planes_of(oi.stencil(parts, kernel, 4, 3))[0, 0][4:-4], whole[4:-4], atol=1e-5)
+    assert {r["n_rows"] for r in oi.with_halo(parts, 2, 3).filter("band <> for_band").collect()} == {2}
+    from skyloom.plans.stack import band_height
+
+    assert band_height(853, 3840) * 853 * 3840 <= 16_000_000 and band_height(5, 100) == 256
