@@ -81,6 +81,34 @@ def camera_identity(header: str) -> Column:
     return F.nullif(F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))), F.lit(""))
 
 
+def camera_label(header: str) -> Column:
+    """Camera and pixel scale, as in ``seestar s50, 2.301"/px``; the camera alone where the scale is not known."""
+    name, scale = F.coalesce(camera_identity(header), F.lit("unknown camera")), pixel_scale(header)
+    return F.when(scale > 0, F.concat(name, F.lit(", "), plain_number(scale), F.lit('"/px'))).otherwise(name)
+
+
+def plain_number(value: Column) -> Column:
+    """A number as text, whole ones without a decimal point."""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def beside(path: Column | str, mark: Column) -> Column:
+    """A file's name with ``mark`` before its suffix: results of trial runs and of other weightings stand beside
+    the full result."""
+    name, suffix = F.regexp_replace(col(path), r"\.[^./]*$", ""), F.regexp_extract(col(path), r"(\.[^./]*)$", 1)
+    return F.concat(name, mark, suffix)
+
+
+#: Names that weightings had once, and the names of now.
+FORMER_WEIGHTINGS = {"psfsw": "psfsnr", "psfsw+fwhm": "psfsnr+fwhm", "psfsw+field": "psfsnr+field", "psfsw-pi": "psfsw"}
+
+
+def current_weighting(name: Column | str) -> Column:
+    """The present name of a weighting of old settings."""
+    known = F.create_map(*[F.lit(x) for pair in FORMER_WEIGHTINGS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, col(name)), col(name))
+
+
 def night(stamp: Column | str) -> Column:
     """The date of the evening: twelve hours before the exposure."""
     return F.date_format(col(stamp) - F.expr("INTERVAL 12 HOURS"), "yyyy-MM-dd")

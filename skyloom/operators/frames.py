@@ -65,6 +65,11 @@ def relative_signal(frames: DataFrame, noise: str = "noise", ratio: str = "flux_
     return out.withColumn("psfsw", F.col("__raw") / cohort_median(F.col("__raw"), ["__key"])).drop("__raw", "__key")
 
 
+def filter_signal(frames: DataFrame, least: float = 0.5) -> DataFrame:
+    """Drops frames whose ``psfsw`` (see ``relative_signal``) is known and below ``least`` of its group's median."""
+    return frames.filter(F.lit(least <= 0) | F.coalesce(~(finite("psfsw") < least), F.lit(True)))
+
+
 def frame_weights(frames: DataFrame, mode: str = "psfsnr") -> DataFrame:
     """Adds ``weight``: by mode, over its median, clipped to 0.05..20; 1 where it cannot be told. The medians
     of noise and FWHM form a one-row table."""

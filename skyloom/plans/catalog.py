@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fc
 from ..functions.studentt import critical
 from ..operators import combine as co
+from ..operators import compare as cm
 from ..operators import frames as fr
 from ..operators import grids as gr
 from ..operators import matching as ma
@@ -584,3 +585,82 @@ def compare_catalogues(spark, sf):
     star = lambda d, m: d.select("id", "nation", "x", "y", (F.col("id") % m + 1).cast("double").alias("fwhm"), F.lit(1.0).alias("flux"), F.lit(1.0).alias("elongation"))
     out = cm.compare(star(c, 7), star(s, 5), 15.0, "nation").withColumn("verdict", cm.verdict())
     return out.select(F.col("g").alias("nation"), "matched", r6("fwhm_ratio").alias("fwhm_ratio"), "verdict")
+
+
+# ---------------------------------------------------------------- names, reports
+
+
+@query("camera_labels", r"""WITH h AS (SELECT o_orderkey AS frame, CASE WHEN o_orderstatus <> 'P' THEN lower(trim(regexp_replace(' ' || o_orderpriority || '   CAM ', '\s+', ' ', 'g'))) END AS camera,
+        CASE WHEN o_custkey % 3 > 0 THEN round(206.264806 * 3.8 / (o_custkey % 900 + 100), 3) END AS scale FROM orders)
+    SELECT frame, coalesce(camera, 'unknown camera') || CASE WHEN scale > 0 THEN ', ' || regexp_replace(CAST(CAST(scale AS DOUBLE) AS VARCHAR), '\.0$', '') || '"/px' ELSE '' END AS label FROM h""")
+def camera_labels(spark, sf):
+    o = table(spark, sf, "orders")
+    known, lens = F.col("o_orderstatus") != "P", F.col("o_custkey") % 3 > 0
+    header = F.map_from_arrays(
+        F.array(F.lit("INSTRUME"), F.lit("XPIXSZ"), F.lit("FOCALLEN")),
+        F.array(F.when(known, F.concat(F.lit(" "), "o_orderpriority", F.lit("   CAM "))), F.lit("3.8"), F.when(lens, (F.col("o_custkey") % 900 + 100).cast("string"))),
+    )
+    return o.select(F.col("o_orderkey").alias("frame"), header.alias("h")).select("frame", fc.camera_label("h").alias("label"))
+
+
+@query("output_names", r"""SELECT p_partkey, regexp_replace(p_name, ' ', '.', 'g') AS path, regexp_replace(regexp_replace(p_name, ' ', '.', 'g') , '\.([^./]*)$', '') || '_test40' || regexp_extract(regexp_replace(p_name, ' ', '.', 'g'), '(\.[^./]*)$', 1) AS trial FROM part""")
+def output_names(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.regexp_replace("p_name", " ", ".").alias("path"))
+    return p.select("p_partkey", "path", fc.beside("path", F.lit("_test40")).alias("trial"))
+
+
+@query("weighting_names", "SELECT event_id, CASE event_type WHEN 'click' THEN 'psfsnr' WHEN 'view' THEN 'psfsnr+fwhm' WHEN 'purchase' THEN 'psfsw' ELSE event_type END AS name FROM events")
+def weighting_names(spark, sf):
+    old = F.when(F.col("event_type") == "click", "psfsw").when(F.col("event_type") == "view", "psfsw+fwhm").when(F.col("event_type") == "purchase", "psfsw-pi").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", fc.current_weighting(old).alias("name"))
+
+
+@query("byte_sizes", """SELECT o_orderkey, CASE WHEN b >= 1099511627776 THEN printf('%.1f TiB', b / 1099511627776.0) WHEN b >= 1073741824 THEN printf('%.1f GiB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.1f MiB', b / 1048576.0)
+        WHEN b >= 1024 THEN printf('%.1f KiB', b / 1024.0) ELSE printf('%.0f B', b::DOUBLE) END AS size
+    FROM (SELECT o_orderkey, CAST((o_custkey * 2 + 1) * power(7, o_orderkey % 12) AS BIGINT) AS b FROM orders)""")
+def byte_sizes(spark, sf):
+    size = ((F.col("o_custkey") * 2 + 1) * F.pow(F.lit(7.0), F.col("o_orderkey") % 12)).cast("long")
+    return table(spark, sf, "orders").select("o_orderkey", fc.bytes_text(size).alias("size"))
+
+
+@query("filter_signal", f"""WITH {FR}, a AS (SELECT frame, exposure, (transparency / noise) * (transparency / noise) AS raw FROM f),
+    b AS (SELECT frame, raw / CASE WHEN count(raw) OVER (PARTITION BY round(exposure, 2)) >= 3 THEN median(raw) OVER (PARTITION BY round(exposure, 2)) END AS psfsw FROM a)
+    SELECT frame, round(psfsw, 6) AS psfsw FROM b WHERE psfsw IS NULL OR psfsw >= 0.8""")
+def filter_signal(spark, sf):
+    f = fr.relative_signal(frames(spark, sf).withColumn("flux_ratio", F.col("transparency")))
+    return fr.filter_signal(f, 0.8).select("frame", r6("psfsw").alias("psfsw"))
+
+
+@query("signal_normalised", f"""WITH {FR} SELECT frame, round(CASE WHEN stars > 0 THEN power(transparency * stars, 2) / (transparency * noise * (transparency * sky + 5)) / (pi() * power(0.5 * {fc.TENTH_MAX!r} * fwhm, 2)) END, 6) AS signal FROM f""")
+def signal_normalised(spark, sf):
+    return frames(spark, sf).select("frame", r6(fc.psf_signal_normalised("stars", "fwhm", "noise", "sky", F.col("transparency"), F.lit(5.0))).alias("signal"))
+
+
+@query("drizzle_image", f"""WITH {PX}, s AS (SELECT CAST(floor((y + 0.5 + dy) * 2) AS BIGINT) AS oy, CAST(floor((x + 0.5 + dx) * 2) AS BIGINT) AS ox, v, CASE WHEN y = 0 THEN 0.01 ELSE 1.0 END::DOUBLE * 0.25 AS k FROM p, (VALUES (-0.25), (0.25)) a(dy), (VALUES (-0.25), (0.25)) b(dx)),
+    d AS (SELECT oy, ox, sum(v * k) AS num, sum(k) AS den FROM s GROUP BY oy, ox), t AS (SELECT median(den) * 0.1 AS t FROM d)
+    SELECT oy, ox, round(CASE WHEN den >= t THEN num / den ELSE 0 END, 6) AS v FROM d, t""")
+def drizzle_image(spark, sf):
+    drop = [(i, j, 0.25) for i in (-0.25, 0.25) for j in (-0.25, 0.25)]
+    sums = gr.drizzle(patches(spark, sf).withColumn("w", F.when(F.col("y") == 0, 0.01).otherwise(1.0)), 2.0, drop)
+    return gr.drizzle_image(sums).select("oy", "ox", r6("v").alias("v"))
+
+
+CELLS = """c AS MATERIALIZED (SELECT l_suppkey AS frame, l_orderkey % 4 AS row, l_partkey % 4 AS col, median(l_quantity) AS fwhm FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+@query("frame_scatter", f"""WITH {CELLS}, r AS (SELECT row, col, fwhm / median(fwhm) OVER (PARTITION BY frame) AS rel FROM c), e AS (SELECT stddev_pop(rel) AS s FROM r GROUP BY row, col)
+    SELECT CASE WHEN (SELECT count(DISTINCT frame) FROM c) >= 3 THEN round(median(s), 6) END AS scatter FROM e""")
+def frame_scatter(spark, sf):
+    cells = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("frame"), (F.col("l_orderkey") % 4).alias("row"), (F.col("l_partkey") % 4).alias("col")).agg(F.median("l_quantity").alias("fwhm"))
+    return gr.frame_scatter(cells).select(r6("scatter").alias("scatter"))
+
+
+@query("sharpness_verdicts", f"""WITH {FR} SELECT frame, CASE WHEN fwhm / 4 < 0.98 THEN 'sharper' WHEN fwhm / 4 > 1.02 THEN 'softer' ELSE 'alike' END AS verdict FROM f""")
+def sharpness_verdicts(spark, sf):
+    return frames(spark, sf).withColumn("fwhm_ratio", F.col("fwhm") / 4).select("frame", cm.verdict().alias("verdict"))
+
+
+@query("frame_report", f"WITH {FR} SELECT frame, stars, sky, round(fwhm, 3) AS fwhm, round(noise / 7, 4) AS noise, round(exposure, 2) AS exposure, round(transparency / 3, 4) AS transparency FROM f")
+def frame_report(spark, sf):
+    f = frames(spark, sf).select("frame", "stars", "sky", "fwhm", (F.col("noise") / 7).alias("noise"), "exposure", (F.col("transparency") / 3).alias("transparency"))
+    return re_.frame_rows(f)
