@@ -135,15 +135,17 @@ def warp(image: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: int = 3) -> np.nd
     inside = np.isfinite(sx) & np.isfinite(sy) & (sx >= -0.5) & (sx <= w - 0.5) & (sy >= -0.5) & (sy <= h - 0.5)
     x, y = np.where(inside, sx, 0.0), np.where(inside, sy, 0.0)
     x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    steps = range(1 - a, a + 1)
+    across = [(lanczos_weight(x - (x0 + i), a), np.clip(x0 + i, 0, w - 1)) for i in steps]
+    flat = np.ascontiguousarray(image).reshape(-1)
     total, norm, least = np.zeros(x.shape), np.zeros(x.shape), np.full(x.shape, np.inf)
-    for j in range(1 - a, a + 1):
-        wy, yy = lanczos_weight(y - (y0 + j), a), np.clip(y0 + j, 0, h - 1)
-        for i in range(1 - a, a + 1):
-            k = wy * lanczos_weight(x - (x0 + i), a)
-            tap = image[yy, np.clip(x0 + i, 0, w - 1)]
+    for j in steps:
+        wy, line = lanczos_weight(y - (y0 + j), a), np.clip(y0 + j, 0, h - 1) * w
+        for wx, column in across:
+            k, tap = wy * wx, flat.take(line + column)
             total += k * tap
             norm += k
-            least = np.where(np.abs(k) > 1e-6, np.minimum(least, tap), least)
+            np.minimum(least, tap, out=least, where=np.abs(k) > 1e-6)
     out = np.maximum(np.maximum(total / np.maximum(norm, 1e-6), least), 0)
     return np.where(inside, out, np.nan)
 
@@ -186,13 +188,18 @@ def align(src: np.ndarray, dst: np.ndarray, most: int = 60, tolerance: float = 3
     best, votes = None, 0
     d = np.abs(fa[:, None] - fb[None]).max(2)
     pairs = np.argwhere(d < 0.02)
-    pairs = pairs[np.argsort(d[pairs[:, 0], pairs[:, 1]], kind="stable")][:4000]
-    for i, j in pairs:
-        m = similarity_fit(src[ta[i]], dst[tb[j]])
-        hits = np.hypot(*(apply_matrix(m, src)[:, None] - dst[None]).transpose(2, 0, 1)).min(1) < tolerance
-        if hits.sum() > votes:
-            votes, best = int(hits.sum()), m
-            if votes >= 0.8 * min(len(src), len(dst)):
+    pairs = pairs[np.argsort(d[pairs[:, 0], pairs[:, 1]], kind="stable")]
+    places, targets, enough = src @ [1, 1j], dst @ [1, 1j], 0.8 * min(len(src), len(dst))
+    for k in range(0, len(pairs), 256):  # a similarity is a complex factor and shift: many pairs at once
+        p, q = places[ta[pairs[k : k + 256, 0]]], targets[tb[pairs[k : k + 256, 1]]]
+        pc, qc = p - p.mean(1, keepdims=True), q - q.mean(1, keepdims=True)
+        z = (pc.conj() * qc).sum(1) / np.maximum((np.abs(pc) ** 2).sum(1), 1e-12)
+        moved = z[:, None] * places + (q.mean(1) - z * p.mean(1))[:, None]
+        hits = (np.abs(moved[:, :, None] - targets).min(2) < tolerance).sum(1)
+        first = int(np.argmax(hits >= enough)) if (hits >= enough).any() else int(hits.argmax())
+        if hits[first] > votes:
+            votes, best = int(hits[first]), similarity_fit(src[ta[pairs[k + first, 0]]], dst[tb[pairs[k + first, 1]]])
+            if votes >= enough:
                 break
     if best is None or votes < 3:
         raise ValueError("no alignment was found")
