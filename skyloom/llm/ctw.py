@@ -11,8 +11,10 @@ holds. Contexts reach back to the start of a word only, so a word has one probab
 There is a tree for each class of training documents (their language where one is given), and a text's probability is the mean of the trees' probabilities of the whole
 text, weighted by the classes' shares of the training documents. A text's own class is not used.
 
-The statistics cover all training tokens, and a tree keeps every (context, symbol) count. The trees go to every
-task whole, so memory must hold the distinct pairs of a context and a symbol of all classes.
+The statistics cover all training tokens, and a tree keeps every (context, symbol) count. The trees stay
+distributed: contexts that share their newest STEM bytes are one subtree, which one task grows; a subtree has
+256 ** (DEPTH - STEM) contexts at most. The nodes above the subtrees, 256 ** (STEM - 1) contexts a class at
+most, are grown from sums over the subtrees and go to every task. Each distinct word is scored once.
 
 Defined results: null and empty texts are the end token alone; with nothing to train on every bit has
 probability 1/2 and the base is log10(0.1 / 0.1); repeated rows count each; extra columns are not read.
@@ -28,7 +30,15 @@ from pyspark.sql import functions as F
 from ._common import Interner, blocks, bounded_batches, cut
 from .langid import fold
 
-DEPTH, HEAD_WORDS, CACHE_WORDS = 4, 200_000, 300_000
+DEPTH, STEM = 5, 3
+#: Words that go to every task with their counts and scores; all others come by a join.
+HEAD_WORDS = 200_000
+#: Numbers of a worker's distinct words are forgotten beyond this many.
+CACHE_WORDS = 300_000
+#: (context, symbol) values that are broadcast at most, over all classes; more of them come by a join.
+VALUE_CELLS = 8_000_000
+#: Pairs that a task works on at a time, and bytes of words.
+BLOCK_PAIRS, WORD_BYTES = 300_000, 1 << 20
 HALF = float(np.log(0.5))
 
 
@@ -80,120 +90,79 @@ def depth_of(context: np.ndarray) -> np.ndarray:
     return sum((context >= 1 << 8 * k).astype(np.int64) for k in range(1, DEPTH + 1)) if len(context) else np.zeros(0, np.int64)
 
 
-class ContextTree:
-    """Per depth: node keys (context * 256 + bit prefix), KT probability of a one, and the weight of its own
-    estimate against the deeper ones."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``rows``: for each depth (contexts, symbols, counts)."""
-        self.keys, self.one, self.own = [], [], []
-        below = None
+def binary(context: np.ndarray, sym: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node keys (context * 256 + bit prefix) of the eight decisions of symbols, with their zeros and ones."""
+    keys, ones = [], []
+    for b in range(8):
+        keys.append(context << 8 | (256 + sym) >> (8 - b))
+        ones.append((sym >> (7 - b) & 1) * count)
+    n1 = np.concatenate(ones)
+    return np.concatenate(keys), np.tile(count, 8) - n1, n1
+
+
+class Level:
+    """The nodes of one depth: keys, KT probability of a one, weight of the own estimate against the deeper ones."""
+
+    def __init__(self, keys: np.ndarray, one: np.ndarray, own: np.ndarray):
+        self.keys, self.one, self.own = keys, one, own
+
+
+#: No nodes: keys, zeros, ones, ln of the weighted probability.
+NO_KIDS = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))
+
+
+def grow(context: np.ndarray, sym: np.ndarray, count: np.ndarray, kids: tuple, deepest: int, least: int) -> tuple[dict[int, Level], tuple]:
+    """Levels ``deepest`` to ``least`` of trees, from symbols counted at whole contexts and from ``kids``, nodes
+    one level deeper under the keys of their parents; also the nodes of ``least`` in that form. A context of
+    less than DEPTH bytes begins with a space, so nothing is deeper than it."""
+    levels, at = {}, depth_of(context)
+    for d in range(deepest, least - 1, -1):
+        pick = at == d
+        key, n0, n1 = binary(context[pick], sym[pick], count[pick].astype(np.float64))
+        keys, inverse = np.unique(np.concatenate((key, kids[0])), return_inverse=True)
+        n0 = np.bincount(inverse, np.concatenate((n0, kids[1])), len(keys))
+        n1 = np.bincount(inverse, np.concatenate((n1, kids[2])), len(keys))
+        under = inverse[len(key) :]
+        has, deep = np.bincount(under, minlength=len(keys)) > 0, np.bincount(under, kids[3], len(keys))
+        own = log_kt(n0, n1)
+        weight = np.where(has, 1 / (1 + np.exp(np.clip(deep - own, -700, 700))), 1.0)
+        levels[d] = Level(keys, (n1 + 0.5) / (n0 + n1 + 1), weight)
+        kids = (parent(keys >> 8) << 8 | keys & 255, n0, n1, np.where(has, HALF + np.logaddexp(own, deep), own))
+    return levels, kids
+
+
+def path(levels: dict[int, Level], context: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    """log10 probability of symbols after contexts; a path ends at the deepest node there is."""
+    depth, chain = depth_of(context), [context]
+    for _ in range(DEPTH):
+        chain.append(parent(chain[-1]))
+    # of each depth: the symbols that reach it and their ancestors there, shifted for a bit prefix
+    reach = {}
+    for d in range(DEPTH + 1):
+        here = np.flatnonzero(depth >= d)
+        reach[d] = here, np.stack(chain)[depth[here] - d, here] << 8
+    out = np.zeros(len(context))
+    for b in range(8):
+        prefix, bit = (256 + sym) >> (8 - b), sym >> (7 - b) & 1
+        p, open_ = np.full(len(context), 0.5), np.ones(len(context), bool)  # open: no deeper node has been found
         for d in range(DEPTH, -1, -1):
-            context, sym, count = rows[d]
-            parts = []
-            for b in range(8):
-                prefix = (256 + sym) >> (8 - b)
-                parts.append((context << 8 | prefix, count * (1 - (sym >> (7 - b) & 1)), count * (sym >> (7 - b) & 1)))
-            key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            keys, inverse = np.unique(key, return_inverse=True)
-            n0 = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys))
-            n1 = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(keys))
-            own = log_kt(n0, n1)
-            total, weight = own.copy(), np.ones(len(keys))
-            if below is not None and len(below[0]):
-                kids_key, kids_log, k0, k1 = below
-                up = parent(kids_key >> 8) << 8 | kids_key & 255
-                at = np.searchsorted(keys, up)
-                ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == up)
-                at = at[ok]
-                has = np.bincount(at, minlength=len(keys)) > 0
-                deep = np.bincount(at, kids_log[ok], len(keys))
-                left0 = np.maximum(n0 - np.bincount(at, k0[ok], len(keys)), 0)
-                left1 = np.maximum(n1 - np.bincount(at, k1[ok], len(keys)), 0)
-                deep += np.where(left0 + left1 > 0, log_kt(left0, left1), 0.0)
-                weight = np.where(has, 1 / (1 + np.exp(np.clip(deep - own, -700, 700))), 1.0)
-                total = np.where(has, HALF + np.logaddexp(own, deep), own)
-            self.keys.insert(0, keys)
-            self.one.insert(0, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32))
-            self.own.insert(0, weight.astype(np.float32))
-            below = (keys, total, n0, n1)
-        context, sym, _ = rows[DEPTH]
-        short = [(c, s) for c, s, _ in rows[1:DEPTH]]
-        # symbols of full contexts are looked up whole
-        pairs = [(context, sym), *[(c[ends_at_space(c, d)], s[ends_at_space(c, d)]) for d, (c, s) in enumerate(short, 1)]]
-        context, sym = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        key = np.unique(context << 8 | sym)
-        self.known, self.known_log = key, np.zeros(len(key))
-        for a in range(0, len(key), 1 << 18):
-            k = key[a : a + (1 << 18)]
-            self.known_log[a : a + (1 << 18)] = self.path(k >> 8, k & 255)
-
-    def path(self, context: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        """log10 probability of symbols after contexts, by the tree."""
-        chain = [context]
-        for _ in range(DEPTH):
-            chain.append(parent(chain[-1]))
-        depth = depth_of(context)
-        out = np.zeros(len(context))
-        for b in range(8):
-            prefix, bit = (256 + sym) >> (8 - b), sym >> (7 - b) & 1
-            p = np.full(len(context), 0.5)
-            open_ = np.ones(len(context), bool)  # no deeper node has been found
-            for d in range(DEPTH, -1, -1):
-                keys = self.keys[d]
-                if not len(keys):
-                    continue
-                here = np.flatnonzero(depth >= d)
-                at_depth = np.zeros(len(here), np.int64)
-                for k in range(DEPTH + 1):  # the ancestor of depth d is depth - d steps up
-                    pick = depth[here] - d == k
-                    at_depth[pick] = chain[k][here[pick]]
-                key = at_depth << 8 | prefix[here]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
-                here, at = here[hit], at[hit]
-                one, w = self.one[d][at].astype(np.float64), self.own[d][at].astype(np.float64)
-                own = np.where(bit[here] == 1, one, 1 - one)
-                p[here] = np.where(open_[here], own, w * own + (1 - w) * p[here])
-                open_[here] = False
-            out += np.log10(p)
-        return out
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its final space; of an empty word, of the end token."""
-        sym, word, context = symbols(words)
-        key = context << 8 | sym
-        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1) if len(self.known) else np.zeros(len(key), np.int64)
-        hit = self.known[at] == key if len(self.known) else np.zeros(len(key), bool)
-        value = np.zeros(len(key))
-        value[hit] = self.known_log[at[hit]]
-        if not hit.all():
-            rest, inverse = np.unique(key[~hit], return_inverse=True)
-            value[~hit] = self.path(rest >> 8, rest & 255)[inverse]
-        return np.bincount(word, value, len(words))
-
-
-def ends_at_space(context: np.ndarray, d: int) -> np.ndarray:
-    """Whether contexts of depth d begin with the space before their word."""
-    return context >> 8 * (d - 1) & 255 == 32
-
-
-def expand(sym: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context * 256 + symbol) of every depth with their counts."""
-    keys, counts = [], []
-    while len(sym):
-        key, inverse = np.unique(context << 8 | sym, return_inverse=True)
-        keys.append(key)
-        counts.append(np.bincount(inverse, count, len(key)).astype(np.int64))
-        up = parent(context)
-        keep = up > 0
-        sym, context, count = sym[keep], up[keep], count[keep]
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return key, np.bincount(inverse, np.concatenate(counts) if counts else None, len(key)).astype(np.int64)
+            level = levels.get(d)
+            if level is None or not len(level.keys):
+                continue
+            here, above = reach[d]
+            key = above | prefix[here]
+            at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
+            hit = level.keys[at] == key
+            here, at = here[hit], at[hit]
+            own = np.where(bit[here] == 1, level.one[at], 1 - level.one[at])
+            p[here] = np.where(open_[here], own, level.own[at] * own + (1 - level.own[at]) * p[here])
+            open_[here] = False
+        out += np.log10(p)
+    return out
 
 
 def _count_words(batches):
-    """(class, word, n) of the training rows; counts of a task are summed before the shuffle."""
+    """(class, word, n); counts of a task are summed before the shuffle."""
     held: dict[int, dict[bytes, int]] = {}
 
     def out():
@@ -213,145 +182,241 @@ def _count_words(batches):
     yield from out()
 
 
+def _slices(batches):
+    """Slices of about WORD_BYTES bytes of words, one word at least."""
+    for batch in batches:
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in batch.column("word").to_pylist()), np.int64, batch.num_rows))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORD_BYTES, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _count_contexts(batches):
+    """(class, context, symbol, n) of the words; counts of a task are summed before the shuffle."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # of each class
 
     def merged(parts):
         key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
+        return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key))
+
+    def out():
+        for kind, parts in held.items():
+            key, count = merged(parts)
+            for a in range(0, len(key), 50_000):
+                k = key[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k >> 8), pa.array(k & 255), pa.array(count[a : a + 50_000].astype(np.int64))], ["class", "context", "symbol", "n"])
+
+    for part in _slices(batches):
+        kind, n = np.asarray(part.column("class")), np.asarray(part.column("n"))
+        sym, word, context = symbols(part.column("word").to_pylist())
+        for k in np.unique(kind).tolist():
+            mine = kind[word] == k
+            held.setdefault(k, []).append(merged([(context[mine] << 8 | sym[mine], n[word[mine]])]))
+            if len(held[k]) > 20:
+                held[k] = [merged(held[k])]
+        if sum(len(key) for parts in held.values() for key, _ in parts) > 10 * BLOCK_PAIRS:
+            yield from out()
+            held.clear()
+    yield from out()
 
+
+def _whole_stems(batches):
+    """(stem, class, context, symbol, n) as arrays, BLOCK_PAIRS rows or one stem at a time; rows come sorted by stem."""
+    held, size, limit = [], 0, BLOCK_PAIRS
     for batch in batches:
-        for a in range(0, batch.num_rows, 50_000):
-            part = batch.slice(a, 50_000)
-            kind, n = np.asarray(part.column("class")), np.asarray(part.column("n"))
+        held.append([np.asarray(batch.column(c)) for c in ("stem", "class", "context", "symbol", "n")])
+        size += batch.num_rows
+        if size > limit:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = int(np.searchsorted(whole[0], whole[0][-1]))
+            if last:
+                yield [c[:last] for c in whole]
+            held = [[c[last:] for c in whole]]
+            size = len(held[0][0])
+            limit = max(BLOCK_PAIRS, 2 * size)
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _subtree(block: list[np.ndarray], k: int) -> tuple[dict[int, Level], tuple]:
+    _, kind, context, sym, n = block
+    pick = (kind == k) & (n > 0)
+    return grow(context[pick], sym[pick], n[pick], NO_KIDS, DEPTH, STEM)
+
+
+def _subtree_roots(batches):
+    """What the nodes above the subtrees need of them: (class, key, n0, n1, total)."""
+    for block in _whole_stems(batches):
+        for k in np.unique(block[1][block[1] >= 0]).tolist():
+            _, (key, *sums) = _subtree(block, k)
+            keys, inverse = np.unique(key, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), *[pa.array(np.bincount(inverse, x, len(keys)).astype(np.float64)) for x in sums]], ["class", "key", "n0", "n1", "total"])
+
+
+def _pair_values(shared):
+    def run(batches):
+        tops = shared.value
+        for block in _whole_stems(batches):
+            pair = np.unique(block[2] << 8 | block[3])
+            logs = np.stack([path(_subtree(block, k)[0] | top, pair >> 8, pair & 255) for k, top in enumerate(tops)], 1)
+            for a in range(0, len(pair), 50_000):
+                part = pair[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part >> 8), pa.array(part & 255), _lists(logs[a : a + 50_000])], ["context", "symbol", "logs"])
+
+    return run
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel().astype(np.float64)))
+
+
+def value_pairs(words: DataFrame, classes: int) -> DataFrame:
+    """(context, symbol, logs): the log10 probability of each symbol after its context by each class's tree.
+    ``words``: (class int, word binary, n long) of all tokens; words of class -1 are scored but not learned from."""
+    spark = words.sparkSession
+    counted = words.mapInArrow(_count_contexts, "class int, context long, symbol long, n long").groupBy("class", "context", "symbol").agg(F.sum("n").alias("n"))
+    low = (1 << 8 * STEM) - 1
+    stem = F.when(F.col("context") > low, F.col("context").bitwiseAND(F.lit(low)) + F.lit(low + 1)).otherwise(F.col("context"))
+    pairs = cut(counted.select(stem.alias("stem"), "class", "context", "symbol", "n").repartition("stem").sortWithinPartitions("stem"))
+    roots = pairs.mapInArrow(_subtree_roots, "class int, key long, n0 double, n1 double, total double").groupBy("class", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).toArrow()
+    short = pairs.filter((F.col("context") <= low) & (F.col("class") >= 0)).select("class", "context", "symbol", "n").toArrow()
+    kind, *kids = (roots.column(c).to_numpy() for c in ("class", "key", "n0", "n1", "total"))
+    at, context, sym, n = (short.column(c).to_numpy() for c in ("class", "context", "symbol", "n"))
+    tops = [grow(context[at == k], sym[at == k], n[at == k], tuple(c[kind == k] for c in kids), STEM - 1, 0)[0] for k in range(classes)]
+    shared = spark.sparkContext.broadcast(tops)  # 256 ** (STEM - 1) contexts a class at most
+    return cut(pairs.mapInArrow(_pair_values(shared), "context long, symbol long, logs array<double>"))
+
+
+def _word_values(shared):
+    """Scores of words from broadcast values of all their pairs."""
+
+    def run(batches):
+        key, logs = shared.value
+        for part in _slices(batches):
             sym, word, context = symbols(part.column("word").to_pylist())
-            for k in np.unique(kind).tolist():
-                mine = kind[word] == k
-                held.setdefault(k, []).append(expand(sym[mine], context[mine], n[word[mine]]))
-                if len(held[k]) > 20:
-                    held[k] = [merged(held[k])]
-    for kind, parts in held.items():
-        key, count = merged(parts)
-        for a in range(0, len(key), 50_000):
-            k = key[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k >> 8), pa.array(k & 255), pa.array(count[a : a + 50_000])], ["class", "context", "symbol", "n"])
-
-
-def fit_trees(words: DataFrame, classes: int) -> list[ContextTree]:
-    """``words``: (class int, word binary, n long) of all training tokens."""
-    rows = words.mapInArrow(_count_contexts, "class int, context long, symbol long, n long").groupBy("class", "context", "symbol").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()  # every count: the distinct pairs of a class, not its tokens
-    kind, context, symbol, n = (got.column(c).to_numpy() for c in ("class", "context", "symbol", "n"))
-    at = depth_of(context)
-    trees = []
-    for k in range(classes):
-        pick = [(kind == k) & (at == d) for d in range(DEPTH + 1)]
-        trees.append(ContextTree([(context[p], symbol[p], n[p].astype(np.float64)) for p in pick]))
-    return trees
-
-
-class Scorer:
-    """Scores and counts of the words of a worker's texts, each distinct word once."""
-
-    def __init__(self, trees: list[ContextTree], shares: list[float], head: dict[bytes, int]):
-        self.trees, self.shares, self.head = trees, np.log10(shares), head
-        self.clear()
-
-    def clear(self) -> None:
-        self.words = Interner()
-        self.score, self.count = np.zeros((0, len(self.trees))), np.zeros(0, np.int64)
-
-    def rows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all tokens, and the tokens of each text."""
-        if len(self.words) > CACHE_WORDS:
-            self.clear()
-        number, rows = self.words.__getitem__, []
-        for text in texts:
-            parts = text.lower().split()
-            parts.append(b"")
-            rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
-        fresh = list(self.words)[len(self.score) :]
-        if fresh:
-            got = [np.stack([t.score(fresh[a : a + 50_000]) for t in self.trees], 1) for a in range(0, len(fresh), 50_000)]
-            self.score = np.concatenate((self.score, *got))
-            self.count = np.concatenate((self.count, np.fromiter((self.head.get(w, -1) for w in fresh), np.int64, len(fresh))))
-        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
-
-    def mixture(self, word: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """log10 of the weighted mean of the trees' probabilities of each text."""
-        total = np.stack([np.bincount(doc, self.score[word, k], n) for k in range(len(self.trees))], 1) + self.shares
-        top = total.max(1)
-        return top + np.log10((10 ** np.maximum(total - top[:, None], -300)).sum(1))
+            at = np.searchsorted(key, context << 8 | sym)
+            sums = np.stack([np.bincount(word, logs[at, k], part.num_rows) for k in range(logs.shape[1])], 1)
+            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), _lists(sums)], ["word", "n", "logs"])
+
+    return run
+
+
+def _word_pairs(batches):
+    for part in _slices(batches):
+        listed = part.column("word").to_pylist()
+        sym, word, context = symbols(listed)
+        for a in range(0, len(sym), 50_000):
+            w = word[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(w)), part.column("n").take(pa.array(w)), pa.array(context[a : a + 50_000]), pa.array(sym[a : a + 50_000])], ["word", "n", "context", "symbol"])
+
+
+def score_words(words: DataFrame, pairs: DataFrame, classes: int) -> DataFrame:
+    """(word, n, logs): each distinct word's count in training and its log10 probability, the space after it
+    included, by each class's tree."""
+    words = words.groupBy("word").agg(F.sum(F.when(F.col("class") >= 0, F.col("n")).otherwise(0)).alias("n"))
+    if pairs.count() * classes <= VALUE_CELLS:
+        got = pairs.toArrow()
+        key = got.column("context").to_numpy() << 8 | got.column("symbol").to_numpy()
+        logs = got.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, classes)
+        order = np.argsort(key)
+        shared = words.sparkSession.sparkContext.broadcast((key[order], logs[order]))
+        return cut(words.mapInArrow(_word_values(shared), "word binary, n long, logs array<double>"))
+    spelled = words.mapInArrow(_word_pairs, "word binary, n long, context long, symbol long").join(pairs, ["context", "symbol"])
+    sums = spelled.groupBy("word", "n").agg(*[F.sum(F.col("logs")[k]).alias(f"s{k}") for k in range(classes)])
+    return cut(sums.select("word", "n", F.array(*[f"s{k}" for k in range(classes)]).alias("logs")))
 
 
 def _score(shared):
+    """Sums over the tokens of each text that every task knows, and its other words with their counts."""
+
     def run(batches):
-        scorer = Scorer(*shared.value)
+        head, counts, logs = shared.value  # row of a word; counts and logs of the rows
+        base, classes = np.log10(counts + 0.1), logs.shape[1]
+        seen, place, size = Interner(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for table in blocks(batches, 8 << 20):
-            word, lens = scorer.rows(table.column("text").to_pylist())
-            doc = np.repeat(np.arange(len(lens)), lens)
-            count = scorer.count[word]
-            inside = count >= 0
-            logs = np.log10(np.maximum(count, 0) + 0.1)
-            n = len(lens)
-            names = list(scorer.words)
-            pair = np.unique(doc[~inside] * len(names) + word[~inside], return_counts=True)
-            at, which = pair[0] // max(1, len(names)), pair[0] % max(1, len(names))
-            off = np.searchsorted(at, np.arange(n + 1))
-            tail = pa.StructArray.from_arrays([pa.array([names[w] for w in which.tolist()], pa.binary()), pa.array(pair[1], pa.int64())], ["word", "k"])
+            if len(seen) > CACHE_WORDS:
+                seen, place, size = Interner(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            number, rows = seen.__getitem__, []
+            for text in table.column("text").to_pylist():
+                parts = text.lower().split()
+                parts.append(b"")
+                rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+            names, n = list(seen), len(rows)
+            fresh = names[len(place) :]
+            place = np.concatenate((place, np.fromiter((head.get(w, -1) for w in fresh), np.int64, len(fresh))))
+            size = np.concatenate((size, np.fromiter((len(w) + 1 for w in fresh), np.int64, len(fresh))))
+            lens = np.fromiter(map(len, rows), np.int64, n)
+            word, doc = np.concatenate(rows), np.repeat(np.arange(n), lens)
+            symbols_ = np.bincount(doc, size[word], n).astype(np.int64)
+            inside = place[word] >= 0
+            pair, times = np.unique(doc[~inside] * len(names) + word[~inside], return_counts=True)
+            off = np.searchsorted(pair // len(names), np.arange(n + 1))
+            tail = pa.StructArray.from_arrays([pa.array([names[w] for w in (pair % len(names)).tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+            doc, row = doc[inside], place[word[inside]]
+            sums = np.stack([np.bincount(doc, logs[row, k], n) for k in range(classes)], 1)
             yield from pa.table(
-                [table.column("id").combine_chunks(), pa.array(lens), pa.array(np.bincount(doc, inside, n).astype(np.int64)), pa.array(np.bincount(doc, np.where(inside, logs, 0.0), n)), pa.array(scorer.mixture(word, doc, n)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), tail)],
-                ["id", "n_tokens", "head_known", "head_log", "score", "tail"],
+                [table.column("id").combine_chunks(), pa.array(lens), pa.array(symbols_), pa.array(np.bincount(doc, counts[row] > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base[row], n).astype(np.float64)), _lists(sums), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), tail)],
+                ["id", "n_tokens", "n_symbols", "head_known", "head_log", "head_logs", "tail"],
             ).to_batches(max_chunksize=2000)
 
     return run
 
 
-def head_count(words: DataFrame) -> float:
-    """The least count that HEAD_WORDS words at most reach, to a sixteenth of a power of two; from a histogram."""
+def head_count(words: DataFrame, most: int) -> float:
+    """The least count that ``most`` words at most reach, to a sixteenth of a power of two; from a histogram."""
     level = F.floor(F.log2("n") * 16).cast("int")
-    bars = sorted((r["level"], r["k"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect())  # 1,024 rows at most
+    bars = sorted((r["level"], r["k"]) for r in words.filter("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect())  # 1,024 rows at most
     held, least = 0, float("inf")
     for at, k in reversed(bars):
         held += k
-        if held > HEAD_WORDS:
+        if held > most:
             break
         least = 2 ** (at / 16) * (1 - 1e-12)
     return least
 
 
 def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
-    """(row id, n_tokens, n_known, train_tokens long, base_score, score double) of every whole text; ``train``
-    is the condition on rows to learn from, ``class_col`` names their classes.
+    """(row id, n_tokens, n_known, train_tokens long, base_score, score, bits_per_byte double) of every whole
+    text; ``train`` is the condition on rows to learn from, ``class_col`` names their classes; bits_per_byte is
+    the code length of the text over its bytes, a byte after each token included.
 
-    Word counts of the whole corpus are exact. The HEAD_WORDS most frequent words go to every task; the counts
-    of the others come by a join with the few (document, word) pairs that need them."""
+    Word counts of the whole corpus are exact. The most frequent words, HEAD_WORDS at most, go to every task
+    with their scores; the others come by a join with the few (document, word) pairs that need them."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     named = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), train.alias("train"), named.alias("name"))
-    sizes = rows.filter("train").groupBy("name").agg(F.count("*").alias("n"))
-    kinds = sizes.orderBy(F.desc("n"), "name").collect()  # a row a class
+    kinds = rows.filter("train").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").collect()  # a row a class
     documents = sum(r["n"] for r in kinds)
     classes = max(1, len(kinds))
-    shares = [r["n"] / documents for r in kinds] or [1.0]
-    numbers = spark.createDataFrame([(r["name"], k) for k, r in enumerate(kinds)], "name string, class int")
-    words = cut(rows.filter("train").join(F.broadcast(numbers), "name").select("class", "text").mapInArrow(_count_words, "class int, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n")))
-    trees = fit_trees(words, classes)
-    words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = words.filter(F.col("n") >= head_count(words)).toArrow()  # HEAD_WORDS at most
-    head = dict(zip(listed.column("word").to_pylist(), listed.column("n").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((trees, shares, head))  # HEAD_WORDS words, all counts of the trees
-    scored = rows.select("id", "text").mapInArrow(_score(shared), f"id {kind}, n_tokens long, head_known long, head_log double, score double, tail array<struct<word binary, k long>>")
+    shares = [float(np.log10(r["n"] / documents)) for r in kinds] or [0.0]
+    numbers = spark.createDataFrame([(r["name"], k) for k, r in enumerate(kinds)], "name string, number int")
+    labelled = rows.join(F.broadcast(numbers), "name", "left").select(F.when(F.col("train"), F.col("number")).otherwise(-1).alias("class"), "text")
+    counted = cut(labelled.mapInArrow(_count_words, "class int, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n")))
+    words = score_words(counted, value_pairs(counted, classes), classes)
+    total, distinct = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    listed = words.filter(F.col("n") >= head_count(words, min(HEAD_WORDS, VALUE_CELLS // classes))).toArrow()
+    head = {w: k for k, w in enumerate(listed.column("word").to_pylist())}
+    logs = listed.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+    shared = spark.sparkContext.broadcast((head, listed.column("n").to_numpy(), logs))  # HEAD_WORDS words at most
+    scored = rows.select("id", "text").mapInArrow(_score(shared), f"id {kind}, n_tokens long, n_symbols long, head_known long, head_log double, head_logs array<double>, tail array<struct<word binary, k long>>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.k").alias("k"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    found = tail.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(n + F.lit(0.1))).alias("log"))
+    sums = [F.sum(F.col("k") * F.col("logs")[k]).alias(f"s{k}") for k in range(classes)]
+    found = tail.join(words, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + F.lit(0.1))).alias("log"), *sums)
     out = scored.drop("tail").join(found, "row", "left")
     base = F.col("head_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (distinct + 1))))
-    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    by_class = F.array(*[F.col("head_logs")[k] + F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(shares[k]) for k in range(classes)])
+    out = out.withColumn("by_class", by_class).withColumn("top", F.array_max("by_class"))
+    rest = F.aggregate("by_class", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
+    out = out.withColumn("score", F.col("top") + F.log10(rest))
+    return out.select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        base.alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_symbols")).alias("bits_per_byte"),
+    )
 
 
 def train_fold(id_col: str = "doc_id") -> F.Column:

@@ -1,6 +1,7 @@
 """The text operators: exact results, brute force, held-out accuracy, and the same odd inputs for all."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -226,55 +227,96 @@ def test_langid_brute(spark):
         assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp(sums - sums.max()).sum() if words else 0.0, abs=1e-3)
 
 
-def test_ctw_is_a_distribution(spark):
-    words = collections.Counter("the cat the dog then they them a an and".encode().split() + [b""] * 3)
-    rows = spark.createDataFrame([(0, bytearray(w), c) for w, c in words.items()], "class int, word binary, n long")
-    tree = ctw.fit_trees(rows, 1)[0]
+def local_tree(words):
+    """Levels of the tree of a Counter of words, grown in one piece."""
+    sym, word, context = ctw.symbols(list(words))
+    return ctw.grow(context, sym, np.array(list(words.values()))[word], ctw.NO_KIDS, ctw.DEPTH, 0)[0]
+
+
+def test_ctw_is_a_distribution():
+    levels = local_tree(collections.Counter("the cat the dog then they them a an and".encode().split() + [b""] * 3))
     for context in (1, 1 << 8 | 32, (1 << 8 | 32) << 8 | ord("t"), ((1 << 8 | 32) << 8 | ord("q"))):
-        p = 10 ** tree.path(np.full(256, context), np.arange(256))
-        assert p.sum() == pytest.approx(1, abs=1e-6)
-    assert tree.score([b"the"])[0] > tree.score([b"xqz"])[0]
-
-
-def test_ctw_weights_brute():
-    """Mixture weights against the recursion P_w = (P_e + product of children) / 2 on one bit prefix."""
-    words = [b"ab", b"aa", b"b", b"abab"]
-    sym, word, context = ctw.symbols(words)
-    key, count = ctw.expand(sym, context, np.array([3, 1, 2, 1])[word])
-    c, s = key >> 8, key & 255
-    d = ctw.depth_of(c)
-    tree = ctw.ContextTree([(c[d == k], s[d == k], count[d == k].astype(float)) for k in range(ctw.DEPTH + 1)])
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def node(ctx):
-        n = [sum(int(k) for x, y, k in zip(c, s, count, strict=True) if x == ctx and (y >> 7) == bit) for bit in (0, 1)]
-        kids = [int(x) for x in np.unique(c) if x > 1 and int(ctw.parent(np.array([x]))[0]) == ctx]
-        own = kt(*n)
-        if not kids:
-            return own, own, None
-        deep = sum(node(k)[1] for k in kids)
-        return own, math.log(0.5) + np.logaddexp(own, deep), 1 / (1 + math.exp(deep - own))
-
-    at = int(np.flatnonzero(tree.keys[0] == (1 << 8 | 1))[0])
-    assert tree.own[0][at] == pytest.approx(node(1)[2], rel=1e-5)
-
-
-def test_ctw_keeps_every_context(spark, monkeypatch):
-    """More than 100,000 pairs of a depth, more than six classes."""
+        p = 10 ** ctw.path(levels, np.full(256, context), np.arange(256))
+        assert p.sum() == pytest.approx(1, abs=1e-9)
+
+
+def plain_ctw(words):
+    """log10 probability of a word and its space by the recursion P_w = (P_e + product of children) / 2, node by node."""
+    spelled = lambda w: (b" " + w + b" ") if w else b" \n"
+    count, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for w, n in words.items():
+        text = spelled(w)
+        for i in range(1, len(text)):
+            whole = text[max(0, i - ctw.DEPTH) : i]
+            for size in range(len(whole) + 1):
+                context = whole[len(whole) - size :]
+                for b in range(8):
+                    node = context, (256 + text[i]) >> (8 - b)
+                    count[node][text[i] >> (7 - b) & 1] += n
+                    if size:
+                        kids[context[1:], node[1]].add(node)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    total, weight = {}, {}
+    for node in sorted(count, key=lambda n: -len(n[0])):
+        own, deep = kt(*count[node]), sum(total[k] for k in kids[node])
+        total[node] = math.log(0.5) + np.logaddexp(own, deep) if kids[node] else own
+        weight[node] = 1 / (1 + math.exp(min(deep - own, 700))) if kids[node] else 1.0
+
+    def score(w):
+        text, out = spelled(w), 0.0
+        for i in range(1, len(text)):
+            for b in range(8):
+                bit, p = text[i] >> (7 - b) & 1, None
+                for size in range(min(i, ctw.DEPTH), -1, -1):
+                    node = text[i - size : i], (256 + text[i]) >> (8 - b)
+                    if node in count:
+                        own = (count[node][bit] + 0.5) / (sum(count[node]) + 1)
+                        p = own if p is None else weight[node] * own + (1 - weight[node]) * p
+                out += math.log10(0.5 if p is None else p)
+        return out
+
+    return score
+
+
+def test_ctw_brute(spark, monkeypatch):
+    """Whole scores against a plain program, with and without broadcasts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).cache()
+    rows = [(r["doc_id"], r["lang"] or "", [*(r["text"] or "").encode().lower().split(), b""]) for r in docs.collect()]
+    words, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for k, lang, tokens in rows:
+        if zlib.crc32(str(k).encode()) % 10:
+            words[lang].update(tokens)
+            n[lang] += 1
+    plain = {lang: functools.cache(plain_ctw(w)) for lang, w in words.items()}
+    want = {}
+    for k, _, tokens in rows:
+        logs = [sum(plain[lang](w) for w in tokens) + math.log10(n[lang] / sum(n.values())) for lang in plain]
+        want[k] = max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs))
+    for cells in (ctw.VALUE_CELLS, 0):
+        monkeypatch.setattr(ctw, "VALUE_CELLS", cells)
+        got = ctw.score_documents(docs, ctw.train_fold()).collect()
+        assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
+        size = {k: sum(len(t) + 1 for t in tokens) for k, _, tokens in rows}
+        assert all(r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / size[r["doc_id"]]) for r in got)
+
+
+def test_ctw_keeps_every_context(spark):
+    """More than 100,000 pairs of a depth; the subtrees of many tasks equal one tree grown in one piece."""
     r = random.Random(4)
-    words = sorted({bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(45_000)})
-    rows = spark.createDataFrame([(0, bytearray(w), 1) for w in words], "class int, word binary, n long")
-    sym, _, context = ctw.symbols(words)
-    want = np.unique(context << 8 | sym)
-    assert (want >> 8 >= 1 << 32).sum() > 100_000
-    assert ctw.fit_trees(rows, 1)[0].known.tolist() == want.tolist()
-    fit, classes = ctw.fit_trees, []
-    monkeypatch.setattr(ctw, "fit_trees", lambda w, k: classes.append(k) or fit(w, k))
+    words = collections.Counter({bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=7)): r.randint(1, 9) for _ in range(45_000)})
+    rows = spark.createDataFrame([(0, bytearray(w), n) for w, n in words.items()] + [(-1, bytearray(b"zzzzzzz!"), 1)], "class int, word binary, n long")
+    got = {(x["context"], x["symbol"]): x["logs"][0] for x in ctw.value_pairs(rows, 1).collect()}
+    sym, _, context = ctw.symbols([*words, b"zzzzzzz!"])
+    pair = np.unique(context << 8 | sym)
+    assert len(pair) > 100_000 and len(got) == len(pair)
+    want = ctw.path(local_tree(words), pair >> 8, pair & 255)
+    assert np.allclose([got[k >> 8, k & 255] for k in pair.tolist()], want, rtol=1e-9)
+
+
+def test_ctw_many_classes(spark):
     docs = spark.createDataFrame([(k, f"word{k % 9} text", f"l{k % 9}") for k in range(27)], "doc_id long, text string, lang string")
-    got = ctw.score_documents(docs, F.lit(True)).collect()
-    assert classes == [9] and len(got) == 27 and all(x["score"] < 0 for x in got)
+    got = {r["doc_id"]: r["score"] for r in ctw.score_documents(docs, F.lit(True)).collect()}
+    assert len(got) == 27 and all(got[k] == pytest.approx(got[k % 9]) for k in got)
 
 
 def test_ctw_query(spark):
