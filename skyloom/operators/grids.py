@@ -163,6 +163,23 @@ def solve_plane(row: dict) -> tuple[float, float, float, float] | None:
     return tuple(float(v) for v in (*fit, *[0.0] * (4 - len(names))))
 
 
+def fit_planes(cells: DataFrame, value: str = "fwhm", n: int = 4) -> DataFrame:
+    """(frame, n, level, tilt_x, tilt_y, curvature): a plane fitted to each frame's cells; NULL below three cells."""
+    sums = plane_sums(cells, value, n)
+    kind = sums.schema["frame"].dataType.simpleString()
+
+    def solve(batches):
+        for b in batches:
+            fits = [solve_plane(row) or (None,) * 4 for row in b.to_dict("records")]
+            out = b[["frame", "n"]].copy()
+            for k, name in enumerate(("level", "tilt_x", "tilt_y", "curvature")):
+                out[name] = [f[k] for f in fits]
+            yield out.astype({c: "float64" for c in out.columns[2:]})
+
+    out = sums.mapInPandas(solve, f"frame {kind}, n long, level double, tilt_x double, tilt_y double, curvature double")
+    return out.replace(float("nan"), None, ["level", "tilt_x", "tilt_y", "curvature"])
+
+
 def mapped_box(points: DataFrame, by: list[str]) -> DataFrame:
     """Bounding boxes of mapped points: floor of the least, ceiling of the greatest."""
     return points.groupBy(*by).agg(F.floor(F.min("x")).alias("x0"), F.floor(F.min("y")).alias("y0"), F.ceil(F.max("x")).alias("x1"), F.ceil(F.max("y")).alias("y1"))

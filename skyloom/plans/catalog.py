@@ -664,3 +664,47 @@ def sharpness_verdicts(spark, sf):
 def frame_report(spark, sf):
     f = frames(spark, sf).select("frame", "stars", "sky", "fwhm", (F.col("noise") / 7).alias("noise"), "exposure", (F.col("transparency") / 3).alias("transparency"))
     return re_.frame_rows(f)
+
+
+@query("gaussian_blur", f"""WITH {PX}, k AS (SELECT d, exp(-0.5 * power(d / 0.5, 2)) AS k FROM range(-2, 3) t(d))
+    SELECT a.frame, a.y, a.x, round(sum(b.v * i.k * j.k) / sum(i.k * j.k), 6) AS v FROM p a, k i, k j, p b WHERE b.frame = a.frame AND b.y = a.y + i.d AND b.x = a.x + j.d GROUP BY ALL""")
+def gaussian_blur(spark, sf):
+    return gr.gaussian_blur(patches(spark, sf), 0.5).select("frame", "y", "x", r6("v").alias("v"))
+
+
+@query("aperture_flux", f"""WITH {PX}, s AS (SELECT n_nationkey AS id, n_nationkey % 5 + 1 AS sx, n_nationkey // 5 + 1 AS sy FROM nation),
+    j AS (SELECT frame, id, v, power(x - sx, 2) + power(y - sy, 2) AS q FROM p, s WHERE power(x - sx, 2) + power(y - sy, 2) <= 9)
+    SELECT frame, id, CASE WHEN count(*) FILTER (WHERE q <= 1) = 5 THEN sum(v) FILTER (WHERE q <= 1) - 5 * quantile_disc(v, 0.5) FILTER (WHERE q > 2.25) END AS flux FROM j GROUP BY frame, id""")
+def aperture_flux(spark, sf):
+    stars = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5 + 1.25).alias("x"), (F.floor(F.col("n_nationkey") / 5) + 1.25).alias("y"))
+    return ma.aperture_flux(patches(spark, sf), stars, 1)
+
+
+@query("photometry_stars", """WITH s AS (SELECT c_custkey AS id, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 900 AS y, c_acctbal AS flux FROM customer)
+    SELECT id, flux FROM s a WHERE x >= 26 AND x < 974 AND y >= 26 AND y < 874 AND flux < 9000 AND NOT EXISTS (SELECT 1 FROM s b WHERE a.id <> b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) < 256)
+    ORDER BY flux DESC, id LIMIT 250""")
+def photometry_stars(spark, sf):
+    """The 250 brightest stars fit for photometry, as the operator does it."""
+    c = table(spark, sf, "customer")
+    stars = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 91 % 900).cast("double").alias("y"), F.col("c_acctbal").alias("flux"), F.col("c_acctbal").alias("peak"))
+    return ma.photometry_stars(stars, 1000, 900, 3.0, saturation=9000.0).select("id", "flux")
+
+
+@query("plane_fit", f"""WITH {CELLS}, g AS (SELECT frame, fwhm, (2 * col + 1) / 4.0::DOUBLE - 1 AS x, (2 * row + 1) / 4.0::DOUBLE - 1 AS y FROM c)
+    SELECT frame, count(*) AS n, round(regr_intercept(fwhm, x * x + y * y), 6) AS level, round(regr_slope(fwhm, x), 6) AS tilt_x, round(regr_slope(fwhm, y), 6) AS tilt_y, round(regr_slope(fwhm, x * x + y * y), 6) AS curvature
+    FROM g GROUP BY frame HAVING count(*) = 16""")
+def plane_fit(spark, sf):
+    """Planes of the frames whose cells are all known: there the terms of the plane are independent of each other."""
+    cells = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("frame"), (F.col("l_orderkey") % 4).alias("row"), (F.col("l_partkey") % 4).alias("col")).agg(F.median("l_quantity").alias("fwhm"))
+    fits = gr.fit_planes(cells).filter("n = 16")
+    return fits.select("frame", "n", *[(r6(c) + F.lit(0.0)).alias(c) for c in ("level", "tilt_x", "tilt_y", "curvature")])
+
+
+@query("tilt_verdicts", f"""WITH {FR}, t AS (SELECT frame, CASE WHEN frame % 11 > 0 THEN fwhm END AS level, noise - 3 AS tx, transparency - 0.8 AS ty, sky / 200 AS curve, exposure / 600 AS scatter FROM f),
+    u AS (SELECT *, sqrt(tx * tx + ty * ty) / level AS tilt FROM t)
+    SELECT frame, CASE WHEN level IS NULL THEN 'too few stars' WHEN scatter > 0 AND tilt < scatter THEN 'tilt is within the scatter of frames'
+        WHEN tilt > 0.1 THEN 'tilted, soft towards the ' || CASE WHEN ty > 0 THEN 'bottom ' ELSE 'top ' END || CASE WHEN tx > 0 THEN 'right' ELSE 'left' END WHEN curve / level > 0.1 THEN 'curved field' ELSE 'even field' END AS verdict FROM u""")
+def tilt_verdicts(spark, sf):
+    level = F.when(F.col("frame") % 11 > 0, F.col("fwhm"))
+    f = frames(spark, sf).select("frame", level.alias("level"), (F.col("noise") - 3).alias("tilt_x"), (F.col("transparency") - 0.8).alias("tilt_y"), (F.col("sky") / 200).alias("curvature"), (F.col("exposure") / 600).alias("scatter"))
+    return f.select("frame", re_.tilt_verdict().alias("verdict"))
