@@ -7,24 +7,47 @@ import re
 
 import numpy as np
 
-from .images import apply_matrix
+from .images import mapped, within
 
 
-def overlap_fraction(matrix: np.ndarray, source: tuple[int, int], reference: tuple[int, int], samples: int = 65) -> float:
-    """Which share of the reference's grid the source covers."""
-    y, x = np.meshgrid(np.linspace(0, reference[0] - 1, samples), np.linspace(0, reference[1] - 1, samples), indexing="ij")
-    at = apply_matrix(np.linalg.inv(matrix), np.c_[x.ravel(), y.ravel()])
-    return float(((at[:, 0] >= 0) & (at[:, 0] <= source[1] - 1) & (at[:, 1] >= 0) & (at[:, 1] <= source[0] - 1)).mean())
+def overlap_fraction(matrix: np.ndarray, source: tuple[int, int], reference: tuple[int, int], samples: int = 65, forward: np.ndarray | None = None) -> float:
+    """Which share of a frame falls on the reference."""
+    y, x = np.meshgrid(np.linspace(0, source[0] - 1, samples), np.linspace(0, source[1] - 1, samples), indexing="ij")
+    return float(within(mapped(matrix, forward, np.c_[x.ravel(), y.ravel()]), reference).mean())
 
 
-def union_grid(frames: list[tuple[np.ndarray, tuple[int, int]]]) -> tuple[tuple[int, int], tuple[int, int]]:
-    """Origin (y, x) and shape of the grid that holds all frames (matrix, (height, width))."""
-    corners = np.concatenate([apply_matrix(m, np.array([[0, 0], [w - 1, 0], [0, h - 1], [w - 1, h - 1]], float)) for m, (h, w) in frames])
-    x0, y0 = np.floor(corners.min(0)).astype(int)
-    x1, y1 = np.ceil(corners.max(0)).astype(int)
+def footprint(matrix: np.ndarray, shape: tuple[int, int], forward: np.ndarray | None = None, n: int = 65) -> tuple[int, int, int, int]:
+    """(y0, x0, y1, x1): the whole pixels between which a frame's border lies on the reference."""
+    t, (h, w) = np.linspace(0, 1, n), (k - 1.0 for k in shape)
+    border = np.r_[np.c_[t * w, 0 * t], np.c_[t * w, 0 * t + h], np.c_[0 * t, t * h], np.c_[0 * t + w, t * h]]
+    at = mapped(matrix, forward, border)
+    (x0, y0), (x1, y1) = np.floor(at.min(0)).astype(int), np.ceil(at.max(0)).astype(int)
+    return int(y0), int(x0), int(y1), int(x1)
+
+
+def union_grid(frames: list[tuple]) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Origin (y, x) and shape of the grid that holds all frames (matrix, (height, width), forward cubic if any)."""
+    boxes = np.array([footprint(*f) for f in frames])
+    y0, x0, y1, x1 = *boxes[:, :2].min(0), *boxes[:, 2:].max(0)
     return (int(y0), int(x0)), (int(y1 - y0 + 1), int(x1 - x0 + 1))
 
 
+def photometry_stars(stars: dict, shape: tuple[int, int], fwhm: float, most: int = 250) -> tuple[np.ndarray, int]:
+    """Places (x, y) of bright stars off the edges, without a neighbour within two apertures nor on a plateau of
+    saturated peaks; and the radius of the aperture."""
+    radius = int(np.clip(round(2.5 * (fwhm if math.isfinite(fwhm) and fwhm > 0 else 3.0)), 4, 12))
+    margin, xy, peak = 3 * radius + 2, np.c_[stars["x"], stars["y"]], np.asarray(stars["peak"], float)
+    if not len(xy):
+        return xy, radius
+    top = 0.98 * peak.max()
+    full = (peak >= top) if (peak >= top).sum() >= 3 and len(peak) > 10 else np.zeros(len(peak), bool)
+    apart = np.abs((xy @ [1, 1j])[:, None] - xy @ [1, 1j])
+    np.fill_diagonal(apart, np.inf)
+    size = np.array(shape[::-1])
+    ok = ~full & (apart.min(1) >= 2 * radius) & ((xy >= margin) & (xy < size - margin)).all(1)
+    return xy[ok][:most], radius
+
+
 def windows(height: int, width: int, radius: float, most: int = 13) -> list[tuple[float, float]]:
     """(y, x) of search windows, from the middle of the image outwards: three quarters of a radius apart, those
     beyond an edge moved onto it."""

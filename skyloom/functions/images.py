@@ -82,20 +82,91 @@ def components(mask: np.ndarray) -> np.ndarray:
     return dense[labels]
 
 
+def spline_weights(nodes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(places, nodes) weights of the natural cubic spline through values at ``nodes``; beyond them it goes on
+    straight."""
+    n = len(nodes)
+    if n == 1:
+        return np.ones((len(at), 1))
+    beyond, step = np.asarray(at, float), np.diff(nodes)
+    at = np.clip(beyond, nodes[0], nodes[-1])
+    bend = np.zeros((n, n))  # second derivatives by values
+    if n > 2:
+        left, right, rows = np.zeros((n, n)), np.zeros((n, n)), np.arange(1, n - 1)
+        left[0, 0] = left[-1, -1] = 1
+        left[rows, rows - 1], left[rows, rows], left[rows, rows + 1] = step[:-1], 2 * (step[:-1] + step[1:]), step[1:]
+        right[rows, rows - 1], right[rows, rows + 1] = 6 / step[:-1], 6 / step[1:]
+        right[rows, rows] = -6 / step[:-1] - 6 / step[1:]
+        bend = np.linalg.solve(left, right)
+    k = np.clip(np.searchsorted(nodes, at, "right") - 1, 0, n - 2)
+    h, u = step[k], at - nodes[k]
+    v, eye = h - u, np.eye(n)
+    out = (v[:, None] * eye[k] + u[:, None] * eye[k + 1]) / h[:, None] + ((v**3 / h - h * v)[:, None] * bend[k] + (u**3 / h - h * u)[:, None] * bend[k + 1]) / 6
+    first = (eye[1] - eye[0]) / step[0] - step[0] / 6 * bend[1]
+    last = (eye[-1] - eye[-2]) / step[-1] + step[-1] / 6 * bend[-2]
+    return out + np.minimum(beyond - at, 0)[:, None] * first + np.maximum(beyond - at, 0)[:, None] * last
+
+
+def mesh_levels(image: np.ndarray, box: int = 64, clip: float = 3.0, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sky level and noise of square blocks, NaN without pixels. A block is clipped at ``clip`` deviations about its
+    median; its level is the mode 2.5 median - 1.5 mean, or the median where the two lie far apart (crowded).
+
+    Blocks are sorted once: what a clip leaves is a run of the sorted pixels, and prefix sums give its moments."""
+    rows, cols = (-(-n // box) for n in image.shape)
+    wide = np.full((rows * box, cols * box), np.nan, np.float32)
+    wide[: image.shape[0], : image.shape[1]] = image
+    x = np.sort(wide.reshape(rows, box, cols, box).swapaxes(1, 2).reshape(rows * cols, box * box), 1)  # NaN last
+    n = np.isfinite(x).sum(1)
+    base = x[:, 0].astype(np.float64)
+    y = np.nan_to_num(x.astype(np.float64) - base[:, None])
+    y[np.arange(box * box)[None] >= n[:, None]] = 0
+    sums, squares = (np.concatenate((np.zeros((len(x), 1)), np.cumsum(v, 1)), 1) for v in (y, y * y))
+    block, lo, hi = np.arange(len(x)), np.zeros(len(x), np.int64), n.copy()
+    for step in range(rounds + 1):
+        m = np.maximum(hi - lo, 1)
+        mean = (sums[block, hi] - sums[block, lo]) / m
+        noise = np.sqrt(np.maximum((squares[block, hi] - squares[block, lo]) / m - mean * mean, 0))
+        middle = 0.5 * (y[block, np.minimum(lo + (m - 1) // 2, box * box - 1)] + y[block, np.minimum(lo + m // 2, box * box - 1)])
+        if step == rounds:
+            break
+        inside = (y >= (middle - clip * noise)[:, None]) & (y <= (middle + clip * noise)[:, None]) & (np.arange(box * box)[None] < n[:, None])
+        some = inside.any(1)
+        new_lo, new_hi = np.where(some, inside.argmax(1), lo), np.where(some, box * box - inside[:, ::-1].argmax(1), hi)
+        if (new_lo == lo).all() and (new_hi == hi).all():
+            break
+        lo, hi = new_lo, new_hi
+    level = np.where(np.abs(mean - middle) < 0.3 * noise, 2.5 * middle - 1.5 * mean, middle) + base
+    gone = n == 0
+    return np.where(gone, np.nan, level).reshape(rows, cols), np.where(gone, np.nan, noise).reshape(rows, cols)
+
+
+def median3(grid: np.ndarray) -> np.ndarray:
+    """Each cell's median over itself and its neighbours; beyond an edge a slope goes on."""
+    wide = grid
+    for axis in (0, 1):
+        pad = [(1, 1) if k == axis else (0, 0) for k in (0, 1)]
+        wide = np.pad(wide, pad, mode="reflect", reflect_type="odd") if grid.shape[axis] > 1 else np.pad(wide, pad, mode="edge")
+    return np.median([wide[i : i + grid.shape[0], j : j + grid.shape[1]] for i in range(3) for j in range(3)], 0)
+
+
 def background(image: np.ndarray, box: int = 64) -> tuple[np.ndarray, float]:
-    """A level and a noise for the whole image, median and MAD of all finite pixels: the plain fallback of a mesh,
-    which needs no ``box``."""
-    v = image[np.isfinite(image)]
-    m = float(np.median(v)) if v.size else 0.0
-    s = 1.4826 * float(np.median(np.abs(v - m))) if v.size else 0.0
-    return np.full(image.shape, m), max(s, 1e-6)
+    """A smooth sky and one noise: levels of ``box`` pixels, empty ones filled by the nearest, median-filtered over
+    three by three and joined by a bicubic spline through the middles of the blocks."""
+    level, noise = mesh_levels(image, box)
+    if not np.isfinite(level).any():
+        return np.zeros(image.shape), 1e-6
+    level = median3(fill_nearest(level, ~np.isfinite(level), 0.0))
+    middles = [np.minimum((np.arange(n) + 0.5) * box, (np.arange(n) * box + size) / 2) - 0.5 for n, size in zip(level.shape, image.shape, strict=True)]
+    across = spline_weights(middles[1], np.arange(image.shape[1]))
+    down = spline_weights(middles[0], np.arange(image.shape[0]))
+    return down @ level @ across.T, max(float(np.nanmedian(noise)), 1e-6)
 
 
 def detect(image: np.ndarray, sigma: float = 5.0, least: int = 5, most: int = 2000) -> dict[str, np.ndarray]:
     """Stars: regions beyond ``sigma`` noises of at least ``least`` pixels, brightest first, with moments. With
     more than four times ``most`` the threshold rises by 1.6 and the search starts anew."""
     sky, noise = background(image)
-    sub = image - sky
+    sub = np.nan_to_num(image - sky)
     while True:
         labels = components(sub > sigma * noise)
         n = int(labels.max())
@@ -117,8 +188,8 @@ def detect(image: np.ndarray, sigma: float = 5.0, least: int = 5, most: int = 20
     peak = np.zeros(n + 1)
     np.maximum.at(peak, idx, w)
     keep = np.flatnonzero((area >= least) & (flux > 0) & (np.arange(n + 1) > 0))
-    keep = keep[np.argsort(-flux[keep], kind="stable")][:most]
-    return {"x": x[keep], "y": y[keep], "flux": flux[keep], "a": a[keep], "b": b[keep], "peak": peak[keep], "theta": 0.5 * np.arctan2(2 * vxy, vx - vy)[keep], "fwhm": 2.3548 * np.sqrt(a * b)[keep], "elongation": (a / b)[keep]}
+    total, keep = len(keep), keep[np.argsort(-flux[keep], kind="stable")][:most]
+    return {"total": total, "x": x[keep], "y": y[keep], "flux": flux[keep], "a": a[keep], "b": b[keep], "peak": peak[keep], "theta": 0.5 * np.arctan2(2 * vxy, vx - vy)[keep], "fwhm": 2.3548 * np.sqrt(a * b)[keep], "elongation": (a / b)[keep]}
 
 
 # ------------------------------------------------------------ resampling
@@ -210,28 +281,86 @@ def align(src: np.ndarray, dst: np.ndarray, most: int = 60, tolerance: float = 3
     return best, votes
 
 
-def refine(matrix: np.ndarray, src: np.ndarray, dst: np.ndarray, radius: float = 2.0, least: int = 60, rounds: int = 4) -> tuple[np.ndarray | None, float]:
-    """Coefficients (2, 10) of the cubic that takes dst to src coordinates, from one-to-one neighbours, with
-    clipping at three scaled MADs; None below ``least`` pairs. And the residual's root mean square."""
-    d = np.hypot(*(apply_matrix(matrix, src)[:, None] - dst[None]).transpose(2, 0, 1))
-    pairs, used_a, used_b = [], set(), set()
-    for i, j in sorted(np.argwhere(d < radius).tolist(), key=lambda p: d[p[0], p[1]]):
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            pairs.append((i, j))
-    if len(pairs) < least:
-        return None, math.nan
-    p, q = src[[i for i, _ in pairs]], dst[[j for _, j in pairs]]
+def confirmed(matrix: np.ndarray, src: np.ndarray, dst: np.ndarray, shape: tuple[int, int], radius: float = 3.0, brightest: int = 50) -> tuple[int, int]:
+    """How many of the brightest source stars that fall inside the reference hit a star there; and how many fall."""
+    if not len(src) or not len(dst):
+        return 0, 0
+    at = apply_matrix(matrix, src)
+    at = at[within(at, shape, radius)][:brightest]
+    hits = (np.abs((at @ [1, 1j])[:, None] - dst @ [1, 1j]).min(1) < radius).sum() if len(at) else 0
+    return int(hits), len(at)
+
+
+def within(xy: np.ndarray, shape: tuple[int, int], margin: float = 0.0) -> np.ndarray:
+    return ((xy >= margin) & (xy <= np.array(shape[::-1]) - 1 - margin)).all(1)
+
+
+def align_mixed(src: np.ndarray, dst: np.ndarray, src_shape: tuple[int, int], dst_shape: tuple[int, int], hint: float | None = None, tolerance: float = 0.15, least: int = 8, share: float = 0.4, most: int = 13) -> tuple[np.ndarray, int]:
+    """The similarity between star lists of images of different size or scale (``hint``: source pixels in reference
+    pixels, if known). The stars of the wider image are searched window by window, each as large as the other image,
+    until a transform has the hinted scale and its stars confirm it."""
+    from .geometry import windows
+
+    scale = hint if hint and math.isfinite(hint) and hint > 0 else 1.0
+    reach = {"src": math.hypot(*src_shape) / 2 * scale, "dst": math.hypot(*dst_shape) / 2}  # in reference pixels
+    wide_dst = reach["src"] < reach["dst"]
+    wide, shape, radius = (dst, dst_shape, 1.1 * reach["src"]) if wide_dst else (src, src_shape, 1.1 * reach["dst"] / scale)
+    places = windows(*shape, radius, most) if radius < math.hypot(*shape) / 2 else [None]
+    why = "no window has enough stars"
+    for place in places:
+        some = wide if place is None else wide[np.hypot(wide[:, 1] - place[0], wide[:, 0] - place[1]) <= radius]
+        try:
+            found, votes = align(src, some) if wide_dst else align(some, dst)
+        except ValueError as e:
+            why = str(e)
+            continue
+        size = math.sqrt(abs(np.linalg.det(found[:2, :2])))
+        hits, tested = confirmed(found, src, dst, dst_shape)
+        if hint is not None and abs(size / scale - 1) > tolerance:
+            why = f"scale {size:.3f} is not the expected {scale:.3f}"
+        elif hits < least or hits < share * tested:
+            why = f"{hits} of {tested} stars confirm it"
+        else:
+            return found, votes
+    raise ValueError(f"no alignment in {len(places)} windows: {why}")
+
+
+def distortion(matrix: np.ndarray, src: np.ndarray, dst: np.ndarray, shapes: tuple | None = None, radius: float = 2.0, least: int = 60, most: int = 400, rounds: int = 4, clip: float = 3.0) -> dict | None:
+    """Cubics through the stars that a similarity brings together: ``inverse`` from reference to source places,
+    ``forward`` back, each (2, 10); the number of stars and the residual. None where fewer than ``least`` meet.
+    ``shapes`` (source, reference) leaves out stars that the other image does not show."""
+    if shapes is not None:
+        src, dst = src[within(apply_matrix(matrix, src), shapes[1])], dst[within(apply_matrix(np.linalg.inv(matrix), dst), shapes[0])]
+    src, dst = src[:most], dst[:most]
+    if min(len(src), len(dst)) < least:
+        return None
+    d = np.abs((apply_matrix(matrix, src) @ [1, 1j])[:, None] - dst @ [1, 1j])
+    near = d.argmin(1)
+    far = d[np.arange(len(src)), near]
+    order = np.argsort(far, kind="stable")
+    order = order[far[order] < radius]
+    pick = order[np.unique(near[order], return_index=True)[1]]  # a reference star keeps its closest
+    p, q = src[pick], dst[near[pick]]
     keep = np.ones(len(p), bool)
+    fit = None
     for _ in range(rounds):
+        if keep.sum() < least:
+            break
         fit = np.linalg.lstsq(cubic(q[keep]), p[keep], rcond=None)[0]
         res = np.hypot(*(cubic(q) @ fit - p).T)
-        s = 1.4826 * np.median(np.abs(res[keep] - np.median(res[keep]))) + 1e-6
-        keep = res < np.median(res[keep]) + 3 * s
-        if keep.sum() < least:
-            return None, math.nan
-    return fit.T, float(np.sqrt((res[keep] ** 2).mean()))
+        used, keep = keep, res < clip * (1.4826 * np.median(res[keep]) + 1e-6)
+        if (keep == used).all():
+            break
+    if fit is None:
+        return None
+    keep = keep if keep.sum() >= least else used
+    forward = np.linalg.lstsq(cubic(p[keep]), q[keep], rcond=None)[0]
+    return {"inverse": fit.T, "forward": forward.T, "stars": int(keep.sum()), "rms": float(np.sqrt((np.hypot(*(cubic(q[keep]) @ fit - p[keep]).T) ** 2).mean()))}
+
+
+def mapped(matrix: np.ndarray, poly: np.ndarray | None, xy: np.ndarray) -> np.ndarray:
+    """Places under a cubic, or without one under a matrix."""
+    return apply_matrix(matrix, xy) if poly is None else cubic(xy) @ np.asarray(poly).T
 
 
 def cubic(xy: np.ndarray) -> np.ndarray:
@@ -243,9 +372,9 @@ def cubic(xy: np.ndarray) -> np.ndarray:
 
 
 def fill_nearest(grid: np.ndarray, bad: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Bad cells take the value of the nearest good one, then all are smoothed."""
+    """Bad cells take the value of the nearest good one, then all are smoothed; without good ones all take the median."""
     if bad.all():
-        return np.zeros_like(grid)
+        return np.full_like(grid, np.nanmedian(grid) if np.isfinite(grid).any() else 0.0)
     if bad.any():
         good, gone = np.argwhere(~bad), np.argwhere(bad)
         pick = ((gone[:, None] - good[None]) ** 2).sum(2).argmin(1)
@@ -326,6 +455,26 @@ def vng(mosaic: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
     return np.where(here[None] == np.arange(3)[:, None, None], own[None], np.maximum(out, 0)).astype(np.float32)
 
 
+def bilinear(mosaic: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
+    """Colour planes as weighted means of the sites of each colour in the 3x3 neighbourhood."""
+    h, w = mosaic.shape
+    site = site_of(pattern, h, w)
+    k = np.array([1.0, 2.0, 1.0])
+    out = []
+    for c in range(3):
+        mine = (site == c).astype(np.float64)
+        wide = [np.pad(a, 1, mode="reflect") for a in (np.where(mine > 0, mosaic, 0.0), mine)]
+        num, den = (sum(k[i] * k[j] * a[i : i + h, j : j + w] for i in range(3) for j in range(3)) for a in wide)
+        out.append(num / np.maximum(den, 1e-12))
+    return np.stack(out).astype(np.float32)
+
+
+def site_of(pattern: str, height: int, width: int) -> np.ndarray:
+    """0, 1, 2 for the red, green and blue sites of a mosaic."""
+    four = np.array(["RGB".index(c) for c in pattern]).reshape(2, 2)
+    return np.tile(four, (-(-height // 2), -(-width // 2)))[:height, :width]
+
+
 # ------------------------------------------------------------ point spread and deconvolution
 
 

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import exposure_key, finite, psf_signal, psf_signal_normalised
+from ..sources.stages import use_checkpoints
 
 #: Transparency, stars, sky and FWHM thresholds by name (0 switches a check off).
 PRESETS = {"Lenient": (0.5, 0.3, 3.0, 2.0), "Balanced": (0.7, 0.5, 2.0, 1.5), "Selective": (0.85, 0.7, 1.5, 1.25)}
-WEIGHT_MODES = ("none", "noise", "fwhm", "both", "psfsnr", "psfsnr+fwhm", "psfsnr+field", "psfsw", "psfsw-ln")
+#: What a mode multiplies (see ``frame_weights``).
+WEIGHT_MODES = {
+    "none": (), "noise": ("quiet",), "fwhm": ("sharp",), "both": ("quiet", "sharp"), "psfsnr": ("clear",), "psfsnr+fwhm": ("clear", "sharp"), "psfsnr+field": ("clear",),
+    "psfsw": ("signal",), "psfsw-ln": ("normalised signal",),
+}
 
 
 def cohort_median(value: Column, by: list[Column | str], least: int = 3) -> Column:
@@ -71,32 +76,48 @@ def filter_signal(frames: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def frame_weights(frames: DataFrame, mode: str = "psfsnr") -> DataFrame:
-    """Adds ``weight``: by mode, over its median, clipped to 0.05..20; 1 where it cannot be told. The medians
-    of noise and FWHM form a one-row table."""
+    """Adds ``weight``: the product of the mode's factors over its median, clipped to 0.05..20; 1 where it cannot be
+    told. Noise, width and transparency enter as squares against the session's medians (a one-row table)."""
     if mode not in WEIGHT_MODES:
         raise ValueError(f"unknown weighting {mode!r}")
-    if mode == "none":
+    parts = WEIGHT_MODES[mode]
+    if not parts:
         return frames.withColumn("weight", F.lit(1.0))
-    middle = frames.agg(F.median(finite("noise")).alias("__rn"), F.median(finite("fwhm")).alias("__rf"))
-    f = frames.join(F.broadcast(middle))
-    t = F.coalesce(finite("transparency"), F.lit(1.0)) if "transparency" in frames.columns else F.lit(1.0)
-    noise = F.greatest(finite("noise"), F.lit(1e-9))
-    square = lambda c: c * c
-    w = F.lit(1.0)
-    if mode == "psfsw":
-        w = psf_signal(t, F.coalesce(F.when(finite("fwhm") > 0, finite("fwhm")), F.col("__rf"), F.lit(1.0)), "noise", "sky")
-    elif mode == "psfsw-ln":
-        w = psf_signal_normalised(t, F.coalesce(F.when(finite("fwhm") > 0, finite("fwhm")), F.col("__rf"), F.lit(1.0)), "noise", "sky", "scale", "offset")
-    if mode in ("psfsnr", "psfsnr+fwhm", "psfsnr+field"):
-        w = w * square(t * F.col("__rn") / noise)
-    if mode in ("noise", "both"):
-        w = w * square(F.col("__rn") / noise)
-    if mode in ("fwhm", "both", "psfsnr+fwhm"):
-        w = w * F.when(F.col("__rf").isNull(), 1.0).otherwise(square(F.col("__rf") / F.greatest(F.coalesce(finite("fwhm"), F.col("__rf")), F.lit(0.5))))
-    f = f.withColumn("__w", w)
+    have = lambda c, default: finite(c) if c in frames.columns else F.lit(default)
+    session = frames.agg(F.median(finite("noise")).alias("__noise"), F.median(finite("fwhm")).alias("__fwhm"))
+    f = frames.join(F.broadcast(session))
+    flux = F.coalesce(have("transparency", None), F.lit(1.0))
+    quiet = F.col("__noise") / F.greatest(finite("noise"), F.lit(1e-9))
+    sharp = F.col("__fwhm") / F.greatest(F.coalesce(finite("fwhm"), F.col("__fwhm")), F.lit(0.5))
+    width = F.coalesce(F.when(finite("fwhm") > 0, finite("fwhm")), F.col("__fwhm"), F.lit(1.0))
+    factor = {
+        "quiet": lambda: F.pow(quiet, F.lit(2.0)),
+        "clear": lambda: F.pow(flux * quiet, F.lit(2.0)),
+        "sharp": lambda: F.coalesce(F.pow(sharp, F.lit(2.0)), F.lit(1.0)),
+        "signal": lambda: psf_signal(flux, width, "noise", "sky"),
+        "normalised signal": lambda: psf_signal_normalised(flux, width, "noise", "sky", "scale", "offset"),
+    }
+    product = factor[parts[0]]()
+    for part in parts[1:]:
+        product = product * factor[part]()
+    f = f.withColumn("__w", product)
     f = f.join(F.broadcast(f.agg(F.median("__w").alias("__m"))))
-    scaled = F.when(F.col("__m") > 0, F.col("__w") / F.col("__m")).otherwise(F.col("__w"))
-    return f.withColumn("weight", F.least(F.greatest(F.coalesce(scaled, F.lit(1.0)), F.lit(0.05)), F.lit(20.0))).drop("__rn", "__rf", "__w", "__m")
+    relative = F.col("__w") / F.when(F.col("__m") > 0, F.col("__m")).otherwise(1.0)
+    return f.withColumn("weight", F.greatest(F.least(F.coalesce(relative, F.lit(1.0)), F.lit(20.0)), F.lit(0.05))).drop("__noise", "__fwhm", "__w", "__m")
+
+
+def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """Rows with their place in an order, from 1: dealt by ranges of it, placed within a range, and moved on by the
+    sizes of the ranges before (a row a partition on the driver). No task holds all rows."""
+    use_checkpoints(rows.sparkSession)
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    before, held = [], 0
+    for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
+        before.append((r["__part"], held))
+        held += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long")
+    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + place).drop("__part", "__before")
 
 
 def sharpness_factors(frames: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder that the cluster names; a temporary one only where none is set."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='skyloom-')}")
 
 
