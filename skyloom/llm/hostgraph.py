@@ -58,16 +58,14 @@ def personalised(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, roun
     start = seeds.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("seed"), F.lit(0).alias("out"))  # ``whole`` has a row a kind
     ends = shares.select("kind", "host", F.lit(0.0), F.lit(1)).union(shares.select("kind", "dst", F.lit(0.0), F.lit(0)))
     state = cut(start.union(ends).groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.max("out").alias("out")).withColumn("rank", F.col("seed")).withColumn("moved", F.lit(0.0)))
-    for _ in range(rounds):
-        idle = {r["kind"]: r["idle"] for r in state.groupBy("kind").agg(F.sum(F.when(F.col("out") == 0, F.col("rank")).otherwise(0.0)).alias("idle")).collect()}
-        if not idle:
+    for done in range(rounds + 1):
+        seen = state.groupBy("kind").agg(F.sum(F.when(F.col("out") == 0, F.col("rank")).otherwise(0.0)).alias("idle"), F.sum("moved").alias("moved")).collect()
+        if done == rounds or not seen or (done and sum(r["moved"] for r in seen) < tolerance):
             break
         sent = state.filter("rank > 0").join(shares, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("sent"))
-        back = F.coalesce(*[F.when(F.col("kind") == k, F.lit(1 - damping + damping * v)) for k, v in idle.items()])
+        back = F.coalesce(*[F.when(F.col("kind") == r["kind"], F.lit(1 - damping + damping * r["idle"])) for r in seen])
         after = state.join(sent, ["kind", "host"], "left").withColumn("new", back * F.col("seed") + damping * F.coalesce("sent", F.lit(0.0)))
         state = cut(after.select("kind", "host", "seed", "out", F.col("new").alias("rank"), F.abs(F.col("new") - F.col("rank")).alias("moved")))
-        if (state.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
-            break
     return state.select("kind", "host", "rank")
 
 
