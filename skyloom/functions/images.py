@@ -8,8 +8,9 @@ import numpy as np
 
 
 def lower_median(x: np.ndarray) -> float:
-    x = np.sort(x[np.isfinite(x)])
-    return float(x[(len(x) - 1) // 2]) if len(x) else math.nan
+    x = x[np.isfinite(x)]
+    k = (len(x) - 1) // 2
+    return float(np.partition(x, k)[k]) if len(x) else math.nan
 
 
 def robust(image: np.ndarray, stride: int = 8, floor: float = 1e-9) -> tuple[float, float]:
@@ -195,30 +196,49 @@ def detect(image: np.ndarray, sigma: float = 5.0, least: int = 5, most: int = 20
 # ------------------------------------------------------------ resampling
 
 
-def lanczos_weight(t: np.ndarray, a: int = 3) -> np.ndarray:
-    return np.where(np.abs(t) < a, np.sinc(t) * np.sinc(t / a), 0.0)
+def lanczos_taps(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the taps -2..3 at fractions ``t`` of a pixel, adding up to 1. Sines of all taps follow from three."""
+    t, pi = t.astype(np.float32), np.float32(math.pi)
+    whole, third, co = np.sin(pi * t), np.sin(pi / 3 * t), np.cos(pi / 3 * t)
+    out = []
+    for i in range(-2, 4):
+        far = pi * (t - i)
+        near = np.abs(far) < 1e-6
+        up = (whole if i % 2 == 0 else -whole) * (third * np.float32(math.cos(math.pi * i / 3)) - co * np.float32(math.sin(math.pi * i / 3)))
+        out.append(np.where(near, np.float32(1), 3 * up / np.where(near, np.float32(1), far * far)))
+    total = sum(out)
+    return [w / total for w in out]
 
 
-def warp(image: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: int = 3) -> np.ndarray:
+def warp(image: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
     """The image at source coordinates by Lanczos resampling: NaN outside, border pixels repeated for taps beyond
     the edge, no value below the least tap (dark rings) nor below 0."""
     h, w = image.shape
     inside = np.isfinite(sx) & np.isfinite(sy) & (sx >= -0.5) & (sx <= w - 0.5) & (sy >= -0.5) & (sy <= h - 0.5)
+    if not inside.any():
+        return np.full(sx.shape, np.nan, np.float32)
     x, y = np.where(inside, sx, 0.0), np.where(inside, sy, 0.0)
-    x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
-    steps = range(1 - a, a + 1)
-    across = [(lanczos_weight(x - (x0 + i), a), np.clip(x0 + i, 0, w - 1)) for i in steps]
-    flat = np.ascontiguousarray(image).reshape(-1)
-    total, norm, least = np.zeros(x.shape), np.zeros(x.shape), np.full(x.shape, np.inf)
-    for j in steps:
-        wy, line = lanczos_weight(y - (y0 + j), a), np.clip(y0 + j, 0, h - 1) * w
-        for wx, column in across:
-            k, tap = wy * wx, flat.take(line + column)
-            total += k * tap
-            norm += k
-            np.minimum(least, tap, out=least, where=np.abs(k) > 1e-6)
-    out = np.maximum(np.maximum(total / np.maximum(norm, 1e-6), least), 0)
-    return np.where(inside, out, np.nan)
+    x0, y0 = np.floor(x), np.floor(y)
+    across, down = lanczos_taps(x - x0), lanczos_taps(y - y0)
+    # only the rows that are needed, with a border so that every tap is there
+    top, end = int(y0.min()) - 2, int(y0.max()) + 4
+    part = np.pad(image[max(0, top) : min(h, end)].astype(np.float32), ((max(0, -top), max(0, end - h)), (3, 4)), mode="edge")
+    flat, line = part.reshape(-1), part.shape[1]
+    base = ((y0 - top - 2) * line + x0 + 1).astype(np.int64)
+    total, least = np.zeros(x.shape, np.float32), np.full(x.shape, np.inf, np.float32)
+    used = [[None if (np.abs(k) > 1e-6).all() else np.abs(k) > 1e-6 for k in taps] for taps in (across, down)]
+    tap, term, row = (np.empty(x.shape, np.float32) for _ in range(3))
+    for j, wy in enumerate(down):
+        row[:] = 0
+        for i, wx in enumerate(across):
+            np.take(flat[j * line + i :], base, out=tap, mode="clip")  # every index is within; this mode needs no copy
+            row += np.multiply(wx, tap, out=term)
+            for ok in (used[0][i], used[1][j]):
+                if ok is not None:
+                    np.copyto(tap, np.inf, where=~ok)
+            np.minimum(least, tap, out=least)
+        total += np.multiply(wy, row, out=term)
+    return np.where(inside, np.maximum(np.maximum(total, least), 0), np.float32(np.nan))
 
 
 def similarity_fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray:

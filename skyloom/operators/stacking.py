@@ -204,15 +204,16 @@ def register(files: DataFrame, how: Preparation, grid: Grid, photometry: np.ndar
         placed = np.empty((len(image), grid.height, grid.width), np.float32)
         same = poly is None and np.allclose(matrix, np.eye(3), atol=1e-12) and grid.origin == (0, 0) and image.shape[1:] == placed.shape[1:]
         inverse, xs = np.linalg.inv(matrix), np.arange(grid.width) + grid.origin[1]
-        for y in range(0, grid.height, 64):  # a strip at a time bounds the memory of the taps
+        step = 32
+        for y in range(0, grid.height, step):  # a strip at a time bounds the memory of the taps
             if same:
-                placed[:, y : y + 64] = image[:, y : y + 64]
+                placed[:, y : y + step] = image[:, y : y + step]
                 continue
-            ys = np.arange(y, min(y + 64, grid.height)) + grid.origin[0]
+            ys = np.arange(y, min(y + step, grid.height)) + grid.origin[0]
             at = im.mapped(inverse, poly, np.c_[np.tile(xs, len(ys)), np.repeat(ys, len(xs))])
             sx, sy = at[:, 0].reshape(len(ys), -1), at[:, 1].reshape(len(ys), -1)
             for c, plane in enumerate(image):
-                placed[c, y : y + 64] = im.warp(plane, sx, sy)
+                placed[c, y : y + step] = im.warp(plane, sx, sy)
         frame, out = int(row["frame"]), []
         levels = [channel_level(p) for p in placed]
         flux = [aperture_fluxes(p, photometry, radius) for p in (luma_of(placed), *placed)]
@@ -259,7 +260,10 @@ def block_statistics(plane: np.ndarray, block: int) -> tuple[np.ndarray, np.ndar
     n = np.isfinite(x).sum(1)
 
     def lower(v: np.ndarray) -> np.ndarray:
-        return np.sort(v, 1)[np.arange(len(v)), np.maximum(n - 1, 0) // 2]
+        out = np.full(len(v), np.nan)
+        for k in np.unique(n[n > 0]):  # few different numbers: most blocks are full
+            out[n == k] = np.partition(v[n == k], (k - 1) // 2, axis=1)[:, (k - 1) // 2]
+        return out
 
     m = lower(x)
     return m.reshape(rows, cols), (1.4826 * lower(np.abs(x - m[:, None]))).reshape(rows, cols), (n / block**2).reshape(rows, cols)

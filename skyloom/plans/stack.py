@@ -197,7 +197,7 @@ def common_grid(placed: DataFrame, reference: dict, s: StackSettings, halo: int)
 
 def weigh(whole: DataFrame, reference: dict, s: StackSettings) -> DataFrame:
     """Frames with transparency, signal, weight and factors (weights over the sensor), and the reason if they go."""
-    f = sk.photometric_scale(whole, reference)
+    f = sk.photometric_scale(whole, reference).checkpoint(eager=True)  # a row a frame, looked at by every median below
     good = fr.filter_transparency(f, fr.PRESETS[s.preset][0] if s.filters else 0.0)
     signal = fr.relative_signal(good)
     kept = fr.filter_signal(signal, s.least_signal if s.filters else 0.0)
