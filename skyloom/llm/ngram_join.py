@@ -31,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators.frames import numbered
 from ._common import binary_array, blocks, cut, id_and_text, trimmed
 from .graph import components
 from .wordhash import HASH_BYTES, mix, shingles, words
@@ -375,8 +377,11 @@ def _join_blocks(n: int, percent: int):
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """(id long, n_shingles long, component_id long: the smallest id reachable by links), a row a row."""
+    """(id, n_shingles long, component_id: the smallest id reachable by links), a row a row. Ids that are no integers
+    are numbered in their own order first and come back in the end."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _named(docs, id_col, text_col, n, percent)
     rows = id_and_text(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     order = spark.sparkContext.broadcast(estimate_order(rows, n))  # two tables of fixed size
     signed = cut(rows.mapInArrow(_signatures(n, percent, order), "id long, n long, d1 long, d2 long, tokens array<long>, sketch binary"))
@@ -411,3 +416,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = classes.select("d1", "d2", "rep").join(labels, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("tokens", "sketch").join(roots, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    names = cut(numbered(docs.select(F.col(id_col).alias("name")).filter("name is not null").distinct(), ["name"], "id"))
+    found = similar_components(docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(names, "name", "left"), "id", "text", n, percent)
+    of = lambda c, name: names.select(F.col("id").alias(c), F.col("name").alias(name))
+    out = found.join(of("id", "name"), "id", "left").join(of("component_id", "root"), "component_id", "left")
+    return out.select(F.col("name").alias(id_col), "n_shingles", F.col("root").alias("component_id"))

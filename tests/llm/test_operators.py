@@ -596,3 +596,15 @@ def test_ngram_join_brute(spark, monkeypatch, limits, rule):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.similar_components(df, n=rule[0], percent=rule[1]).collect()}
     assert got == plain_components(texts, *rule)
+
+
+@pytest.mark.parametrize("kind", ["string", "struct"])
+def test_join_of_other_ids(spark, kind):
+    base = " ".join(f"w{k}" for k in range(50))
+    rows = [("b", base), ("a10", base + " x"), ("a9", base), ("z", "quite different words stand in this one"), ("y", None), (None, base)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    if kind == "struct":
+        df = df.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.lit(1).alias("k"))))
+    name = (lambda v: v) if kind == "string" else (lambda v: v and v["doc_id"])
+    got = {name(r["doc_id"]): name(r["component_id"]) for r in ngram_join.similar_components(df).collect()}
+    assert got == {"b": "a10", "a10": "a10", "a9": "a10", "z": "z", "y": "y", None: None}

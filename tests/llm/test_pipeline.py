@@ -65,3 +65,11 @@ def test_odd_rows(spark):
 
 def test_run(spark):
     assert cp.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_join_stage_keeps_different_texts_of_an_id(spark):
+    near = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, "the first text of an id that is given twice over"), (1, "another quite different text under that same id here"), (2, near), (3, near + " more"), (3, "what else is said under the id of a copy stays too"), (None, near), (None, "without an id but with words of its own to keep"), (5, near), (5, near), (6, None), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source", "length(text) as n_chars")
+    got = sorted(((r["doc_id"], r["text"]) for r in STAGE["ngram_join"](spark, df, SF).collect()), key=repr)
+    assert got == sorted([rows[0], rows[1], rows[2], rows[4], rows[6], rows[9], rows[11]], key=repr)
