@@ -20,14 +20,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a five-word Jaccard similarity of 0.8 or more the one with the
-    smallest id; of rows that share an id the one whose text comes first; all rows without an id."""
-    found = ngram_join.similar_components(docs, n=5, percent=80)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
-    kept = kept.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each component of documents with a five-word Jaccard similarity of 0.8 or more the one with the smallest
+    id (of equal ids the smaller hash of the text; no id comes last); documents without words stay. Documents are told
+    apart by a 64-bit hash of id and text, so different texts of one id are different documents, and of rows that
+    repeat both one stays."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    keyed = docs.withColumn("__key", key)
+    found = ngram_join.similar_components(keyed.select("__key", "text"), "__key", n=5, percent=80).select("__key", "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.coalesce("text", F.lit(""))), "__key")).alias("first")
+    names = keyed.groupBy("__key").agg(first)
+    best = found.join(names, "__key").withColumn("best", F.min("first").over(Window.partitionBy("component_id")))
+    gone = best.filter("first <> best").select("__key")
+    once = Window.partitionBy("__key").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
+    kept = keyed.join(gone, "__key", "left_anti").withColumn("__place", F.row_number().over(once)).filter("__place = 1")
+    return kept.select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
