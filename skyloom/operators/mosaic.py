@@ -1,44 +1,8 @@
-"""Joint photometry of overlapping tiles and canvas planning: small systems over pair tables."""
+"""Borders and feathered weights of tiles."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-
-from ..functions import images as im
-
-
-def match_photometry(blocks: pd.DataFrame, tiles: list[int], prior: float = 1e-3, rounds: int = 5) -> dict[int, tuple[float, float]]:
-    """Gain and offset of each tile so that overlapping blocks agree (i, j, a, b: the two tiles' medians of a
-    block): least squares with weak priors towards gain 1 and offset 0, each overlap clipped at 3 scaled MADs; the first
-    tile stays. ``blocks`` is a row a block of an overlap: bounded by the canvas over the block's area."""
-    place = {t: k for k, t in enumerate(tiles)}
-    n = len(tiles)
-    i, j = blocks["i"].map(place).to_numpy(), blocks["j"].map(place).to_numpy()
-    a, b = blocks["a"].to_numpy(float), blocks["b"].to_numpy(float)
-    scale = max(float(np.median(np.abs(np.r_[a, b]))), 1e-9) if len(a) else 1.0
-    rows = np.arange(len(a))
-    m = np.zeros((len(a), 2 * n))
-    m[rows, i], m[rows, n + i], m[rows, j], m[rows, n + j] = a / scale, 1, -b / scale, -1
-    keep, gain, offset = np.ones(len(a), bool), np.ones(n), np.zeros(n)
-    hold = np.zeros((2 * n, 2 * n))
-    hold[np.arange(2 * n), np.arange(2 * n)] = prior
-    hold[0, 0] = hold[n, n] = 1e3
-    want = np.r_[np.ones(n), np.zeros(n)] * np.diag(hold)
-    for _ in range(rounds):
-        fit = np.linalg.lstsq(np.r_[m[keep], hold], np.r_[np.zeros(keep.sum()), want], rcond=None)[0]
-        gain, offset = fit[:n], fit[n:] * scale
-        if not len(a):
-            break
-        res, new = m @ fit, np.zeros(len(a), bool)
-        for pair in np.unique(i * n + j):  # each overlap against its own spread: none is dropped as a whole
-            mine = i * n + j == pair
-            d = np.abs(res[mine] - np.median(res[mine]))
-            new[mine] = d <= 3 * 1.4826 * np.median(d) + 1e-6
-        if (new == keep).all():
-            break
-        keep = new
-    return {t: (float(gain[k]), float(offset[k])) for t, k in place.items()}
 
 
 def edge_points(height: int, width: int, n: int = 24) -> tuple[np.ndarray, np.ndarray]:
@@ -47,35 +11,6 @@ def edge_points(height: int, width: int, n: int = 24) -> tuple[np.ndarray, np.nd
     return np.r_[t * w, t * w, 0 * t, 0 * t + w], np.r_[0 * t, 0 * t + h, t * h, t * h]
 
 
-def plan_canvas(tiles: list[dict], most: int = 1_600_000_000) -> dict:
-    """A north-up tangent canvas around tiles (height, width, crpix, crval, cd): its shape and projection."""
-    ra, dec, scale = [], [], []
-    for t in tiles:
-        x, y = edge_points(t["height"], t["width"])
-        r, d = im.tan_to_sky(x, y, t["crpix"], t["crval"], t["cd"])
-        ra.append(r)
-        dec.append(d)
-        scale.append(im.pixel_scale(t["cd"]))
-    ra, dec, s = np.concatenate(ra), np.concatenate(dec), min(scale) / 3600
-    u = np.exp(1j * np.radians(ra)).mean()
-    centre = (float(np.degrees(np.angle(u)) % 360), float((dec.min() + dec.max()) / 2))
-    cd = ((-s, 0.0), (0.0, s))
-    x, y = im.sky_to_tan(ra, dec, (0.0, 0.0), centre, cd)
-    x0, y0 = np.floor(x.min()), np.floor(y.min())
-    width, height = int(np.ceil(x.max()) - x0) + 1, int(np.ceil(y.max()) - y0) + 1
-    if width * height > most:
-        raise ValueError(f"a canvas of {width} x {height} pixels is too large")
-    return {"height": height, "width": width, "crpix": (-float(x0), -float(y0)), "crval": centre, "cd": cd}
-
-
-def reproject(image: np.ndarray, tile: dict, canvas: dict, box: tuple[int, int, int, int]) -> np.ndarray:
-    """A tile on rows y0..y1 and columns x0..x1 of the canvas; NaN where it does not reach."""
-    y0, y1, x0, x1 = box
-    yy, xx = np.mgrid[y0:y1, x0:x1].astype(float)
-    sky = im.tan_to_sky(xx, yy, canvas["crpix"], canvas["crval"], canvas["cd"])
-    return im.warp(image, *im.sky_to_tan(*sky, tile["crpix"], tile["crval"], tile["cd"]))
-
-
 def feather(mask: np.ndarray, width: int = 64) -> np.ndarray:
     """Weights that rise from the border of the valid area over ``width`` pixels: the distance along rows and
     columns to the nearest invalid pixel, the lesser of the two."""

@@ -74,6 +74,8 @@ class Stacked:
 
 #: Samples that a task of the combination holds, as eight-byte numbers with a few copies.
 TASK_SAMPLES = 16_000_000
+#: Settings that decide what a file becomes before it is placed.
+PREPARING = ("dark", "bias", "flat", "pedestal", "hot_sigma", "cold_sigma", "debayer", "pattern", "debayer_method")
 #: Rows of about 500 bytes that are sent to every task; more are joined.
 BROADCAST_FRAMES = 100_000
 #: Least share of a frame that must fall on the reference for a grid of all frames.
@@ -95,7 +97,9 @@ def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | N
     use_checkpoints(spark)
     lights = stages.run("lights", lambda: _numbered(sf.light_frames(spark, path)))  # a row a frame
     how, files = preparation(spark, s), sf.files(spark, path).select("path", "content")
-    analysed = stages.run("analysed", lambda: _joined(files, lights.select("path", "frame")).transform(lambda f: sk.analyse(f, how, s.detect_sigma)))
+    inputs = sf.listing(spark, path).join(lights.select("path", "frame"), "path")
+    making = {k: getattr(s, k) for k in PREPARING} | {"masters": fingerprint(spark, [getattr(s, k) for k in ("dark", "bias", "flat") if getattr(s, k)])}
+    analysed = stages.each("analysed", inputs, making | {"sigma": s.detect_sigma}, lambda todo: sk.analyse(_joined(files, todo), how, s.detect_sigma))
     table = measured(lights, analysed)
     judged = stages.run("judged", lambda: judge(table, s))
     usable = judged.filter("reason is null")
@@ -110,7 +114,9 @@ def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | N
     grid = common_grid(placed, reference, s, combination.halo())
     stars, radius = ge.photometry_stars({c: reference[f"star_{c}"] for c in ("x", "y", "peak")}, (reference["height"], reference["width"]), reference["fwhm"])
     plan = placed.select("path", "frame", "matrix", "inverse", "forward")
-    registered = stages.run("registered", lambda: sk.register(_joined(files, plan), how, grid, stars - grid.origin[::-1], radius, s.block))
+    same = inputs.filter(F.col("frame") == first).select("path", "size", "changed").first()
+    placing = making | {"grid": dataclasses.asdict(grid), "reference": [str(v) for v in same], "refine": s.refine, "block": s.block, "sigma": s.detect_sigma}
+    registered = stages.each("registered", inputs.join(placed.select("frame"), "frame", "left_semi"), placing, lambda todo: sk.register(_joined(files, plan.join(todo, "frame", "left_semi")), how, grid, stars - grid.origin[::-1], radius, s.block), by="frame")
     whole = registered.filter("c = -1").select("frame", "location", "sigma", "flux", "block_median", "block_sigma", "block_share").join(placed, "frame")
     own = whole.filter(F.col("frame") == first).first().asDict()
     weighed = stages.run("weighed", lambda: weigh(whole, own, s))

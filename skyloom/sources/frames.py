@@ -110,6 +110,11 @@ def files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
+def listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, size, changed) of the files, contents unread."""
+    return files(spark, path, recursive).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+
+
 def read_headers(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, header map, channels, height, width), a row a file, in the order of their names."""
 

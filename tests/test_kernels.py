@@ -256,27 +256,6 @@ def test_register_end_to_end(spark):
     assert np.corrcoef(master[20:140, 20:180].ravel(), scene(f)[20:140, 20:180].ravel())[0, 1] > 0.97
 
 
-def test_mosaic_photometry_and_canvas():
-    import pandas as pd
-
-    from skyloom.operators import mosaic as mo
-
-    r = np.random.default_rng(7)
-    sky = r.uniform(100, 900, 200)
-    rows = [(0, 1, s, (s - 40) / 1.25) for s in sky[:100]] + [(1, 2, (s - 40) / 1.25, s * 0.5) for s in sky[100:]]
-    rows[5] = (0, 1, 9000.0, 3.0)
-    got = mo.match_photometry(pd.DataFrame(rows, columns=["i", "j", "a", "b"]), [0, 1, 2])
-    assert got[0] == pytest.approx((1, 0), abs=1e-3) and got[1] == pytest.approx((1.25, 40), rel=2e-2) and got[2][0] == pytest.approx(2.0, rel=2e-2)
-    tile = lambda ra: {"height": 60, "width": 80, "crpix": (40.0, 30.0), "crval": (ra, 20.0), "cd": ((-5e-4, 0), (0, 5e-4))}
-    canvas = mo.plan_canvas([tile(150.0), tile(150.03)])
-    assert canvas["width"] > 120 and 60 <= canvas["height"] <= 64
-    image = np.full((60, 80), 7.0)
-    out = mo.reproject(image, tile(150.0), canvas, (0, canvas["height"], 0, canvas["width"]))
-    assert np.nanmax(np.abs(out - 7)) < 1e-6 and np.isnan(out).any()
-    w = mo.feather(np.isfinite(out), 8)
-    assert w.max() == 1.0 and w[~np.isfinite(out)].max() == 0
-
-
 def bands_of(spark, planes, rows=7):
     """Frames (frame, c, y, x) as bands."""
     out = [(f, c, y // rows, y, len(p[y : y + rows]), p.shape[1], bytes(p[y : y + rows].astype("<f4").tobytes())) for f, frame in enumerate(planes) for c, p in enumerate(frame) for y in range(0, p.shape[0], rows)]

@@ -263,6 +263,31 @@ def test_stack_follows_the_truth_and_resumes(spark, lights, tmp_path):
     assert np.array_equal(st.master_image(again)[0], image)
 
 
+def test_a_changed_light_runs_alone(spark, lights, tmp_path):
+    import shutil
+
+    field, folder = lights
+    folder = str(shutil.copytree(folder, tmp_path / "in"))
+    parts = lambda name: sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "w" / name / "lists")).groupBy("part").count().withColumnRenamed("count", "n").collect())
+    first = run(spark, folder, tmp_path / "w")
+    before = st.master_image(first)
+    changed = next(k for k in (1, 3, 5) if k != first.reference)
+    fs.write_fits(f"{folder}/f{changed:02d}.fits", np.random.default_rng(99).normal(scene(field + np.array([*SHIFTS[changed], 0])), 5), {"EXPTIME": 10.0}, mark=False)
+    second = run(spark, folder, tmp_path / "w")
+    assert parts("analysed") == [1, 8] and second.reference == first.reference and parts("registered") == [1, 8]
+    assert not np.array_equal(st.master_image(second), before)
+    fresh = run(spark, folder, tmp_path / "fresh")
+    assert np.array_equal(st.master_image(second), st.master_image(fresh))
+    # a part that lost rows is made anew
+    lost = next((tmp_path / "w" / "registered" / "rows").glob("part=*/*.parquet"))
+    lost.unlink()
+    (lost.parent / f".{lost.name}.crc").unlink(missing_ok=True)
+    fs.write_fits(f"{folder}/f{changed:02d}.fits", np.random.default_rng(98).normal(scene(field + np.array([*SHIFTS[changed], 0])), 5), {"EXPTIME": 10.0}, mark=False)
+    third = run(spark, folder, tmp_path / "w")
+    assert len(parts("registered")) == 3
+    assert np.array_equal(st.master_image(third), st.master_image(run(spark, folder, tmp_path / "again")))
+
+
 def test_tiles_of_any_size_give_the_same(spark, lights, tmp_path):
     _, folder = lights
     options = dict(large_scale=True, large_box=7, large_density=0.2, large_grow=3, local=True, block=32, weighting="psfsnr+field")
