@@ -102,7 +102,7 @@ class Preparation:
 
 def over_files(files: DataFrame, make, schema: str) -> DataFrame:
     """``make`` (row of the file) -> list of rows, for each file by itself."""
-    names = _fields(schema)
+    names = field_names(schema)
 
     def run(frames):
         for pdf in frames:
@@ -114,7 +114,7 @@ def over_files(files: DataFrame, make, schema: str) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
-def _fields(schema: str) -> list[str]:
+def field_names(schema: str) -> list[str]:
     """Column names of a schema without structs."""
     return [f.split()[0] for f in schema.split(", ")]
 
@@ -175,7 +175,7 @@ def align(frames: DataFrame, reference: dict, refine: bool = True, least_overlap
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([place(r) for r in pdf.to_dict("records")], columns=_fields(ALIGNED))
+            yield pd.DataFrame([place(r) for r in pdf.to_dict("records")], columns=field_names(ALIGNED))
 
     return frames.select("frame", "height", "width", "star_x", "star_y", "arcsec").mapInPandas(run, ALIGNED)
 
@@ -378,7 +378,7 @@ def terms(frames: DataFrame, grid: Grid, channels: int, base: list[float], refer
                         mine = min(c, len(r["location"]) - 1)
                         local = (pair[0][0], *(p[1][mine].astype("<f8").tobytes() for p in pair)) if pair else (None, None, None)
                         out.append((r["frame"], c, ty, tx, r["weight"], r["location"][mine], r["scale"][mine], base[min(c, len(base) - 1)], *local, part[0], part[1].astype("<f8").tobytes() if field is not None else None))
-                yield pd.DataFrame(out, columns=_fields(TERMS))
+                yield pd.DataFrame(out, columns=field_names(TERMS))
 
     wanted = ["frame", "weight", "location", "scale", "block_median", "block_sigma", "block_share", "factors", "matrix", "inverse", "height", "width"]
     return frames.select(*wanted).mapInPandas(run, TERMS)
@@ -455,7 +455,7 @@ def combine(tiles: DataFrame, frame_terms: DataFrame, grid: Grid, how: Combinati
     """COMBINED tiles of all frames that have terms: values (float32), how many frames cover a pixel (uint16), which
     share was rejected (float32), without borders. With ``masks`` also a row a frame with the bits of its rejected
     samples. A task holds a tile of one channel over all frames."""
-    names = _fields(COMBINED)
+    names = field_names(COMBINED)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         by_frame = {t.frame: t for t in right.itertuples(index=False)}
@@ -571,7 +571,7 @@ def drizzle(files: DataFrame, how: Preparation, plan: DataFrame, frame_terms: Da
     about = beside_tiles(frame_terms, plan, masks, grid, fine, drop)
 
     def scatter(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = _fields(DRIZZLED)
+        names = field_names(DRIZZLED)
         known = right[right["kind"] == "terms"]
         if not len(left) or not len(known):
             return pd.DataFrame([], columns=names)
@@ -702,7 +702,7 @@ BESIDE = "kind string, frame long, oy int, ox int, chunk long, c int, weight dou
 def beside_tiles(frame_terms: DataFrame, plan: DataFrame, masks: DataFrame | None, grid: Grid, fine: Grid, drop: Drop) -> DataFrame:
     """Terms and masks by the tiles of the finer grid that their own tiles touch. Of a frame's terms a fine tile gets
     those of the tile under its middle, whose maps are cut wide enough for it."""
-    names = _fields(BESIDE)
+    names = field_names(BESIDE)
 
     def reach(ty: int, tx: int) -> tuple[range, range]:
         y0, y1, x0, x1 = grid.box(ty, tx)

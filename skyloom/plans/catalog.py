@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from ..operators import frames as fr
 from ..operators import grids as gr
 from ..operators import matching as ma
 from ..operators import reports as re_
+from ..operators import stacking as sk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -708,3 +711,82 @@ def tilt_verdicts(spark, sf):
     level = F.when(F.col("frame") % 11 > 0, F.col("fwhm"))
     f = frames(spark, sf).select("frame", level.alias("level"), (F.col("noise") - 3).alias("tilt_x"), (F.col("transparency") - 0.8).alias("tilt_y"), (F.col("sky") / 200).alias("curvature"), (F.col("exposure") / 600).alias("scatter"))
     return f.select("frame", re_.tilt_verdict().alias("verdict"))
+
+
+# ---------------------------------------------------------------- tiles of a stack
+
+
+def patch_tiles(spark: SparkSession, sf: str, grid: sk.Grid) -> DataFrame:
+    """Embeddings as frames of 8x8 pixels, one of three channels each, cut into tiles."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for frame, c, raw in pdf.itertuples(index=False):
+                image = np.floor(np.asarray(raw, np.float64).reshape(8, 8) * 1000)
+                for ty, tx in grid.tiles():
+                    y0, y1, x0, x1 = grid.box(ty, tx, grid.halo)
+                    out.append((frame, c, ty, tx, y0, x0, y1 - y0, x1 - x0, image[y0:y1, x0:x1].astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["frame", "c", "ty", "tx", "y0", "x0", "h", "w", "data"])
+
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("int").alias("c"), "embedding")
+    return e.mapInPandas(run, "frame long, c int, ty int, tx int, y0 int, x0 int, h int, w int, data binary")
+
+
+def tile_terms(tiles: DataFrame, make) -> DataFrame:
+    """Terms of tiles: ``make`` (frame, ty, tx) gives the columns after the tile's place."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(r.frame, r.c, r.ty, r.tx, *make(r.frame, r.ty, r.tx)) for r in pdf.itertuples(index=False)], columns=sk.field_names(sk.TERMS))
+
+    return tiles.select("frame", "c", "ty", "tx").mapInPandas(run, sk.TERMS)
+
+
+def tile_pixels(master: DataFrame) -> DataFrame:
+    """(c, y, x, value, coverage, share) of combined tiles."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                y, x = np.mgrid[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w]
+                columns = [np.frombuffer(b, k).astype(t) for b, k, t in ((r.data, "<f4", "f8"), (r.coverage, "<u2", "i8"), (r.rejection, "<f4", "f8"))]
+                yield pd.DataFrame({"c": r.c, "y": y.ravel(), "x": x.ravel(), "value": columns[0], "coverage": columns[1], "share": columns[2]})
+
+    return master.mapInPandas(run, "c long, y long, x long, value double, coverage long, share double")
+
+
+@query("stack_tiles", f"""WITH {PX}, t AS MATERIALIZED (SELECT p.frame, label % 3 AS c, y, x, (v - frame % 7) * (1 + (frame % 3) * 0.5) + 10 AS v, 1 + frame % 4 AS w FROM p JOIN embeddings ON vec_id = frame),
+    m AS (SELECT c, y, x, quantile_disc(v, 0.5) AS m FROM t GROUP BY ALL),
+    s AS MATERIALIZED (SELECT t.*, CASE WHEN (v - m) / greatest(abs(m), 1e-6) < -4 THEN -1 WHEN (v - m) / greatest(abs(m), 1e-6) > 4 THEN 1 ELSE 0 END AS side FROM t JOIN m USING (c, y, x)),
+    d AS MATERIALIZED (SELECT a.frame, a.y, a.x, avg(CASE WHEN b.side = 1 THEN 1.0 ELSE 0.0 END) > 0.3 AS dense FROM s a JOIN s b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+    g AS (SELECT a.frame, a.y, a.x, bool_or(b.dense) AS grown FROM d a JOIN d b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
+    SELECT CAST(c AS BIGINT) AS c, y, x, CAST(CAST(coalesce(sum(v * w) FILTER (side = 0 AND NOT grown) / sum(w) FILTER (side = 0 AND NOT grown), 0) AS FLOAT) AS DOUBLE) AS value, count(*) AS coverage,
+        CAST(CAST((count(*) FILTER (side = -1) + count(*) FILTER (side = 1 OR grown)) / count(*) AS FLOAT) AS DOUBLE) AS share
+    FROM s JOIN g USING (frame, y, x) GROUP BY c, y, x""")
+def stack_tiles(spark, sf):
+    how = sk.Combination("percentile", 4.0, 4.0, large_scale=True, large_box=3, large_density=0.3, large_grow=1)
+    grid = sk.Grid(8, 8, side=3, halo=how.halo())
+    tiles = patch_tiles(spark, sf, grid)
+    terms = tile_terms(tiles, lambda f, ty, tx: (1.0 + f % 4, float(f % 7), 1 + (f % 3) * 0.5, 10.0, None, None, None, None, None))
+    return tile_pixels(sk.combine(tiles, terms, grid, how))
+
+
+@query("stack_fields", f"""WITH {PX}, q AS (SELECT y, x, least(greatest((y + 0.5) * 2 / 8 - 0.5, 0), 1) AS gy, least(greatest((x + 0.5) * 2 / 8 - 0.5, 0), 1) AS gx, y / 7 AS fy, x / 7 AS fx FROM range(0, 8) a(y), range(0, 8) b(x)),
+    n AS (SELECT frame, i, j, 1 + ((frame + i + 2 * j) % 5) * 0.25 AS s, (frame * 3 + i + 2 * j) % 11 AS o, 1 + (frame + 2 * i + j) % 3 AS f FROM (SELECT vec_id AS frame FROM embeddings), range(0, 2) a(i), range(0, 2) b(j)),
+    k AS (SELECT frame, y, x, sum(s * abs(1 - i - gy) * abs(1 - j - gx)) AS s, sum(o * abs(1 - i - gy) * abs(1 - j - gx)) AS o, sum(f * abs(1 - i - fy) * abs(1 - j - fx)) AS f FROM n, q GROUP BY frame, y, x)
+    SELECT CAST(label % 3 AS BIGINT) AS c, y, x, CAST(CAST(sum((v * s + o) * f * (1 + frame % 4)) / sum(f * (1 + frame % 4)) AS FLOAT) AS DOUBLE) AS value, count(*) AS coverage, 0.0::DOUBLE AS share
+    FROM p JOIN k USING (frame, y, x) JOIN embeddings ON vec_id = frame GROUP BY ALL""")
+def stack_fields(spark, sf):
+    grid = sk.Grid(8, 8, side=3)
+
+    def make(f, ty, tx):
+        at = np.array([[(i, j) for j in (0, 1)] for i in (0, 1)])
+        scale, offset, field = 1 + ((f + at[..., 0] + 2 * at[..., 1]) % 5) * 0.25, (f * 3.0 + at[..., 0] + 2 * at[..., 1]) % 11, 1.0 + (f + 2 * at[..., 0] + at[..., 1]) % 3
+        box = grid.box(ty, tx)
+        (place, s), (_, o) = sk.cut_map(scale, box, grid), sk.cut_map(offset, box, grid)
+        there, w = sk.cut_map(field, box, grid, corners=True)
+        return 1.0 + f % 4, 0.0, 1.0, 0.0, place, s.astype("<f8").tobytes(), o.astype("<f8").tobytes(), there, w.astype("<f8").tobytes()
+
+    tiles = patch_tiles(spark, sf, grid)
+    return tile_pixels(sk.combine(tiles, tile_terms(tiles, make), grid, sk.Combination("none")))
