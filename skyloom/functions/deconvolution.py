@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -9,32 +10,69 @@ import numpy as np
 from . import images as im
 
 
+@dataclasses.dataclass(frozen=True)
+class Restoration:
+    """How frames become one sharper image. ``huber`` beyond which residuals lose weight: in data units, or if
+    negative in root mean squares of a frame's residuals."""
+
+    rounds: int = 15
+    kappa: float = 1.5
+    relax: float = 0.6
+    huber: float = -1.5
+    tolerance: float = 0.05  # of the noise, for the median change of a round
+    floor_sigma: float = 2.0  # noises below the local sky that a pixel may fall; 0: no floor
+    ring_sigma: float = 1.0  # standard errors that a ring around a star may lie below the sky; negative: any
+    box: int = 32
+
+
 def saturation_level(image: np.ndarray, plateau: int = 4) -> float | None:
     """0.9 of the maximum where at least ``plateau`` pixels come within half a percent of it, else None."""
+    if not np.isfinite(image).any():
+        return None
     top = float(np.nanmax(image))
     return 0.9 * top if np.count_nonzero(image >= 0.995 * top) >= plateau else None
 
 
-def keep_mask(shape: tuple[int, int], stars: dict[str, np.ndarray], level: float | None, radius: float = 12.0, soft: float = 4.0) -> np.ndarray:
-    """1 everywhere but around saturated stars, where it falls to 0 over ``soft`` pixels."""
-    out = np.ones(shape)
-    if level is None:
-        return out
-    yy, xx = np.mgrid[: shape[0], : shape[1]]
-    for x, y in np.c_[stars["x"], stars["y"]][stars["peak"] >= level]:
-        out = np.minimum(out, np.clip((np.hypot(xx - x, yy - y) - radius) / soft, 0, 1))
-    return out
-
-
-def variance_map(image: np.ndarray, gain: float, read_noise: float, scale: float = 1.0, smooth: float = 1.0) -> np.ndarray:
-    """Shot and read noise in data units squared, smoothed: (v g + r^2) / g^2 times scale^2."""
-    v = (np.maximum(image, 0) * gain + read_noise**2) / gain**2 * scale**2
-    return np.maximum(im.gaussian(v, smooth), 1e-12)
-
-
-def luma_variance(planes: np.ndarray, gain: float, read_noise: float, scales: np.ndarray) -> np.ndarray:
-    """The variance of the luma of three planes."""
-    weights = np.array([0.2126, 0.7152, 0.0722])[: len(planes)] if len(planes) == 3 else np.ones(1)
+def saturated_stars(image: np.ndarray, stars: dict[str, np.ndarray], wider: float = 2.5, most: float = 25.0) -> np.ndarray:
+    """(x, y, radius) of stars whose middle is clipped; the radius follows the longer axis of the star."""
+    level = saturation_level(image)
+    if level is None or not len(stars["x"]):
+        return np.zeros((0, 3))
+    y, x = (np.clip(np.round(stars[k]).astype(int), 0, n - 1) for k, n in (("y", image.shape[0]), ("x", image.shape[1])))
+    clipped = image[y, x] >= level
+    return np.c_[stars["x"], stars["y"], np.clip(wider * np.maximum(stars["a"], stars["b"]), 1, most)][clipped]
+
+
+def keep_mask(shape: tuple[int, int], discs: np.ndarray, origin: tuple[int, int] = (0, 0), grow: int = 2, soft: float = 1.5) -> np.ndarray:
+    """1 but around ``discs`` (x, y, radius), which are widened by ``grow`` pixels and fade over ``soft``."""
+    gone = np.zeros(shape, bool)
+    for x, y, r in discs:
+        x, y = x - origin[1], y - origin[0]
+        y0, y1, x0, x1 = (int(np.clip(v, 0, n)) for v, n in ((y - r - 1, shape[0]), (y + r + 2, shape[0]), (x - r - 1, shape[1]), (x + r + 2, shape[1])))
+        if y0 < y1 and x0 < x1:
+            gone[y0:y1, x0:x1] |= np.hypot(*np.meshgrid(np.arange(x0, x1) - x, np.arange(y0, y1) - y)) <= r
+    for _ in range(grow if gone.any() else 0):
+        wide = np.pad(gone, 1)
+        gone = wide[1:-1, 1:-1] | wide[:-2, 1:-1] | wide[2:, 1:-1] | wide[1:-1, :-2] | wide[1:-1, 2:]
+    return np.clip(1 - im.gaussian(gone.astype(float), soft), 0, 1) if gone.any() else np.ones(shape)
+
+
+def variance_map(image: np.ndarray, gain: float | None = None, read_noise: float | None = None, scale: float = 1.0, smooth: float = 2.0) -> np.ndarray:
+    """Shot and read noise in data units squared, smoothed: (v g + r^2) / g^2 times scale^2; without a gain the
+    measured noise everywhere, without a read noise the measured one for it."""
+    v = np.maximum(np.nan_to_num(image), 0)
+    noise = im.background(v)[1]
+    if gain and gain > 0:
+        read = read_noise if read_noise is not None and read_noise >= 0 else noise * gain
+        out = (v * gain + read**2) / gain**2
+    else:
+        out = np.full(v.shape, max(noise, 1e-6) ** 2)
+    return np.maximum(im.gaussian(out * scale**2, smooth), 1e-9)
+
+
+def luma_variance(planes: np.ndarray, gain: float | None, read_noise: float | None, scales: np.ndarray) -> np.ndarray:
+    """The variance of the luma of planes that are multiplied by ``scales``."""
+    weights = np.array([0.2126, 0.7152, 0.0722]) if len(planes) == 3 else np.ones(1)
     return sum((w * s) ** 2 * variance_map(p, gain, read_noise) for w, s, p in zip(weights, scales, planes, strict=True))
 
 
@@ -116,26 +154,63 @@ def lift_rings(image: np.ndarray, sky: np.ndarray, noise: float, seeds: np.ndarr
     return image + gain[outer:-outer, outer:-outer]
 
 
-def apply_luminance(colour: np.ndarray, new: np.ndarray, least_snr: float = 3.0) -> np.ndarray:
-    """Colour planes under a new luminance: where there is signal, planes scale with it (0 to 3 times); elsewhere
-    the change is added alike."""
-    old = np.tensordot([0.2126, 0.7152, 0.0722], colour, 1)
-    sky, noise = float(np.median(old)), max(im.robust(old)[1], 1e-9)
-    share = np.clip((old - sky) / (least_snr * noise) - 1, 0, 1)
-    ratio = np.clip((new - sky) / np.where(np.abs(old - sky) > noise, old - sky, noise), 0, 3)
-    base = np.median(colour, (1, 2), keepdims=True)
-    return np.where(share > 0, share * (base + (colour - base) * ratio), 0) + (1 - share) * (colour + (new - old))
-
-
-def deconvolve_tiled(frames: np.ndarray, psfs: np.ndarray, keep: np.ndarray, variance: np.ndarray, size: int = 512, **options) -> np.ndarray:
-    """The loop tile by tile, each with three kernels' width of overlap; tiles fade into each other."""
-    overlap = 3 * psfs.shape[-1]
-    h, w = frames.shape[1:]
-    total, weight = np.zeros((h, w)), np.zeros((h, w))
-    for y0, y1 in im.tiles(h, max(size, 2 * overlap + 1), overlap):
-        for x0, x1 in im.tiles(w, max(size, 2 * overlap + 1), overlap):
-            part = im.deconvolve(frames[:, y0:y1, x0:x1], psfs, keep[:, y0:y1, x0:x1], variance[:, y0:y1, x0:x1], **options)[0]
-            fade = np.minimum.outer(np.minimum(np.arange(y1 - y0), np.arange(y1 - y0)[::-1]) + 1, np.minimum(np.arange(x1 - x0), np.arange(x1 - x0)[::-1]) + 1).astype(float)
-            total[y0:y1, x0:x1] += part * fade
-            weight[y0:y1, x0:x1] += fade
-    return total / weight
+def apply_luminance(colour: np.ndarray, new: np.ndarray, least: float = 3.0) -> np.ndarray:
+    """Colour planes under a new luminance: the change is shared out as the planes share the signal above their skies,
+    and alike where the signal is below ``least`` noises."""
+    weights = np.array([0.2126, 0.7152, 0.0722])
+    old = np.tensordot(weights, colour, 1)
+    signal = colour - np.stack([im.background(c)[0] for c in colour])
+    whole = np.tensordot(weights, signal, 1)
+    noise = im.background(old)[1]
+    share = np.where(whole > least * noise, signal / np.maximum(whole, 1e-6), 1.0)
+    return colour + (new - old) * np.clip(share, 0, 3)
+
+
+def restore(frames: np.ndarray, psfs: np.ndarray, keep: np.ndarray | None = None, variance: np.ndarray | None = None, how: Restoration = Restoration()) -> tuple[np.ndarray, int]:
+    """The image that, blurred by each frame's kernel, explains all frames (frames, rows, columns; NaN: not covered),
+    by multiplicative updates from their median; and the rounds it took.
+
+    Residuals are weighed by a Huber rule over the variance (or the spread of a frame's residuals) and ``keep``. A
+    pixel changes by a factor of ``kappa`` at most and stays where half of its footprint has no data. A floor below the
+    local sky and a lift of dark rings keep stars from digging holes."""
+    seen = ~np.isnan(frames)
+    there = seen.any(0)
+    keep = seen * (1.0 if keep is None else keep)
+    with np.errstate(invalid="ignore"):
+        x = np.where(there, np.maximum(np.nan_to_num(lower_median_of_frames(frames)), 0), 0.0)
+    x = np.where(there, x, np.median(x[there]) if there.any() else 0.0)
+    y = np.maximum(np.nan_to_num(frames), 0)
+    sky, noise = sky_and_noise(x, how.box)
+    floor = sky - how.floor_sigma * noise if how.floor_sigma > 0 else None
+    seeds = star_seeds(x, sky, noise) if floor is not None and how.ring_sigma >= 0 else None
+    frozen = sum(im.correlate(k, p, True) for k, p in zip(keep, psfs, strict=True)) / len(psfs) < 0.5
+    for step in range(1, how.rounds + 1):
+        num, den = np.zeros_like(x), np.zeros_like(x)
+        for k, (obs, psf, use) in enumerate(zip(y, psfs, keep, strict=True)):
+            blurred = im.correlate(x, psf)
+            r = obs - blurred
+            size = np.abs(r)
+            limit = how.huber if how.huber >= 0 else -how.huber * max(math.sqrt(float((r * r).mean())), 1e-12)
+            spread = variance[k] if variance is not None else max((1.4826 * im.lower_median(np.abs(r - im.lower_median(r)))) ** 2, 1e-12)
+            w = use / spread * np.where(size <= limit, 1.0, limit / np.maximum(size, 1e-12))
+            num += im.correlate(w * obs, psf, True)
+            den += im.correlate(w * blurred, psf, True)
+        ratio = np.where(den > 1e-12, np.clip(num / np.maximum(den, 1e-12), 1 / how.kappa, how.kappa), 1.0)
+        after = np.maximum(x * np.where(frozen, 1.0, ratio), 0)
+        if floor is not None:
+            after = np.maximum(after, floor)
+        done = how.tolerance > 0 and float(np.median(np.abs(after - x))) < how.tolerance * noise
+        x = after if done else (1 - how.relax) * x + how.relax * after
+        if seeds is not None:
+            left = x - sky
+            now = 1.4826 * im.lower_median(np.abs(left - im.lower_median(left)))
+            x = lift_rings(x, sky, now, seeds, 2, psfs.shape[-1] // 2 + 4, how.ring_sigma)
+        if done:
+            break
+    return x, step
+
+
+def lower_median_of_frames(frames: np.ndarray) -> np.ndarray:
+    """Lower median over frames, NaN without data."""
+    n = (~np.isnan(frames)).sum(0)
+    return np.take_along_axis(np.sort(frames, 0), np.maximum(n - 1, 0)[None] // 2, 0)[0]

@@ -541,27 +541,6 @@ def correlate(image: np.ndarray, kernel: np.ndarray, flip: bool = False) -> np.n
     return out[2 * half : 2 * half + image.shape[0], 2 * half : 2 * half + image.shape[1]]
 
 
-def deconvolve(frames: np.ndarray, psfs: np.ndarray, keep: np.ndarray, variance: np.ndarray, rounds: int = 30, kappa: float = 2.0, relax: float = 0.7, huber: float = 3.0, tolerance: float = 1e-4) -> tuple[np.ndarray, int]:
-    """Joint deconvolution of registered frames by multiplicative updates: each round weighs residuals by a
-    Huber rule over the variance, limits the change of a pixel to ``kappa`` and applies a share ``relax`` of it."""
-    x = np.maximum(np.median(frames, 0), 1e-6)
-    for step in range(1, rounds + 1):
-        num, den = np.zeros_like(x), np.zeros_like(x)
-        for y, psf, k, var in zip(frames, psfs, keep, variance, strict=True):
-            seen = np.maximum(correlate(x, psf), 1e-9)
-            r = np.abs(y - seen) / np.sqrt(var)
-            w = k / var * np.where(r <= huber, 1.0, huber / np.maximum(r, 1e-12))
-            num += correlate(w * y, psf, True)
-            den += correlate(w * seen, psf, True)
-        ratio = np.clip(num / np.maximum(den, 1e-12), 1 / kappa, kappa)
-        after = x * (1 + relax * (ratio - 1))
-        moved = float(np.abs(after - x).sum() / max(np.abs(x).sum(), 1e-12))
-        x = np.maximum(after, 0)
-        if moved < tolerance:
-            return x, step
-    return x, rounds
-
-
 def blend_strength(master: np.ndarray, sharp: np.ndarray, strength: float) -> np.ndarray:
     if strength <= 0:
         return master

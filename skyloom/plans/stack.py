@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions import deconvolution as de
 from ..functions import geometry as ge
 from ..functions import images as im
 from ..operators import frames as fr
 from ..operators import images as oi
 from ..operators import reports as rp
+from ..operators import restoration as rs
 from ..operators import stacking as sk
 from ..sources import frames as sf
 from ..sources.stages import Stages, fingerprint, use_checkpoints
@@ -58,6 +60,11 @@ class StackSettings:
     drizzle_scale: float = 2.0
     drizzle_pixfrac: float = 0.8
     drizzle_kernel: str = "square"
+    sharpen: bool = False  # joint deconvolution of the sharpest frames
+    sharpen_frames: int = 24
+    sharpen_rounds: int = 15
+    sharpen_kappa: float = 1.5
+    sharpen_blend: float = 1.0  # share of the deconvolved image
     autocrop: float = 0.0  # share of the frames that must cover every pixel that is left
 
 
@@ -70,6 +77,7 @@ class Stacked:
     grid: sk.Grid
     reference: int
     drizzled: DataFrame | None = None
+    restored: DataFrame | None = None
 
 
 #: Samples that a task of the combination holds, as eight-byte numbers with a few copies.
@@ -139,9 +147,19 @@ def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | N
         sums = stages.run("drizzled", lambda: sk.drizzle(_joined(files, going), how, going, around, made.filter("frame is not null"), grid, drop))
         n = sums.agg(F.max("c")).first()[0]
         out.drizzled = sk.drizzled_image(sums, sk.drizzled_weight_floor(sums, drop, grid, (n or 0) + 1))
+    if s.sharpen:
+        best = rp.sharpest(kept, s.sharpen_frames).join(lights.select("frame", "header"), "frame").select("frame", "fwhm", "location", "scale", fc.header_number("header", "EGAIN", "GAIN").alias("gain"), fc.header_number("header", "RDNOISE", "READNOIS", "RON").alias("read_noise"))
+        chosen = {r["frame"]: r.asDict() for r in best.collect()}  # sharpen_frames rows
+        assets = [r.asDict() for r in stages.run("kernels", lambda: rs.kernels(tiles, chosen, own["location"], grid)).collect()]
+        out.restored = stages.run("restored", lambda: rs.restored(tiles, assets, chosen, own["location"], grid, de.Restoration(s.sharpen_rounds, s.sharpen_kappa)))
     return out
 
 
+def restored_image(out: Stacked, s: StackSettings) -> np.ndarray:
+    """The deconvolved image, blended with the plain one."""
+    return im.blend_strength(master_image(out), image_of(out.restored, "data", "<f4", out.grid.height, out.grid.width), s.sharpen_blend)
+
+
 def _numbered(headers: DataFrame) -> DataFrame:
     """Headers with ``frame``: the place of a file in the order of names."""
     return fr.numbered(headers, ["path"], "frame").withColumn("frame", F.col("frame") - 1)
@@ -272,6 +290,9 @@ def write_results(out: Stacked, path: str, s: StackSettings) -> dict:
     sf.write_fits(path, image, cards)
     sf.write_fits(f"{stem}_coverage{suffix}", cover.astype(np.float32), {"MAPTYPE": "coverage"})
     sf.write_fits(f"{stem}_rejection{suffix}", rejected, {"MAPTYPE": "rejection"})
+    if out.restored is not None:
+        sharp = restored_image(out, s)
+        sf.write_fits(f"{stem}_sharpened{suffix}", sharp if box is None else sharp[:, y0:y1, x0:x1], cards | {"MFBLEND": s.sharpen_blend, "MFKAPPA": s.sharpen_kappa})
     if out.drizzled is not None:
         fine = {"DRIZSCL": s.drizzle_scale, "DRIZKERN": s.drizzle_kernel, "DRIZPIX": s.drizzle_pixfrac}
         whole = [drizzled_array(out, s), drizzled_array(out, s, "den").mean(0).astype(np.float32)]

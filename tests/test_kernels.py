@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from skyloom.functions import deconvolution as de
 from skyloom.functions import images as im
 from skyloom.functions.studentt import critical
 from skyloom.operators import combine as co
@@ -169,7 +170,7 @@ def test_deconvolution_sharpens():
     truth = scene([(40, 40, 4000), (60, 52, 2500)], (96, 96), 1.6) - 50 + 60
     psf = im.gaussian_psf(15, 4.0)
     y = np.stack([np.maximum(im.correlate(truth, psf), 1) for _ in range(3)])
-    x, n = im.deconvolve(y, np.stack([psf] * 3), np.ones_like(y), np.full_like(y, 25.0))
+    x, n = de.restore(y, np.stack([psf] * 3), np.ones_like(y), np.full_like(y, 25.0))
     assert n >= 2 and np.abs(x - truth).mean() < np.abs(y[0] - truth).mean()
 
 

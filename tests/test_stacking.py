@@ -489,6 +489,18 @@ def test_drizzle_in_the_stack(spark, lights, tmp_path):
         assert data is not None and data.size
 
 
+def test_sharpening_in_the_stack(spark, lights, tmp_path):
+    field, folder = lights
+    settings = dataclasses.replace(BASE, sharpen=True, sharpen_frames=4, tile=90)
+    out = st.stack(spark, folder, str(tmp_path / "w"), settings)
+    sharp, plain = st.restored_image(out, settings)[0], st.master_image(out)[0]
+    core = np.s_[20:-20, 20:-20]
+    stars = [im.detect(a, 8.0) for a in (sharp, plain)]
+    assert np.isfinite(sharp).all() and np.median(stars[0]["fwhm"]) < 0.9 * np.median(stars[1]["fwhm"])
+    assert abs(np.median(sharp[core]) - np.median(plain[core])) < 3
+    assert np.allclose(st.restored_image(out, dataclasses.replace(settings, sharpen_blend=0.0)), plain)
+
+
 def test_frames_without_stars_or_place_are_told(spark, lights, tmp_path):
     _, folder = lights
     import shutil
