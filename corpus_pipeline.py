@@ -29,8 +29,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = ngram_join.similar_components(keyed.select("__key", "text"), "__key", n=5, percent=80).select("__key", "component_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.coalesce("text", F.lit(""))), "__key")).alias("first")
     names = keyed.groupBy("__key").agg(first)
-    best = found.join(names, "__key").withColumn("best", F.min("first").over(Window.partitionBy("component_id")))
-    gone = best.filter("first <> best").select("__key")
+    known = found.join(names, "__key")
+    best = known.groupBy("component_id").agg(F.min("first").alias("best"))  # a large group is no group of one task
+    gone = known.join(best, "component_id").filter("first <> best").select("__key")
     once = Window.partitionBy("__key").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
     kept = keyed.join(gone, "__key", "left_anti").withColumn("__place", F.row_number().over(once)).filter("__place = 1")
     return kept.select(*docs.columns)
