@@ -30,8 +30,11 @@ def verdict(ratio: str = "fwhm_ratio", band: float = 0.02) -> F.Column:
 
 
 def compare_many(candidates: DataFrame, reference: DataFrame, stack: str = "stack", radius: float = 2.5) -> DataFrame:
-    """``compare`` for the catalogues of several stacks (column ``stack``) against one: the reference is repeated
-    for each stack, a handful."""
-    stacks = candidates.select(stack).distinct()
-    repeated = reference.join(F.broadcast(stacks))
+    """``compare`` for the catalogues of several stacks (column ``stack``) against one. A reference star goes to the
+    stacks that have a star in its own or a neighbouring cell of the radius, by an equi-join."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("long")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    there = candidates.select(stack, cell("x").alias("__x"), cell("y").alias("__y")).distinct()
+    near = there.withColumn("s", F.explode(around)).select(stack, (F.col("__x") + F.col("s.i")).alias("__x"), (F.col("__y") + F.col("s.j")).alias("__y")).distinct()
+    repeated = reference.withColumn("__x", cell("x")).withColumn("__y", cell("y")).join(near, ["__x", "__y"]).drop("__x", "__y")
     return compare(candidates, repeated, radius, stack)

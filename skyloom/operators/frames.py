@@ -137,8 +137,7 @@ def sharpness_factors(frames: DataFrame) -> DataFrame:
 
 def rank_references(frames: DataFrame) -> DataFrame:
     """Adds ``rank``: frames with fewer than 0.8 of the median stars come behind the others, then by
-    sharpness * (1 + 0.1 * noise over its median), then by name; excluded frames have none. A session's frame
-    table is ranked as a whole: it is small against its pixels."""
+    sharpness * (1 + 0.1 * noise over its median), then by name; excluded frames have none."""
     usable = ~F.col("excluded") & finite("stars").isNotNull() & finite("fwhm").isNotNull() & finite("noise").isNotNull()
     f = frames.withColumn("__ok", usable)
     timed = F.min(F.coalesce(F.col("exposure") > 0, F.lit(False)))
@@ -149,15 +148,16 @@ def rank_references(frames: DataFrame) -> DataFrame:
     score = F.col("fwhm") * (1 + 0.1 * noise / F.greatest(middle, F.lit(1e-9)))
     tier = F.when(F.col("stars") < 0.8 * F.col("__stars"), 1).otherwise(0)
     f = f.withColumn("__score", score).withColumn("__tier", tier)
-    ranked = f.withColumn("rank", F.when(F.col("__ok"), F.row_number().over(Window.partitionBy("__ok").orderBy("__tier", "__score", "frame"))))
-    return ranked.drop("__ok", "__stars", "__timed", "__nt", "__n", "__score", "__tier")
+    inner = ("__ok", "__stars", "__timed", "__nt", "__n", "__score", "__tier")
+    ranked = numbered(f.filter("__ok"), ["__tier", "__score", "frame"], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return ranked.unionByName(f.filter("NOT __ok").withColumn("rank", F.lit(None).cast("int"))).drop(*inner)
 
 
 def group_frames(frames: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, frames, group_no from 1 in order of first appearance); unknown keys are UNKNOWN."""
     named = [F.coalesce(F.col(k).cast("string"), F.lit("UNKNOWN")).alias(k) for k in keys]
     out = frames.select(*named, F.col(order).alias("__o")).groupBy(*keys).agg(F.count("*").alias("frames"), F.min("__o").alias("__first"))
-    return out.withColumn("group_no", F.row_number().over(Window.orderBy("__first", *keys))).drop("__first")
+    return numbered(out, ["__first", *keys], "group_no").withColumn("group_no", F.col("group_no").cast("int")).drop("__first")
 
 
 def stratified_sample(items: DataFrame, stratum: str, order: str, limit: int) -> DataFrame:

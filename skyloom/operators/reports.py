@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import exposure_key, finite
+from ..functions.columns import exposure_key, finite, focal_length
 
 
 def sharpest(frames: DataFrame, n: int) -> DataFrame:
@@ -85,3 +85,23 @@ def frame_rows(frames: DataFrame) -> DataFrame:
 def write_csv(frame: DataFrame, path: str) -> None:
     """A report as CSV with a header, NULL as nothing; the report is a row a frame."""
     frame.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+
+
+def session_table(lights: DataFrame, judged: DataFrame, aligned: DataFrame, weighed: DataFrame) -> DataFrame:
+    """A row a frame of a stack with all that was measured and decided, and why it is not in the image if so.
+    ``lights``: frame, path, header; the others: what the stages of the stack give."""
+    cell = lambda c, form: F.array_join(F.transform(c, lambda v: F.when(v.isNull() | F.isnan(v.cast("double")), "nan").otherwise(F.format_string(form, v))), " ")
+    told = lights.select("frame", "path", focal_length("header").alias("focal_length_mm"))
+    a = aligned.select("frame", "matrix", "matched", "refined", "rms", "failure")
+    w = weighed.select("frame", "flux_ratio", F.col("transparency").alias("relative_flux"), "psfsw", F.col("measured").alias("phot_stars"), F.when(F.col("reason").isNull(), F.col("weight")).alias("weight"), F.col("reason").alias("filtered"))
+    j = judged.join(told.drop("path"), "frame").join(a, "frame", "left").join(w, "frame", "left")
+    at = lambda k: F.get("matrix", F.lit(k))
+    turn = F.degrees(F.atan2(at(3), at(0)))
+    excluded = F.coalesce("reason", "failure", "filtered")
+    return j.select(
+        "frame", F.element_at(F.split("path", "/"), -1).alias("file"), excluded.isNull().alias("stacked"), F.col("exposure").alias("exposure_s"), "focal_length_mm", "camera", F.col("arcsec").alias("pixel_scale_arcsec"),
+        F.round(F.col("fwhm") * F.col("arcsec"), 3).alias("fwhm_arcsec"), "stars", F.when(F.col("exposure") > 0, F.col("light") / F.col("exposure")).alias("bright_star_rate"), F.round(finite("fwhm"), 3).alias("fwhm_px"),
+        cell("grid", "%.2f").alias("fwhm_grid"), cell("counts", "%d").alias("fwhm_grid_counts"), F.round("noise", 4).alias("noise"), F.round("sky", 2).alias("background"), F.round("relative_flux", 4).alias("transparency"), F.round("flux_ratio", 4).alias("flux_ratio"),
+        F.round("psfsw", 6).alias("psfsw"), "phot_stars", F.round("weight", 4).alias("weight"), F.round(at(2), 3).alias("shift_x"), F.round(at(5), 3).alias("shift_y"), F.round(turn, 4).alias("rotation_deg"),
+        F.round(F.sqrt(at(0) * at(0) + at(3) * at(3)), 6).alias("scale"), "matched", F.col("refined").alias("refined_matches"), F.round(finite("rms"), 3).alias("residual_rms_px"), (F.abs(turn) > 90).alias("flipped"), excluded.alias("excluded"),
+    )

@@ -76,6 +76,7 @@ class Stacked:
     master: DataFrame
     grid: sk.Grid
     reference: int
+    report: DataFrame
     drizzled: DataFrame | None = None
     restored: DataFrame | None = None
 
@@ -139,7 +140,7 @@ def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | N
         plain = stages.run("first", lambda: combined(None, dataclasses.replace(combination, masks=False)))
         local = sk.master_blocks(plain, grid, s.block)
     made = stages.run("master", lambda: combined(local, combination))
-    out = Stacked(weighed, made.filter("frame is null").drop("frame"), grid, first)
+    out = Stacked(weighed, made.filter("frame is null").drop("frame"), grid, first, rp.session_table(lights, judged, aligned, weighed))
     if s.drizzle:
         drop = sk.Drop(s.drizzle_scale, s.drizzle_pixfrac, s.drizzle_kernel, side=max(64, tile_side(128)))
         going = kept.select("path", "frame", "matrix", "forward")
@@ -287,6 +288,7 @@ def write_results(out: Stacked, path: str, s: StackSettings) -> dict:
         image, cover, rejected = image[:, y0:y1, x0:x1], cover[y0:y1, x0:x1], rejected[y0:y1, x0:x1]
         cards |= {"CROPX0": x0, "CROPY0": y0, "CROPDPTH": s.autocrop}
     stem, suffix = os.path.splitext(path)
+    out.report.orderBy("frame").toPandas().to_csv(f"{stem}.frames.csv", index=False)  # a row a frame
     sf.write_fits(path, image, cards)
     sf.write_fits(f"{stem}_coverage{suffix}", cover.astype(np.float32), {"MAPTYPE": "coverage"})
     sf.write_fits(f"{stem}_rejection{suffix}", rejected, {"MAPTYPE": "rejection"})

@@ -509,8 +509,13 @@ def test_frames_without_stars_or_place_are_told(spark, lights, tmp_path):
     fs.write_fits(str(tmp_path / "in" / "z_blank.fits"), np.random.default_rng(0).normal(300, 4, SHAPE), {"EXPTIME": 10.0}, mark=False)
     out = run(spark, str(tmp_path / "in"), tmp_path / "w")
     assert out.frames.count() == 8
-    judged = {r["frame"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "w" / "judged")).collect()}
-    assert judged[8].startswith("only ")
+    told = {r["frame"]: r for r in out.report.collect()}
+    assert len(told) == 9 and told[8]["excluded"].startswith("only ") and not told[8]["stacked"] and told[8]["shift_x"] is None
+    ref = SHIFTS[out.reference]
+    for k, (dx, dy) in enumerate(SHIFTS):
+        r = told[k]
+        assert r["stacked"] and r["shift_x"] == pytest.approx(ref[0] - dx, abs=0.3) and r["shift_y"] == pytest.approx(ref[1] - dy, abs=0.3)
+        assert r["scale"] == pytest.approx(1, abs=1e-2) and len(r["fwhm_grid"].split()) == 16 and r["phot_stars"] >= 12
 
 
 def test_frame_numbers_do_not_need_one_task(spark):
@@ -523,3 +528,18 @@ def test_frame_numbers_do_not_need_one_task(spark):
 
 def test_like_masters():
     assert np.allclose(oi.like(np.ones((1, 2, 2)), True, False, 3), 65535.0)
+
+
+def test_many_stacks_against_one(spark):
+    from skyloom.operators.compare import compare, compare_many
+
+    r = np.random.default_rng(1)
+    ref = [(k, float(x), float(y), 3.0, 100.0, 1.1) for k, (x, y) in enumerate(r.uniform(0, 500, (200, 2)))]
+    mine = [(s, k, x + 0.4, y - 0.3, f * (1 + 0.1 * s), flux * (1 + s), e) for s in (0, 1, 2) for k, x, y, f, flux, e in ref[s * 20 :]]
+    reference = spark.createDataFrame(ref, "id long, x double, y double, fwhm double, flux double, elongation double")
+    stacks = spark.createDataFrame(mine, "stack long, id long, x double, y double, fwhm double, flux double, elongation double")
+    got = {row["g"]: row for row in compare_many(stacks, reference).collect()}
+    assert {s: g["matched"] for s, g in got.items()} == {0: 200, 1: 180, 2: 160} or min(g["matched"] for g in got.values()) >= 160
+    for s in (0, 1, 2):
+        one = compare(stacks.filter(F.col("stack") == s).drop("stack"), reference).first()
+        assert (one["matched"], one["fwhm_ratio"], one["flux_ratio"]) == (got[s]["matched"], got[s]["fwhm_ratio"], got[s]["flux_ratio"])
