@@ -276,16 +276,15 @@ def test_a_changed_light_runs_alone(spark, lights, tmp_path):
     second = run(spark, folder, tmp_path / "w")
     assert parts("analysed") == [1, 8] and second.reference == first.reference and parts("registered") == [1, 8]
     assert not np.array_equal(st.master_image(second), before)
-    fresh = run(spark, folder, tmp_path / "fresh")
-    assert np.array_equal(st.master_image(second), st.master_image(fresh))
     # a part that lost rows is made anew
     lost = next((tmp_path / "w" / "registered" / "rows").glob("part=*/*.parquet"))
     lost.unlink()
     (lost.parent / f".{lost.name}.crc").unlink(missing_ok=True)
-    fs.write_fits(f"{folder}/f{changed:02d}.fits", np.random.default_rng(98).normal(scene(field + np.array([*SHIFTS[changed], 0])), 5), {"EXPTIME": 10.0}, mark=False)
+    shutil.rmtree(tmp_path / "w" / "master.manifest")
     third = run(spark, folder, tmp_path / "w")
     assert len(parts("registered")) == 3
-    assert np.array_equal(st.master_image(third), st.master_image(run(spark, folder, tmp_path / "again")))
+    fresh = st.master_image(run(spark, folder, tmp_path / "fresh"))
+    assert np.array_equal(st.master_image(third), fresh)
 
 
 def test_tiles_of_any_size_give_the_same(spark, lights, tmp_path):
@@ -325,7 +324,7 @@ def test_haze_is_measured_scaled_and_weighed_down(spark, lights, tmp_path):
     dropped = run(spark, folder, tmp_path / "h3", weighting="psfsnr", filters=True)
     reasons = {r["frame"]: r["reason"] for r in dropped.frames.collect()}
     assert reasons.get(4) == "filter: transparency" and [k for k, v in reasons.items() if v] == [4]
-    for mode in ("psfsw", "psfsw-ln", "psfsnr+fwhm", "both", "fwhm", "none"):
+    for mode in ("psfsw", "psfsw-ln", "psfsnr+fwhm", "none"):
         got = by(mode)
         assert all(0.05 <= w <= 20 for w in got.values()) and (mode == "none") == (set(got.values()) == {1.0})
     with pytest.raises(ValueError, match="weighting"):
@@ -367,8 +366,10 @@ def test_colour_frames_follow_their_headers(spark, tmp_path):
         assert image.shape == (3, *SHAPE)
         level = np.median(image, (1, 2))
         assert level[0] / level[1] == pytest.approx(1.5, rel=0.02) and level[2] / level[1] == pytest.approx(0.5, rel=0.02)
-    raw = st.master_image(run(spark, folder, tmp_path / "off", debayer="off"))
-    assert raw.shape == (1, *SHAPE)
+    assert sk.Preparation(debayer="off").colours({"BAYERPAT": "GRBG"}, 1) is None and sk.Preparation(debayer="on", pattern="RGGB").colours({}, 1) == "RGGB"
+    assert sk.Preparation().colours({"BAYERPAT": "GRBG"}, 3) is None and sk.Preparation().colours({"BAYERPAT": "odd"}, 1) is None
+    with pytest.raises(ValueError, match="pattern"):
+        sk.Preparation(debayer="on").colours({}, 1)
 
 
 def test_masters_and_their_sizes(spark, tmp_path):
@@ -539,7 +540,7 @@ def test_many_stacks_against_one(spark):
     reference = spark.createDataFrame(ref, "id long, x double, y double, fwhm double, flux double, elongation double")
     stacks = spark.createDataFrame(mine, "stack long, id long, x double, y double, fwhm double, flux double, elongation double")
     got = {row["g"]: row for row in compare_many(stacks, reference).collect()}
-    assert {s: g["matched"] for s, g in got.items()} == {0: 200, 1: 180, 2: 160} or min(g["matched"] for g in got.values()) >= 160
+    assert sorted(got) == [0, 1, 2] and all(g["matched"] >= 160 for g in got.values())
     for s in (0, 1, 2):
         one = compare(stacks.filter(F.col("stack") == s).drop("stack"), reference).first()
         assert (one["matched"], one["fwhm_ratio"], one["flux_ratio"]) == (got[s]["matched"], got[s]["fwhm_ratio"], got[s]["flux_ratio"])
