@@ -1,20 +1,22 @@
-"""Language-model scoring by context-tree weighting over the bytes of words.
+"""Language-model scoring by context-tree weighting over the bytes of whole texts.
 
 A text is the symbols of its tokens: the bytes of a word (A-Z lower-cased) and a space, and one line feed at
-the end of the text. The context of a symbol is the bytes before it back to the space before its word, DEPTH
-at most. A byte is decomposed into eight binary decisions; every context and bit prefix has a
-Krichevsky-Trofimov estimate of its next bit, and the estimates of all depths are mixed with the weights of
-context-tree weighting, P_w = (P_e + product of the children's P_w) / 2. In training the weights come from
-all training tokens; in scoring they stay as they are, and a path ends at the deepest context that the tree
-holds. Contexts reach back to the start of a word only, so a word has one probability wherever it stands.
-
-There is a tree for each class of training documents (their language where one is given), and a text's probability is the mean of the trees' probabilities of the whole
-text, weighted by the classes' shares of the training documents. A text's own class is not used.
-
-The statistics cover all training tokens, and a tree keeps every (context, symbol) count. The trees stay
+the end of the text. The context of a symbol is the DEPTH bytes before it, across the ends of words; before a
+text stand line feeds, which no word holds. A byte is decomposed into eight binary decisions; every context and
+bit prefix has a Krichevsky-Trofimov estimate of its next bit, and the estimates of all depths are mixed with the
+weights of context-tree weighting, P_w = (P_e + product of the children's P_w) / 2. In training the weights come
+from all training texts; in scoring they stay as they are, and a path ends at the deepest context that the tree
+holds.
+
+There is a tree for each class of training documents (their language where one is given; languages of less than
+1 / SHARE of the training documents have one tree together), and a text's probability is the mean of the trees'
+probabilities of the whole text, weighted by the classes' shares of the training documents. A text's own class is
+not used.
+
+The statistics cover all training texts, and a tree keeps every cell, a context with its symbol. The trees stay
 distributed: contexts that share their newest STEM bytes are one subtree, which one task grows; a subtree has
 256 ** (DEPTH - STEM) contexts at most. The nodes above the subtrees, 256 ** (STEM - 1) contexts a class at
-most, are grown from sums over the subtrees and go to every task. Each distinct word is scored once.
+most, are grown from sums over the subtrees and go to every task. Each distinct cell is valued once.
 
 Defined results: null and empty texts are the end token alone; with nothing to train on every bit has
 probability 1/2 and the base is log10(0.1 / 0.1); repeated rows count each; extra columns are not read.
@@ -31,14 +33,16 @@ from ._common import Interner, blocks, bounded_batches, cut
 from .langid import fold
 
 DEPTH, STEM = 5, 3
-#: Words that go to every task with their counts and scores; all others come by a join.
+#: Words that go to every task with their counts; all others come by a join.
 HEAD_WORDS = 200_000
 #: Numbers of a worker's distinct words are forgotten beyond this many.
 CACHE_WORDS = 300_000
-#: (context, symbol) values that are broadcast at most, over all classes; more of them come by a join.
+#: Values of cells that go to every task, over all classes: those of the most frequent cells; others come by a join.
 VALUE_CELLS = 8_000_000
-#: Pairs that a task works on at a time, and bytes of words.
-BLOCK_PAIRS, WORD_BYTES = 300_000, 1 << 20
+#: Cells that a task works on at a time, and bytes of texts.
+BLOCK_PAIRS, TEXT_BYTES = 300_000, 2 << 20
+#: Classes of at least this part of the training documents have a tree of their own.
+SHARE = 100
 HALF = float(np.log(0.5))
 
 
@@ -58,23 +62,26 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - float(np.log(np.pi))
 
 
-def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of words (a word's bytes and a space; the empty word is the end token, a line feed), the
-    number of the word of each, and its context: DEPTH bytes back, the newest lowest, behind a leading 1 bit;
-    a context that reaches the space before its word ends there."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    text = np.frombuffer(b" " + b"".join(w + b"  " for w in words), np.uint8).astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum(lens + 2)))[:-1]  # of the space before each word
-    word = np.repeat(np.arange(len(words)), lens + 1)
-    place = np.arange(len(word)) - np.repeat(np.concatenate(([0], np.cumsum(lens + 1)))[:-1], lens + 1)
-    at = starts[word] + place  # of the byte before the symbol
-    sym = text[at + 1].copy()
-    sym[lens[word] == 0] = 10
-    context = np.ones(len(word), np.int64)
-    for back in range(min(DEPTH - 1, int(place.max(initial=0))), -1, -1):
-        seen = place >= back
-        context[seen] = context[seen] << 8 | text[at[seen] - back]
-    return sym, word, context
+def spell(words: list[bytes]) -> bytes:
+    """The symbols of a text of these words, behind the DEPTH line feeds of its first context."""
+    return b"\n" * DEPTH + b"".join(w + b" " for w in words) + b"\n"
+
+
+def cells(spelled: list[bytes]):
+    """(text, cell) arrays of texts that ``spell`` gave, about TEXT_BYTES symbols at a time, however long a text
+    is. A cell is the context behind a leading 1 bit (the newest byte lowest) and, in the lowest byte, the symbol."""
+    data = np.frombuffer(b"".join(spelled), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+    for a in range(DEPTH, len(data), TEXT_BYTES):
+        b = min(len(data), a + TEXT_BYTES)
+        at = np.arange(a, b)
+        text = np.searchsorted(ends, at, "right")
+        cell = np.ones(b - a, np.int64)
+        for back in range(DEPTH, -1, -1):
+            cell <<= 8
+            cell |= data[a - back : b - back]
+        inside = at - np.concatenate(([0], ends))[text] >= DEPTH
+        yield text[inside], cell[inside]
 
 
 def parent(context: np.ndarray) -> np.ndarray:
@@ -182,43 +189,37 @@ def _count_words(batches):
     yield from out()
 
 
-def _slices(batches):
-    """Slices of about WORD_BYTES bytes of words, one word at least."""
-    for batch in batches:
-        ends = np.cumsum(np.fromiter((len(w) + 1 for w in batch.column("word").to_pylist()), np.int64, batch.num_rows))
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORD_BYTES, "right")))
-            yield batch.slice(a, b - a)
-            a = b
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key))
 
 
-def _count_contexts(batches):
-    """(class, context, symbol, n) of the words; counts of a task are summed before the shuffle."""
+def _count_cells(batches):
+    """(class, context, symbol, n); counts of a task are summed before the shuffle."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # of each class
 
-    def merged(parts):
-        key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key))
-
     def out():
         for kind, parts in held.items():
-            key, count = merged(parts)
+            key, count = _merged(parts)
             for a in range(0, len(key), 50_000):
                 k = key[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k >> 8), pa.array(k & 255), pa.array(count[a : a + 50_000].astype(np.int64))], ["class", "context", "symbol", "n"])
 
-    for part in _slices(batches):
-        kind, n = np.asarray(part.column("class")), np.asarray(part.column("n"))
-        sym, word, context = symbols(part.column("word").to_pylist())
-        for k in np.unique(kind).tolist():
-            mine = kind[word] == k
-            held.setdefault(k, []).append(merged([(context[mine] << 8 | sym[mine], n[word[mine]])]))
-            if len(held[k]) > 20:
-                held[k] = [merged(held[k])]
-        if sum(len(key) for parts in held.values() for key, _ in parts) > 10 * BLOCK_PAIRS:
-            yield from out()
-            held.clear()
+    for table in blocks(batches, TEXT_BYTES):
+        kinds: dict[int, list[bytes]] = {}
+        for k, text in zip(table.column("class").to_pylist(), table.column("text").to_pylist(), strict=True):
+            kinds.setdefault(k, []).append(spell(text.lower().split()))
+        for k, spelled in kinds.items():
+            mine = held.setdefault(k, [])
+            mine += [np.unique(cell, return_counts=True) for _, cell in cells(spelled)]
+            if len(mine) > 20:
+                held[k] = [_merged(mine)]
+        if sum(len(key) for parts in held.values() for key, _ in parts) > 20 * BLOCK_PAIRS:
+            for k, parts in held.items():
+                held[k] = [_merged(parts)]
+            if sum(len(parts[0][0]) for parts in held.values()) > 10 * BLOCK_PAIRS:
+                yield from out()
+                held.clear()
     yield from out()
 
 
@@ -259,11 +260,11 @@ def _pair_values(shared):
     def run(batches):
         tops = shared.value
         for block in _whole_stems(batches):
-            pair = np.unique(block[2] << 8 | block[3])
-            logs = np.stack([path(_subtree(block, k)[0] | top, pair >> 8, pair & 255) for k, top in enumerate(tops)], 1)
-            for a in range(0, len(pair), 50_000):
-                part = pair[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part >> 8), pa.array(part & 255), _lists(logs[a : a + 50_000])], ["context", "symbol", "logs"])
+            cell, inverse = np.unique(block[2] << 8 | block[3], return_inverse=True)
+            n = np.bincount(inverse, block[4], len(cell)).astype(np.int64)
+            logs = np.stack([path(_subtree(block, k)[0] | top, cell >> 8, cell & 255) for k, top in enumerate(tops)], 1)
+            for a in range(0, len(cell), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 50_000]), pa.array(n[a : a + 50_000]), _lists(logs[a : a + 50_000])], ["cell", "n", "logs"])
 
     return run
 
@@ -272,94 +273,72 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel().astype(np.float64)))
 
 
-def value_pairs(words: DataFrame, classes: int) -> DataFrame:
-    """(context, symbol, logs): the log10 probability of each symbol after its context by each class's tree.
-    ``words``: (class int, word binary, n long) of all tokens; words of class -1 are scored but not learned from."""
-    spark = words.sparkSession
-    counted = words.mapInArrow(_count_contexts, "class int, context long, symbol long, n long").groupBy("class", "context", "symbol").agg(F.sum("n").alias("n"))
+def cell_values(counted: DataFrame, classes: int) -> DataFrame:
+    """(cell, n, logs): the count of each cell and the log10 probability of its symbol after its context by each
+    class's tree. ``counted``: (class int, context, symbol, n long); class -1 is scored but not learned from."""
+    spark = counted.sparkSession
     low = (1 << 8 * STEM) - 1
-    stem = F.when(F.col("context") > low, F.col("context").bitwiseAND(F.lit(low)) + F.lit(low + 1)).otherwise(F.col("context"))
-    pairs = cut(counted.select(stem.alias("stem"), "class", "context", "symbol", "n").repartition("stem").sortWithinPartitions("stem"))
+    stem = F.col("context").bitwiseAND(F.lit(low)) + F.lit(low + 1)
+    summed = counted.groupBy("class", "context", "symbol").agg(F.sum("n").alias("n"))
+    pairs = cut(summed.select(stem.alias("stem"), "class", "context", "symbol", "n").repartition("stem").sortWithinPartitions("stem"))
     roots = pairs.mapInArrow(_subtree_roots, "class int, key long, n0 double, n1 double, total double").groupBy("class", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).toArrow()
-    short = pairs.filter((F.col("context") <= low) & (F.col("class") >= 0)).select("class", "context", "symbol", "n").toArrow()
     kind, *kids = (roots.column(c).to_numpy() for c in ("class", "key", "n0", "n1", "total"))
-    at, context, sym, n = (short.column(c).to_numpy() for c in ("class", "context", "symbol", "n"))
-    tops = [grow(context[at == k], sym[at == k], n[at == k], tuple(c[kind == k] for c in kids), STEM - 1, 0)[0] for k in range(classes)]
+    none = np.zeros(0, np.int64)  # every context is DEPTH bytes long
+    tops = [grow(none, none, none, tuple(c[kind == k] for c in kids), STEM - 1, 0)[0] for k in range(classes)]
     shared = spark.sparkContext.broadcast(tops)  # 256 ** (STEM - 1) contexts a class at most
-    return cut(pairs.mapInArrow(_pair_values(shared), "context long, symbol long, logs array<double>"))
-
-
-def _word_values(shared):
-    """Scores of words from broadcast values of all their pairs."""
-
-    def run(batches):
-        key, logs = shared.value
-        for part in _slices(batches):
-            sym, word, context = symbols(part.column("word").to_pylist())
-            at = np.searchsorted(key, context << 8 | sym)
-            sums = np.stack([np.bincount(word, logs[at, k], part.num_rows) for k in range(logs.shape[1])], 1)
-            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), _lists(sums)], ["word", "n", "logs"])
-
-    return run
-
-
-def _word_pairs(batches):
-    for part in _slices(batches):
-        listed = part.column("word").to_pylist()
-        sym, word, context = symbols(listed)
-        for a in range(0, len(sym), 50_000):
-            w = word[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(w)), part.column("n").take(pa.array(w)), pa.array(context[a : a + 50_000]), pa.array(sym[a : a + 50_000])], ["word", "n", "context", "symbol"])
-
-
-def score_words(words: DataFrame, pairs: DataFrame, classes: int) -> DataFrame:
-    """(word, n, logs): each distinct word's count in training and its log10 probability, the space after it
-    included, by each class's tree."""
-    words = words.groupBy("word").agg(F.sum(F.when(F.col("class") >= 0, F.col("n")).otherwise(0)).alias("n"))
-    if pairs.count() * classes <= VALUE_CELLS:
-        got = pairs.toArrow()
-        key = got.column("context").to_numpy() << 8 | got.column("symbol").to_numpy()
-        logs = got.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, classes)
-        order = np.argsort(key)
-        shared = words.sparkSession.sparkContext.broadcast((key[order], logs[order]))
-        return cut(words.mapInArrow(_word_values(shared), "word binary, n long, logs array<double>"))
-    spelled = words.mapInArrow(_word_pairs, "word binary, n long, context long, symbol long").join(pairs, ["context", "symbol"])
-    sums = spelled.groupBy("word", "n").agg(*[F.sum(F.col("logs")[k]).alias(f"s{k}") for k in range(classes)])
-    return cut(sums.select("word", "n", F.array(*[f"s{k}" for k in range(classes)]).alias("logs")))
+    return cut(pairs.mapInArrow(_pair_values(shared), "cell long, n long, logs array<double>"))
+
+
+def _cell_sums(spelled: list[bytes], keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of each text over the cells of ``keys``, and (text, cell, count) of its other cells, by text."""
+    sums, others = np.zeros((len(spelled), logs.shape[1])), [(np.zeros(0, np.int64),) * 3]
+    for text, cell in cells(spelled):
+        each, inverse = np.unique(cell, return_inverse=True)
+        at = np.searchsorted(keys, each, "right") - 1
+        known = keys[at] == each
+        first = int(text[0]) if len(text) else 0
+        for k in range(logs.shape[1]):
+            part = np.bincount(text - first, np.where(known, logs[at, k], 0.0)[inverse])
+            sums[first : first + len(part), k] += part
+        open_ = ~known[inverse]
+        pair, times = np.unique(text[open_] * len(each) + inverse[open_], return_counts=True)
+        others.append((pair // max(1, len(each)), each[pair % max(1, len(each))], times))
+    text, cell, times = (np.concatenate(c) for c in zip(*others, strict=True))  # slices follow one another, so sorted by text
+    return sums, text, cell, times
 
 
 def _score(shared):
-    """Sums over the tokens of each text that every task knows, and its other words with their counts."""
+    """Sums over the tokens and cells of each text that every task knows, and its others with their counts."""
 
     def run(batches):
-        head, counts, logs = shared.value  # row of a word; counts and logs of the rows
-        base, classes = np.log10(counts + 0.1), logs.shape[1]
-        seen, place, size = Interner(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for table in blocks(batches, 8 << 20):
+        head, counts, keys, logs = shared.value  # row of a word and counts of the rows; cells and their values
+        base = np.log10(counts + 0.1)
+        seen, place = Interner(), np.zeros(0, np.int64)
+        for table in blocks(batches, TEXT_BYTES):
             if len(seen) > CACHE_WORDS:
-                seen, place, size = Interner(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            number, rows = seen.__getitem__, []
+                seen, place = Interner(), np.zeros(0, np.int64)
+            number, rows, spelled = seen.__getitem__, [], []
             for text in table.column("text").to_pylist():
                 parts = text.lower().split()
+                spelled.append(spell(parts))
                 parts.append(b"")
                 rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
             names, n = list(seen), len(rows)
-            fresh = names[len(place) :]
-            place = np.concatenate((place, np.fromiter((head.get(w, -1) for w in fresh), np.int64, len(fresh))))
-            size = np.concatenate((size, np.fromiter((len(w) + 1 for w in fresh), np.int64, len(fresh))))
+            place = np.concatenate((place, np.fromiter((head.get(w, -1) for w in names[len(place) :]), np.int64)))
             lens = np.fromiter(map(len, rows), np.int64, n)
             word, doc = np.concatenate(rows), np.repeat(np.arange(n), lens)
-            symbols_ = np.bincount(doc, size[word], n).astype(np.int64)
             inside = place[word] >= 0
             pair, times = np.unique(doc[~inside] * len(names) + word[~inside], return_counts=True)
-            off = np.searchsorted(pair // len(names), np.arange(n + 1))
             tail = pa.StructArray.from_arrays([pa.array([names[w] for w in (pair % len(names)).tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+            off = np.searchsorted(pair // len(names), np.arange(n + 1))
             doc, row = doc[inside], place[word[inside]]
-            sums = np.stack([np.bincount(doc, logs[row, k], n) for k in range(classes)], 1)
+            sums, text, cell, often = _cell_sums(spelled, keys, logs)
+            rest = pa.StructArray.from_arrays([pa.array(cell), pa.array(often, pa.int64())], ["cell", "k"])
+            symbols = np.fromiter(map(len, spelled), np.int64, n) - DEPTH
             yield from pa.table(
-                [table.column("id").combine_chunks(), pa.array(lens), pa.array(symbols_), pa.array(np.bincount(doc, counts[row] > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base[row], n).astype(np.float64)), _lists(sums), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), tail)],
-                ["id", "n_tokens", "n_symbols", "head_known", "head_log", "head_logs", "tail"],
-            ).to_batches(max_chunksize=2000)
+                [table.column("id").combine_chunks(), pa.array(lens), pa.array(symbols), pa.array(np.bincount(doc, counts[row] > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base[row], n).astype(np.float64)), _lists(sums), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), tail), pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), rest)],
+                ["id", "n_tokens", "n_symbols", "head_known", "head_log", "head_logs", "tail", "rest"],
+            ).to_batches(max_chunksize=2000)
 
     return run
 
@@ -382,37 +361,47 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     text; ``train`` is the condition on rows to learn from, ``class_col`` names their classes; bits_per_byte is
     the code length of the text over its bytes, a byte after each token included.
 
-    Word counts of the whole corpus are exact. The most frequent words, HEAD_WORDS at most, go to every task
-    with their scores; the others come by a join with the few (document, word) pairs that need them."""
+    Word counts of the whole corpus are exact. The most frequent words and cells, HEAD_WORDS and VALUE_CELLS at
+    most, go to every task; the others come by joins with the few (document, word) and (document, cell) pairs
+    that need them."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     named = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), train.alias("train"), named.alias("name"))
-    kinds = rows.filter("train").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").collect()  # a row a class
-    documents = sum(r["n"] for r in kinds)
-    classes = max(1, len(kinds))
-    shares = [float(np.log10(r["n"] / documents)) for r in kinds] or [0.0]
+    sizes = cut(rows.filter("train").groupBy("name").agg(F.count("*").alias("n")))
+    documents = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kinds = sizes.filter(F.col("n") * SHARE >= documents).orderBy(F.desc("n"), "name").collect()  # SHARE rows at most
+    held = [r["n"] for r in kinds]
+    if sum(held) < documents:
+        held.append(documents - sum(held))
+    classes = max(1, len(held))
+    shares = [float(np.log10(n / documents)) for n in held] or [0.0]
     numbers = spark.createDataFrame([(r["name"], k) for k, r in enumerate(kinds)], "name string, number int")
-    labelled = rows.join(F.broadcast(numbers), "name", "left").select(F.when(F.col("train"), F.col("number")).otherwise(-1).alias("class"), "text")
-    counted = cut(labelled.mapInArrow(_count_words, "class int, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n")))
-    words = score_words(counted, value_pairs(counted, classes), classes)
+    labelled = rows.join(F.broadcast(numbers), "name", "left").select(F.when(F.col("train"), F.coalesce("number", F.lit(len(kinds)))).otherwise(-1).alias("class"), "text")
+    counted = labelled.mapInArrow(_count_words, "class int, word binary, n long")
+    words = cut(counted.groupBy("word").agg(F.sum(F.when(F.col("class") >= 0, F.col("n")).otherwise(0)).alias("n")))
     total, distinct = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = words.filter(F.col("n") >= head_count(words, min(HEAD_WORDS, VALUE_CELLS // classes))).toArrow()
+    listed = words.filter(F.col("n") >= head_count(words, min(HEAD_WORDS, VALUE_CELLS))).toArrow()
     head = {w: k for k, w in enumerate(listed.column("word").to_pylist())}
-    logs = listed.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
-    shared = spark.sparkContext.broadcast((head, listed.column("n").to_numpy(), logs))  # HEAD_WORDS words at most
-    scored = rows.select("id", "text").mapInArrow(_score(shared), f"id {kind}, n_tokens long, n_symbols long, head_known long, head_log double, head_logs array<double>, tail array<struct<word binary, k long>>")
+    values = cell_values(labelled.mapInArrow(_count_cells, "class int, context long, symbol long, n long"), classes)
+    first = values.filter(F.col("n") >= head_count(values, VALUE_CELLS // classes)).select("cell", "logs").toArrow().combine_chunks()
+    order = np.argsort(first.column("cell").to_numpy())
+    keys = np.concatenate(([-1], first.column("cell").to_numpy()[order]))  # before all cells, none of them
+    logs = np.concatenate((np.zeros((1, classes)), first.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)[order]))
+    shared = spark.sparkContext.broadcast((head, listed.column("n").to_numpy(), keys, logs))  # HEAD_WORDS words and VALUE_CELLS values at most
+    scored = rows.select("id", "text").mapInArrow(_score(shared), f"id {kind}, n_tokens long, n_symbols long, head_known long, head_log double, head_logs array<double>, tail array<struct<word binary, k long>>, rest array<struct<cell long, k long>>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.k").alias("k"))
-    sums = [F.sum(F.col("k") * F.col("logs")[k]).alias(f"s{k}") for k in range(classes)]
-    found = tail.join(words, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + F.lit(0.1))).alias("log"), *sums)
-    out = scored.drop("tail").join(found, "row", "left")
+    found = tail.join(words, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + F.lit(0.1))).alias("log"))
+    rest = scored.select("row", F.explode("rest").alias("t")).select("row", F.col("t.cell").alias("cell"), F.col("t.k").alias("k"))
+    sums = rest.join(values, "cell").groupBy("row").agg(*[F.sum(F.col("k") * F.col("logs")[k]).alias(f"s{k}") for k in range(classes)])
+    out = scored.drop("tail", "rest").join(found, "row", "left").join(sums, "row", "left")
     base = F.col("head_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (distinct + 1))))
     by_class = F.array(*[F.col("head_logs")[k] + F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(shares[k]) for k in range(classes)])
     out = out.withColumn("by_class", by_class).withColumn("top", F.array_max("by_class"))
-    rest = F.aggregate("by_class", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
-    out = out.withColumn("score", F.col("top") + F.log10(rest))
+    more = F.aggregate("by_class", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), F.greatest(x - F.col("top"), F.lit(-300.0))))
+    out = out.withColumn("score", F.col("top") + F.log10(more))
     return out.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         base.alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_symbols")).alias("bits_per_byte"),

@@ -227,34 +227,59 @@ def test_langid_brute(spark):
         assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp(sums - sums.max()).sum() if words else 0.0, abs=1e-3)
 
 
-def local_tree(words):
-    """Levels of the tree of a Counter of words, grown in one piece."""
-    sym, word, context = ctw.symbols(list(words))
-    return ctw.grow(context, sym, np.array(list(words.values()))[word], ctw.NO_KIDS, ctw.DEPTH, 0)[0]
+def local_cells(texts):
+    """Distinct cells of texts with their counts."""
+    found = [cell for _, cell in ctw.cells([ctw.spell(t.split()) for t in texts])]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def local_tree(texts):
+    """Levels of the tree of texts, grown in one piece."""
+    cell, n = local_cells(texts)
+    return ctw.grow(cell >> 8, cell & 255, n, ctw.NO_KIDS, ctw.DEPTH, 0)[0]
+
+
+def context_of(text):
+    return int.from_bytes(b"\1" + text, "big")
 
 
 def test_ctw_is_a_distribution():
-    levels = local_tree(collections.Counter("the cat the dog then they them a an and".encode().split() + [b""] * 3))
-    for context in (1, 1 << 8 | 32, (1 << 8 | 32) << 8 | ord("t"), ((1 << 8 | 32) << 8 | ord("q"))):
-        p = 10 ** ctw.path(levels, np.full(256, context), np.arange(256))
+    levels = local_tree([b"the cat the dog then they them a an and"] * 3)
+    for context in (b"e the", b"\n" * 5, b"dog t", b"zzzzq"):
+        p = 10 ** ctw.path(levels, np.full(256, context_of(context)), np.arange(256))
         assert p.sum() == pytest.approx(1, abs=1e-9)
 
 
-def plain_ctw(words):
-    """log10 probability of a word and its space by the recursion P_w = (P_e + product of children) / 2, node by node."""
-    spelled = lambda w: (b" " + w + b" ") if w else b" \n"
+def test_ctw_cells(monkeypatch):
+    """Cells of texts in slices of any length; contexts stay inside their text."""
+    texts = [b"ab c", b"", b"x" * 50]
+    want = []
+    for k, t in enumerate(texts):
+        spelled = b"\n" * 5 + b"".join(w + b" " for w in t.split()) + b"\n"
+        want += [(k, context_of(spelled[i - 5 : i + 1])) for i in range(5, len(spelled))]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(ctw, "TEXT_BYTES", size)
+        got = [(a, b) for text, cell in ctw.cells([ctw.spell(t.split()) for t in texts]) for a, b in zip(text.tolist(), cell.tolist(), strict=True)]
+        assert got == want
+
+
+def plain_ctw(texts):
+    """log10 probability of a text by the recursion P_w = (P_e + product of children) / 2, node by node."""
+    spelled = lambda words: b"\n" * ctw.DEPTH + b"".join(w + b" " for w in words) + b"\n"
+    seen = collections.Counter()
+    for words in texts:
+        text = spelled(words)
+        seen.update(text[i - ctw.DEPTH : i + 1] for i in range(ctw.DEPTH, len(text)))
     count, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
-    for w, n in words.items():
-        text = spelled(w)
-        for i in range(1, len(text)):
-            whole = text[max(0, i - ctw.DEPTH) : i]
-            for size in range(len(whole) + 1):
-                context = whole[len(whole) - size :]
-                for b in range(8):
-                    node = context, (256 + text[i]) >> (8 - b)
-                    count[node][text[i] >> (7 - b) & 1] += n
-                    if size:
-                        kids[context[1:], node[1]].add(node)
+    for cell, n in seen.items():
+        whole, sym = cell[:-1], cell[-1]
+        for size in range(len(whole) + 1):
+            context = whole[len(whole) - size :]
+            for b in range(8):
+                node = context, (256 + sym) >> (8 - b)
+                count[node][sym >> (7 - b) & 1] += n
+                if size:
+                    kids[context[1:], node[1]].add(node)
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
     total, weight = {}, {}
     for node in sorted(count, key=lambda n: -len(n[0])):
@@ -262,55 +287,81 @@ def plain_ctw(words):
         total[node] = math.log(0.5) + np.logaddexp(own, deep) if kids[node] else own
         weight[node] = 1 / (1 + math.exp(min(deep - own, 700))) if kids[node] else 1.0
 
-    def score(w):
-        text, out = spelled(w), 0.0
-        for i in range(1, len(text)):
-            for b in range(8):
-                bit, p = text[i] >> (7 - b) & 1, None
-                for size in range(min(i, ctw.DEPTH), -1, -1):
-                    node = text[i - size : i], (256 + text[i]) >> (8 - b)
-                    if node in count:
-                        own = (count[node][bit] + 0.5) / (sum(count[node]) + 1)
-                        p = own if p is None else weight[node] * own + (1 - weight[node]) * p
-                out += math.log10(0.5 if p is None else p)
+    @functools.cache
+    def value(cell):
+        whole, sym, out = cell[:-1], cell[-1], 0.0
+        for b in range(8):
+            bit, p = sym >> (7 - b) & 1, None
+            for size in range(ctw.DEPTH, -1, -1):
+                node = whole[len(whole) - size :], (256 + sym) >> (8 - b)
+                if node in count:
+                    own = (count[node][bit] + 0.5) / (sum(count[node]) + 1)
+                    p = own if p is None else weight[node] * own + (1 - weight[node]) * p
+            out += math.log10(0.5 if p is None else p)
         return out
 
+    def score(words):
+        text = spelled(words)
+        return sum(value(text[i - ctw.DEPTH : i + 1]) for i in range(ctw.DEPTH, len(text)))
+
     return score
 
 
 def test_ctw_brute(spark, monkeypatch):
-    """Whole scores against a plain program, with and without broadcasts."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).cache()
-    rows = [(r["doc_id"], r["lang"] or "", [*(r["text"] or "").encode().lower().split(), b""]) for r in docs.collect()]
-    words, n = collections.defaultdict(collections.Counter), collections.Counter()
-    for k, lang, tokens in rows:
+    """Whole scores against a plain program, with and without broadcasts, each language with a tree of its own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(100).cache()
+    rows = [(r["doc_id"], r["lang"] or "", (r["text"] or "").encode().lower().split()) for r in docs.collect()]
+    texts = collections.defaultdict(list)
+    for k, lang, words in rows:
         if zlib.crc32(str(k).encode()) % 10:
-            words[lang].update(tokens)
-            n[lang] += 1
-    plain = {lang: functools.cache(plain_ctw(w)) for lang, w in words.items()}
+            texts[lang].append(words)
+    plain, n = {lang: plain_ctw(t) for lang, t in texts.items()}, sum(map(len, texts.values()))
     want = {}
-    for k, _, tokens in rows:
-        logs = [sum(plain[lang](w) for w in tokens) + math.log10(n[lang] / sum(n.values())) for lang in plain]
-        want[k] = max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs))
-    for cells in (ctw.VALUE_CELLS, 0):
-        monkeypatch.setattr(ctw, "VALUE_CELLS", cells)
+    for k, _, words in rows:
+        logs = [plain[lang](words) + math.log10(len(texts[lang]) / n) for lang in plain]
+        want[k] = max(logs) + math.log10(sum(10 ** max(-300, x - max(logs)) for x in logs))
+    for values in (ctw.VALUE_CELLS, 2000, 0):
+        monkeypatch.setattr(ctw, "VALUE_CELLS", values)
         got = ctw.score_documents(docs, ctw.train_fold()).collect()
         assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
-        size = {k: sum(len(t) + 1 for t in tokens) for k, _, tokens in rows}
+        size = {k: sum(len(w) + 1 for w in words) + 1 for k, _, words in rows}
         assert all(r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / size[r["doc_id"]]) for r in got)
 
 
 def test_ctw_keeps_every_context(spark):
-    """More than 100,000 pairs of a depth; the subtrees of many tasks equal one tree grown in one piece."""
+    """More than 100,000 cells; the subtrees of many tasks equal one tree grown in one piece."""
     r = random.Random(4)
-    words = collections.Counter({bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=7)): r.randint(1, 9) for _ in range(45_000)})
-    rows = spark.createDataFrame([(0, bytearray(w), n) for w, n in words.items()] + [(-1, bytearray(b"zzzzzzz!"), 1)], "class int, word binary, n long")
-    got = {(x["context"], x["symbol"]): x["logs"][0] for x in ctw.value_pairs(rows, 1).collect()}
-    sym, _, context = ctw.symbols([*words, b"zzzzzzz!"])
-    pair = np.unique(context << 8 | sym)
-    assert len(pair) > 100_000 and len(got) == len(pair)
-    want = ctw.path(local_tree(words), pair >> 8, pair & 255)
-    assert np.allclose([got[k >> 8, k & 255] for k in pair.tolist()], want, rtol=1e-9)
+    texts = [bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=7)) + b" x" for _ in range(30_000)]
+    cell, n = local_cells(texts)
+    rows = [(0, int(c) >> 8, int(c) & 255, int(k)) for c, k in zip(cell, n, strict=True)] + [(-1, context_of(b"zz z!"), 33, 1)]
+    got = {x["cell"]: x["logs"][0] for x in ctw.cell_values(spark.createDataFrame(rows, "class int, context long, symbol long, n long"), 1).collect()}
+    pair = np.array(sorted(got))
+    assert len(pair) == len(cell) + 1 > 100_000
+    want = ctw.path(local_tree(texts), pair >> 8, pair & 255)
+    assert np.allclose([got[k] for k in pair.tolist()], want, rtol=1e-9)
+
+
+def test_ctw_sees_word_order(spark):
+    """Held-out sentences are likelier than their own words in another order."""
+    r = random.Random(5)
+    nouns, verbs = ["house", "tree", "garden", "river", "stone", "window"], ["holds", "covers", "follows", "hides", "marks"]
+    sentence = lambda: " ".join(f"the {r.choice(nouns)} {r.choice(verbs)} an old {r.choice(nouns)} and" for _ in range(6))
+    rows = [(k, sentence(), True) for k in range(300)]
+    for k in range(300, 340):
+        words = sentence().split()
+        rows += [(k, " ".join(words), False), (k + 1000, " ".join(r.sample(words, len(words))), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {x["doc_id"]: x["score"] for x in ctw.score_documents(docs, F.col("train"), class_col=None).collect()}
+    assert all(got[k] > got[k + 1000] + 5 for k in range(300, 340))
+
+
+def test_ctw_rare_classes_share_a_tree(spark):
+    """Languages below a hundredth of the training documents count as one class: scores as with one name."""
+    rows = [(k, f"common words {k % 7}", "en") for k in range(500)] + [(500 + k, f"rare ones {k}", f"x{k}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = docs.withColumn("lang", F.when(F.col("lang") == "en", "en").otherwise("x"))
+    a, b = ({r["doc_id"]: r["score"] for r in ctw.score_documents(d, F.lit(True)).collect()} for d in (docs, one))
+    assert a == pytest.approx(b)
 
 
 def test_ctw_many_classes(spark):
