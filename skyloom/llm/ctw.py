@@ -40,7 +40,7 @@ CACHE_WORDS = 300_000
 #: Values of cells that go to every task, over all classes: those of the most frequent cells; others come by a join.
 VALUE_CELLS = 8_000_000
 #: Cells that a task works on at a time, and bytes of texts.
-BLOCK_PAIRS, TEXT_BYTES = 300_000, 2 << 20
+BLOCK_PAIRS, TEXT_BYTES = 300_000, 1 << 20
 #: Classes of at least this part of the training documents have a tree of their own.
 SHARE = 100
 HALF = float(np.log(0.5))
@@ -214,7 +214,7 @@ def _count_cells(batches):
             mine += [np.unique(cell, return_counts=True) for _, cell in cells(spelled)]
             if len(mine) > 20:
                 held[k] = [_merged(mine)]
-        if sum(len(key) for parts in held.values() for key, _ in parts) > 20 * BLOCK_PAIRS:
+        if sum(len(key) for parts in held.values() for key, _ in parts) > 10 * BLOCK_PAIRS:
             for k, parts in held.items():
                 held[k] = [_merged(parts)]
             if sum(len(parts[0][0]) for parts in held.values()) > 10 * BLOCK_PAIRS:
