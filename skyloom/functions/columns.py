@@ -119,6 +119,39 @@ def slug(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(col(text)), r"\s+", "_"), r"[^0-9A-Za-z_\-]", "")
 
 
+def evening(text: Column | str) -> Column:
+    """``night`` of an ISO stamp as headers hold it; its first ten characters where it is none, NULL where empty."""
+    stamp = F.nullif(F.trim(col(text)), F.lit(""))
+    return F.coalesce(night(F.replace(stamp, F.lit("Z"), F.lit("")).try_cast("timestamp_ntz")), F.substring(stamp, 1, 10))
+
+
+def short_number(value: Column) -> Column:
+    """A number in six digits without trailing zeros, with an exponent below 0.0001 and from a million on."""
+    told = F.regexp_replace(F.format_string("%.6g", value), r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.regexp_replace(told, r"\.(e|$)", "$1")
+
+
+def group_value(key: str, header: Column | str = "header", path: Column | str = "path") -> Column:
+    """What a file has for a grouping key: a header card as text (numbers with a point in six digits), or NIGHT, FOLDER
+    (the one it lies in) or SIZE. UNKNOWN where there is none."""
+    at = lambda k: F.try_element_at(col(header), F.lit(k))
+    if key == "NIGHT":
+        value = F.coalesce(evening(at("DATE-OBS")), evening(at("DATE")))
+    elif key == "FOLDER":
+        value = F.element_at(F.split(col(path), "/"), -2)
+    elif key == "SIZE":
+        value = F.concat(F.coalesce(at("NAXIS1"), F.lit("?")), F.lit("x"), F.coalesce(at("NAXIS2"), F.lit("?")))
+    else:
+        text = F.trim(at(key))
+        value = F.when(text.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+(?=[eE]))([eE][+-]?\d+)?$"), short_number(text.try_cast("double"))).otherwise(text)
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit("UNKNOWN"))
+
+
+def file_part(text: Column) -> Column:
+    """White space becomes an underscore; only letters, digits, ``_``, ``-`` and ``.`` stay, without outer underscores."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", "_"), r"[^\p{L}\p{N}_.\-]", ""), "^_+|_+$", "")
+
+
 def sexagesimal(text: Column | str, hours: bool = False) -> Column:
     """Degrees of "dd mm ss" or "dd:mm:ss"; hours are fifteen degrees each. NULL where it does not parse."""
     parts = F.split(F.regexp_replace(F.trim(col(text)), "[: ]+", " "), " ")

@@ -23,6 +23,7 @@ from ..operators import grids as gr
 from ..operators import matching as ma
 from ..operators import reports as re_
 from ..operators import stacking as sk
+from . import batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -606,6 +607,18 @@ def camera_labels(spark, sf):
     return o.select(F.col("o_orderkey").alias("frame"), header.alias("h")).select("frame", fc.camera_label("h").alias("label"))
 
 
+@query("batch_groups", r"""WITH k AS (SELECT o_orderkey, trim(o_orderpriority) AS priority, strftime(o_orderdate - INTERVAL 12 HOURS, '%Y-%m') AS month, CASE o_orderstatus WHEN 'P' THEN 'UNKNOWN' ELSE lower(o_orderstatus) || '.5' END AS filter FROM orders),
+    g AS (SELECT priority, month, filter, count(*) AS frames, min(o_orderkey) AS first FROM k GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (ORDER BY first, priority, month, filter) AS group_no, regexp_replace(regexp_replace(priority, '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g') || '_' || filter AS name FROM g)
+    SELECT group_no, frames, 'OBJECT=' || priority || ', DATE=' || month || ', FILTER=' || filter AS label, name || CASE WHEN row_number() OVER (PARTITION BY lower(name) ORDER BY group_no) > 1 THEN '_group' || group_no ELSE '' END AS name FROM n""")
+def batch_groups(spark, sf):
+    """Orders as files: their priority is the object, a month the date, the status the filter; names leave the date out."""
+    header = F.create_map(F.lit("OBJECT"), F.col("o_orderpriority"), F.lit("DATE"), F.date_format(F.col("o_orderdate") - F.expr("INTERVAL 12 HOURS"), "yyyy-MM"), F.lit("FILTER"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lower("o_orderstatus"), F.lit(".5"))))
+    files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), header.alias("header"))
+    keys = ("OBJECT", "DATE", "FILTER")
+    return batch.groups(batch.keyed(files, keys), keys, "{OBJECT}_{FILTER}").select(F.col("group_no").cast("long").alias("group_no"), "frames", "label", "name")
+
+
 @query("output_names", r"""SELECT p_partkey, regexp_replace(p_name, ' ', '.', 'g') AS path, regexp_replace(regexp_replace(p_name, ' ', '.', 'g') , '\.([^./]*)$', '') || '_test40' || regexp_extract(regexp_replace(p_name, ' ', '.', 'g'), '(\.[^./]*)$', 1) AS trial FROM part""")
 def output_names(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.regexp_replace("p_name", " ", ".").alias("path"))

@@ -96,13 +96,13 @@ def tile_side(frames: int, halo: int = 0) -> int:
     return int(min(512, max(16, (TASK_SAMPLES / max(1, frames)) ** 0.5 - 2 * halo)))
 
 
-def stack(spark: SparkSession, path: str, work: str, settings: StackSettings | None = None) -> Stacked:
-    """All frames under ``path`` as one image. Pixels are exchanged once, between the passes over files and the
+def stack(spark: SparkSession, path: str | list[str], work: str, settings: StackSettings | None = None) -> Stacked:
+    """All frames under ``path`` (a folder, or files) as one image. Pixels are exchanged once, between the passes over files and the
     combination (twice with local normalisation, whose goal is the image of the first pass)."""
     s = settings or StackSettings()
     if s.weighting not in fr.WEIGHT_MODES:
         raise ValueError(f"unknown weighting {s.weighting!r}")
-    stages = Stages(spark, work, dataclasses.asdict(s), fingerprint(spark, [path]))
+    stages = Stages(spark, work, dataclasses.asdict(s), fingerprint(spark, [path] if isinstance(path, str) else list(path)))
     use_checkpoints(spark)
     lights = stages.run("lights", lambda: _numbered(sf.light_frames(spark, path)))  # a row a frame
     how, files = preparation(spark, s), sf.files(spark, path).select("path", "content")

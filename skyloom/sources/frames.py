@@ -106,16 +106,17 @@ def parse(path: str, raw: bytes) -> tuple[np.ndarray | None, dict[str, str]]:
     return None if data is None else layout(data), header
 
 
-def files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """Files of our formats under a folder, or those listed."""
     return spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
-def listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def listing(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(path, size, changed) of the files, contents unread."""
     return files(spark, path, recursive).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
 
 
-def read_headers(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_headers(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(path, header map, channels, height, width), a row a file, in the order of their names."""
 
     def run(frames):
@@ -202,7 +203,7 @@ def own_output(header: str = "header", software: str = "skyloom") -> F.Column:
     return by_us | F.map_contains_key(header, "MAPTYPE")
 
 
-def light_frames(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def light_frames(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """Headers (see ``read_headers``) of the frames under ``path`` that are no results of ours."""
     return read_headers(spark, path, recursive).filter(~own_output())
 
