@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -68,6 +69,29 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What passes keep in a worker between tasks.
+KEPT: list = []
+
+
+def kept(size: int):
+    """An ``lru_cache`` of what a pass keeps between tasks; it can be made again, so a pass that needs the room may drop it."""
+
+    def wrap(make):
+        held = functools.lru_cache(maxsize=size)(make)
+        KEPT.append(held)
+        return held
+
+    return wrap
+
+
+def drop_kept() -> None:
+    """Free what earlier passes of other kinds keep in this worker."""
+    if any(held.cache_info().currsize for held in KEPT):
+        for held in KEPT:
+            held.cache_clear()
+        trim()
+
+
 def trimmed(run):
     """A pass that trims when it ends."""
 
@@ -108,6 +132,17 @@ def _regrouped(batches, limit: int, held: list, size: int):
         yield pa.Table.from_batches(held)
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int):
+    """Slices of ``batch`` with at most about ``limit`` text bytes in ``column`` each (one row at least)."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def ragged_take(flat: np.ndarray, off: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``idx`` of the ragged array (flat, off), end to end, and their new offsets."""
     lens = off[idx + 1] - off[idx]

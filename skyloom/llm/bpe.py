@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, binary_array, blocks, id_and_text, ragged_take, readable
+from ._common import Interner, binary_array, blocks, id_and_text, kept, ragged_take, readable
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -276,7 +276,7 @@ class BlockEncoder(ChunkEncoder):
         return ids, np.concatenate(([0], starts[np.cumsum(counts)]))
 
 
-@functools.lru_cache(maxsize=2)
+@kept(2)
 def block_encoder(path: str) -> BlockEncoder:
     return BlockEncoder(load_bpe(path))
 

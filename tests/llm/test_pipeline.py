@@ -2,11 +2,12 @@
 
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from skyloom.llm import mixing, pii, toxicity
+from skyloom.llm import bpe, mixing, pii, toxicity
 from tests.llm.test_operators import SF, plain_components
 
 STAGE = dict(cp.STAGES)
@@ -45,6 +46,22 @@ def test_pii_stage(spark, docs):
         assert not [s for s in pii.base_spans(r["text"]) if s[0] in (0, 1)]
 
 
+def test_pii_stage_memory(spark, docs, monkeypatch):
+    """However long the rows of a batch, a megabyte of text is looked at together, and the encoder that an earlier
+    pass keeps in the worker is freed; no row and no text is left out."""
+    caught, seen, find = [], [], pii.Finder.find
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self)
+    monkeypatch.setattr(pii.Finder, "find", lambda self, texts: seen.append(sum(len(t.as_py().encode()) for t in texts)) or find(self, texts))
+    pii.redact(docs.select("doc_id", "text"))
+    bpe.block_encoder(bpe.tokenizer_path())
+    texts = [f"{k} mail é{k}@b.org " + "wörd " * 40_000 for k in range(20)] + [None, "", "a@b.org", "w" * (2 << 20), None]
+    out = pa.Table.from_batches(caught[0](iter([pa.RecordBatch.from_pydict({"doc_id": range(25), "text": texts})])))
+    assert max(seen) == 2 << 20 and sorted(seen)[-2] <= 1 << 20 and sum(seen) == sum(len((t or "").encode()) for t in texts)
+    want = [t and t.replace("a@b.org", "[email]").replace(f"{k}@b.org", "[email]") for k, t in enumerate(texts)]
+    assert out.column("doc_id").to_pylist() == list(range(25)) and out.column("text").to_pylist() == want
+    assert not bpe.block_encoder.cache_info().currsize
+
+
 def test_mixing_stage(spark, docs):
     out = STAGE["mixing"](spark, docs, SF)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(docs).select(*docs.columns).collect()))
