@@ -219,7 +219,7 @@ class ChunkEncoder:
         off = np.asarray(parts.offsets).astype(np.int64)
         coded = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
         off -= off[0]
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = np.asarray(coded.indices)
         chunk = np.fromiter(map(number, names), np.int64, len(names))[at] if len(at) else np.zeros(0, np.int64)
         # a tuple as key: no space before the chunk

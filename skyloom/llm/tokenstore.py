@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 import os
 import struct
@@ -29,18 +30,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, id_and_text, ragged_take
+from ._common import blocks, id_and_text, kept, ragged_take
 from .bpe import ChunkEncoder, load_bpe, text_array, tokenizer_path
 
 MAGIC = b"SKYMPH01"
 #: Documents a shard holds (a parameter of write_store), and the most shards a store has.
 ROWS_PER_SHARD, MAX_SHARDS = 8192, 20_000
 END_ID = 0
+#: A space and then something else than white space.
+SPACED = r"\A [^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
 def filesystem(uri: str):
@@ -152,28 +156,27 @@ class LibraryEncoder(ChunkEncoder):
         return [text]
 
     def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, lens = [], np.zeros(len(chunks), np.int64)
         # joined chunks stay apart only if each is a space and then something else than white space
-        spaced = [k for k, c in enumerate(chunks) if c.rfind(" ", 0, 1) == 0 and c[1:2].strip()]
-        for a in range(0, len(spaced), 1000):
-            part = [chunks[k] for k in spaced[a : a + 1000]]
-            joined = "".join(part)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int32)
-            sizes = map(len, part) if joined.isascii() else (len(c.encode()) for c in part)
-            ends = np.searchsorted(np.cumsum(self.piece_len[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(part)))) + 1
-            lens[spaced[a : a + 1000]] = np.diff(ends, prepend=0)
-            out.append(ids)
+        column = pa.array(chunks, pa.string())
+        joins = np.asarray(pc.match_substring_regex(column, SPACED)).astype(bool)
+        spaced = list(itertools.compress(chunks, joins.tolist()))
+        out = [self.ids("".join(spaced[a : a + 1000])) for a in range(0, len(spaced), 1000)]
         flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        alone = np.setdiff1d(np.arange(len(chunks)), spaced).tolist()
-        if not alone:
-            return flat, np.concatenate(([0], np.cumsum(lens)))
-        got = [np.array(self.tokenizer.encode(chunks[k], add_special_tokens=False).ids, np.int32) for k in alone]
-        order = np.argsort(np.concatenate((spaced, alone)).astype(np.int64))
-        off = np.concatenate(([0], np.cumsum(np.concatenate((lens[spaced], [len(g) for g in got])).astype(np.int64))))
+        sizes = np.asarray(pc.binary_length(column)).astype(np.int64)[joins]
+        off = np.concatenate(([0], np.searchsorted(np.cumsum(self.piece_len[flat]), np.cumsum(sizes)) + 1))
+        if joins.all():
+            return flat, off
+        got = [self.ids(chunks[k]) for k in np.flatnonzero(~joins).tolist()]
+        order = np.argsort(np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins))))
+        off = np.concatenate((off, off[-1] + np.cumsum([len(g) for g in got])))
         return ragged_take(np.concatenate((flat, *got)), off, order)
 
+    def ids(self, text: str) -> np.ndarray:
+        """The library's ids of a text; its fast form differs in leaving out the offsets of tokens."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-@functools.lru_cache(maxsize=2)
+
+@kept(2)
 def load_library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 

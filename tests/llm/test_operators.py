@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -142,6 +143,25 @@ def test_bpe_equals_library():
     assert bpe.load_bpe(path).decode(flat, off) == ref.decode_batch(want, skip_special_tokens=False)
 
 
+def test_library_encoder_costs_little_beside_the_library():
+    """New chunks take little more time than the library itself takes on the same strings."""
+    r = random.Random(4)
+    chunks = [" " + "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(2, 12))) + r.choice(["", ",", "."]) for _ in range(60_000)]
+    encoder = tokenstore.LibraryEncoder(bpe.tokenizer_path())
+    joined = ["".join(chunks[a : a + 1000]) for a in range(0, len(chunks), 1000)]
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    alone = lambda: [encoder.tokenizer.encode_batch_fast([j], add_special_tokens=False)[0].ids for j in joined]
+    ratio = min(seconds(lambda: encoder.learn(chunks)) for _ in range(4)) / min(seconds(alone) for _ in range(4))
+    assert ratio < 1.45
+    flat, off = encoder.learn(chunks[:500] + ["x", " \u3000", " é", ""])
+    assert [flat[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [encoder.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks[:500] + ["x", " \u3000", " é", ""]]
+
+
 def test_bpe_query(spark):
     from tokenizers import Tokenizer
 
