@@ -26,21 +26,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Interner, blocks, bounded_batches, cut
+from ._common import binary_array, blocks, bounded_batches, cut
 from .langid import fold
 
 DEPTH, STEM = 5, 3
 #: Words that go to every task with their counts; all others come by a join.
 HEAD_WORDS = 200_000
-#: Numbers of a worker's distinct words are forgotten beyond this many.
-CACHE_WORDS = 300_000
+#: A task's distinct words are handed on, with their counts so far, beyond this many bytes.
+HELD_BYTES = 32 << 20
 #: Values of cells that go to every task, over all classes: those of the most frequent cells; others come by a join.
 VALUE_CELLS = 8_000_000
 #: Cells that a task works on at a time, and bytes of texts.
 BLOCK_PAIRS, TEXT_BYTES = 300_000, 2 << 20
+#: Bits of a cell without its leading 1, of a number of a text in a slice, and of a class.
+CELL_BITS, TEXT_BITS, CLASS_BITS = 8 * (DEPTH + 1), 15, 7
 #: Classes of at least this part of the training documents have a tree of their own.
 SHARE = 100
 HALF = float(np.log(0.5))
@@ -67,21 +70,61 @@ def spell(words: list[bytes]) -> bytes:
     return b"\n" * DEPTH + b"".join(w + b" " for w in words) + b"\n"
 
 
-def cells(spelled: list[bytes]):
-    """(text, cell) arrays of texts that ``spell`` gave, about TEXT_BYTES symbols at a time, however long a text
-    is. A cell is the context behind a leading 1 bit (the newest byte lowest) and, in the lowest byte, the symbol."""
-    data = np.frombuffer(b"".join(spelled), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
-    for a in range(DEPTH, len(data), TEXT_BYTES):
-        b = min(len(data), a + TEXT_BYTES)
-        at = np.arange(a, b)
-        text = np.searchsorted(ends, at, "right")
-        cell = np.ones(b - a, np.int64)
-        for back in range(DEPTH, -1, -1):
-            cell <<= 8
-            cell |= data[a - back : b - back]
-        inside = at - np.concatenate(([0], ends))[text] >= DEPTH
-        yield text[inside], cell[inside]
+#: A-Z to lower case, and all that ends a word to a space.
+FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
+def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``spell`` gives for the lower-cased words of each text, end to end, and where each ends."""
+    feeds = b"\n" * DEPTH
+    raw = np.frombuffer(feeds + (b" \n" + feeds).join([t.translate(FOLDED) for t in texts]) + b" \n", np.uint8)
+    gap = raw == 32
+    keep = np.ones(len(raw), bool)
+    keep[1:] = ~(gap[1:] & (gap[:-1] | (raw[:-1] == 10)))  # the first space after a word
+    data = raw[keep]
+    return data, np.flatnonzero(data == 10)[DEPTH :: DEPTH + 1] + 1
+
+
+def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each spelled text, and the words of all, end to end."""
+    at = np.flatnonzero(data == 32)  # the end of each word
+    n = np.diff(np.searchsorted(at, ends), prepend=0)
+    others = np.arange(len(at)) + np.repeat(DEPTH + (DEPTH + 1) * np.arange(len(ends)), n)  # symbols before it that are in no word
+    return n, binary_array(data[(data != 32) & (data != 10)], np.concatenate(([0], at - others)))
+
+
+def slices(data: np.ndarray, ends: np.ndarray):
+    """(first text, number of cells of each text from it on, cells) of spelled texts, about TEXT_BYTES symbols at a
+    time, however long a text is. A cell is the context behind a leading 1 bit (the newest byte lowest) and, in the
+    lowest byte, the symbol."""
+    if not len(ends):
+        return
+    padded = np.concatenate((np.zeros(8, np.uint8), data))
+    symbol = data != 10
+    symbol[ends - 1] = True  # the other line feeds only stand before a text
+    starts = np.concatenate(([0], ends[:-1])) + DEPTH
+    a = DEPTH
+    while a < len(data):
+        first = int(np.searchsorted(ends, a, "right"))
+        b = min(a + TEXT_BYTES, int(ends[min(first + (1 << TEXT_BITS), len(ends)) - 1]))
+        cell = np.ndarray((b - a,), ">i8", padded, a + 1, (1,)).astype(np.int64)  # the eight bytes that end at each symbol
+        cell &= (1 << CELL_BITS) - 1
+        cell |= 1 << CELL_BITS
+        last = int(np.searchsorted(ends, b - 1, "right"))
+        n = np.minimum(ends[first : last + 1], b) - np.maximum(starts[first : last + 1], a)
+        yield first, np.maximum(n, 0), cell[symbol[a:b]]
+        a = b
+
+
+def cells(texts: list[bytes]):
+    """(text, cell) arrays of texts that ``spell`` gave, slice by slice."""
+    for first, n, cell in slices(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))):
+        yield np.repeat(np.arange(first, first + len(n)), n), cell
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
 
 
 def parent(context: np.ndarray) -> np.ndarray:
@@ -168,89 +211,117 @@ def path(levels: dict[int, Level], context: np.ndarray, sym: np.ndarray) -> np.n
     return out
 
 
+def _summed_words(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Each word once with the sum of its counts."""
+    coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+    n = np.concatenate([c for _, c in parts])
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), n, len(coded.dictionary)).astype(np.int64)
+
+
 def _count_words(batches):
-    """(class, word, n); counts of a task are summed before the shuffle."""
-    held: dict[int, dict[bytes, int]] = {}
+    """(word, n), n over the texts to learn from; counts of a task are summed before the shuffle."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
 
     def out():
-        for k, words in held.items():
-            yield from pa.table([pa.array(np.full(len(words), k), pa.int32()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["class", "word", "n"]).to_batches(max_chunksize=50_000)
-
-    for table in blocks(batches, 8 << 20):
-        for k, text in zip(table.column("class").to_pylist(), table.column("text").to_pylist(), strict=True):
-            words = held.setdefault(k, {})
-            get = words.get
-            for w in text.lower().split():
-                words[w] = get(w, 0) + 1
-            words[b""] = get(b"", 0) + 1
-        if sum(map(len, held.values())) > 700_000:
-            yield from out()
-            held.clear()
-    yield from out()
+        words, n = _summed_words(held)
+        yield from pa.table([words, pa.array(n)], ["word", "n"]).to_batches(max_chunksize=50_000)
+
+    for table in blocks(batches, TEXT_BYTES):
+        texts, learn = table.column("text").to_pylist(), np.asarray(table.column("class")) >= 0
+        n, words = tokens(*spelled(texts))
+        # the end tokens of all texts as one more word
+        part = [(words, np.repeat(learn, n)), (pa.array([b""], pa.binary()), np.array([learn.sum()]))]
+        held.append(_summed_words(part))
+        if sum(w.nbytes for w, _ in held) > HELD_BYTES:
+            held[:] = [_summed_words(held)]
+            if held[0][0].nbytes > HELD_BYTES // 2:
+                yield from out()
+                held.clear()
+    if held:
+        yield from out()
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key))
+    """Each key once with the sum of its counts."""
+    key = np.concatenate([k for k, _ in parts])
+    order = np.argsort(key)
+    key, at = key[order], runs(key[order])
+    return key[at], np.add.reduceat(np.concatenate([c for _, c in parts])[order], at) if len(at) else at
 
 
 def _count_cells(batches):
-    """(class, context, symbol, n); counts of a task are summed before the shuffle."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # of each class
+    """(class, cell, n); counts of a task are summed before the shuffle."""
+    raw: list[np.ndarray] = []  # cells behind their class, one for one
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # counted
+
+    def count():
+        key = np.concatenate(raw)
+        raw.clear()
+        key.sort()
+        at = runs(key)
+        held.append((key[at], np.diff(at, append=len(key))))
 
     def out():
-        for kind, parts in held.items():
-            key, count = _merged(parts)
-            for a in range(0, len(key), 50_000):
-                k = key[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k >> 8), pa.array(k & 255), pa.array(count[a : a + 50_000].astype(np.int64))], ["class", "context", "symbol", "n"])
+        key, n = _merged(held)
+        for a in range(0, len(key), 50_000):
+            k = key[a : a + 50_000]
+            kind, cell = (k >> CELL_BITS) - 1, k & (1 << CELL_BITS) - 1 | 1 << CELL_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(cell), pa.array(n[a : a + 50_000])], ["class", "cell", "n"])
 
     for table in blocks(batches, TEXT_BYTES):
-        kinds: dict[int, list[bytes]] = {}
-        for k, text in zip(table.column("class").to_pylist(), table.column("text").to_pylist(), strict=True):
-            kinds.setdefault(k, []).append(spell(text.lower().split()))
-        for k, spelled in kinds.items():
-            mine = held.setdefault(k, [])
-            mine += [np.unique(cell, return_counts=True) for _, cell in cells(spelled)]
-            if len(mine) > 20:
-                held[k] = [_merged(mine)]
-        if sum(len(key) for parts in held.values() for key, _ in parts) > 20 * BLOCK_PAIRS:
-            for k, parts in held.items():
-                held[k] = [_merged(parts)]
-            if sum(len(parts[0][0]) for parts in held.values()) > 10 * BLOCK_PAIRS:
+        kind = np.asarray(table.column("class")).astype(np.int64) + 1
+        for first, n, cell in slices(*spelled(table.column("text").to_pylist())):
+            cell &= (1 << CELL_BITS) - 1
+            cell |= np.repeat(kind[first : first + len(n)] << CELL_BITS, n)
+            raw.append(cell)
+            if sum(map(len, raw)) > 10 * BLOCK_PAIRS:
+                count()
+        if sum(len(key) for key, _ in held) > 20 * BLOCK_PAIRS:
+            held[:] = [_merged(held)]
+            if len(held[0][0]) > 10 * BLOCK_PAIRS:
                 yield from out()
                 held.clear()
-    yield from out()
+    if raw:
+        count()
+    if held:
+        yield from out()
 
 
 def _whole_stems(batches):
-    """(stem, class, context, symbol, n) as arrays, BLOCK_PAIRS rows or one stem at a time; rows come sorted by stem."""
+    """(class, cell, n) as arrays, BLOCK_PAIRS rows or one stem at a time; rows come sorted by ``packed`` key."""
     held, size, limit = [], 0, BLOCK_PAIRS
+    low = 8 * (DEPTH - STEM + 1) + CLASS_BITS  # bits below the stem
+
+    def unpacked(key, n):
+        old = 8 * (DEPTH - STEM)
+        sym, older, stem = key >> CLASS_BITS & 255, key >> CLASS_BITS + 8 & (1 << old) - 1, key >> low
+        return (key & (1 << CLASS_BITS) - 1) - 1, ((1 << old | older) << 8 * STEM | stem) << 8 | sym, n
+
     for batch in batches:
-        held.append([np.asarray(batch.column(c)) for c in ("stem", "class", "context", "symbol", "n")])
+        held.append([np.asarray(batch.column(c)) for c in ("key", "n")])
         size += batch.num_rows
         if size > limit:
-            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = int(np.searchsorted(whole[0], whole[0][-1]))
+            key, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.searchsorted(key, key[-1] >> low << low))
             if last:
-                yield [c[:last] for c in whole]
-            held = [[c[last:] for c in whole]]
-            size = len(held[0][0])
+                yield unpacked(key[:last], n[:last])
+            held = [[key[last:], n[last:]]]
+            size = len(key) - last
             limit = max(BLOCK_PAIRS, 2 * size)
     if size:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield unpacked(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _subtree(block: list[np.ndarray], k: int) -> tuple[dict[int, Level], tuple]:
-    _, kind, context, sym, n = block
+def _subtree(block: tuple[np.ndarray, ...], k: int) -> tuple[dict[int, Level], tuple]:
+    kind, cell, n = block
     pick = (kind == k) & (n > 0)
-    return grow(context[pick], sym[pick], n[pick], NO_KIDS, DEPTH, STEM)
+    return grow(cell[pick] >> 8, cell[pick] & 255, n[pick], NO_KIDS, DEPTH, STEM)
 
 
 def _subtree_roots(batches):
     """What the nodes above the subtrees need of them: (class, key, n0, n1, total)."""
     for block in _whole_stems(batches):
-        for k in np.unique(block[1][block[1] >= 0]).tolist():
+        for k in np.unique(block[0][block[0] >= 0]).tolist():
             _, (key, *sums) = _subtree(block, k)
             keys, inverse = np.unique(key, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys), *[pa.array(np.bincount(inverse, x, len(keys)).astype(np.float64)) for x in sums]], ["class", "key", "n0", "n1", "total"])
@@ -260,8 +331,8 @@ def _pair_values(shared):
     def run(batches):
         tops = shared.value
         for block in _whole_stems(batches):
-            cell, inverse = np.unique(block[2] << 8 | block[3], return_inverse=True)
-            n = np.bincount(inverse, block[4], len(cell)).astype(np.int64)
+            at = runs(block[1])  # rows of a cell follow one another
+            cell, n = block[1][at], np.add.reduceat(block[2], at)
             logs = np.stack([path(_subtree(block, k)[0] | top, cell >> 8, cell & 255) for k, top in enumerate(tops)], 1)
             for a in range(0, len(cell), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 50_000]), pa.array(n[a : a + 50_000]), _lists(logs[a : a + 50_000])], ["cell", "n", "logs"])
@@ -273,14 +344,21 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel().astype(np.float64)))
 
 
+def packed() -> F.Column:
+    """Class, context and symbol as one number: from the top the stem, the older bytes, the symbol, the class."""
+    old = 8 * (DEPTH - STEM)
+    stem, older = F.col("context").bitwiseAND(F.lit((1 << 8 * STEM) - 1)), F.shiftright("context", 8 * STEM).bitwiseAND(F.lit((1 << old) - 1))
+    upper = F.shiftleft(stem, old).bitwiseOR(older)
+    return F.shiftleft(F.shiftleft(upper, 8).bitwiseOR(F.col("symbol")), CLASS_BITS).bitwiseOR((F.col("class") + 1).cast("long"))
+
+
 def cell_values(counted: DataFrame, classes: int) -> DataFrame:
     """(cell, n, logs): the count of each cell and the log10 probability of its symbol after its context by each
     class's tree. ``counted``: (class int, context, symbol, n long); class -1 is scored but not learned from."""
     spark = counted.sparkSession
-    low = (1 << 8 * STEM) - 1
-    stem = F.col("context").bitwiseAND(F.lit(low)) + F.lit(low + 1)
-    summed = counted.groupBy("class", "context", "symbol").agg(F.sum("n").alias("n"))
-    pairs = cut(summed.select(stem.alias("stem"), "class", "context", "symbol", "n").repartition("stem").sortWithinPartitions("stem"))
+    summed = counted.select(packed().alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    stem = F.shiftright("key", 8 * (DEPTH - STEM + 1) + CLASS_BITS)
+    pairs = cut(summed.repartition(stem).sortWithinPartitions("key"))
     roots = pairs.mapInArrow(_subtree_roots, "class int, key long, n0 double, n1 double, total double").groupBy("class", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).toArrow()
     kind, *kids = (roots.column(c).to_numpy() for c in ("class", "key", "n0", "n1", "total"))
     none = np.zeros(0, np.int64)  # every context is DEPTH bytes long
@@ -289,20 +367,27 @@ def cell_values(counted: DataFrame, classes: int) -> DataFrame:
     return cut(pairs.mapInArrow(_pair_values(shared), "cell long, n long, logs array<double>"))
 
 
-def _cell_sums(spelled: list[bytes], keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of each text over the cells of ``keys``, and (text, cell, count) of its other cells, by text."""
-    sums, others = np.zeros((len(spelled), logs.shape[1])), [(np.zeros(0, np.int64),) * 3]
-    for text, cell in cells(spelled):
-        each, inverse = np.unique(cell, return_inverse=True)
-        at = np.searchsorted(keys, each, "right") - 1
-        known = keys[at] == each
-        first = int(text[0]) if len(text) else 0
+def _cell_sums(data: np.ndarray, ends: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of each spelled text over the cells of ``keys``, and (text, cell, count) of its other cells, by text."""
+    sums, others = np.zeros((len(ends), logs.shape[1])), [(np.zeros(0, np.int64),) * 3]
+    for first, n, cell in slices(data, ends):
+        # sorted with the text's number below the cell, a cell is looked up once and nothing is gathered at random
+        cell <<= TEXT_BITS
+        cell &= (1 << CELL_BITS + TEXT_BITS) - 1
+        cell |= np.repeat(np.arange(len(n)), n)
+        cell.sort()
+        text = cell & (1 << TEXT_BITS) - 1
+        at = runs(cell >> TEXT_BITS)
+        each, often = cell[at] >> TEXT_BITS | 1 << CELL_BITS, np.diff(at, append=len(cell))
+        row = np.searchsorted(keys, each, "right") - 1
+        known = keys[row] == each
         for k in range(logs.shape[1]):
-            part = np.bincount(text - first, np.where(known, logs[at, k], 0.0)[inverse])
-            sums[first : first + len(part), k] += part
-        open_ = ~known[inverse]
-        pair, times = np.unique(text[open_] * len(each) + inverse[open_], return_counts=True)
-        others.append((pair // max(1, len(each)), each[pair % max(1, len(each))], times))
+            sums[first : first + len(n), k] += np.bincount(text, np.repeat(np.where(known, logs[row, k], 0.0), often), len(n))
+        rest = cell[np.repeat(~known, often)]
+        at = runs(rest)
+        rest, times = rest[at], np.diff(at, append=len(rest))
+        order = np.argsort(rest & (1 << TEXT_BITS) - 1, kind="stable")
+        others.append((first + (rest[order] & (1 << TEXT_BITS) - 1), rest[order] >> TEXT_BITS | 1 << CELL_BITS, times[order]))
     text, cell, times = (np.concatenate(c) for c in zip(*others, strict=True))  # slices follow one another, so sorted by text
     return sums, text, cell, times
 
@@ -311,32 +396,28 @@ def _score(shared):
     """Sums over the tokens and cells of each text that every task knows, and its others with their counts."""
 
     def run(batches):
-        head, counts, keys, logs = shared.value  # row of a word and counts of the rows; cells and their values
+        head, counts, keys, logs = shared.value  # words and their counts; cells and their values
         base = np.log10(counts + 0.1)
-        seen, place = Interner(), np.zeros(0, np.int64)
         for table in blocks(batches, TEXT_BYTES):
-            if len(seen) > CACHE_WORDS:
-                seen, place = Interner(), np.zeros(0, np.int64)
-            number, rows, spelled = seen.__getitem__, [], []
-            for text in table.column("text").to_pylist():
-                parts = text.lower().split()
-                spelled.append(spell(parts))
-                parts.append(b"")
-                rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
-            names, n = list(seen), len(rows)
-            place = np.concatenate((place, np.fromiter((head.get(w, -1) for w in names[len(place) :]), np.int64)))
-            lens = np.fromiter(map(len, rows), np.int64, n)
-            word, doc = np.concatenate(rows), np.repeat(np.arange(n), lens)
+            n = table.num_rows
+            data, ends = spelled(table.column("text").to_pylist())
+            lens, words = tokens(data, ends)
+            coded = words.dictionary_encode()
+            names, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            names = pa.concat_arrays([names, pa.array([b""], pa.binary())])  # and the end token
+            place = pc.fill_null(pc.index_in(names, value_set=head), -1).to_numpy().astype(np.int64)
+            # a text's words, then the end token of each text
+            word, doc = np.concatenate((number, np.full(n, len(names) - 1))), np.concatenate((np.repeat(np.arange(n), lens), np.arange(n)))
             inside = place[word] >= 0
             pair, times = np.unique(doc[~inside] * len(names) + word[~inside], return_counts=True)
-            tail = pa.StructArray.from_arrays([pa.array([names[w] for w in (pair % len(names)).tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+            tail = pa.StructArray.from_arrays([names.take(pa.array(pair % len(names))), pa.array(times, pa.int64())], ["word", "k"])
             off = np.searchsorted(pair // len(names), np.arange(n + 1))
             doc, row = doc[inside], place[word[inside]]
-            sums, text, cell, often = _cell_sums(spelled, keys, logs)
+            sums, text, cell, often = _cell_sums(data, ends, keys, logs)
             rest = pa.StructArray.from_arrays([pa.array(cell), pa.array(often, pa.int64())], ["cell", "k"])
-            symbols = np.fromiter(map(len, spelled), np.int64, n) - DEPTH
+            symbols = np.diff(ends, prepend=0) - DEPTH
             yield from pa.table(
-                [table.column("id").combine_chunks(), pa.array(lens), pa.array(symbols), pa.array(np.bincount(doc, counts[row] > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base[row], n).astype(np.float64)), _lists(sums), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), tail), pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), rest)],
+                [table.column("id").combine_chunks(), pa.array(lens + 1), pa.array(symbols), pa.array(np.bincount(doc, counts[row] > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base[row], n).astype(np.float64)), _lists(sums), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), tail), pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), rest)],
                 ["id", "n_tokens", "n_symbols", "head_known", "head_log", "head_logs", "tail", "rest"],
             ).to_batches(max_chunksize=2000)
 
@@ -379,12 +460,12 @@ def score_documents(docs: DataFrame, train: F.Column, id_col: str = "doc_id", te
     shares = [float(np.log10(n / documents)) for n in held] or [0.0]
     numbers = spark.createDataFrame([(r["name"], k) for k, r in enumerate(kinds)], "name string, number int")
     labelled = rows.join(F.broadcast(numbers), "name", "left").select(F.when(F.col("train"), F.coalesce("number", F.lit(len(kinds)))).otherwise(-1).alias("class"), "text")
-    counted = labelled.mapInArrow(_count_words, "class int, word binary, n long")
-    words = cut(counted.groupBy("word").agg(F.sum(F.when(F.col("class") >= 0, F.col("n")).otherwise(0)).alias("n")))
+    words = cut(labelled.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     listed = words.filter(F.col("n") >= head_count(words, min(HEAD_WORDS, VALUE_CELLS))).toArrow()
-    head = {w: k for k, w in enumerate(listed.column("word").to_pylist())}
-    values = cell_values(labelled.mapInArrow(_count_cells, "class int, context long, symbol long, n long"), classes)
+    head = listed.column("word").combine_chunks()
+    counted = labelled.mapInArrow(_count_cells, "class int, cell long, n long")
+    values = cell_values(counted.select("class", F.shiftright("cell", 8).alias("context"), F.col("cell").bitwiseAND(F.lit(255)).alias("symbol"), "n"), classes)
     first = values.filter(F.col("n") >= head_count(values, VALUE_CELLS // classes)).select("cell", "logs").toArrow().combine_chunks()
     order = np.argsort(first.column("cell").to_numpy())
     keys = np.concatenate(([-1], first.column("cell").to_numpy()[order]))  # before all cells, none of them

@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+import string
 import struct
 import time
+import types
 import zlib
 
 import numpy as np
@@ -283,6 +285,81 @@ def test_ctw_cells(monkeypatch):
         assert got == want
 
 
+ODD_TEXTS = [b"", b" \t", b"The  CAT\nsat\x0b\x0con\r", b"\n\nx", "\u00c9T\u00c9\u00a0A\u2003b".encode(), b"a\0b \x1f c", b"end "] * 3
+
+
+def test_ctw_spelled():
+    """Symbols and words of whole blocks as of each text alone."""
+    words = [t.lower().split() for t in ODD_TEXTS]
+    data, ends = ctw.spelled(ODD_TEXTS)
+    assert data.tobytes() == b"".join(map(ctw.spell, words)) and ends.tolist() == np.cumsum([len(ctw.spell(w)) for w in words]).tolist()
+    n, flat = ctw.tokens(data, ends)
+    assert n.tolist() == list(map(len, words)) and flat.to_pylist() == sum(words, [])
+
+
+def test_ctw_counts_are_summed_in_a_task(monkeypatch):
+    """A word of several classes is one row of a task, its count that of the texts to learn from; and however
+    little a task holds at a time, words and cells are all counted."""
+    kinds = [k % 3 - 1 for k in range(len(ODD_TEXTS))]
+    batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ODD_TEXTS, pa.binary())], ["class", "text"])
+    want, of_class = collections.Counter(), collections.Counter()
+    for k, t in zip(kinds, ODD_TEXTS, strict=True):
+        for w in [*t.lower().split(), b""]:
+            want[w] += k >= 0
+        spelled = ctw.spell(t.lower().split())
+        of_class.update((k, context_of(spelled[i - 5 : i + 1])) for i in range(5, len(spelled)))
+    got = [r for b in ctw._count_words([batch]) for r in b.to_pylist()]
+    assert sorted((r["word"], r["n"]) for r in got) == sorted(want.items())
+    for name in ("HELD_BYTES", "BLOCK_PAIRS", "TEXT_BYTES", "TEXT_BITS"):
+        monkeypatch.setattr(ctw, name, 1)
+        words, found = collections.Counter(), collections.Counter()
+        for b in ctw._count_words([batch]):
+            words.update({r["word"]: r["n"] for r in b.to_pylist()})
+        for b in ctw._count_cells([batch]):
+            found.update({(r["class"], r["cell"]): r["n"] for r in b.to_pylist()})
+        assert words == want and found == of_class
+
+
+def test_ctw_cell_sums(monkeypatch):
+    """Sums of each text over known cells, and its other cells, with slices of any length and number of texts."""
+    every = [[(k, int(c)) for c in cell] for k, t in enumerate(ODD_TEXTS) for _, cell in ctw.cells([ctw.spell(t.lower().split())])]
+    names = sorted({c for text in every for _, c in text})
+    keys, logs = np.array([-1, *names[::2]]), np.vstack([np.zeros((1, 2)), np.random.RandomState(1).rand(len(names[::2]), 2)])
+    value = dict(zip(keys.tolist(), logs, strict=True))
+    want = [sum((value[c] for _, c in text if c in value), np.zeros(2)) for text in every]
+    others = collections.Counter(x for text in every for x in text if x[1] not in value)
+    for size, bits in ((1 << 20, 15), (7, 15), (1 << 20, 1)):
+        monkeypatch.setattr(ctw, "TEXT_BYTES", size)
+        monkeypatch.setattr(ctw, "TEXT_BITS", bits)
+        sums, text, cell, often = ctw._cell_sums(*ctw.spelled(ODD_TEXTS), keys, logs)
+        got = collections.Counter()
+        for k, c, n in zip(text.tolist(), cell.tolist(), often.tolist(), strict=True):
+            got[k, c] += n
+        assert np.allclose(sums, want) and got == others and (np.diff(text) >= 0).all()
+
+
+def test_ctw_scoring_work():
+    """Scoring with four trees costs less than one and a half sorts of the cells of its texts by ``np.unique``."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(vocabulary[int(len(vocabulary) ** r.random()) - 1] for _ in range(600)).encode() for _ in range(600)]
+    cell = np.concatenate([c for _, c in ctw.cells([ctw.spell(t.split()) for t in texts])])
+    keys = np.concatenate(([-1], np.unique(cell)))
+    head = pa.array([w.encode() for w in vocabulary], pa.binary())
+    shared = types.SimpleNamespace(value=(head, np.ones(len(head), np.int64), keys, np.zeros((len(keys), 4))))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["id", "text"])
+
+    def least(work):
+        taken = []
+        for _ in range(4):
+            at = time.process_time()
+            work()
+            taken.append(time.process_time() - at)
+        return min(taken)
+
+    assert least(lambda: list(ctw._score(shared)([batch]))) < 1.5 * least(lambda: np.unique(cell, return_inverse=True))
+
+
 def plain_ctw(texts):
     """log10 probability of a text by the recursion P_w = (P_e + product of children) / 2, node by node."""
     spelled = lambda words: b"\n" * ctw.DEPTH + b"".join(w + b" " for w in words) + b"\n"
