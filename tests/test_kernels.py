@@ -72,6 +72,28 @@ def test_gesd_of_many_cells():
     assert (got != 0).any(0).sum() > 100
 
 
+def test_gesd_of_equal_deviates():
+    """Where both ends deviate alike, the choice is that of the query's SQL: by its rounding."""
+    import duckdb
+
+    from skyloom.plans.catalog import ORACLES
+
+    cells = [
+        [-270, -234, 3, 5, 5, 9, 11, 15, 25, 35, 35, 36, 36, 37, 171],
+        [-186, 4, 9, 10, 13, 15, 17, 18, 21, 22, 29, 30, 32, 35, 41, 43, 43, 48, 50, 162, 369],
+    ]
+    con = duckdb.connect()
+    con.sql("create table lineitem (l_partkey bigint, l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double)")
+    for cell, values in enumerate(cells):
+        for k, v in enumerate(values):
+            line, quantity = (5, -v / 6) if v < 0 else (6, v / 9) if v > 50 else (1, v)
+            con.execute("insert into lineitem values (?, ?, ?, ?, 0)", [cell, k, line, quantity])
+    want = {r[0]: r[3:] for r in con.sql(ORACLES["combine_gesd_tails"]).fetchall()}
+    for cell, values in enumerate(cells):
+        side = co.gesd_sides(np.array(values, float))
+        assert ((side == -1).sum(), (side == 1).sum()) == want[cell] and any(want[cell])
+
+
 @pytest.mark.parametrize("method", ["sigma", "winsorized", "percentile", "gesd", "median", "none"])
 def test_both_forms_agree(spark, method):
     r = np.random.default_rng(5)
