@@ -402,10 +402,7 @@ def tile_overlaps(spark, sf):
 @query("tile_closure", f"""WITH RECURSIVE {BX}, u AS (SELECT i, j FROM e UNION SELECT j, i FROM e), t AS (SELECT i AS node, i AS root FROM u UNION SELECT u.j, t.root FROM t JOIN u ON u.i = t.node)
     SELECT node, min(root) AS root FROM t GROUP BY node""")
 def tile_closure(spark, sf):
-    from ..sources.stages import use_checkpoints
-
-    use_checkpoints(spark)
-    return ma.reachable(ma.overlaps(boxes(spark, sf)))
+    return ma.tile_components(boxes(spark, sf))
 
 
 # ---------------------------------------------------------------- patches
